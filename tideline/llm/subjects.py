@@ -53,9 +53,9 @@ MIN_EVIDENCE, MIN_SHARE = 2.0, 0.6
 SMOOTH = 5.0
 #: Upper ends of the codes of the shares. Code 0 is a passing mention or less.
 LEXICON_BINS = (0.12,)
-LEARNED_BINS = (0.08, 0.15)
+LEARNED_BINS = (0.15, 0.2)
 PLACE_BINS = (0.02, 0.25)
-SUBSTANTIAL = 2  # learned code that starts the model as "meant"; code 0 is never meant
+SUBSTANTIAL = 1  # learned code that starts the model as "meant"; code 0 is never meant
 CODES = (len(LEXICON_BINS) + 1, len(LEARNED_BINS) + 1, 3, len(PLACE_BINS) + 2, len(PLACE_BINS) + 2)  # the last of each place: abstains
 
 _SECTION = re.compile(r"\n+| \| ")
