@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm.bpe import encode_texts, token_counts
 from tideline.llm.captions import caption_runs
+from tideline.llm.knn import neighbour_pairs, neighbours
 from tideline.llm.packing import pack
 from tideline.llm.pair_defects import pair_defects
 from tideline.llm.subjects import subject_areas
@@ -17,6 +18,12 @@ R = Registry()
 CAPACITY = 2048
 
 
+@R.query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of vectors of which at least one is a nearest neighbour of the other."""
+    return neighbour_pairs(neighbours(table(spark, sf_dir, "nano_vectors")))
+
+
 @R.query("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decisive defect of each defective response."""
