@@ -6,6 +6,8 @@ chunks), so a list is one group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,16 +48,23 @@ def fold(chunks: list[dict]) -> list[dict]:
 
 
 def merge_adjacent(chunks: DataFrame) -> DataFrame:
-    """:func:`fold` of every list."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: (list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v) for k, v in r.items()} for r in pdf.to_dict("records")]
-        got = fold(rows)
-        for i, r in enumerate(got):
-            r["chunk_no"] = i
-        return pd.DataFrame(got, columns=list(pdf.columns))
-
-    return chunks.groupBy("list_id").applyInPandas(one, CHUNK)
+    """:func:`fold` of every list. Lists stream by in order, so a task holds one list at a time."""
+    cols = [c.split()[0] for c in CHUNK.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        for pdf in frames:
+            out: list[dict] = []
+            for r in zip(*(pdf[c] for c in cols)):
+                row = {k: (list(v) if k in ("event_ids", "data_s", "data_e") else v) for k, v in zip(cols, r)}
+                if held and held[0]["list_id"] != row["list_id"]:
+                    out += [{**c, "chunk_no": i} for i, c in enumerate(fold(held))]
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=cols)
+        yield pd.DataFrame([{**c, "chunk_no": i} for i, c in enumerate(fold(held))], columns=cols)
+
+    return chunks.select(*cols).repartition("list_id").sortWithinPartitions("list_id", "s", "e").mapInPandas(run, CHUNK)
 
 
 def drop_lowest(chunks: DataFrame, ratio: float | None = None, cap: int = 16) -> DataFrame:

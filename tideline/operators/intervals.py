@@ -34,16 +34,20 @@ def merged(df: DataFrame, key: str, gap: int = 0) -> DataFrame:
     return out.select(F.col("owner_key").cast(df.schema[key].dataType).alias(key), F.col("start_ms").alias("s"), (F.col("end_ms") - gap).alias("e"))
 
 
+def total_length(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.sum(F.col("e") - F.col("s")).cast("bigint").alias("length"))
+
+
 def union_length(df: DataFrame, key: str) -> DataFrame:
-    return merged(df, key).groupBy(key).agg(F.sum(F.col("e") - F.col("s")).cast("bigint").alias("length"))
+    return total_length(merged(df, key), key)
 
 
 def intersection(a: DataFrame, b: DataFrame, key: str, width: float = BUCKET) -> DataFrame:
-    """Shared pieces of two interval sets, each merged first."""
+    """Shared pieces of two interval sets that are each merged already."""
     from tideline.functions.intervals import overlaps_strict
 
-    left = merged(a, key).select(key, F.col("s").alias("ls"), F.col("e").alias("le"))
-    right = merged(b, key).select(key, F.col("s").alias("rs"), F.col("e").alias("re"))
+    left = a.select(key, F.col("s").alias("ls"), F.col("e").alias("le"))
+    right = b.select(key, F.col("s").alias("rs"), F.col("e").alias("re"))
     return overlap_join(left, right, [key], overlaps_strict, width).select(key, F.greatest("ls", "rs").alias("s"), F.least("le", "re").alias("e"))
 
 

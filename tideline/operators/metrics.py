@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.intervals import f1, overlaps_strict, truncated_ends
-from tideline.operators.intervals import intersection, overlap_join, union_length
+from tideline.operators.intervals import intersection, merged, overlap_join, total_length
+from tideline.session import checkpointed
 
 Q = ["store_no", "question_id"]
 INF = float("inf")
@@ -27,20 +28,22 @@ def retrieval_accuracy(found: DataFrame, truth: DataFrame) -> DataFrame:
 
     Events are cut to whole seconds, the first row of an id counts, empty spans are rejected (C10); an
     event is right if it shares more than a point with a segment (C3). Lengths are of unions. Zero
-    denominators give 0; the noise ratios are infinite where there is signal and no noise."""
+    denominators give 0; the noise ratios are infinite where there is signal and no noise. The four small
+    tables that several measures share are written once to the shared checkpoint folder."""
     a, b = truncated_ends(F.col("s"), F.col("e"))
     ev = found.where("e > s").groupBy(*Q, "event_id").agg(F.min_by(F.struct("s", "e"), "ord").alias("x"))
-    ev = ev.select(*Q, "event_id", F.col("x.s").alias("s"), F.col("x.e").alias("e")).select(*Q, "event_id", a.alias("s"), b.alias("e"))
+    ev = checkpointed(ev.select(*Q, "event_id", F.col("x.s").alias("s"), F.col("x.e").alias("e")).select(*Q, "event_id", a.alias("s"), b.alias("e")))
+    truth = checkpointed(truth.select(*Q, "seg", "gs", "ge"))
     hits = overlap_join(ev.withColumnsRenamed({"s": "ls", "e": "le"}), truth.withColumnsRenamed({"gs": "rs", "ge": "re"}), Q, overlaps_strict)
     n_ev = ev.groupBy(*Q).agg(F.count("*").alias("n_events"), F.sum(F.col("e") - F.col("s")).alias("total_s"))
     n_gt = truth.groupBy(*Q).agg(F.count("*").alias("n_segments"))
     n_hit = hits.groupBy(*Q).agg(F.count_distinct("event_id").alias("tp_evt"), F.count_distinct("seg").alias("tp_seg"))
     key = F.concat_ws(":", *Q)
     one = lambda d, s, e: d.select(key.alias("k"), F.col(s).alias("s"), F.col(e).alias("e"))
-    r, g = one(ev, "s", "e"), one(truth, "gs", "ge")
+    r, g = (checkpointed(merged(x, "k")) for x in (one(ev, "s", "e"), one(truth, "gs", "ge")))
     shared = intersection(r, g, "k").groupBy("k").agg(F.sum(F.col("e") - F.col("s")).alias("both_s"))
     out = n_gt.join(n_ev, Q, "left").join(n_hit, Q, "left").withColumn("k", key)
-    out = out.join(union_length(r, "k").withColumnRenamed("length", "found_s"), "k", "left").join(union_length(g, "k").withColumnRenamed("length", "true_s"), "k", "left").join(shared, "k", "left")
+    out = out.join(total_length(r, "k").withColumnRenamed("length", "found_s"), "k", "left").join(total_length(g, "k").withColumnRenamed("length", "true_s"), "k", "left").join(shared, "k", "left")
     out = out.fillna(0, ["n_events", "total_s", "tp_evt", "tp_seg", "found_s", "true_s", "both_s"])
     fp, fn = F.col("n_events") - F.col("tp_evt"), F.col("n_segments") - F.col("tp_seg")
     p, q = ratio(F.col("tp_evt"), F.col("n_events")), ratio(F.col("tp_seg"), F.col("n_segments"))

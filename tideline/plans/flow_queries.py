@@ -16,6 +16,7 @@ from tideline.plans.graph_queries import EDGES, edges
 from tideline.plans.interval_queries import temporal_neighbours
 from tideline.plans.list_queries import _cache_seeds
 from tideline.registry import Registry
+from tideline.session import checkpointed, scratch_dir
 from tideline.sources import stores
 from tideline.sources.tables import table
 from tideline.streaming import streams as W
@@ -29,7 +30,7 @@ def flagship_slice(spark, sf):
     top = S.topk_nulls_first(seeds(spark, sf), 30)
     capped = S.budget_cap(top, temporal_neighbours(spark, sf, top), 80)
     pay = events(spark, sf).groupBy("store_no", "event_id").agg(F.min("pos").alias("ord"), F.min_by(F.struct("s", "e", "ms", "me"), "pos").alias("x"))
-    found = capped.join(pay, ["store_no", "event_id"]).select("store_no", "question_id", "event_id", "ord", "x.s", "x.e", "x.ms", "x.me")
+    found = checkpointed(capped.join(pay, ["store_no", "event_id"]).select("store_no", "question_id", "event_id", "ord", "x.s", "x.e", "x.ms", "x.me"))
     spans = found.select(F.concat_ws(":", "store_no", "question_id").alias("q"), F.col("ms").alias("s"), F.col("me").alias("e"))
     n = I.merged(spans, "q", 30_000).groupBy("q").agg(F.count("*").alias("n_clusters"))
     acc = retrieval_accuracy(found, truth(spark, sf)).withColumn("q", F.concat_ws(":", "store_no", "question_id"))
@@ -250,8 +251,6 @@ def stream_tracks(spark, sf):
 @R.query("stream_cache")
 def stream_cache(spark, sf):
     """The cross-query cache as keyed state over a stream of seeds."""
-    from tideline.session import scratch_dir
-
     path = scratch_dir(spark, "cache-seeds")
     _cache_seeds(spark, sf).write.parquet(path)
     return W.drained(W.keyed_cache(W.source(spark, path)), "append", "cache")

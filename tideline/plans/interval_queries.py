@@ -124,7 +124,7 @@ def _gt_ms(spark, sf):
 FROM m JOIN gm ON m.store_no = gm.store_no AND greatest(m.s, gm.s) < least(m.e, gm.e) GROUP BY m.store_no""")
 def interval_intersection_length(spark, sf):
     """Shared length of two unions."""
-    both = I.intersection(_ms(spark, sf), _gt_ms(spark, sf), "store_no", 64_000)
+    both = I.intersection(I.merged(_ms(spark, sf), "store_no"), I.merged(_gt_ms(spark, sf), "store_no"), "store_no", 64_000)
     return both.groupBy("store_no").agg(F.sum(F.col("e") - F.col("s")).cast("bigint").alias("shared"))
 
 
