@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import checkpointed
+
 BLOCK = 2048
 #: Two runs merge at this similarity or more; 1 is equal but for the harmless surface forms.
 MIN_SIMILARITY = 0.8
@@ -318,7 +320,8 @@ def caption_runs(events: DataFrame, gap: float | None = None, limit: float = MIN
     sorted_rows = (
         rows.repartition("store_no", "block").sortWithinPartitions("store_no", "block", "pos", F.col("loaded_at").asc_nulls_first()).drop("block", "loaded_at")
     )
-    parts = sorted_rows.mapInArrow(_block_runs(lambda p: p // block, gap, limit), _SCHEMA)
+    # far fewer rows than events, and read twice: written once to the shared checkpoint folder
+    parts = checkpointed(sorted_rows.mapInArrow(_block_runs(lambda p: p // block, gap, limit), _SCHEMA))
     edges = parts.where("piece <> 'run'").repartition("owner").sortWithinPartitions("owner", "first_pos").mapInArrow(_stitched(gap, limit), _SCHEMA)
     return parts.where("piece = 'run'").unionByName(edges).select(
         F.col("owner").alias("store_no"), "first_pos", "last_pos", "event_count", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "caption"
