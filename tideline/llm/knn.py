@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import checkpointed
+
 #: Vectors of a list on average, and the most lists: from LIST_SIZE * MAX_LISTS vectors on, lists grow.
 LIST_SIZE, MAX_LISTS = 128, 8192
 #: Sample the index is fitted on: vectors per list, and at most.
@@ -253,8 +255,8 @@ def _travelling(index, dim: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: Index = index.value
         for rb in batches:
-            for i in range(0, rb.num_rows, 2048):
-                b = rb.slice(i, 2048)
+            for i in range(0, rb.num_rows, 1024):
+                b = rb.slice(i, 1024)
                 rows, ids, x = _usable(b, dim)
                 if len(hot.value) and len(rows):
                     h1 = b.column("h1").to_numpy(zero_copy_only=False)[rows]
@@ -396,6 +398,7 @@ def _of_dimension(df: DataFrame, dim: int, k: int, least: float) -> DataFrame:
     best = _merged(found, k)
     if not hot:
         return best
+    best = checkpointed(best)  # read twice below; rewritten searches would cost more than its few bytes a vector
     # the members that did not travel: the answer of their group, without themselves
     reps = spark.createDataFrame([(a, b, v) for (a, b), v in hot.items()], "h1 bigint, h2 bigint, vec_id bigint")
     answers = F.broadcast(reps.join(best, "vec_id").select("h1", "h2", F.col("vec_id").alias("rep"), "ids", "sims"))
