@@ -154,8 +154,12 @@ class _Run:
         self.end = o.end if self.end is None else self.end if o.end is None else max(self.end, o.end)
 
 
+def _far(a: _Run, b: _Run, gap: float | None) -> bool:
+    return gap is not None and (a.end is None or b.start is None or b.start - a.end > gap)
+
+
 def _alike(a: _Run, b: _Run, gap: float | None) -> float:
-    if gap is not None and (a.end is None or b.start is None or b.start - a.end > gap):
+    if _far(a, b, gap):
         return 0.0
     return max(similarity(a.tail, b.head), similarity(a.best(), b.best()))
 
@@ -190,7 +194,7 @@ def agglomerate(runs: list[_Run], gap: float | None = None, limit: float = MIN_S
     return [r for r in runs if r.alive]
 
 
-def _stretches(events: Iterator[_Run | None]) -> Iterator[list[_Run]]:
+def _stretches(events: Iterator[_Run | None], gap: float | None) -> Iterator[list[_Run]]:
     """Equal neighbours collapsed; cut where there is no caption or neighbours cannot be alike."""
     cur: list[_Run] = []
     for e in events:
@@ -198,6 +202,9 @@ def _stretches(events: Iterator[_Run | None]) -> Iterator[list[_Run]]:
             if cur:
                 yield cur
             cur = []
+        elif cur and _far(cur[-1], e, gap):
+            yield cur
+            cur = [e]
         elif cur and cur[-1].tail == e.head:
             cur[-1].absorb(e)
         elif cur and similarity(cur[-1].tail, e.head, 2) > 0:
@@ -241,7 +248,7 @@ def _block_runs(block_of, gap: float | None, limit: float):
         for pos in {lo, hi}:  # an end without a caption: nothing goes on there
             if ends[pos] is None or not words(ends[pos]):
                 yield (owner, block, "bar", pos, pos, 0, None, None, None, None, None)
-        for stretch in _stretches(runs()):
+        for stretch in _stretches(runs(), gap):
             for r in agglomerate(stretch, gap, limit):
                 edge = r.first == lo or r.last == hi
                 if edge or r.count > 1:
