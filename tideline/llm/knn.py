@@ -32,14 +32,14 @@ LIST_SIZE, MAX_LISTS = 128, 8192
 #: Sample the index is fitted on: vectors per list, and at most.
 SAMPLE_PER_LIST, SAMPLE_MAX = 24, 131_072
 #: Vectors of a shard, on average.
-SHARD_SIZE = 8192
+SHARD_SIZE = 16_384
 #: Neighbours of a head in the graph, width of the search, heads expanded per step, steps.
-DEGREE, BEAM, EXPAND, STEPS = 12, 24, 8, 2
-#: Pivots by the square root of the number of lists, and how many of them a search starts from.
-PIVOTS, ENTRIES = 8, 8
+DEGREE, BEAM, EXPAND, STEPS = 12, 24, 6, 1
+#: Neighbouring heads that a pivot stands for, and how many pivots a search starts from.
+GROUP, ENTRIES = 8, 12
 #: A vector is posted to lists within POST_RATIO of its nearest head's distance, PROBE_RATIO for probing.
-POST_RATIO, MAX_POSTS = 1.08, 2
-PROBE_RATIO, MAX_PROBES = 1.35, 10
+POST_RATIO, MAX_POSTS = 1.06, 3
+PROBE_RATIO, MAX_PROBES = 1.2, 4
 #: Copies of one vector from which on the group is answered as one.
 COPY_LIMIT = 256
 
@@ -96,7 +96,8 @@ def _tree(x: np.ndarray, leaf: int, rng: np.random.Generator) -> list[np.ndarray
 class Index:
     heads: np.ndarray  # lists x dim
     graph: np.ndarray  # lists x DEGREE
-    pivots: np.ndarray  # list numbers by which the graph is entered
+    pivots: np.ndarray  # directions by which the graph is entered: each stands for GROUP neighbouring heads
+    members: np.ndarray  # pivots x GROUP, their heads (-1: none)
     shard: np.ndarray  # shard of each list
 
 
@@ -104,7 +105,7 @@ def fit(sample: np.ndarray, n: int, seed: int = 7) -> Index:
     """Index for ``n`` vectors from a sample of unit vectors."""
     rng = np.random.default_rng(seed)
     lists = int(np.clip(n // LIST_SIZE, 1, MAX_LISTS))
-    leaves = _tree(sample, max(2, len(sample) // lists), rng)
+    leaves = _tree(sample, max(2, int(1.7 * len(sample) / lists)), rng)  # leaves are filled to 0.6 on average
     heads = _unit(np.array([sample[r].sum(axis=0) for r in leaves])).astype(np.float32)
     k = len(heads)
     degree = min(DEGREE, k)
@@ -112,12 +113,14 @@ def fit(sample: np.ndarray, n: int, seed: int = 7) -> Index:
     for i in range(0, k, 1024):
         sim = heads[i : i + 1024] @ heads.T
         graph[i : i + 1024] = np.argpartition(-sim, degree - 1, axis=1)[:, :degree]
-    pivots = np.unique(np.linspace(0, k - 1, min(k, max(32, int(PIVOTS * k**0.5)))).astype(np.int64))
+    members = np.full((-(-k // GROUP), GROUP), -1, np.int32)
+    members.reshape(-1)[:k] = np.arange(k)
+    pivots = _unit(np.array([heads[m[m >= 0]].sum(axis=0) for m in members])).astype(np.float32)
     # leaves come in tree order: runs of neighbouring lists of about equal weight make a shard
     weight = np.array([len(r) for r in leaves], float)
     shards = max(1, -(-n // SHARD_SIZE))
     shard = np.minimum((np.cumsum(weight) - weight / 2) / weight.sum() * shards, shards - 1).astype(np.int32)
-    return Index(heads, graph, pivots, shard)
+    return Index(heads, graph, pivots, members, shard)
 
 
 def nearest_heads(index: Index, x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,14 +129,18 @@ def nearest_heads(index: Index, x: np.ndarray, m: int) -> tuple[np.ndarray, np.n
     heads, graph = index.heads, index.graph
     q, k = len(x), len(heads)
     width = min(BEAM, k)
-    entry = x @ heads[index.pivots].T
+    entry = x @ index.pivots.T
     first = min(ENTRIES, len(index.pivots))
     top = np.argpartition(-entry, first - 1, axis=1)[:, :first]
-    ids = np.full((q, width), -1, np.int32)
-    sims = np.full((q, width), -2.0, np.float32)
+    near = index.members[top].reshape(q, -1)
+    s = np.einsum("qd,qnd->qn", x, heads[np.maximum(near, 0)])
+    s[near < 0] = -2
+    pad = max(0, width - near.shape[1])
+    if pad:
+        near, s = np.pad(near, ((0, 0), (0, pad)), constant_values=-1), np.pad(s, ((0, 0), (0, pad)), constant_values=-2)
+    best = np.argpartition(-s, width - 1, axis=1)[:, :width]
+    ids, sims = np.take_along_axis(near, best, axis=1), np.take_along_axis(s, best, axis=1)
     done = np.zeros((q, width), bool)
-    ids[:, :first] = index.pivots[top]
-    sims[:, :first] = np.take_along_axis(entry, top, axis=1)
     rows = np.arange(q)[:, None]
     for _ in range(STEPS):
         want = np.where(done | (ids < 0), np.float32(-3), sims)
@@ -317,12 +324,13 @@ def _searched(dim: int, k: int, least: float):
         group = group.reshape(-1)
         order = np.lexsort((ids, group))
         bounds = np.searchsorted(group[order], np.arange(len(first) + 1))
-        unit = _directions(raw[first])
         posts, probes = (_pairs_of(t.column(c).take(pa.array(first)).to_pylist()) for c in ("posts", "probes"))
-        q, o, _ = search_shard(unit.astype(np.float32), posts, probes, k, least)
+        mine = raw[first]
+        unit = np.concatenate([_directions(mine[i : i + 4096]).astype(np.float32) for i in range(0, len(mine), 4096)])
+        q, o, _ = search_shard(unit, posts, probes, k, least)
         sim = np.empty(len(q))
-        for i in range(0, len(q), 16384):
-            sim[i : i + 16384] = np.einsum("ij,ij->i", unit[q[i : i + 16384]], unit[o[i : i + 16384]])
+        for i in range(0, len(q), 16384):  # again in double precision, for the pairs that matter
+            sim[i : i + 16384] = np.einsum("ij,ij->i", _directions(mine[q[i : i + 16384]]), _directions(mine[o[i : i + 16384]]))
         micro = np.rint(sim * 1e6).astype(np.int64)
         keep = micro >= round(least * 1e6)
         q, o, micro = q[keep], o[keep], micro[keep]
