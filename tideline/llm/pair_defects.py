@@ -74,7 +74,12 @@ _FUNCTION_WORDS = {
     "es": "el la los las es son y de que no un una en se qué cuál dónde hacia mientras con por para así lo al del está pero como cuando muestra más su respuesta porque le esto hay aparece tiene trata opción opciones",
     "fr": "le la les est sont et de que ne pas un une des dans en se qu'est qui où vers pendant avec pour ainsi ce du au cela mais comme quand montre plus son réponse c'est il elle sur donc l'on une aux entre quel quelle s'agit par",
 }
-_SETS = {k: frozenset(v.split()) for k, v in _FUNCTION_WORDS.items()}
+#: Languages that answers come in besides.
+_FURTHER = {
+    "it": "il lo gli i della dello delle dei che è si non per uno un una del alla questa questo quello perché verso sono più con risposta quindi le e ma basta scena vede circa al nella nel possono",
+    "pt": "o os a as da do das dos não em um uma uns umas é que para por isso se mas com resposta nenhum pela pelo certa vê ao há portanto mostra está outras outros",
+}
+_SETS = {k: frozenset(v.split()) for k, v in (_FUNCTION_WORDS | _FURTHER).items()}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _QUOTED = re.compile(r"«[^»]*»|„[^“”]*[“”]|“[^”]*”|\"[^\"]*\"|(?<!\w)'[^']*'(?!\w)")
 
@@ -105,7 +110,7 @@ def _scores(text: str) -> dict[str, int]:
 @lru_cache(1 << 14)
 def language(question: str) -> str | None:
     """Language of a question by its function words; None if they do not tell."""
-    sc = _scores(question)
+    sc = {k: v for k, v in _scores(question).items() if k in _FUNCTION_WORDS}
     best = max(sc, key=lambda k: (sc[k], k))
     rest = max(v for k, v in sc.items() if k != best)
     return best if sc[best] > rest else None
