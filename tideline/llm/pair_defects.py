@@ -77,7 +77,7 @@ _FUNCTION_WORDS = {
 #: Languages that answers come in besides.
 _FURTHER = {
     "it": "il lo gli i della dello delle dei che è si non per uno un una del alla questa questo quello perché verso sono più con risposta quindi le e ma basta scena vede circa al nella nel possono",
-    "pt": "o os a as da do das dos não em um uma uns umas é que para por isso se mas com resposta nenhum pela pelo certa vê ao há portanto mostra está outras outros",
+    "pt": "os da do das dos não em uma uns umas é que para isso mas com resposta nenhum pela pelo certa vê ao há portanto mostra esta outras outros durante",
 }
 _SETS = {k: frozenset(v.split()) for k, v in (_FUNCTION_WORDS | _FURTHER).items()}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
