@@ -32,18 +32,18 @@ from tideline.session import checkpointed
 
 #: Lexicon of each area, our own choice of words, in the languages of the documents.
 LEXICON = {
-    "traffic": "traffic vehicles cyclist motorist lorry junction tram motorway congestion kreuzung ampel stau semáforo rotonda atasco carrefour",
-    "wildlife": "wildlife animals otter heron badger lynx migration herd plumage fährte wildschwein fischotter madriguera nutria jabalí terrier",
+    "traffic": "traffic vehicles cyclist motorist lorry junction tram motorway kreuzung ampel stau semáforo rotonda atasco carrefour embouteillage",
+    "wildlife": "wildlife otter heron badger lynx migration herd plumage fährte wildschwein fischotter madriguera nutria jabalí terrier sanglier",
     "citytour": "tourist guide sightseer museum cathedral visitors palace stadtführerin domturm stadttor catedral turística mirador touristes cathédrale remparts",
-    "cooking": "recipe kitchen chef dough sauce oven custard köchin teig pfanne cocinera masa caldo cuisinière bouillon poêle",
-    "sport": "match athletes referee goalkeeper winger league tennis trophy torwart staffel portero balón árbitro gardien ballon penalty",
+    "cooking": "recipe kitchen chef dough sauce custard koch bäckerin gasherd cocinera masa caldo sofrito cuisinière bouillon poêle",
+    "sport": "match athletes referee goalkeeper winger league tennis torwart staffel elfmeter portero balón árbitro gardien ballon arbitre",
     "workshop": "carpenter welder timber workbench blacksmith plumber mechanic hobelbank tischler lehrling taladro carpintero bisagra menuisier perceuse charnière",
-    "medicine": "patients surgeon nurse hospital paramedic ward infusion chirurg wunde krankenschwester cirujano enfermera herida chirurgien infirmière plaie",
-    "software": "developer debugging deployment tester maintainer latency server entwickler datenbank quellcode programadora compilación servidor développeuse compilation serveur",
-    "science": "experiment laboratory chemist physicist geologist botanist photon chemikerin labor mikroskop microscopio químico laboratorio chimiste microscope laboratoire",
-    "law": "court judge lawyer juror contract plaintiff prosecutor tribunal gerichtssaal notar klageschrift juez abogada sentencia notaire avocate",
-    "music": "concert cellist violin pianist trumpeter drummer melody dirigentin flügel partitur batería violonchelista partitura orchestre violoncelliste partition",
-    "farming": "farmer crops livestock tractor harvest vintner silage barley bäuerin traktor weide agricultora cosecha agricultrice tracteur moisson",
+    "medicine": "patients surgeon nurse hospital paramedic ward chirurg wunde krankenschwester notarzt cirujano enfermera herida chirurgien infirmière plaie",
+    "software": "developer debugging deployment tester maintainer latency entwicklerin datenbank quelltext programadora compilación servidor développeuse serveur mainteneur memoria",
+    "science": "experiment laboratory chemist physicist geologist botanist photon chemikerin labor mikroskop microscopio geólogo laboratorio chimiste géologue laboratoire",
+    "law": "court judge lawyer juror contract plaintiff prosecutor gerichtssaal notar klageschrift abogado jueza testigo notaire avocat juge",
+    "music": "concert cellist violin pianist trumpeter melody dirigentin schlagzeuger partitur baterista violonchelista orquesta orchestre violoncelliste batteur partition",
+    "farming": "farmer crops livestock tractor harvest vintner landwirt imker kuhstall acker agricultor apicultor huerto agriculteur apiculteur verger",
 }
 #: Words of the model, the most frequent ones, at most.
 MAX_TERMS = 50_000
