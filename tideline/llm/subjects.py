@@ -51,6 +51,9 @@ MIN_OCCURRENCES = 3
 #: Evidence (log lift) that a statement needs, and the least share of its best area in it.
 MIN_EVIDENCE, MIN_SHARE = 2.0, 0.6
 SMOOTH = 5.0
+#: Share of an area's largest possible lift that does not count: the words of a language or a way of
+#: writing lean a little to the areas that are usual there.
+WEAK = 0.3
 #: Upper ends of the codes of the shares. Code 0 is a passing mention or less.
 LEXICON_BINS = (0.12,)
 LEARNED_BINS = (0.15, 0.2)
@@ -189,7 +192,8 @@ def _learn(docs: DataFrame, model):
     c = rows[cols].to_numpy(float)
     whole = c[(rows["word"] == "").to_numpy()].sum(axis=0)
     p = (whole + 1e-3) / (whole + 1e-3).sum()
-    lift = np.clip(np.log((c + SMOOTH * p) / ((c.sum(axis=1, keepdims=True) + SMOOTH) * p)), -3, 5).round(9)
+    lift = np.clip(np.log((c + SMOOTH * p) / ((c.sum(axis=1, keepdims=True) + SMOOTH) * p)), -3, 5)
+    lift = (np.sign(lift) * np.maximum(np.abs(lift) + WEAK * np.log(p), 0)).round(9)
     table = {w: x for w, x in zip(rows["word"], lift) if w}
     return docs.sparkSession.sparkContext.broadcast(table)
 
