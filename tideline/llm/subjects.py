@@ -48,8 +48,8 @@ LEXICON = {
 #: Words of the model, the most frequent ones, at most.
 MAX_TERMS = 50_000
 MIN_OCCURRENCES = 3
-#: Evidence (log lift) that a statement needs, and the least share of its best area in it.
-MIN_EVIDENCE, MIN_SHARE = 2.0, 0.6
+#: Evidence (log lift) that a statement needs, and the least share of its best area against the next.
+MIN_EVIDENCE, MIN_SHARE = 1.2, 0.6
 SMOOTH = 5.0
 #: Share of an area's largest possible lift that does not count: the words of a language or a way of
 #: writing lean a little to the areas that are usual there.
@@ -150,10 +150,10 @@ def _lexicon_votes(b: _Batch) -> np.ndarray:
 def _model_votes(b: _Batch, model: dict[str, np.ndarray]) -> np.ndarray:
     none = np.zeros(len(LEXICON))
     score = b.per_statement(np.array([model.get(w, none) for w in b.vocabulary]).reshape(-1, len(LEXICON)))
-    top = score.max(axis=1, keepdims=True, initial=0.0)
-    e = np.exp(score - top)
-    e /= e.sum(axis=1, keepdims=True)
-    return np.where((top > MIN_EVIDENCE) & (e > MIN_SHARE), e, 0.0)
+    order = np.sort(score, axis=1)
+    top, second = order[:, -1:], np.maximum(order[:, -2:-1], 0)
+    sure = (top > MIN_EVIDENCE) & (1 / (1 + np.exp(second - top)) > MIN_SHARE)
+    return np.where(sure & (score == top), 1.0, 0.0)
 
 
 def _counting(model):
