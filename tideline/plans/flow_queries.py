@@ -11,9 +11,10 @@ from tideline.operators import intervals as I
 from tideline.operators import seeds as S
 from tideline.operators.metrics import MEASURES, retrieval_accuracy
 from tideline.operators.ordering import numbered, prev_next
-from tideline.plans.base import EV, events, seeds, truth
-from tideline.plans.graph_queries import EDGES, edges
-from tideline.plans.interval_queries import temporal_neighbours
+from tideline.plans.base import EV, GT, SD, events, seeds, truth
+from tideline.plans.eval_queries import _ACC, _rounded
+from tideline.plans.graph_queries import EDGES, PN, edges
+from tideline.plans.interval_queries import _FIRST, _ranked, temporal_neighbours
 from tideline.plans.list_queries import _cache_seeds
 from tideline.registry import Registry
 from tideline.session import checkpointed, scratch_dir
@@ -24,7 +25,20 @@ from tideline.streaming import streams as W
 R = Registry()
 
 
-@R.query("flagship_slice")
+_SLICE = f"""WITH {SD}, {_FIRST}, top AS ({_ranked("score DESC NULLS FIRST, ord", 30)}), {PN},
+nb AS (SELECT DISTINCT t.store_no, t.question_id, u.e AS event_id FROM top t JOIN pn ON pn.store_no = t.store_no AND pn.event_id = t.event_id, LATERAL (SELECT pn.p AS e UNION ALL SELECT pn.n) u WHERE u.e IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM top z WHERE z.store_no = t.store_no AND z.question_id = t.question_id AND z.event_id = u.e)),
+cnd AS (SELECT store_no, question_id, event_id, 0 AS extra, rnk AS place FROM top UNION ALL SELECT store_no, question_id, event_id, 1, 0 FROM nb),
+cap AS (SELECT store_no, question_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id ORDER BY extra, place, event_id) AS slot FROM cnd) WHERE slot <= 80),
+pay AS (SELECT store_no, event_id, arg_min(s, pos) AS s, arg_min(e, pos) AS e, arg_min(ms, pos) AS ms, arg_min(me, pos) AS me FROM ev GROUP BY ALL), {GT},
+raw AS (SELECT cap.store_no, cap.question_id, cap.event_id, pay.s, pay.e, pay.ms, pay.me FROM cap JOIN pay ON pay.store_no = cap.store_no AND pay.event_id = cap.event_id),
+cf AS (SELECT *, max(me) OVER (PARTITION BY store_no, question_id ORDER BY ms, me ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tp FROM raw),
+nc AS (SELECT store_no, question_id, CAST(sum(CASE WHEN tp IS NULL OR ms > tp + 30000 THEN 1 ELSE 0 END) AS BIGINT) AS n_clusters FROM cf GROUP BY ALL),
+x AS{_ACC.partition("x AS")[2]}
+SELECT acc.store_no, acc.question_id, n_events, n_segments, tp_evt, tp_seg, total_s, hit, {_rounded(MEASURES)}, n_clusters FROM acc LEFT JOIN nc ON nc.store_no = acc.store_no AND nc.question_id = acc.question_id"""
+
+
+@R.query("flagship_slice", _SLICE)
 def flagship_slice(spark, sf):
     """Seeds, temporal neighbours, cap at 80, clusters at a gap of 30 s, accuracy against the truth."""
     top = S.topk_nulls_first(seeds(spark, sf), 30)
