@@ -11,8 +11,9 @@ that hold its lists, once each, whatever the number of its lists. Within a shard
 product of its probing vectors with its posted ones; similarities that matter are computed again in
 double precision. A vector's answers from its shards are merged by key.
 
-Equal vectors always travel together and are searched once; groups of more than ``COPY_LIMIT`` copies
-are found beforehand by a hash and only their smallest ids travel, so no shard can be swamped by them.
+Vectors of equal direction (rounded in double precision) always travel together and are searched once;
+groups of more than ``COPY_LIMIT`` copies are found beforehand by a hash and only their smallest ids
+travel. Nearly equal directions are searched one by one, and every candidate that could tie is kept.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ POST_RATIO, MAX_POSTS = 1.06, 3
 PROBE_RATIO, MAX_PROBES = 1.2, 4
 #: Copies of one vector from which on the group is answered as one.
 COPY_LIMIT = 256
+#: Directions that agree to 1 / SAME are copies.
+SAME = 1e12
+#: Millionth of rounding and twice the error of a float32 product: nothing farther behind can tie.
+TIE = 5e-6
 
 
 # --- index -----------------------------------------------------------------------------------
@@ -181,20 +186,26 @@ def choose(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _best_of(sim: np.ndarray, t: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the ``t`` largest entries of each row that reach ``least``."""
+    """(row, column) of the entries of each row that reach ``least`` and, within ``TIE``, its ``t``-th largest."""
     if sim.shape[1] > t:
-        col = np.argpartition(-sim, t - 1, axis=1)[:, :t]
-        row = np.repeat(np.arange(len(sim)), t)
-        col = col.reshape(-1)
-        keep = sim[row, col] >= least
-        return row[keep], col[keep]
+        last = np.partition(sim, sim.shape[1] - t, axis=1)[:, -t]
+        return np.nonzero(sim >= np.maximum(last - np.float32(TIE), least)[:, None])
     return np.nonzero(sim >= least)
 
 
-def search_shard(vec: np.ndarray, posts: tuple[np.ndarray, np.ndarray], probes: tuple[np.ndarray, np.ndarray], k: int, least: float):
-    """Per vector of a shard its up to ``k`` + 1 most similar others (by row number): (query, other,
-    similarity in double precision, rounded to 6 decimals). ``posts`` and ``probes`` are (list, row)."""
-    t = k + 4
+def _micro(q: np.ndarray, o: np.ndarray, exact: np.ndarray) -> np.ndarray:
+    """Similarities of pairs of rows in double precision, in millionths."""
+    sim = np.empty(len(q))
+    for i in range(0, len(q), 16384):
+        sim[i : i + 16384] = np.einsum("ij,ij->i", _directions(exact[q[i : i + 16384]]), _directions(exact[o[i : i + 16384]]))
+    return np.rint(sim * 1e6).astype(np.int64)
+
+
+def search_shard(vec: np.ndarray, posts: tuple[np.ndarray, np.ndarray], probes: tuple[np.ndarray, np.ndarray], k: int, least: float, exact: np.ndarray, low: np.ndarray):
+    """Per vector of a shard its most similar others (by row number): (query, other, similarity in
+    millionths), at least all that can be among the first ``k`` by similarity, then id. ``posts`` and
+    ``probes`` are (list, row); ``exact``: the vectors as they came; ``low``: smallest id of each."""
+    t = k + 1
     by_list = lambda lst, row: (lambda o: (lst[o], row[o]))(np.argsort(lst, kind="stable"))
     pl, pr = by_list(*posts)
     ql, qr = by_list(*probes)
@@ -209,12 +220,22 @@ def search_shard(vec: np.ndarray, posts: tuple[np.ndarray, np.ndarray], probes:
         for i in range(0, len(query), step):
             sim = vec[query[i : i + step]] @ target
             r, c = _best_of(sim, t, least - 2e-6)
-            found_q.append(query[i + r])
-            found_o.append(other[c])
-            found_s.append(sim[r, c])
+            q, o, s = query[i + r], other[c], sim[r, c]
+            many = np.bincount(r, minlength=len(sim))[r] > 4 * t
+            if many.any():  # very many near ties: settled here, so that they do not pile up
+                a, b = q[many], o[many]
+                a, b = a[a != b], b[a != b]
+                order = np.lexsort((low[b], -_micro(a, b, exact), a))
+                a, b = a[order], b[order]
+                first = np.arange(len(a)) - np.searchsorted(a, a, "left") < t
+                a, b = a[first], b[first]
+                q, o, s = np.append(q[~many], a), np.append(o[~many], b), np.append(s[~many], np.einsum("ij,ij->i", vec[a], vec[b]))
+            found_q.append(q)
+            found_o.append(o)
+            found_s.append(s)
     if not found_q:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0)
+        return none, none, none
     q, o, s = (np.concatenate(x) for x in (found_q, found_o, found_s))
     keep = q != o
     q, o, s = q[keep], o[keep], s[keep]
@@ -223,8 +244,10 @@ def search_shard(vec: np.ndarray, posts: tuple[np.ndarray, np.ndarray], probes:
     order = np.lexsort((-s, q))
     q, o, s = q[order], o[order], s[order]
     start = np.searchsorted(q, q, "left")
-    keep = np.arange(len(q)) - start < t
-    return q[keep], o[keep], s[keep]
+    last = s[np.minimum(start + t, np.searchsorted(q, q, "right")) - 1]
+    keep = (np.arange(len(q)) - start < t) | (s >= last - np.float32(TIE))
+    q, o = q[keep], o[keep]
+    return q, o, _micro(q, o, exact)
 
 
 # --- stages ----------------------------------------------------------------------------------
@@ -255,6 +278,31 @@ def _directions(x: np.ndarray) -> np.ndarray:
     return _unit(y)
 
 
+def _same(x: np.ndarray) -> np.ndarray:
+    """Directions in whole numbers: equal for copies, whatever their length."""
+    return np.rint(_directions(x) * SAME).astype(np.int64)
+
+
+def _hashes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the direction of each vector."""
+    odd = np.random.default_rng(13).integers(0, 1 << 63, (2, x.shape[1]), np.uint64) * np.uint64(2) + np.uint64(1)
+    same = _same(x).view(np.uint64)
+    return tuple((same * o).sum(axis=1, dtype=np.uint64).view(np.int64) for o in odd)
+
+
+def _keyed(dim: int):
+    """mapInArrow: id and hashes of the usable vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for i in range(0, rb.num_rows, 1024):
+                _, ids, x = _usable(rb.slice(i, 1024), dim)
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, _hashes(x))], ["vec_id", "h1", "h2"])
+
+    return run
+
+
 def _travelling(index, dim: int, hot):
     """mapInArrow: usable vectors to the shards of their lists. ``hot``: vec_ids of large groups of
     copies -> whether the vector travels for its group."""
@@ -264,12 +312,11 @@ def _travelling(index, dim: int, hot):
         for rb in batches:
             for i in range(0, rb.num_rows, 1024):
                 b = rb.slice(i, 1024)
-                rows, ids, x = _usable(b, dim)
-                if len(hot.value) and len(rows):
-                    h1 = b.column("h1").to_numpy(zero_copy_only=False)[rows]
-                    h2 = b.column("h2").to_numpy(zero_copy_only=False)[rows]
+                _, ids, x = _usable(b, dim)
+                if len(hot.value) and len(ids):
+                    h1, h2 = _hashes(x)
                     keep = np.array([(g := hot.value.get((p, q))) is None or v <= g for p, q, v in zip(h1.tolist(), h2.tolist(), ids.tolist())], bool)
-                    rows, ids, x = rows[keep], ids[keep], x[keep]
+                    ids, x = ids[keep], x[keep]
                 if not len(ids):
                     continue
                 unit = _directions(x).astype(np.float32)
@@ -318,8 +365,9 @@ def _searched(dim: int, k: int, least: float):
     def run(t: pa.Table) -> pa.Table:
         ids = t.column("vec_id").to_numpy()
         raw = np.frombuffer(b"".join(t.column("vec").to_pylist()), np.float32).reshape(-1, dim)
-        # equal vectors: one is searched, and answers stand for all ids of the group
-        as_key = np.ascontiguousarray(raw).view(np.dtype((np.void, dim * 4))).reshape(-1)
+        # equal directions: one is searched, and answers stand for all ids of the group
+        same = np.concatenate([_same(raw[i : i + 4096]) for i in range(0, len(raw), 4096)])
+        as_key = np.ascontiguousarray(same).view(np.dtype((np.void, dim * 8))).reshape(-1)
         _, first, group = np.unique(as_key, return_index=True, return_inverse=True)
         group = group.reshape(-1)
         order = np.lexsort((ids, group))
@@ -327,11 +375,7 @@ def _searched(dim: int, k: int, least: float):
         posts, probes = (_pairs_of(t.column(c).take(pa.array(first)).to_pylist()) for c in ("posts", "probes"))
         mine = raw[first]
         unit = np.concatenate([_directions(mine[i : i + 4096]).astype(np.float32) for i in range(0, len(mine), 4096)])
-        q, o, _ = search_shard(unit, posts, probes, k, least)
-        sim = np.empty(len(q))
-        for i in range(0, len(q), 16384):  # again in double precision, for the pairs that matter
-            sim[i : i + 16384] = np.einsum("ij,ij->i", _directions(mine[q[i : i + 16384]]), _directions(mine[o[i : i + 16384]]))
-        micro = np.rint(sim * 1e6).astype(np.int64)
+        q, o, micro = search_shard(unit, posts, probes, k, least, mine, ids[order][bounds[:-1]])
         keep = micro >= round(least * 1e6)
         q, o, micro = q[keep], o[keep], micro[keep]
         # best of each group: members of the groups found, and its own other members
@@ -380,7 +424,7 @@ def _sampled(df: DataFrame, dim: int, n: int, want: int) -> np.ndarray:
 def _of_dimension(df: DataFrame, dim: int, k: int, least: float) -> DataFrame:
     spark = df.sparkSession
     df = df.where((F.col("embedding_dim") == dim) & (F.size("matrix") == dim))
-    keyed = df.withColumn("h1", F.xxhash64("matrix")).withColumn("h2", F.xxhash64(F.lit(1), "matrix"))
+    keyed = df.mapInArrow(_keyed(dim), "vec_id bigint, h1 bigint, h2 bigint")
     # large groups of copies: their k + 1 smallest ids travel, and stand for the rest
     groups = keyed.groupBy("h1", "h2").agg(F.count("*").alias("n"))
     sizes = groups.agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("n") > COPY_LIMIT, F.struct("h1", "h2"))).alias("hot")).first()
@@ -389,7 +433,7 @@ def _of_dimension(df: DataFrame, dim: int, k: int, least: float) -> DataFrame:
     hot: dict[tuple[int, int], int] = {}
     if hot_keys:
         marks = F.broadcast(spark.createDataFrame(hot_keys, "h1 bigint, h2 bigint"))
-        low = keyed.join(marks, ["h1", "h2"]).select("h1", "h2", "vec_id").where("vec_id is not null")
+        low = keyed.join(marks, ["h1", "h2"]).select("h1", "h2", "vec_id")
         # k + 1 smallest per group: bounded per partition first, so a huge group is not gathered
         some = low.groupBy("h1", "h2", F.spark_partition_id().alias("p")).agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("v"))
         tops = some.groupBy("h1", "h2").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))), 1, k + 1).alias("v"))
@@ -399,7 +443,7 @@ def _of_dimension(df: DataFrame, dim: int, k: int, least: float) -> DataFrame:
     if not len(sample):
         return spark.createDataFrame([], "vec_id bigint, ids array<bigint>, sims array<int>")
     index = spark.sparkContext.broadcast(fit(sample, n))
-    travel = keyed.select("vec_id", "embedding_dim", "matrix", "h1", "h2").mapInArrow(
+    travel = df.mapInArrow(
         _travelling(index, dim, spark.sparkContext.broadcast(hot)), "shard int, vec_id bigint, vec binary, posts binary, probes binary"
     )
     found = travel.groupBy("shard").applyInArrow(_searched(dim, k, least), "vec_id bigint, ids array<bigint>, sims array<int>")
