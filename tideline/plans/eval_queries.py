@@ -295,7 +295,17 @@ def generation_log(spark, sf):
 @R.query("leaf_overlap_two_level", f"WITH {SD}, q AS (SELECT store_no, question_id, avg(e - s) AS m FROM sd WHERE ord % 3 = 0 GROUP BY ALL) SELECT store_no, round(avg(m), 6) AS mean_overlap FROM q GROUP BY store_no")
 def leaf_overlap_two_level(spark, sf):
     """Mean over the leaves of a question, then over the questions."""
-    q = seeds(spark, sf).where("ord % 3 = 0").groupBy("store_no", "question_id").agg(F.avg(F.col("e") - F.col("s")).alias("m"))
+    return _leaf_overlap(seeds(spark, sf).where("ord % 3 = 0"))
+
+
+@R.query("leaf_overlap_two_level_all", R.sql["leaf_overlap_two_level"].replace(" WHERE ord % 3 = 0", ""))
+def leaf_overlap_two_level_all(spark, sf):
+    """The same over all leaves."""
+    return _leaf_overlap(seeds(spark, sf))
+
+
+def _leaf_overlap(leaves):
+    q = leaves.groupBy("store_no", "question_id").agg(F.avg(F.col("e") - F.col("s")).alias("m"))
     return q.groupBy("store_no").agg(F.round(F.avg("m"), 6).alias("mean_overlap"))
 
 

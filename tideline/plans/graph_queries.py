@@ -61,7 +61,17 @@ h2 AS (SELECT h1.store_no, h1.seed_id, stp.b AS child, max(stp.a) AS parent FROM
 SELECT store_no, seed_id, 1 AS hop, parent, child FROM h1 UNION ALL SELECT store_no, seed_id, 2, parent, child FROM h2""")
 def expand_two_hop(spark, sf):
     """Two hops along the timeline with their trace."""
-    start = events(spark, sf).where("pos % 50 = 0").select("store_no", F.col("event_id").alias("seed_id")).distinct()
+    return _two_hop(spark, sf, "pos % 50 = 0")
+
+
+@R.query("expand_two_hop_all", R.sql["expand_two_hop"].replace(" WHERE pos % 50 = 0", ""))
+def expand_two_hop_all(spark, sf):
+    """The same from every event."""
+    return _two_hop(spark, sf, "true")
+
+
+def _two_hop(spark, sf, which):
+    start = events(spark, sf).where(which).select("store_no", F.col("event_id").alias("seed_id")).distinct()
     return G.multi_hop(start, _steps(spark, sf), 2)
 
 

@@ -144,8 +144,18 @@ def interval_coverage(spark, sf):
 SELECT gt.store_no, gt.question_id, bool_or(ev.pos IS NOT NULL) AS hit FROM gt LEFT JOIN ev ON ev.store_no = gt.store_no AND ev.pos % 3 = 0 AND greatest(ev.s, gt.gs) < least(ev.e, gt.ge) GROUP BY gt.store_no, gt.question_id""")
 def interval_hit_gt(spark, sf):
     """Whether any event hits any segment of the question."""
+    return _hit_gt(spark, sf, "pos % 3 = 0")
+
+
+@R.query("interval_hit_gt_all", R.sql["interval_hit_gt"].replace(" AND ev.pos % 3 = 0", ""))
+def interval_hit_gt_all(spark, sf):
+    """The same with every event."""
+    return _hit_gt(spark, sf, "true")
+
+
+def _hit_gt(spark, sf, which):
     gt = truth(spark, sf)
-    met = I.overlap_join(_ev_side(spark, sf).where("pos % 3 = 0"), _gt_side(spark, sf), ["store_no"], overlaps_strict).select("store_no", "seg").distinct().withColumn("h", F.lit(True))
+    met = I.overlap_join(_ev_side(spark, sf).where(which), _gt_side(spark, sf), ["store_no"], overlaps_strict).select("store_no", "seg").distinct().withColumn("h", F.lit(True))
     return gt.join(met, ["store_no", "seg"], "left").groupBy("store_no", "question_id").agg(F.coalesce(F.bool_or("h"), F.lit(False)).alias("hit"))
 
 

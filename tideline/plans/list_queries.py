@@ -128,7 +128,17 @@ def frames_owning_events(spark, sf):
 SELECT store_no, pos, coalesce(string_agg(CAST(t AS VARCHAR), ',' ORDER BY t), '') AS frames FROM m GROUP BY store_no, pos""")
 def frames_evidence_text(spark, sf):
     """events with the seconds that are visual evidence for them, none included."""
-    a = events(spark, sf).where("pos % 5 = 0").select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
+    return _evidence_text(spark, sf, "pos % 5 = 0")
+
+
+@R.query("frames_evidence_text_all", R.sql["frames_evidence_text"].replace(" WHERE ev.pos % 5 = 0", ""))
+def frames_evidence_text_all(spark, sf):
+    """the same for every event."""
+    return _evidence_text(spark, sf, "true")
+
+
+def _evidence_text(spark, sf, which):
+    a = events(spark, sf).where(which).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
     p = truth(spark, sf).select("store_no", (F.col("gs") + 5).alias("t"), (F.col("gs") + 5).cast("double").alias("rs"), (F.col("gs") + 5).cast("double").alias("re"))
     m = overlap_join(a, p, ["store_no"], lambda s, e, t, _: holds_closed(s, e, t)).groupBy("store_no", "pos").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     return a.join(m, ["store_no", "pos"], "left").select("store_no", "pos", F.coalesce(F.array_join("ts", ","), F.lit("")).alias("frames"))
@@ -169,7 +179,17 @@ def context_modes(spark, sf):
 SELECT store_no, count(*) AS n, count(*) FILTER (inside) AS inside, round(avg(CAST(inside AS INT)), 6) AS share FROM j GROUP BY store_no""")
 def overlap_variants_frames(spark, sf):
     """Share of chosen frames inside the true segments."""
-    fr = events(spark, sf).where("pos % 4 = 0").select("store_no", (F.col("pos") * 3).alias("sec"))
+    return _frames_inside(spark, sf, "pos % 4 = 0")
+
+
+@R.query("overlap_variants_frames_all", R.sql["overlap_variants_frames"].replace(" WHERE pos % 4 = 0", ""))
+def overlap_variants_frames_all(spark, sf):
+    """The same with a frame of every event."""
+    return _frames_inside(spark, sf, "true")
+
+
+def _frames_inside(spark, sf, which):
+    fr = events(spark, sf).where(which).select("store_no", (F.col("pos") * 3).alias("sec"))
     g = truth(spark, sf).select("store_no", F.col("gs").alias("ls"), F.col("ge").alias("le"))
     inside = overlap_join(g, fr.withColumns({"rs": F.col("sec"), "re": F.col("sec")}), ["store_no"], lambda s, e, t, _: holds_closed(s, e, t)).select("store_no", "sec").distinct().withColumn("h", F.lit(1))
     j = fr.join(inside, ["store_no", "sec"], "left")
@@ -180,10 +200,20 @@ def overlap_variants_frames(spark, sf):
 SELECT c.store_no, count(*) AS n, count(t.pos) AS in_truth, round(count(t.pos) / count(*), 6) AS share FROM c LEFT JOIN t ON t.store_no = c.store_no AND t.pos = c.pos GROUP BY c.store_no""")
 def overlap_variants_events(spark, sf):
     """Share of chosen events among the events of the true segments."""
+    return _events_inside(spark, sf, "pos % 4 = 0")
+
+
+@R.query("overlap_variants_events_all", R.sql["overlap_variants_events"].replace(" WHERE pos % 4 = 0", ""))
+def overlap_variants_events_all(spark, sf):
+    """The same with every event."""
+    return _events_inside(spark, sf, "true")
+
+
+def _events_inside(spark, sf, which):
     a = events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
     g = truth(spark, sf).select("store_no", F.col("gs").cast("double").alias("rs"), F.col("ge").cast("double").alias("re"))
     t = overlap_join(a, g, ["store_no"], overlaps_closed).select("store_no", "pos").distinct().withColumn("h", F.lit(1))
-    return a.where("pos % 4 = 0").join(t, ["store_no", "pos"], "left").groupBy("store_no").agg(F.count("*").alias("n"), F.count("h").alias("in_truth"), F.round(F.count("h") / F.count("*"), 6).alias("share"))
+    return a.where(which).join(t, ["store_no", "pos"], "left").groupBy("store_no").agg(F.count("*").alias("n"), F.count("h").alias("in_truth"), F.round(F.count("h") / F.count("*"), 6).alias("share"))
 
 
 # --- tracks ----------------------------------------------------------------------------------

@@ -112,8 +112,18 @@ SELECT coalesce(c.vec_id, b.vec_id) AS vec_id, CASE WHEN c.vec_id IS NULL THEN b
 CASE WHEN c.vec_id IS NULL THEN 'kept' WHEN b.vec_id IS NULL THEN 'inserted' ELSE 'updated' END AS change FROM b FULL JOIN c ON b.vec_id = c.vec_id""")
 def vector_upsert(spark, sf):
     """V4: update by id, insert what is new."""
+    return _upserted(spark, sf, "vec_id % 2 = 0", "vec_id % 3 = 0")
+
+
+@R.query("vector_upsert_all", R.sql["vector_upsert"].replace("vec_id % 2 = 0", "vec_kind IS NULL OR vec_kind <> 'frame'").replace("vec_id % 3 = 0", "vec_kind <> 'event'"))
+def vector_upsert_all(spark, sf):
+    """V4: the same with all vectors: events are kept, frames are new, the other kinds are updated."""
+    return _upserted(spark, sf, "vec_kind is null or vec_kind <> 'frame'", "vec_kind <> 'event'")
+
+
+def _upserted(spark, sf, base, changes):
     v = vectors(spark, sf)
-    return V.upsert(v.where("vec_id % 2 = 0"), v.where("vec_id % 3 = 0").withColumn("owner_id", F.concat(F.lit("new-"), F.col("vec_id").cast("string"))), "vec_id", ["owner_id", "vec_kind"])
+    return V.upsert(v.where(base), v.where(changes).withColumn("owner_id", F.concat(F.lit("new-"), F.col("vec_id").cast("string"))), "vec_id", ["owner_id", "vec_kind"])
 
 
 @R.query("vector_get_delete_count", f"""WITH {VEC}, k AS (SELECT DISTINCT owner_id FROM vec WHERE vec_id % 10 = 0)
@@ -235,7 +245,17 @@ def fusion_single_view(spark, sf):
 @R.query("fusion_seed_list", f"WITH {EV} SELECT DISTINCT store_no, event_id, 1.0 AS score FROM ev WHERE pos % 11 = 0")
 def fusion_seed_list(spark, sf):
     """A given seed list at score 1."""
-    return events(spark, sf).where("pos % 11 = 0").select("store_no", "event_id").distinct().withColumn("score", F.lit(1.0))
+    return _seed_list(events(spark, sf).where("pos % 11 = 0"))
+
+
+@R.query("fusion_seed_list_all", R.sql["fusion_seed_list"].replace(" WHERE pos % 11 = 0", ""))
+def fusion_seed_list_all(spark, sf):
+    """Every event as a seed at score 1."""
+    return _seed_list(events(spark, sf))
+
+
+def _seed_list(chosen):
+    return chosen.select("store_no", "event_id").distinct().withColumn("score", F.lit(1.0))
 
 
 def filter_expression(equal: dict | None = None, within: dict | None = None, lo=None, hi=None):
@@ -252,3 +272,9 @@ def filter_expression(equal: dict | None = None, within: dict | None = None, lo=
 def filter_expressions(spark, sf):
     """A composed filter that reaches the scan."""
     return events(spark, sf).where(filter_expression(within={"store_no": [1, 2, 3, 5, 8], "pos": []}, lo=60, hi=900)).select("store_no", "pos")
+
+
+@R.query("filter_expressions_all", R.sql["filter_expressions"].replace("store_no IN (1, 2, 3, 5, 8) AND ", ""))
+def filter_expressions_all(spark, sf):
+    """The same over all stores: empty lists are skipped, the time range stays."""
+    return events(spark, sf).where(filter_expression(within={"store_no": [], "pos": []}, lo=60, hi=900)).select("store_no", "pos")
