@@ -161,7 +161,7 @@ def embed_text_hash(spark, sf):
 @R.query("generate_responses")
 def generate_responses(spark, sf):
     """Batched generation with error text for failed batches (a stand-in model that echoes)."""
-    e = events(spark, sf).where("description is not null").select("store_no", "pos", F.substring("description", 1, 20).alias("prompt"))
+    e = events(spark, sf).where("description is not null").select("store_no", "pos", F.col("description").alias("prompt"))
     return M.generate(e, "prompt", lambda ps: [p.upper() for p in ps])
 
 
