@@ -272,8 +272,8 @@ class _Frame:
         yield _Frame(self.idx, obj.nodes, np.column_stack([obj.tags, np.zeros(len(obj.nodes), np.int64)]))
 
 
-def _questions(texts: list[bytes]) -> Iterator[_Frame]:
-    """Question objects of question files, tagged (text no, video place, question place)."""
+def _videos(texts: list[bytes]) -> Iterator[_Frame]:
+    """Videos of question files, tagged (text no, video place)."""
     idx = StructuralIndex(texts)
     roots = idx.roots()
     for top in _Frame(idx, roots, idx.doc[roots][:, None]).containers():
@@ -282,11 +282,16 @@ def _questions(texts: list[bytes]) -> Iterator[_Frame]:
         inner = _Frame(top.idx, listed[wrapped], top.tags[wrapped])
         for holder in [top.take(~wrapped), *inner.containers()]:
             for videos in holder.items():
-                for video in videos.containers():
-                    for qa in video.members("qa").containers():
-                        for questions in qa.items():
-                            for question in questions.containers():
-                                yield question.take(question.idx.kind[question.nodes] == OPEN_OBJ)
+                yield from videos.containers()
+
+
+def _questions(texts: list[bytes]) -> Iterator[_Frame]:
+    """Question objects of question files, tagged (text no, video place, question place)."""
+    for video in _videos(texts):
+        for qa in video.members("qa").containers():
+            for questions in qa.items():
+                for question in questions.containers():
+                    yield question.take(question.idx.kind[question.nodes] == OPEN_OBJ)
 
 
 def _scalar(idx: StructuralIndex, i: int) -> str | None:

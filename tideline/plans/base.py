@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.timetext import segments_of
+from tideline.sources import stores
 from tideline.sources.tables import table
 
 EV = """ev AS (
@@ -90,3 +92,13 @@ def seeds(spark: SparkSession, sf: str) -> DataFrame:
 def truth(spark: SparkSession, sf: str) -> DataFrame:
     a = F.floor("s").cast("bigint")
     return events(spark, sf).where("pos % 35 < 7").select("store_no", (F.col("pos") % 7).alias("question_id"), F.col("pos").alias("seg"), (a - 5).alias("gs"), (a + 40).alias("ge"))
+
+
+def question_truth(spark: SparkSession, sf: str) -> DataFrame:
+    """True segments that the question files give: store_no, file_id, video_no, question_no, seg, gs, ge.
+    Questions without a readable time reference, and those of videos without a store, have none."""
+    files = table(spark, sf, "qa_files")
+    place = table(spark, sf, "video_stores").where("store_no is not null").select("store_no", "video_key").distinct()
+    q = stores.questions(files).select("file_id", "video_no", "question_no", segments_of(F.col("time_reference")).alias("z"))
+    q = q.join(stores.video_keys(files), ["file_id", "video_no"]).join(place, "video_key")
+    return q.select("store_no", "file_id", "video_no", "question_no", F.posexplode("z").alias("seg", "z")).select("store_no", "file_id", "video_no", "question_no", "seg", "z.gs", "z.ge")

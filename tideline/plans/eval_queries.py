@@ -9,9 +9,10 @@ from tideline.functions import answers as A
 from tideline.functions import timetext as T
 from tideline.operators import seeds as S
 from tideline.operators.metrics import MEASURES, averaged, retrieval_accuracy
-from tideline.plans.base import EV, GT, SD, events, seeds, truth
+from tideline.plans.base import EV, GT, SD, events, question_truth, seeds, truth
 from tideline.plans.graph_queries import TOP, top_seeds
 from tideline.registry import Registry
+from tideline.sources import stores
 from tideline.sources.tables import table
 
 R = Registry()
@@ -140,6 +141,34 @@ def time_ref_parse(spark, sf):
     return _time_refs(spark, sf).select("store_no", "pos", F.posexplode(T.segments_of(F.col("time_ref"))).alias("seg", "z")).select("store_no", "pos", "seg", "z.gs", "z.ge")
 
 
+@R.query("time_ref_questions")
+def time_ref_questions(spark, sf):
+    """The time references of all questions as segments; those without any are kept with none."""
+    q = stores.questions(table(spark, sf, "qa_files"))
+    z = F.posexplode_outer(T.segments_of(F.col("time_reference"))).alias("seg", "z")
+    return q.select("file_id", "video_no", "question_no", "time_reference", z).select("file_id", "video_no", "question_no", "time_reference", "seg", "z.gs", "z.ge")
+
+
+@R.query("question_segments")
+def question_segments(spark, sf):
+    """A3: true segments of the questions of each store."""
+    return question_truth(spark, sf)
+
+
+@R.query("question_segments_hit")
+def question_segments_hit(spark, sf):
+    """Whether any event of the store hits any segment that the question gives."""
+    from tideline.functions.intervals import overlaps_strict
+    from tideline.operators.intervals import overlap_join
+
+    keys = ["store_no", "file_id", "video_no", "question_no"]
+    gt = question_truth(spark, sf)
+    right = gt.select(*keys, F.col("gs").cast("double").alias("rs"), F.col("ge").cast("double").alias("re"))
+    met = overlap_join(events(spark, sf).select("store_no", F.col("s").alias("ls"), F.col("e").alias("le")), right, ["store_no"], overlaps_strict)
+    met = met.select(*keys).distinct().withColumn("h", F.lit(True))
+    return gt.select(*keys).distinct().join(met, keys, "left").select(*keys, F.coalesce("h", F.lit(False)).alias("hit"))
+
+
 @R.query("time_clock_text", f"""WITH {EV} SELECT store_no, pos, (pos % 12 + CASE WHEN pos % 2 = 0 THEN CASE WHEN pos % 12 < 12 THEN 12 ELSE 0 END ELSE 0 END) * 3600 + (pos % 60) * 60 AS seconds FROM ev""")
 def time_clock_text(spark, sf):
     """Clock text with AM and PM as seconds of the day."""

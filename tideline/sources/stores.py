@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators.structural_json import _clean, _questions, _scalar, _slices
+from tideline.operators.structural_json import OPEN_OBJ, _clean, _questions, _scalar, _slices, _videos
 
 
 def read_vector_collection(spark: SparkSession, path: str) -> DataFrame:
@@ -82,6 +82,28 @@ def _question_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(c, pa.string()) for c in cols[3:]], ["file_id", "video_no", "question_no", *_QUESTION])
 
 
+def _video_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, texts = b.column(0).to_pylist(), [_clean(x) for x in b.column(1).to_pylist()]
+        for i, j in _slices([len(t) for t in texts]):
+            rows = []
+            for f in _videos(texts[i:j]):
+                f = f.take(f.idx.kind[f.nodes] == OPEN_OBJ)
+                if not len(f.nodes):
+                    continue
+                names = [f.idx.member(f.nodes, k) for k in ("video_key", "key")]
+                for r, (t, v) in enumerate(f.tags.tolist()):
+                    rows.append((ids[i + t], v, next((s for m in names if m[r] >= 0 and (s := _scalar(f.idx, m[r])) is not None), None)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["file_id", "video_no", "video_key"])
+
+
+def video_keys(files: DataFrame) -> DataFrame:
+    """Key of each video of question files of any layout: file_id, video_no, video_key."""
+    f = files.where("file_id is not null and payload is not null").select("file_id", "payload")
+    return f.mapInArrow(_video_batches, "file_id bigint, video_no bigint, video_key string").where("video_key is not null")
+
+
 def questions(files: DataFrame) -> DataFrame:
     """Questions of question files of any layout, one row each; options and lists of types as JSON text.
     Question text with options inside is split at the ``(A)`` line into ``stem`` and ``inline_options``."""
