@@ -206,7 +206,69 @@ def _fields(obj: dict) -> tuple[str | None, str, bool]:
 def defects(question: str | None, response: str | None, options: list[str] | None = None, predicted: str | None = None) -> list[str]:
     """Every defect of a pair, the decisive one first; [] if there is none.
 
-    A null or blank question has no language and cannot be copied. Null options count as none."""
+    A null or blank question has no language and cannot be copied. Null options count as none. Every rule
+    is tried on its own; ``_ordered`` only says which hit is decisive."""
+    first = _ordered(question, response, options)
+    return first + [d for d in _all(question, response, options) if d not in first] if first else first
+
+
+def _all(question: str | None, response: str | None, options: list[str] | None) -> list[str]:
+    """Hits of each rule on a pair that has a defect, whatever the others say."""
+    text = _INVISIBLE.sub("", response or "").strip()
+    question, options = (question or "").strip(), [o for o in options or [] if o]
+    body, cut = _unwrap(text)
+    body = body.strip()
+    if _NOTHING.match(body) or _NOTHING.match(_LABEL.sub("", body)):
+        return ["empty"]
+    obj, answer, said = None, None, body
+    if body[:1] in "{[":
+        try:
+            obj = json.loads(body, strict=False)
+        except ValueError:
+            if not _balanced(body):
+                cut, said = True, _strings(body)
+    if isinstance(obj, list) and len(obj) == 1 and isinstance(obj[0], dict):
+        obj = obj[0]
+    found, analysis = [], said
+    if isinstance(obj, dict):
+        answer, analysis, _ = _fields(obj)
+        if answer is None or _INVISIBLE.sub("", answer).strip().lower() in _BLANK_WORDS or _NOTHING.match(answer):
+            found.append("empty")
+            answer = None
+        said = f"{analysis} {answer or ''}".strip()
+    plain = obj is None and said is body
+    letter = bool(_LETTER_ONLY.match(answer or body)) or bool(plain and (_CONCLUSION.search(body) or _LAST_LETTER.search(body)))
+    if question and not letter and any(_copies(x, question, options) for x in {said, answer or said, analysis}):
+        found.append("copies_question")
+    if cut or plain and not letter and _breaks_off(body, options):
+        found.append("truncated")
+    if not letter and _declines(said):
+        found.append("refusal")
+    if _foreign(question, analysis, answer or analysis, options):
+        found.append("other_language")
+    return found
+
+
+def _strings(text: str) -> str:
+    """What a JSON text that breaks off says: its strings that are no keys, the last one perhaps open."""
+    parts = re.findall(r'"((?:[^"\\]|\\.)*)(?:"(\s*:)?|$)', text, re.S)
+    return " ".join(re.sub(r'\\(["\\/])|\\[nrt]', lambda m: m[1] or " ", x) for x, key in parts if not key).strip()
+
+
+def _breaks_off(body: str, options: list[str]) -> bool:
+    n, ended = len(body.split()), bool(_END.search(body))
+    opts = {_plain(_OPTION_MARK.sub("", o)) for o in options}
+    is_option = any(_plain(_OPTION_MARK.sub("", x)) in opts for x in (body, body.splitlines()[-1]))  # or a list of options ends with one
+    marked = bool(_OPTION_MARK.match(body)) and n <= 12
+    if (_ELLIPSIS.search(body) or not ended) and not is_option and not marked and n > 5:
+        return True
+    if not ended:
+        return not options and n > 8
+    return not _answers(body, options) and _reasons_only(body)
+
+
+def _ordered(question: str | None, response: str | None, options: list[str] | None) -> list[str]:
+    """Defects by the ordered rules, of which the first hit is decisive."""
     if response is None:
         return ["empty"]
     text = _INVISIBLE.sub("", response).strip()
