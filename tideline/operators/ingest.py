@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.models import hash_embedder, word_overlap
 from tideline.operators.ordering import BLOCK, prev_next
+from tideline.session import checkpointed
 
 LIMIT, LONGEST = 0.65, 8
 
@@ -78,27 +79,79 @@ def semantic_chunks(events: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "store_no bigint, first_pos bigint, last_pos bigint, n bigint")
 
 
-def merge_entities(entities: DataFrame, share: float = 0.4, seed: int = 3) -> DataFrame:
+#: Entities of one name from which on a group is clustered by all tasks together; rounds of the clustering.
+ONE_TASK, ROUNDS, DIM = 2000, 8, 32
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Nearest centre of each row (squared Euclidean distance; ties to the first), in bounded blocks."""
+    step, norm = max(1, (2 << 20) // len(c)), (c**2).sum(axis=1)
+    return np.concatenate([np.argmin((norm - 2 * (x[i : i + step] @ c.T)).round(9), axis=1) for i in range(0, len(x), step)])
+
+
+def _merged_together(e: DataFrame, k: int) -> DataFrame:
+    """One large group, by Lloyd rounds over all tasks: only the centres meet on the driver."""
+    sc = e.sparkSession.sparkContext
+    c = np.array([r["v"] for r in e.orderBy("h", "entity_id").limit(k).select("v").collect()], float)
+    cols = [f"s{i}" for i in range(DIM)]
+
+    def sums(centres):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                if len(pdf):
+                    x = np.array(pdf["v"].tolist(), float)
+                    yield pd.DataFrame(x, columns=cols).assign(label=_nearest(x, centres.value), n=1).groupby("label", as_index=False).sum()[["label", "n", *cols]]
+
+        return run
+
+    def labels(centres):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                if len(pdf):
+                    yield pdf[["store_no", "entity_id"]].assign(label=_nearest(np.array(pdf["v"].tolist(), float), centres.value))
+
+        return run
+
+    for _ in range(ROUNDS - 1):
+        part = e.select("v").mapInPandas(sums(sc.broadcast(c)), "label bigint, n bigint, " + ", ".join(f"{x} double" for x in cols))
+        got = part.groupBy("label").agg(F.sum("n").alias("n"), *(F.sum(x).alias(x) for x in cols)).toPandas()
+        c[got["label"].to_numpy()] = (got[cols].to_numpy() / got[["n"]].to_numpy()).round(9)
+    out = e.select("store_no", "entity_id", "v").mapInPandas(labels(sc.broadcast(c)), "store_no bigint, entity_id string, label bigint")
+    return out.join(out.groupBy("label").agg(F.min("entity_id").alias("merged_id")), "label").select("store_no", "entity_id", "merged_id")
+
+
+def merge_entities(entities: DataFrame, share: float = 0.4, seed: int = 3, one_task: int = ONE_TASK) -> DataFrame:
     """Entities of like description in one store put together: store_no, entity_id, merged_id.
 
     ``entities``: store_no, entity_id, name, description. Only entities of one name are compared; of each
-    such group ``max(1, int(share * n))`` clusters are formed by k-means on hashed embeddings, in buckets
-    of bounded size. ``merged_id`` is the smallest id of a cluster."""
-    e = entities.withColumn("v", hash_embedder(32)(F.col("description")))
-    n = e.groupBy("store_no", "name").agg(F.count("*").alias("n"))
-    e = e.join(n, ["store_no", "name"]).withColumn("bucket", F.pmod(F.xxhash64("entity_id"), F.ceil(F.col("n") / 2000)))
+    such group ``max(1, int(share * n))`` clusters are formed by k-means on hashed embeddings. A group of
+    more than ``one_task`` entities is clustered as a whole too, by all tasks, with the same result.
+    ``merged_id`` is the smallest id of a cluster."""
+    v = F.coalesce(hash_embedder(DIM)(F.col("description")), F.array_repeat(F.lit(0.0).cast("float"), DIM))
+    e = entities.select("store_no", "entity_id", "name", v.alias("v"), F.xxhash64("entity_id", F.lit(seed)).alias("h"))
+    large = entities.groupBy("store_no", "name").agg(F.count("*").alias("n")).where(F.col("n") > one_task).collect()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("entity_id")
-        x = np.array([np.zeros(32) if v is None else v for v in pdf["v"]])
+        pdf = pdf.sort_values(["h", "entity_id"])
+        x = np.array(pdf["v"].tolist(), float)
         k = max(1, int(share * len(x)))
-        c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
-        label = np.zeros(len(x), int)
-        for _ in range(8):
-            label = np.argmin(((x[:, None, :] - c[None]) ** 2).sum(-1), axis=1) if len(x) * k < 4_000_000 else np.argmax(x @ c.T, axis=1)
-            c = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(k)])
+        c = x[:k].copy()
+        for left in range(ROUNDS - 1, -1, -1):
+            label = _nearest(x, c)
+            if left:
+                n = np.bincount(label, minlength=k)
+                total = np.zeros_like(c)
+                np.add.at(total, label, x)
+                c = np.where(n[:, None] > 0, (total / np.maximum(n, 1)[:, None]).round(9), c)
         ids = pdf["entity_id"].to_numpy()
-        first = {j: ids[label == j].min() for j in np.unique(label)}
-        return pd.DataFrame({"store_no": pdf["store_no"], "entity_id": ids, "merged_id": [first[j] for j in label]})
-
-    return e.select("store_no", "entity_id", "name", "bucket", "v").groupBy("store_no", "name", "bucket").applyInPandas(one, "store_no bigint, entity_id string, merged_id string")
+        first = pd.Series(ids).groupby(label).transform("min")
+        return pd.DataFrame({"store_no": pdf["store_no"].to_numpy(), "entity_id": ids, "merged_id": first.to_numpy()})
+
+    if not large:
+        return e.groupBy("store_no", "name").applyInPandas(one, "store_no bigint, entity_id string, merged_id string")
+    e = checkpointed(e)
+    keys = F.broadcast(e.sparkSession.createDataFrame([(r["store_no"], r["name"]) for r in large], "store_no bigint, name string"))
+    out = e.join(keys, ["store_no", "name"], "left_anti").groupBy("store_no", "name").applyInPandas(one, "store_no bigint, entity_id string, merged_id string")
+    for r in large:
+        out = out.unionByName(_merged_together(e.where((F.col("store_no") == r["store_no"]) & (F.col("name") == r["name"])), max(1, int(share * r["n"]))))
+    return out

@@ -120,9 +120,17 @@ def entity_rows_merged(spark, sf):
 
 @R.query("entity_kmeans_merge")
 def entity_kmeans_merge(spark, sf):
-    """Entities of one name clustered by description."""
-    e = table(spark, sf, "vdb_entities").where("id is not null and store_no is not null and size(descriptions) > 0").groupBy("store_no", F.col("id").alias("entity_id")).agg(F.min(F.get("descriptions", F.lit(0))).alias("description"))
-    return G.merge_entities(e.where("description is not null").withColumn("name", F.lower(F.substring_index("description", ",", 1))))
+    """Entities of one name clustered by all descriptions of all their rows."""
+    return G.merge_entities(_described(spark, sf))
+
+
+def _described(spark, sf):
+    e = table(spark, sf, "vdb_entities").where("id is not null and store_no is not null and size(descriptions) > 0")
+    first = e.groupBy("store_no", F.col("id").alias("entity_id")).agg(F.min(F.get(F.filter("descriptions", lambda d: d.isNotNull()), F.lit(0))).alias("first"))
+    u = e.select("store_no", F.col("id").alias("entity_id"), F.explode("descriptions").alias("d")).where("d is not null")
+    whole = u.groupBy("store_no", "entity_id").agg(F.array_join(F.array_sort(F.collect_set("d")), " ").alias("description"))
+    named = first.join(whole, ["store_no", "entity_id"]).where("first is not null")
+    return named.select("store_no", "entity_id", "description", F.lower(F.substring_index("first", ",", 1)).alias("name"))
 
 
 @R.query("entity_format", """WITH u AS (SELECT store_no, pos, description, split_part(coalesce(description, ''), ' ', 2) AS name, duration[1] AS t FROM vdb_events WHERE store_no IS NOT NULL AND pos IS NOT NULL)
