@@ -15,7 +15,7 @@ area is assigned where the posterior probability is at least one half.
 
 Documents are read three times (two counting passes, one scoring pass); what is shuffled are word
 statistics, one small row per document and pattern counts. On the driver are only the word table
-(at most ``MAX_TERMS`` rows) and the pattern counts (of fixed size).
+(a row per word of ``MIN_OCCURRENCES`` that tells areas apart) and the pattern counts (of fixed size).
 """
 
 from __future__ import annotations
@@ -45,8 +45,7 @@ LEXICON = {
     "music": "concert cellist violin pianist trumpeter melody dirigentin schlagzeuger partitur baterista violonchelista orquesta orchestre violoncelliste batteur partition",
     "farming": "farmer crops livestock tractor harvest vintner landwirt imker kuhstall acker agricultor apicultor huerto agriculteur apiculteur verger",
 }
-#: Words of the model, the most frequent ones, at most.
-MAX_TERMS = 50_000
+#: Occurrences from which on a word is in the model.
 MIN_OCCURRENCES = 3
 #: Evidence (log lift) that a statement needs, and the least share of its best area against the next.
 MIN_EVIDENCE, MIN_SHARE = 1.2, 0.6
@@ -183,18 +182,18 @@ def _counting(model):
 
 
 def _learn(docs: DataFrame, model):
-    """Log lift of each word for each area, over all documents, as a broadcast table of bounded size."""
+    """Log lift of each word for each area, over all documents, as a broadcast table that grows with the vocabulary."""
     cols = [f"a{k}" for k in range(len(LEXICON))]
     counts = docs.select("text").mapInArrow(_counting(model), "word string, n double, " + ", ".join(f"{c} double" for c in cols))
     summed = counts.groupBy("word").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in cols)).where(f"n >= {MIN_OCCURRENCES} or word = ''")
-    rows = summed.orderBy(F.desc("n"), "word").limit(MAX_TERMS).toPandas()
+    rows = summed.toPandas()
     rows = rows.sort_values("word", kind="stable")
     c = rows[cols].to_numpy(float)
     whole = c[(rows["word"] == "").to_numpy()].sum(axis=0)
     p = (whole + 1e-3) / (whole + 1e-3).sum()
     lift = np.clip(np.log((c + SMOOTH * p) / ((c.sum(axis=1, keepdims=True) + SMOOTH) * p)), -3, 5)
     lift = (np.sign(lift) * np.maximum(np.abs(lift) + WEAK * np.log(p), 0)).round(9)
-    table = {w: x for w, x in zip(rows["word"], lift) if w}
+    table = {w: x for w, x in zip(rows["word"], lift) if w and x.any()}  # all zero is like no row
     return docs.sparkSession.sparkContext.broadcast(table)
 
 
