@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tideline.operators.run_bitmap import clear_runs, merge_runs, pack_runs, periods_and_gaps, spans_of, unpack_runs
+from tideline.operators.run_bitmap import FANOUT, blocks_of, clear_runs, merge_runs, pack_runs, periods_and_gaps, spans_of, unpack_runs
 
 SCHEMA = "owner_kind string, owner_key string, s bigint, e bigint"
 
@@ -61,6 +61,23 @@ def test_empty_and_very_long(spark):
     assert {tuple(r) for r in periods_and_gaps(spark.createDataFrame(rows, SCHEMA)).collect()} == brute(rows)
 
 
+def test_bridges(spark):
+    """Spans over very many shards leave the shards of other spans and owners as they are."""
+    rng = random.Random(5)
+    rows = [("k", rng.choice("ab"), s := rng.randint(0, 4000), s + rng.randint(1, 9)) for _ in range(400)]
+    rows += [("k", "a", 100, 1500), ("k", "a", 1400, 2300), ("k", "a", 3000, 3000 + 7 * 70), ("k", "b", 5000, 10**9), ("k", "b", 10**9 + 3, 10**9 + 4), ("k", "b", -(10**12), -100)]
+    got = [tuple(r) for r in periods_and_gaps(spark.createDataFrame(rows, SCHEMA).repartition(3), 7).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(-(10**6), 10**6), st.integers(0, 10**6))
+def test_blocks(a, n):
+    got = sorted((x * FANOUT**k, (x + 1) * FANOUT**k) for k, x in blocks_of(a, a + n))
+    assert all(p[1] == q[0] for p, q in zip(got, got[1:]))
+    assert not n and not got or (got[0][0], got[-1][1]) == (a, a + n)
+
+
 def test_unusable_spans(spark):
     rows = [(1, [1.0, 2.0005]), (1, [2.0004, 3.0]), (1, None), (1, [4.0]), (1, [5.0, None]), (1, [6.0, float("nan")]), (1, [7.0, float("inf")]), (1, [8.0, 8.0001]), (1, [1.0, 2.0, 3.0]), (1, [])]
     df = spark.createDataFrame(rows, "k int, d array<double>").select(*spans_of("store", F.col("k"), F.col("d")))

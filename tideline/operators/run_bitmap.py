@@ -20,10 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Units in a time shard (2**20 ms, about 17 minutes), and the most shards one span may touch;
-#: where a longer span occurs, shards are widened for all, so that no span becomes too many pieces.
+#: Units in a time shard (2**20 ms, about 17 minutes), and the most shards a span is written into bit
+#: by bit. Of a longer span only the first and last shard get bits; the shards between are one
+#: *bridge*, a single run that covers them whole. Other spans and owners are not touched by it.
 SHARD_WIDTH = 1 << 20
-MAX_PIECES = 4096
+MAX_PIECES = 64
+#: A bridge is a few blocks of FANOUT**level shards, by which the shards it covers are found with an equi-join.
+FANOUT, LEVELS = 64, 8
 
 
 # --- the container -------------------------------------------------------------------------
@@ -86,9 +89,11 @@ def _containers(width: int):
             s = b.column("s").to_numpy(zero_copy_only=False)
             e = b.column("e").to_numpy(zero_copy_only=False)
             first, last = s // width, (e - 1) // width
-            pieces = last - first + 1
+            far = last - first >= MAX_PIECES
+            pieces = np.where(far, 2, last - first + 1)
             row = np.repeat(np.arange(len(s)), pieces)
-            shard = np.repeat(first, pieces) + (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            shard = np.where(far[row] & (nth == 1), last[row], first[row] + nth)
             ps, pe = np.maximum(s[row], shard * width), np.minimum(e[row], (shard + 1) * width)
             both = np.stack([owner[row], shard], axis=1)
             uniq, code = np.unique(both, axis=0, return_inverse=True)
@@ -188,18 +193,24 @@ def periods_and_gaps(spans: DataFrame, width: int = SHARD_WIDTH) -> DataFrame:
     Returns owner_kind, owner_key, piece (``period`` or ``gap``), start_ms, end_ms.
     """
     spans = spans.select("owner_kind", "owner_key", "s", "e").where("owner_kind is not null and owner_key is not null and e > s")
-    longest = spans.agg(F.max(F.col("e") - F.col("s"))).first()[0] or 0
-    width = max(width, -(-longest // MAX_PIECES))
     parts = spans.mapInArrow(_containers(width), "owner_kind string, owner_key string, shard bigint, runs binary")
     runs = (
         parts.repartition("owner_kind", "owner_key", "shard")
         .sortWithinPartitions("owner_kind", "owner_key", "shard")
         .mapInArrow(_united, _OUT)
     )
-    edges = runs.where("piece = 'edge'")
-    w = Window.partitionBy("owner_kind", "owner_key").orderBy("start_ms")
+    first, last = F.floor(F.col("s") / F.lit(width)), F.floor((F.col("e") - 1) / F.lit(width))
+    bridges = spans.where(last - first >= MAX_PIECES).select("owner_kind", "owner_key", (first + 1).cast("bigint").alias("a"), last.cast("bigint").alias("b")).distinct()
+    some = bool(bridges.take(1))
+    if some:
+        runs = runs.join(_covered(runs, bridges), ["owner_kind", "owner_key", "shard"], "left_anti")
+    edges = runs.where("piece = 'edge'").select("owner_kind", "owner_key", "shard", "start_ms", "end_ms")
+    if some:
+        edges = edges.unionByName(bridges.select("owner_kind", "owner_key", F.lit(None).cast("bigint").alias("shard"), (F.col("a") * width).alias("start_ms"), (F.col("b") * width).alias("end_ms")))
+    w = Window.partitionBy("owner_kind", "owner_key").orderBy("start_ms", "end_ms")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    marked = edges.select("*", F.lag("end_ms").over(w).alias("before"), F.lag("shard").over(w).alias("shard_before"))
+    before = F.max("end_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = edges.select("*", before.alias("before"), F.lag("shard").over(w).alias("shard_before"))
     marked = marked.select(
         "*",
         (F.col("before").isNull() | (F.col("start_ms") > F.col("before"))).alias("fresh"),
@@ -209,8 +220,42 @@ def periods_and_gaps(spans: DataFrame, width: int = SHARD_WIDTH) -> DataFrame:
         .agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
         .select("owner_kind", "owner_key", F.lit("period").alias("piece"), "start_ms", "end_ms")
     )
-    gaps = marked.where("fresh and before is not null and shard <> shard_before").select(
+    # between the two edges of one shard stand its own inner runs and gaps
+    gaps = marked.where("fresh and before is not null and coalesce(shard <> shard_before, true)").select(
         "owner_kind", "owner_key", F.lit("gap").alias("piece"), F.col("before").alias("start_ms"), F.col("start_ms").alias("end_ms")
     )
     done = runs.where("piece <> 'edge'").select("owner_kind", "owner_key", "piece", "start_ms", "end_ms")
     return done.unionByName(periods).unionByName(gaps)
+
+
+def blocks_of(a: int, b: int) -> list[tuple[int, int]]:
+    """(level, block) of aligned blocks of FANOUT**level shards that make up the shards a .. b - 1."""
+    out, level = [], 0
+    while a < b:
+        if level == LEVELS - 1:
+            return out + [(level, x) for x in range(a, b)]
+        while a < b and a % FANOUT:
+            out.append((level, a))
+            a += 1
+        while a < b and b % FANOUT:
+            b -= 1
+            out.append((level, b))
+        a, b, level = a // FANOUT, b // FANOUT, level + 1
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        kind, key, a, b = (c.to_pylist() for c in rb.columns)
+        rows = [(k, o, lv, x) for k, o, i, j in zip(kind, key, a, b) for lv, x in blocks_of(i, j)]
+        cols = list(zip(*rows)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["owner_kind", "owner_key", "level", "block"])
+
+
+def _covered(runs: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Shards with runs that lie in a bridge: owner_kind, owner_key, shard."""
+    full = bridges.mapInArrow(_blocks, "owner_kind string, owner_key string, level int, block bigint").distinct()
+    powers = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(FANOUT**k).cast("bigint").alias("size")) for k in range(LEVELS)))
+    asked = runs.select("owner_kind", "owner_key", "shard").distinct().select("*", F.explode(powers).alias("p"))
+    asked = asked.select("owner_kind", "owner_key", "shard", F.col("p.level").alias("level"), F.expr("(shard - pmod(shard, p.size)) div p.size").alias("block"))
+    return asked.join(full, ["owner_kind", "owner_key", "level", "block"], "left_semi").select("owner_kind", "owner_key", "shard").distinct()
