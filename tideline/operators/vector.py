@@ -1,22 +1,24 @@
 """Vector search and vector-collection operators.
 
-Searches answer a stated set of query vectors against all rows. Queries are taken in blocks of bounded
-size; each block is broadcast, every partition keeps its best ``k`` per query with one matrix product
-per batch, and the partitions' few candidates are ranked in a window. Nothing is cross joined.
+Searches answer a stated set of query vectors against all rows. Up to ``BLOCK`` queries are broadcast
+and the rows scanned once; more queries are cut into blocks that are shuffled against blocks of rows, so
+that a task holds one block of each, whatever the number of either. Every task keeps its best ``k`` per
+query with matrix products, and these few candidates are ranked in a window. No pairs are written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block: with 1,000 dimensions a broadcast of 16 MB.
+#: Queries that are broadcast: with 1,000 dimensions 16 MB. Beyond, queries and rows of a block (with 128
+#: dimensions 16 and 64 MB).
 BLOCK = 2048
+QUERY_BLOCK, ROW_BLOCK = 16_384, 65_536
 
 
 def norm(v: Column) -> Column:
@@ -28,63 +30,141 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    """Unit vector; components of a zero vector become null (there is no direction)."""
-    return F.transform(v, lambda x: F.try_divide(x, norm(v)))
+    """Unit vector; components of a zero vector become null (there is no direction). The length is worked
+    out once: it is bound to a one-element array whose only element the outer lambda runs over."""
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: F.try_divide(x, n))), F.lit(0))
 
 
 def cosine(a: Column, b: Column, eps: float = 0.0) -> Column:
     return F.try_divide(dot(a, b), (norm(a) + eps) * (norm(b) + eps))
 
 
-def _local_topk(block, k: int, least: float | None, metric: str, eps: float):
+def _matrix(col: pa.Array) -> np.ndarray:
+    """Rows of a list column as a matrix (they have one length)."""
+    flat = np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64)
+    return flat.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+
+
+class _Best:
+    """The ``k`` best rows of each query so far."""
+
+    def __init__(self, qids: np.ndarray, qv: np.ndarray, k: int, least: float | None, metric: str, eps: float, decimals: int):
+        self.qids, self.qv, self.k, self.least, self.metric, self.eps, self.decimals = qids, qv, k, least, metric, eps, decimals
+        self.qn = np.linalg.norm(qv, axis=1) + eps
+        self.s, self.i = np.zeros((len(qids), 0)), np.zeros((len(qids), 0), np.int64)
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        step = max(64, (2 << 20) // max(1, len(self.qids)))  # a block of similarities is about 16 MB
+        for at in range(0, len(ids), step):
+            sim = self.qv @ x[at : at + step].T
+            if self.metric == "cosine":
+                sim /= self.qn[:, None] * (np.linalg.norm(x[at : at + step], axis=1) + self.eps)
+            s = np.concatenate([self.s, sim], axis=1)
+            i = np.concatenate([self.i, np.broadcast_to(ids[at : at + step], sim.shape)], axis=1)
+            if s.shape[1] > self.k:
+                # all that tie with the k-th are kept by rounding down to it, then ranked exactly
+                r = s.round(self.decimals)
+                last = np.partition(r, r.shape[1] - self.k, axis=1)[:, -self.k]
+                width = int((r >= last[:, None]).sum(axis=1).max())
+                pick = np.argpartition(-r, width - 1, axis=1)[:, :width] if width < r.shape[1] else np.broadcast_to(np.arange(r.shape[1]), r.shape)
+                r, s, i = (np.take_along_axis(a, pick, 1) for a in (r, s, i))
+                order = np.lexsort((i, -r), axis=1)[:, : self.k]
+                s, i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            self.s, self.i = s, i
+
+    def rows(self) -> tuple[pa.Array, pa.Array, pa.Array]:
+        s, i = self.s.reshape(-1), self.i.reshape(-1)
+        keep = np.ones(len(s), bool) if self.least is None else s >= self.least
+        return pa.array(np.repeat(self.qids, self.s.shape[1])[keep]), pa.array(i[keep]), pa.array(s[keep])
+
+
+_FOUND = "qid bigint, vec_id bigint, sim double"
+
+
+def _scanned(block, *how):
+    """mapInArrow over rows: the best of a partition for a broadcast block of queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, qv = block.value
-        qn = np.linalg.norm(qv, axis=1) + eps
-        best_s = np.full((len(qids), 0), 0.0)
-        best_i = np.zeros((len(qids), 0), np.int64)
+        best = _Best(*block.value, *how)
         for b in batches:
-            for at in range(0, b.num_rows, 1024):  # a block of similarities is at most BLOCK x 1024
-                ids = b.column(0).slice(at, 1024).to_numpy(zero_copy_only=False).astype(np.int64)
-                x = np.array(b.column(1).slice(at, 1024).to_pylist(), np.float64)
-                sim = qv @ x.T
-                if metric == "cosine":
-                    sim /= qn[:, None] * (np.linalg.norm(x, axis=1) + eps)
-                best_s = np.concatenate([best_s, sim], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(ids, sim.shape)], axis=1)
-                order = np.lexsort((best_i, -best_s.round(9)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-        q = np.repeat(qids, best_s.shape[1])
-        s, i = best_s.reshape(-1), best_i.reshape(-1)
-        keep = np.ones(len(s), bool) if least is None else s >= least
-        yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(i[keep]), pa.array(s[keep])], ["qid", "vec_id", "sim"])
+            if b.num_rows:
+                best.add(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(b.column(1)))
+        yield pa.RecordBatch.from_arrays(list(best.rows()), ["qid", "vec_id", "sim"])
+
+    return run
+
+
+def _met(*how):
+    """Cogrouped (rows, queries) of a pair of blocks: the best rows of each query."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        none = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
+        if rows.num_rows and queries.num_rows:
+            rows, queries = rows.combine_chunks(), queries.combine_chunks()
+            best = _Best(queries.column("qid").to_numpy().astype(np.int64), _matrix(queries.column("v").chunk(0)), *how)
+            best.add(rows.column("vec_id").to_numpy().astype(np.int64), _matrix(rows.column("v").chunk(0)))
+            none = list(best.rows())
+        return pa.Table.from_arrays(none, ["qid", "vec_id", "sim"])
 
     return run
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, least: float | None = None, metric: str = "cosine", eps: float = 0.0) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int, least: float | None = None, metric: str = "cosine", eps: float = 0.0, decimals: int = 9) -> DataFrame:
     """The ``k`` most similar rows of each query: qid, vec_id, sim, rnk.
 
     ``rows`` (vec_id, v) and ``queries`` (qid, v) hold usable vectors of one dimension. Order is
-    similarity (to nine decimals) descending, then vec_id; with ``least`` rows below it are left out.
+    similarity (to ``decimals``) descending, then vec_id; with ``least`` rows below it are left out.
     A query finds itself if it is among the rows. No queries or no rows give an empty result."""
-    spark, out = rows.sparkSession, None
-    stream = queries.select("qid", "v").orderBy("qid").toLocalIterator()
-    while block := list(islice(stream, BLOCK)):
-        shared = spark.sparkContext.broadcast((np.array([r["qid"] for r in block], np.int64), np.array([r["v"] for r in block], np.float64)))
-        part = rows.select("vec_id", "v").mapInArrow(_local_topk(shared, k, least, metric, eps), "qid bigint, vec_id bigint, sim double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], "qid bigint, vec_id bigint, sim double")
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 9)), "vec_id")
+    spark, how = rows.sparkSession, (k, least, metric, eps, decimals)
+    rows, queries = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "v"), queries.select(F.col("qid").cast("bigint").alias("qid"), "v")
+    few = queries.limit(BLOCK + 1).toArrow().sort_by("qid")
+    if few.num_rows <= BLOCK:
+        block = (few.column("qid").to_numpy().astype(np.int64), _matrix(few.column("v").combine_chunks()) if few.num_rows else np.zeros((0, 1)))
+        if not few.num_rows:
+            return spark.createDataFrame([], _FOUND + ", rnk int")
+        out = rows.mapInArrow(_scanned(spark.sparkContext.broadcast(block), *how), _FOUND)
+    else:
+        n_q, n_r = queries.count(), rows.count()
+        qs, rs = -(-n_q // QUERY_BLOCK), max(1, -(-n_r // ROW_BLOCK))
+        cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        a = rows.select(cell("vec_id", rs).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"), "vec_id", "v")
+        b = queries.select(F.explode(F.sequence(F.lit(0), F.lit(rs - 1))).alias("rb"), cell("qid", qs).alias("qb"), "qid", "v")
+        out = a.groupBy("rb", "qb").cogroup(b.groupBy("rb", "qb")).applyInArrow(_met(*how), _FOUND)
+    w = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", decimals)), "vec_id")
     return out.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
 
 
+def _summed(n_keys: int):
+    """mapInArrow over (keys, v): sums of the unit vectors of each key within a batch, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _matrix(b.column(n_keys))
+            norm_ = np.linalg.norm(x, axis=1)
+            codes = pa.table([pa.StructArray.from_arrays(b.columns[:n_keys], b.schema.names[:n_keys])], ["k"]).column("k").combine_chunks()
+            seen: dict = {}
+            g = np.array([seen.setdefault(tuple(r.values()), len(seen)) for r in codes.to_pylist()])
+            first = np.unique(g, return_index=True)[1]
+            good = norm_ > 0
+            total = np.zeros((len(first), x.shape[1]))
+            np.add.at(total, g[good], x[good] / norm_[good, None])
+            n = np.bincount(g[good], minlength=len(first))
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * x.shape[1]), pa.array(total.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(first)) for c in b.columns[:n_keys]] + [pa.array(n), v], [*b.schema.names[:n_keys], "n", "v"])
+
+    return run
+
+
 def mean_content(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of the unit vectors of each key, scaled to length 1: keys, n, v."""
-    parts = rows.select(*keys, F.posexplode(normalised(F.col("v"))).alias("p", "x"))
-    per = parts.groupBy(*keys, "p").agg(F.avg("x").alias("x"), F.count("x").alias("n"))
-    one = per.groupBy(*keys).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda z: z["x"]).alias("v"))
-    return one.withColumn("v", normalised(F.col("v")))
+    """Mean of the unit vectors of each key, scaled to length 1: keys, n, v. Zero vectors have no direction
+    and do not count. Sums are formed per batch before they are shuffled, one row per key and batch."""
+    kinds = dict(rows.dtypes)
+    parts = rows.select(*keys, F.col("v").cast("array<double>").alias("v")).mapInArrow(_summed(len(keys)), ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", n bigint, v array<double>")
+    add = lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda p, q: p + q))
+    one = parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.aggregate(F.collect_list("v"), F.array().cast("array<double>"), add).alias("v"))
+    return one.withColumn("_norm", norm(F.col("v"))).withColumn("v", F.transform("v", lambda x: F.try_divide(x, F.col("_norm")))).drop("_norm")
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
