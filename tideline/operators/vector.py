@@ -101,8 +101,8 @@ def _met(*how):
         none = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
         if rows.num_rows and queries.num_rows:
             rows, queries = rows.combine_chunks(), queries.combine_chunks()
-            best = _Best(queries.column("qid").to_numpy().astype(np.int64), _matrix(queries.column("v").chunk(0)), *how)
-            best.add(rows.column("vec_id").to_numpy().astype(np.int64), _matrix(rows.column("v").chunk(0)))
+            best = _Best(queries.column("qid").to_numpy().astype(np.int64), _matrix(queries.column("qv").chunk(0)), *how)
+            best.add(rows.column("vec_id").to_numpy().astype(np.int64), _matrix(rows.column("rv").chunk(0)))
             none = list(best.rows())
         return pa.Table.from_arrays(none, ["qid", "vec_id", "sim"])
 
@@ -127,8 +127,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, least: float | None = No
         n_q, n_r = queries.count(), rows.count()
         qs, rs = -(-n_q // QUERY_BLOCK), max(1, -(-n_r // ROW_BLOCK))
         cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        a = rows.select(cell("vec_id", rs).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"), "vec_id", "v")
-        b = queries.select(F.explode(F.sequence(F.lit(0), F.lit(rs - 1))).alias("rb"), cell("qid", qs).alias("qb"), "qid", "v")
+        a = rows.select(cell("vec_id", rs).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"), "vec_id", F.col("v").alias("rv"))
+        b = queries.select(F.explode(F.sequence(F.lit(0), F.lit(rs - 1))).alias("rb"), cell("qid", qs).alias("qb"), "qid", F.col("v").alias("qv"))
         out = a.groupBy("rb", "qb").cogroup(b.groupBy("rb", "qb")).applyInArrow(_met(*how), _FOUND)
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", decimals)), "vec_id")
     return out.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
