@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tideline.llm.captions import caption_runs, similarity, slips, words
+from tideline.llm.captions import Spelling, caption_runs, similarity, slips, words
 
 BASE = "Four bailiffs cross-examine on the dark-green lease contract in the hearing chamber."
 SAME = [
@@ -63,3 +63,51 @@ def test_long_runs_cross_blocks(spark):
 def test_gap_limit(spark):
     rows = [(1, i, "a cat sits", [s, s + 1], 0) for i, s in enumerate([0.0, 2.0, 60.0, 61.5])]
     assert found(spark.createDataFrame(rows, SCHEMA), gap=10.0) == [(1, 0, 1, 2), (1, 2, 3, 2)]
+
+
+PAIRS = [
+    ("The dog runs", "The dogs run"), ("A car is parked", "Cars are parked"), ("A cat stands", "A cart stands"), ("a black car", "a back car"), ("A boy", "A buoy"), ("a horse", "a hose"),
+    ("Two nurses wait", "Two nurse wait"), ("A lawyer speaks", "A layer speaks"), ("a tin roof", "a thin roof"), ("he goes through it", "he goes trough it"),
+]
+USED = Spelling({w: 40 for p in PAIRS for c in p for w in words(c)} | {"gardener": 900, "waters": 700, "roses": 800, "watering": 300})
+
+
+@pytest.mark.parametrize("a, b", PAIRS)
+def test_words_in_use_differ(a, b):
+    """Number and identity: two words that are both in use are never slips of each other."""
+    assert similarity(words(a), words(b), USED) == 0
+    assert similarity(words(a), words(b)) == 0
+
+
+@pytest.mark.parametrize("text", ["The gardner waters roses", "The gardener watres roses", "The gaardener waters rosses", "The gardener is watering roses", "The gradener is wateering roses"])
+def test_slips_are_rare(text):
+    assert similarity(words("The gardener waters roses"), words(text), USED) >= 0.8
+
+
+def test_one_is_an_article():
+    assert similarity(words("One man waits"), words("A man waits")) == 1 == similarity(words("1 man waits"), words("a man waits"))
+    assert similarity(words("One man waits"), words("Two man waits")) == 0
+
+
+def test_spelling_is_learned(spark):
+    """The same two captions are one run where one word is a rare slip, and two events where both are used."""
+    many = [(9, 10 * i, t, None, 0) for i in range(200) for t in ["a cat stands"]]
+    pair = [(1, 0, "a cat stands", None, 0), (1, 1, "a cart stands", None, 0)]
+    carts = [(8, 10 * i, "a cart stands", None, 0) for i in range(100)]
+    at = lambda rows: [r for r in found(spark.createDataFrame(rows, SCHEMA)) if r[0] == 1]
+    assert at(many + pair) == [(1, 0, 1, 2)]
+    assert at(many + carts + pair) == []
+
+
+def test_block_does_not_matter(spark):
+    r = random.Random(6)
+    say = ["a man is carrying boxes", "a man carries boxes", "a man carires boxes", "a man carriies boxes", "two men wait", None, "a dog sleeps"]
+    rows, prev = [], 0
+    for pos in range(600):
+        prev = prev if r.random() < 0.7 else r.randrange(len(say))
+        k = r.randrange(4) if prev < 4 else prev
+        rows.append((pos % 2 + 1, pos, say[k], [float(pos), pos + r.choice([1.0, 5.0])], 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    for gap in (None, 2.0):
+        got = [found(df, block=b, gap=gap) for b in (3, 7, 64, 2048)]
+        assert got[0] and all(g == got[0] for g in got)

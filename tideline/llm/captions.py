@@ -5,12 +5,16 @@ priority queue holds the similarity of every two neighbouring runs; the most sim
 are merged, the queue is updated, until no neighbours meet the similarity and gap limits.
 
 Captions say the same thing if they differ only on the surface: case, punctuation, time stamps and
-counters in front, remarks such as "as before" behind, articles, digits or number words, simple or
-progressive verb form, and typing errors (a letter dropped, doubled or two swapped; a replaced
-letter is another word). A different word, count, colour, place or direction is a difference.
-
-A store is worked on in blocks of ``BLOCK`` positions; only the first and last run of a block can
-go on in the next, so these alone are compared along the store. No task holds a store whole.
+counters in front, remarks such as "as before" behind, articles, digits or number words, the simple
+or progressive form of a verb, and typing errors. What is a typing error is learned from the captions
+themselves: a letter dropped, doubled, added or swapped makes a word that is rare beside the word
+meant. Two words that are both in use are different words, however alike ("cat" and "cart", "dog" and
+"dogs"), and so are a different count, colour, place or direction.
+
+A store is worked on in blocks of ``BLOCK`` positions. Events between which a run cannot go on cut a
+block into stretches. A stretch that does not reach the block's ends is agglomerated there; the others
+are put together along the store, equal neighbours collapsed, and then agglomerated whole, so that
+the runs do not depend on ``BLOCK``. No task holds a store whole.
 """
 
 from __future__ import annotations
@@ -42,6 +46,12 @@ _NUMBERS = {w: str(i) for i, w in enumerate("zero one two three four five six se
 _ARTICLES = frozenset("a an the der die das den dem des ein eine einen einem einer le la les l un une el los las una".split())
 _BE = frozenset(("is", "are"))
 _SPELLINGS = {"gray": "grey", "colour": "color"}
+#: A word is a slip of another if it has at most this share of the other's occurrences, or, where words
+#: have few occurrences, at most FEW and FEW_SHARE.
+SHARE, FEW, FEW_SHARE, SURE = 0.01, 3, 0.1, 7
+#: Of the words in use, those with less than 1 / 2**20 of all words are left out of the counts (so there
+#: are at most 2**20): as rare as that, a word is no better known than one that is not counted.
+LEAST_SHARE = 1 / (1 << 20)
 
 
 @lru_cache(1 << 16)
@@ -52,7 +62,7 @@ def words(caption: str) -> tuple[str, ...]:
     out = []
     for w in _WORD.findall(t):
         w = w.replace("’", "'")
-        if w in _ARTICLES or w in _BE:
+        if w in _ARTICLES or w in _BE or not out and w in ("one", "1"):
             continue
         if w[:2] in ("l'", "d'"):
             w = w[2:]
@@ -62,14 +72,18 @@ def words(caption: str) -> tuple[str, ...]:
 
 @lru_cache(1 << 16)
 def stem(w: str) -> str:
-    """Common form of the simple and progressive forms of a verb (and of plurals)."""
+    """Common form of the simple and progressive forms of an English verb."""
     for end in ("ing", "ies", "es", "s"):
         if w.endswith(end) and len(w) - len(end) >= 3:
             w = w[: -len(end)]
             break
-    if len(w) > 3 and w[-1] == w[-2]:
-        w = w[:-1]
-    return w.rstrip("eyi") if len(w) > 3 else w
+    w = w.rstrip("eyi") if len(w) > 3 else w
+    return w[:-1] if len(w) > 3 and w[-1] == w[-2] else w
+
+
+def _one_verb(a: str, b: str) -> bool:
+    """The progressive and the simple form of one verb."""
+    return a.endswith("ing") != b.endswith("ing") and stem(a) == stem(b)
 
 
 def slips(a: str, b: str, most: int) -> int | None:
@@ -97,28 +111,88 @@ def slips(a: str, b: str, most: int) -> int | None:
     return row[-1] if row[-1] <= most else None
 
 
-@lru_cache(1 << 17)
-def _word_slips(a: str, b: str, slack: int) -> int | None:
-    if a == b or stem(a) == stem(b):
-        return 0
-    if a.isdigit() and b.isdigit():
-        return None
-    a, b = (_WORDS_OF.get(x, x) for x in (a, b))
-    if min(len(a), len(b)) < 3 or a[0].isdigit() or b[0].isdigit():
-        return None
-    most = (1 if max(len(a), len(b)) < 6 else 2) * slack
-    single = [_REPEAT.sub(r"\1", x) for x in (a, b)]  # a doubled letter may hide a dropped one
-    got = [x for x in (slips(a, b, most), slips(stem(a), stem(b), most), slips(*single, most)) if x is not None]
-    return min(got) if got else None
-
-
 _REPEAT = re.compile(r"(.)\1")
 _WORDS_OF = {v: k for k, v in _NUMBERS.items()}
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëìíîïñòóôöùúûüœ"
+
+
+def _edits(w: str, inserts: bool = True) -> set[str]:
+    """What a word may have been before a letter was added, doubled or swapped, or dropped (``inserts``)."""
+    cut = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+    out = {a + b[1:] for a, b in cut if b} | {a + b[1] + b[0] + b[2:] for a, b in cut if len(b) > 1}
+    return out | {a + c + b for a, b in cut for c in _LETTERS} if inserts else out
+
+
+class Spelling:
+    """Words in use and how often: tells slips of a word from other words. Without counts only words of
+    ``SURE`` letters are taken for slips of each other, and not if they differ by a last s."""
+
+    def __init__(self, counts: dict[str, int] | None = None):
+        self.counts = counts or {}
+        self.meant: dict[str, tuple[str, int]] = {}
+        self.pairs: dict[tuple[str, str], int | None] = {}
+
+    def __getstate__(self):
+        return self.counts
+
+    def __setstate__(self, counts):
+        self.__init__(counts)
+
+    def rare_beside(self, a: str, b: str) -> bool:
+        x, y = self.counts.get(a, 0), self.counts.get(b, 0)
+        return y > 0 and (x <= SHARE * y or x <= FEW and x <= FEW_SHARE * y)
+
+    def _meant(self, w: str) -> tuple[str, int]:
+        """The most frequent word that ``w`` is a slip of, and the number of slips; itself if there is none."""
+        got = self.meant.get(w)
+        if got is None:
+            got = w, 0
+            if len(w) > 3 and w.isalpha() and self.counts:
+                near = _edits(w)
+                for n, some in ((1, near), (2, set().union(*(_edits(x, False) for x in near)) if len(w) > 6 else ())):
+                    better = [x for x in some if x in self.counts and self.rare_beside(w, x)]
+                    if better:
+                        got = max(better, key=lambda x: (self.counts[x], x)), n
+                        break
+            if len(self.meant) > 1 << 17:
+                self.meant.clear()
+            self.meant[w] = got
+        return got
+
+    def between(self, a: str, b: str) -> int | None:
+        """Slips between two words that mean the same; None if they are different words."""
+        if a == b:
+            return 0
+        key = (a, b) if a < b else (b, a)
+        if key not in self.pairs:
+            if len(self.pairs) > 1 << 17:
+                self.pairs.clear()
+            self.pairs[key] = self._between(*key)
+        return self.pairs[key]
+
+    def _between(self, a: str, b: str) -> int | None:
+        if _one_verb(a, b):
+            return 0
+        if a.isdigit() and b.isdigit():
+            return None
+        x, y = (_WORDS_OF.get(w, w) for w in (a, b))
+        if min(len(x), len(y)) < 3 or x[0].isdigit() or y[0].isdigit():
+            return None
+        if self.rare_beside(a, b) or self.rare_beside(b, a) or not self.counts and min(len(a), len(b)) >= SURE and a.rstrip("s") != b.rstrip("s"):
+            most = 1 if max(len(x), len(y)) < 6 else 2
+            single = [_REPEAT.sub(r"\1", w) for w in (x, y)]  # a doubled letter may hide a dropped one
+            got = [n for n in (slips(x, y, most), slips(*single, most)) if n is not None]
+            if got:
+                return min(got)
+        (x, n), (y, m) = self._meant(a), self._meant(b)
+        return n + m if n + m and (x == y or _one_verb(x, y)) else None
+
+
+NO_COUNTS = Spelling()
 
 
-def similarity(a: tuple[str, ...], b: tuple[str, ...], slack: int = 1) -> float:
-    """1 for captions that say the same, a little less for typing errors, 0 for any difference.
-    ``slack`` 2 bears with two typing errors where 1 bears with one (both sides may have one)."""
+def similarity(a: tuple[str, ...], b: tuple[str, ...], spelling: Spelling = NO_COUNTS) -> float:
+    """1 for captions that say the same, a little less for typing errors, 0 for any difference."""
     if a == b:
         return 1.0 if a else 0.0
     if not a or len(a) != len(b):
@@ -126,26 +200,25 @@ def similarity(a: tuple[str, ...], b: tuple[str, ...], slack: int = 1) -> float:
     total = 0
     for x, y in zip(a, b):
         if x != y:
-            s = _word_slips(x, y, slack)
+            s = spelling.between(x, y)
             if s is None:
                 return 0.0
             total += s
-    return 1.0 - total / max(20, sum(map(len, a)))
+    return max(0.01, 1.0 - total / max(20, sum(map(len, a))))
 
 
 class _Run:
     __slots__ = ("first", "last", "count", "start", "end", "votes", "head", "tail", "left", "right", "alive")
 
-    def __init__(self, pos: int, cap: tuple[str, ...], start: float | None, end: float | None):
-        self.first = self.last = pos
-        self.count, self.start, self.end = 1, start, end
-        self.votes = Counter({cap: 1})
+    def __init__(self, first: int, last: int, count: int, cap: tuple[str, ...], start: float | None, end: float | None):
+        self.first, self.last, self.count, self.start, self.end = first, last, count, start, end
+        self.votes = Counter({cap: count})
         self.head = self.tail = cap
         self.left = self.right = None
         self.alive = True
 
     def best(self) -> tuple[str, ...]:
-        return self.votes.most_common(1)[0][0] if len(self.votes) > 1 else self.head
+        return min(self.votes, key=lambda c: (-self.votes[c], c)) if len(self.votes) > 1 else self.head
 
     def absorb(self, o: _Run) -> None:
         self.last, self.tail, self.count = o.last, o.tail, self.count + o.count
@@ -155,16 +228,17 @@ class _Run:
 
 
 def _far(a: _Run, b: _Run, gap: float | None) -> bool:
+    """Neighbours farther apart than the gap limit, or not known to be nearer."""
     return gap is not None and (a.end is None or b.start is None or b.start - a.end > gap)
 
 
-def _alike(a: _Run, b: _Run, gap: float | None) -> float:
+def _alike(a: _Run, b: _Run, gap: float | None, spelling: Spelling) -> float:
     if _far(a, b, gap):
         return 0.0
-    return max(similarity(a.tail, b.head), similarity(a.best(), b.best()))
+    return max(similarity(a.tail, b.head, spelling), similarity(a.best(), b.best(), spelling))
 
 
-def agglomerate(runs: list[_Run], gap: float | None = None, limit: float = MIN_SIMILARITY) -> list[_Run]:
+def agglomerate(runs: list[_Run], gap: float | None = None, limit: float = MIN_SIMILARITY, spelling: Spelling = NO_COUNTS) -> list[_Run]:
     """Merge the most similar neighbours of a stretch until none is similar enough."""
     if len(runs) < 2:
         return runs
@@ -173,7 +247,7 @@ def agglomerate(runs: list[_Run], gap: float | None = None, limit: float = MIN_S
         a.right, b.left = b, a
 
     def push(a: _Run, b: _Run) -> None:
-        s = _alike(a, b, gap)
+        s = _alike(a, b, gap, spelling)
         if s >= limit:
             heapq.heappush(heap, (-s, a.first, b.last, a, b))
 
@@ -194,39 +268,31 @@ def agglomerate(runs: list[_Run], gap: float | None = None, limit: float = MIN_S
     return [r for r in runs if r.alive]
 
 
-def _stretches(events: Iterator[_Run | None], gap: float | None) -> Iterator[list[_Run]]:
-    """Equal neighbours collapsed; cut where there is no caption or neighbours cannot be alike."""
-    cur: list[_Run] = []
-    for e in events:
-        if e is None:
-            if cur:
-                yield cur
-            cur = []
-        elif cur and _far(cur[-1], e, gap):
-            yield cur
-            cur = [e]
-        elif cur and cur[-1].tail == e.head:
-            cur[-1].absorb(e)
-        elif cur and similarity(cur[-1].tail, e.head, 2) > 0:
-            cur.append(e)
-        else:
-            if cur:
-                yield cur
-            cur = [e]
-    if cur:
-        yield cur
-
-
-_COLS = ["owner", "block", "piece", "first_pos", "last_pos", "event_count", "start_s", "end_s", "caption", "head", "tail"]
-_SCHEMA = "owner bigint, block bigint, piece string, first_pos bigint, last_pos bigint, event_count bigint, start_s double, end_s double, caption string, head string, tail string"
+def _joins(stretch: list[_Run], e: _Run, gap: float | None, spelling: Spelling) -> bool:
+    """Put the next event (or run of equal ones) into a stretch, if neighbours can be alike there."""
+    last = stretch[-1]
+    if _far(last, e, gap):
+        return False
+    if last.tail == e.head:
+        last.absorb(e)
+    elif similarity(last.tail, e.head, spelling) > 0:
+        stretch.append(e)
+    else:
+        return False
+    return True
+
+
+_COLS = ["owner", "block", "part", "first_pos", "last_pos", "event_count", "start_s", "end_s", "caption", "at_lo", "at_hi"]
+_SCHEMA = "owner bigint, block bigint, part int, first_pos bigint, last_pos bigint, event_count bigint, start_s double, end_s double, caption string, at_lo boolean, at_hi boolean"
 _ARROW = pa.schema(
-    [("owner", pa.int64()), ("block", pa.int64()), ("piece", pa.string()), ("first_pos", pa.int64()), ("last_pos", pa.int64()), ("event_count", pa.int64())]
-    + [("start_s", pa.float64()), ("end_s", pa.float64())]
-    + [(c, pa.string()) for c in ("caption", "head", "tail")]
+    [("owner", pa.int64()), ("block", pa.int64()), ("part", pa.int32()), ("first_pos", pa.int64()), ("last_pos", pa.int64()), ("event_count", pa.int64())]
+    + [("start_s", pa.float64()), ("end_s", pa.float64()), ("caption", pa.string()), ("at_lo", pa.bool_()), ("at_hi", pa.bool_())]
 )
+#: Parts of a block: whole runs, the stretch at its begin, the one at its end, an end where nothing goes on.
+RUN, LOW, HIGH, BAR = 0, 1, 2, 3
 
 
-def _block_runs(block_of, gap: float | None, limit: float):
+def _block_runs(block_of, gap: float | None, limit: float, spelling):
     """mapInArrow over partitions sorted by (owner, block, pos, loaded_at)."""
 
     def close(owner: int, block: int, rows: list[tuple]) -> Iterator[tuple]:
@@ -237,22 +303,27 @@ def _block_runs(block_of, gap: float | None, limit: float):
                 events[-1] = (pos, text if text is not None else p[1], *((s, e) if s is not None else p[2:]))
             else:
                 events.append((pos, text, s, e))
-
-        def runs() -> Iterator[_Run | None]:
-            for pos, text, s, e in events:
-                w = words(text) if text is not None else ()
-                yield _Run(pos, w, s, e) if w else None
-
         lo, hi = events[0][0], events[-1][0]
-        ends = {events[0][0]: events[0][1], events[-1][0]: events[-1][1]}
-        for pos in {lo, hi}:  # an end without a caption: nothing goes on there
-            if ends[pos] is None or not words(ends[pos]):
-                yield (owner, block, "bar", pos, pos, 0, None, None, None, None, None)
-        for stretch in _stretches(runs(), gap):
-            for r in agglomerate(stretch, gap, limit):
-                edge = r.first == lo or r.last == hi
-                if edge or r.count > 1:
-                    yield (owner, block, "edge" if edge else "run", r.first, r.last, r.count, r.start, r.end, " ".join(r.best()), " ".join(r.head), " ".join(r.tail))
+        stretches: list[list[_Run]] = []
+        open_ = False
+        for pos, text, s, e in events:
+            w = words(text) if text is not None else ()
+            if not w:
+                open_ = False
+                if pos in (lo, hi):
+                    yield (owner, block, BAR, pos, pos, 0, None, None, None, pos == lo, pos == hi)
+                continue
+            r = _Run(pos, pos, 1, w, s, e)
+            if not (open_ and _joins(stretches[-1], r, gap, spelling.value)):
+                stretches.append([r])
+            open_ = True
+        for st in stretches:
+            low, high = st[0].first == lo, st[-1].last == hi
+            if low or high:
+                for r in st:
+                    yield (owner, block, LOW if low else HIGH, r.first, r.last, r.count, r.start, r.end, " ".join(r.head), r.first == lo, r.last == hi)
+            elif len(st) > 1 or st[0].count > 1:
+                yield from ((owner, block, RUN, r.first, r.last, r.count, r.start, r.end, " ".join(r.best()), False, False) for r in agglomerate(st, gap, limit, spelling.value) if r.count > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, out = None, [], []
@@ -280,42 +351,71 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def _stitched(gap: float | None, limit: float):
-    """mapInArrow over edge runs sorted by (owner, first_pos): runs that go on in the next block."""
+def _stitched(gap: float | None, limit: float, spelling):
+    """mapInArrow over the runs at block ends sorted by (owner, first_pos): stretches put together across
+    blocks, then agglomerated whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
+        stretch: list[_Run] = []
+        before = None
+
+        def close(owner: int) -> list[tuple]:
+            done = agglomerate(stretch, gap, limit, spelling.value)
+            return [(owner, 0, RUN, r.first, r.last, r.count, r.start, r.end, " ".join(r.best()), False, False) for r in done if r.count > 1]
+
         for b in batches:
-            out = []
+            out: list[tuple] = []
             for row in zip(*(b.column(i).to_pylist() for i in range(len(_COLS)))):
-                if held is not None and held[2] == row[2] == "edge" and held[0] == row[0] and held[1] != row[1]:
-                    far = gap is not None and (held[7] is None or row[6] is None or row[6] - held[7] > gap)
-                    h = [tuple(x.split(" ")) for x in (held[10], row[9], held[8], row[8])]
-                    if not far and max(similarity(h[0], h[1]), similarity(h[2], h[3])) >= limit:
-                        known = [x for x in (held[6], row[6]) if x is not None]
-                        ends = [x for x in (held[7], row[7]) if x is not None]
-                        cap = held[8] if held[5] >= row[5] else row[8]
-                        held = (held[0], row[1], "edge", held[3], row[4], held[5] + row[5], min(known, default=None), max(ends, default=None), cap, held[9], row[10])
-                        continue
-                if held is not None and held[5] > 1:
-                    out.append((held[0], held[1], "run", *held[3:]))
-                held = row
+                owner, block, part, first, last, n, s, e, caption, at_lo, at_hi = row
+                new = _Run(first, last, n, tuple(caption.split(" ")), s, e) if part != BAR else None
+                goes_on = False
+                if new and stretch and before[0] == owner and before[2] != BAR:
+                    if (block, part) == before[1:3]:
+                        stretch.append(new)
+                        goes_on = True
+                    elif block != before[1] and at_lo and before[10]:
+                        goes_on = _joins(stretch, new, gap, spelling.value)
+                if not goes_on:
+                    if stretch:
+                        out += close(before[0])
+                    stretch = [new] if new else []
+                before = row
             if out:
                 yield _batch(out)
-        if held is not None and held[5] > 1:
-            yield _batch([(held[0], held[1], "run", *held[3:])])
+        if stretch and (out := close(before[0])):
+            yield _batch(out)
 
     return run
 
 
-def caption_runs(events: DataFrame, gap: float | None = None, limit: float = MIN_SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over captions: words and their number, summed per batch."""
+    for b in batches:
+        n: Counter = Counter()
+        for text, times in Counter(b.column(0).to_pylist()).items():
+            for w in words(text) if text is not None else ():
+                n[w] += times
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+
+def spelling_of(events: DataFrame) -> Spelling:
+    """Words in use in all captions. The table has at most 1 / LEAST_SHARE rows, by the share of all words
+    that a row must have; a word met once tells nothing and is left out."""
+    counts = events.select("description").mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return Spelling({r["word"]: r["n"] for r in counts.where(F.col("n") >= max(2, int(total * LEAST_SHARE))).collect()})
+
+
+def caption_runs(events: DataFrame, gap: float | None = None, limit: float = MIN_SIMILARITY, block: int = BLOCK, spelling: Spelling | None = None) -> DataFrame:
     """Runs of at least two consecutive events of a store that repeat the same caption.
 
     ``events``: store_no, pos, description, duration (array of two seconds), loaded_at. Rows with a
     null store or pos have no place and are left out; rows with the same store and pos are one event
     (the latest caption and span that are not null). A null, empty or wordless caption belongs to no
-    run and ends one. ``gap``: the most seconds between neighbours (None: any). An empty table gives
-    an empty result; further columns are ignored.
+    run and ends one. ``gap``: the most seconds between neighbours (None: any); with one, neighbours
+    without usable spans stay apart. ``spelling``: words in use, by default those of all ``events``.
+    An empty table gives an empty result; further columns are ignored.
 
     Returns store_no, first_pos, last_pos, event_count, start_s, end_s (hull of the usable spans,
     null if there is none), duration_s and caption (common form of the most frequent wording).
@@ -327,9 +427,10 @@ def caption_runs(events: DataFrame, gap: float | None = None, limit: float = MIN
     sorted_rows = (
         rows.repartition("store_no", "block").sortWithinPartitions("store_no", "block", "pos", F.col("loaded_at").asc_nulls_first()).drop("block", "loaded_at")
     )
+    shared = events.sparkSession.sparkContext.broadcast(spelling_of(events) if spelling is None else spelling)
     # far fewer rows than events, and read twice: written once to the shared checkpoint folder
-    parts = checkpointed(sorted_rows.mapInArrow(_block_runs(lambda p: p // block, gap, limit), _SCHEMA))
-    edges = parts.where("piece <> 'run'").repartition("owner").sortWithinPartitions("owner", "first_pos").mapInArrow(_stitched(gap, limit), _SCHEMA)
-    return parts.where("piece = 'run'").unionByName(edges).select(
+    parts = checkpointed(sorted_rows.mapInArrow(_block_runs(lambda p: p // block, gap, limit, shared), _SCHEMA))
+    edges = parts.where(f"part <> {RUN}").repartition("owner").sortWithinPartitions("owner", "first_pos", "part").mapInArrow(_stitched(gap, limit, shared), _SCHEMA)
+    return parts.where(f"part = {RUN}").unionByName(edges).select(
         F.col("owner").alias("store_no"), "first_pos", "last_pos", "event_count", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "caption"
     )
