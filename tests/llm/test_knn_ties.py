@@ -66,3 +66,14 @@ def test_exact_and_recall(spark):
     assert {q.vec_id: q.ids for q in knn.neighbours(df, exact=True).collect()} == want
     one = knn.recall(df, knn.neighbours(df), every=10).first()
     assert one.queries == sum(i % 10 == 0 for i in want) and one.recall > 0.95
+
+
+def test_block_search(spark, monkeypatch):
+    """More queries than are broadcast: blocks of queries against blocks of rows give the same answers."""
+    from tideline.operators import vector
+
+    for name, size in (("BLOCK", 50), ("QUERY_BLOCK", 300), ("ROW_BLOCK", 350)):
+        monkeypatch.setattr(vector, name, size)
+    x = vectors(900, 12, 9)
+    rows = [(i, 12, v.tolist()) for i, v in enumerate(x)]
+    assert {q.vec_id: q.ids for q in knn.neighbours(spark.createDataFrame(rows, SCHEMA), exact=True).collect()} == brute(rows)

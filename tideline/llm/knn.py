@@ -45,7 +45,7 @@ SAMPLE_PER_LIST, SAMPLE_MAX = 12, 131_072
 SHARD_SIZE = 8192
 #: Neighbours of a head in the graph, width of the search, heads that must have been expanded at its end,
 #: heads expanded per step, entry groups, most steps.
-DEGREE, BEAM, LOOK, EXPAND, ENTRIES, STEPS = 12, 24, 6, 3, 8, 12
+DEGREE, BEAM, LOOK, EXPAND, ENTRIES, STEPS = 12, 24, 6, 3, 16, 12
 #: A vector is posted to lists within POST_RATIO of its nearest head's distance, PROBE_RATIO for probing.
 POST_RATIO, MAX_POSTS = 1.06, 3
 PROBE_RATIO, MAX_PROBES = 1.2, 4

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm.bpe import encode_texts, token_counts
 from tideline.llm.captions import caption_runs
-from tideline.llm.knn import neighbour_pairs, neighbours
+from tideline.llm.knn import neighbour_pairs, neighbours, recall
 from tideline.llm.packing import pack
 from tideline.llm.pair_defects import pair_defects
 from tideline.llm.subjects import subject_areas
@@ -44,8 +44,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("p4_runs")
 def p4_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same runs with their whole duration and common caption."""
-    return caption_runs(table(spark, sf_dir, "vdb_events"))
+    """Runs with their whole duration and common caption, where neighbours stand at most 30 s apart."""
+    return caption_runs(table(spark, sf_dir, "vdb_events"), gap=30.0)
 
 
 @R.query("p6_ids")
@@ -65,3 +65,10 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas that each document is about."""
     return subject_areas(table(spark, sf_dir, "documents")).select("doc_id", "area")
+
+
+@R.query("p1_recall")
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the index against brute force, for every vector whose id 50 divides against all vectors."""
+    df = table(spark, sf_dir, "nano_vectors")
+    return recall(df, neighbours(df))
