@@ -1,15 +1,17 @@
-"""Defects of question and answer pairs: empty, truncated, refusal, copies_question, other_language.
+"""Defects of question and answer pairs: empty, truncated, copies_question, refusal, other_language.
 
-Ordered rules look at the response in its usual wrappers (code fence, JSON object, label) and emit
-every defect they find, the first being the decisive one:
+Every rule looks at every response, in its usual wrappers (code fence, JSON object, label), and all that
+are triggered come out; an order says which is the decisive one:
 
 1. ``empty``: nothing meaningful, or a complete wrapper with a blank answer;
-2. ``truncated``: unclosed fence, bracket or quote, or an abrupt end without a conclusion;
+2. ``truncated``: unclosed fence, bracket or quote, an abrupt end, or reasons that lead to no answer;
 3. ``copies_question``: after removal of the question, its options and lead-ins nothing is left;
-4. ``refusal``: a sentence declines to answer (phrases in four languages) and no answer is given;
-5. ``other_language``: script or function words belong to another language than the question's.
+4. ``refusal``: a sentence in which the speaker denies or declines an act of speech (answering, helping,
+   judging ...), in the languages of the phrase table, while no answer is given;
+5. ``other_language``: script, letters or function words belong to another language than the question's.
 
-Rows are independent, so the operator is one Arrow pass without a shuffle.
+A prediction that is an option letter shows that an answer was there. Rows are independent, so the
+operator is one Arrow pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,8 +35,8 @@ _BLANK_WORDS = frozenset(("", "n/a", "na", "none", "null", "unknown", "nan"))
 _LETTER_ONLY = re.compile(r"\s*[(\[]?\s*[A-Ha-h]\s*[)\]]?\s*[.:]?\s*\Z")
 #: A conclusion that names a letter, at the end of a text.
 _CONCLUSION = re.compile(
-    r"(?i)(?:answer(?: is)?|choose(?: option)?|choice is|antwort(?: ist)?|w[aä]hle(?: ich)?|respuesta(?: correcta)?(?: es)?|elijo(?: la opci[oó]n)?|"
-    r"r[eé]ponse(?: est)?|choisis|donc)\s*(?:therefore|la|l'|the)?\s*:?\s*[\"'“«(\[]*\s*[A-H]\s*[\"'”»)\]]*[.!]?\s*\Z"
+    r"(?i)(?:(?<!\w)(?:answer|choose|choice|option|antwort|w[aä]hle|respuesta|elijo|opci[oó]n|r[eé]ponse|choisis|donc|risposta|scelgo|resposta|escolho|antwoord|kies|odpowied[zź]|svar(?:et)?|ответ)(?!\w)|答案|答え|正解|回答|정답)"
+    r"\s*(?:(?:correcta|correta|corretta|certa|ich|option|opci[oó]n|is|ist|es|est|[eé]|è|to|[aä]r|er)(?!\w)|是|は|为|은|는)?\s*(?:(?:therefore|la|the|option|opci[oó]n)(?!\w)|l')?\s*(?:la opci[oó]n\s*)?[:：—–-]?\s*[\"'“«(\[]*\s*[A-H]\s*[\"'”»)\]]*[.!。]?\s*\Z"
 )
 _LAST_LETTER = re.compile(r"(?:^|\n\s*|:\s*)[(\[\"'«“]*[A-H][)\]\"'»”]*[.!]?\s*\Z")
 _END = re.compile(r"[.!?:;…。！？][\"'”’»)\]}`*]*\s*\Z")
@@ -42,26 +45,88 @@ _OPTION_MARK = re.compile(r"^\s*\(?[A-Ha-h][.):]\s*")
 _OPTION_LINE = re.compile(r"(?m)^\s*\(?[A-H][.):]\s.*$")
 _FENCE = re.compile(r"^\s*```[a-zA-Z]*")
 
-#: Phrases that decline to answer. Fixed values, by language.
-_REFUSAL = re.compile(
-    r"(?i)\b(?:"
-    # English
-    r"i(?:'m| am)? (?:cannot|can't|can not|could not|couldn't|won't|will not|must not|may not) (?:answer|help|assist|comment|respond|reply|provide|give|say|discuss|identify|judge|do that|fulfil|comply|share|offer)"
-    r"|i(?:'m| am) (?:not able|unable|not allowed|not permitted|not in a position) to\b"
-    r"|i(?:'d| would) (?:rather|prefer) not\b|i prefer not to\b|i don't feel comfortable|i do not feel comfortable|i have to (?:decline|pass|refuse)|i must (?:decline|pass|refuse|abstain)|i (?:decline|refuse) to\b"
-    r"|i(?:'m| am) going to sit this one out|sit this one out|i must leave unanswered|must be left unanswered|my guidelines (?:rule out|forbid|prevent|do not allow|don't allow)|(?:outside|beyond) what i (?:may|can) do"
-    r"|isn't something i (?:offer|do|can)|is not something i (?:offer|do|can)|not (?:be )?appropriate for me to|can give no answer|no access to the video|against my (?:guidelines|policy|rules)|as an ai\b"
-    # German
-    r"|(?:ich )?kann (?:ich )?(?:\w+ ){0,4}nicht (?:helfen|beantworten|antworten|sagen|beurteilen)|dabei kann ich nicht|m[oö]chte ich mich nicht|m[oö]chte (?:ich )?(?:\w+ ){0,3}nicht (?:beantworten|antworten|[aä]u[sß]+ern)|hier muss ich passen|muss ich (?:leider )?(?:passen|ablehnen)"
-    r"|(?:darf|kann) ich (?:\w+ ){0,3}nicht\b|antwort ist mir (?:\w+ ){0,3}nicht m[oö]glich|ist mir nicht (?:m[oö]glich|erlaubt|gestattet)|lehne (?:ich )?(?:\w+ ){0,3}ab\b"
-    # Spanish
-    r"|no puedo (?:ayudar|dar|responder|contestar|opinar|comentar|identificar|ofrecer)|no me est[aá] permitido|debo abstenerme|prefiero no (?:responder|contestar|opinar|decir)|no estoy (?:autorizado|en condiciones)|me niego a|no es posible para m[ií]"
-    # French
-    r"|je ne (?:peux|puis|saurais)\b|je peux pas|je ne suis pas (?:autoris[eé]|en mesure|capable)|je dois m'abstenir|je pr[eé]f[eè]re ne pas|il ne m'est pas permis|je refuse de|je ne souhaite pas|je dois (?:d[eé]cliner|refuser)|impossible pour moi"
-    r")"
+#: Words by which a speaker declines, by language: (the speaker, denial, acts of speech, declining as such).
+#: A sentence refuses if it has a speaker and either a denial with an act of speech or a declining word.
+#: Endings of verbs are left open. Fixed values.
+_DECLINING = {
+    "en": (
+        r"i|i'm|i'd|i'll|i've|me|my|myself|mine|we|our",
+        r"\w+n't|not|cannot|cant|unable|never|no|nor|neither|outside|beyond|against|rules? out|ruled out|forbids?|prevents?|prohibit\w*|inappropriate|impossible",
+        r"answer\w*|repl\w+|respon\w+|comment\w*|say|judg\w+|verdict|opinion|assist(?!ant)\w*|help\w*|discuss\w*|provid\w+|shar(?:e|ing)|identif\w+|speculat\w+|offer|compl(?:y|ies)|fulfil\w*|engage|guess|weigh in|address|do that|do this|do so|tell you",
+        r"declin\w+|refus\w+|abstain\w*|pass|skip|sit \w+ (?:\w+ )?out|leave\b.{0,25}\b(?:unanswered|to others|open|to someone else)|(?:rather|prefer|choose|better) not|unanswered|withhold\w*|(?:n't|not) feel comfortable|(?:not|n't) comfortable|excuse myself|stay silent",
+    ),
+    "de": (
+        r"ich|mir|mich|mein\w*|wir|uns",
+        r"nicht|keine?\w*|nie|unm[oö]glich|au(?:ß|ss)erhalb|untersag\w+|verbiet\w+|verwehrt",
+        r"\w*antwort\w*|sagen|sage|[aä]u(?:ß|ss)er\w*|helfen|helfe|hilfe|behilflich|auskunft|urteil\w*|beurteil\w*|kommentier\w*|kommentar|stellung|angaben?|meinung",
+        r"passen|ablehn\w*|lehne|verweiger\w*|enthalte\w*|[uü]berspring\w*|lieber nicht|verzicht\w*",
+    ),
+    "es": (
+        r"yo|me|mi|m[ií]|puedo|podr[ií]a|debo|prefiero|preferir[ií]a|quiero|voy|estoy|tengo|soy|lamento|contesto|respondo|contestar[eé]|responder[eé]|opino|niego|abstengo|rechazo",
+        r"no|nunca|tampoco|imposible|fuera|sin",
+        r"respond\w*|respuesta|contest\w*|ayud\w*|opin\w*|decir\w*|digo|coment\w*|identific\w*|juzg\w*|pronunci\w*|ofrec\w*|permitid\w*",
+        r"absten\w*|abstengo|niego|declin\w*|rechaz\w*|prefiero no|preferir[ií]a no|paso",
+    ),
+    "fr": (
+        r"je|j'\w*|me|m'\w*|moi|mon|ma|mes|nous",
+        r"ne|n'\w*|pas|jamais|impossible|aucune?|hors|interdi\w*",
+        r"r[eé]pon\w*|aider|aide|dire|comment\w*|prononc\w*|juger|avis|fournir|donner|identifi\w*|permis|m'exprimer",
+        r"abst(?:enir|iens)|m'abst\w+|d[eé]clin\w*|refus\w*|pr[eé]f[eè]r\w* ne|passer mon tour|m'abstenir",
+    ),
+    "it": (
+        r"io|mi|me|mio|posso|potrei|devo|preferisco|preferirei|voglio|vorrei|sono|rispondo|risponder[oò]|riesco",
+        r"non|mai|impossibile|nessun\w*",
+        r"rispond\w*|risposta|risponder[oò]|aiut\w*|dire|comment\w*|giudic\w*|pronunci\w*|fornir\w*|opinion\w*",
+        r"asteng\w*|astener\w*|rifiut\w*|declin\w*|preferi(?:sco|rei) non|passo",
+    ),
+    "pt": (
+        r"eu|me|meu|minha|mim|posso|poderia|devo|prefiro|preferia|quero|vou|estou|sou|consigo|lamento|respondo",
+        r"n[aã]o|nunca|imposs[ií]vel|nenhum\w*|fora",
+        r"respond\w*|respost\w*|ajud\w*|dizer|coment\w*|opin\w*|julg\w*|fornec\w*|identific\w*|pronunci\w*",
+        r"recus\w*|abst[eê]\w*|abstenho|prefiro n[aã]o|declin\w*|rejeit\w*",
+    ),
+    "nl": (
+        r"ik|mij|me|mijn|wij",
+        r"niet|geen|nooit|onmogelijk",
+        r"antwoord\w*|beantwoord\w*|helpen|help|zeggen|commentaar|oordel\w*|uitspraak|reageren|mening|behulpzaam",
+        r"weiger\w*|onthoud|liever niet|sla .{0,20}over|pas (?:hier|op|voor)",
+    ),
+    "pl": (
+        r"ja|mi|mnie|mog[eę]|potrafi[eę]|chc[eę]|b[eę]d[eę]|jestem|wol[eę]|musz[eę]|odmawiam|udziel[eę]|odpowiem|przykro",
+        r"nie|niemo[zż]liw\w*|[zż]adn\w*",
+        r"odpowie\w*|odpowiad\w*|pom[oó]c|powiedzie\w*|komentow\w*|oceni\w*|udzieli\w*|wypowiada\w*",
+        r"odmawiam|odm[oó]wi\w*|wol[eę] nie|wstrzym\w*",
+    ),
+    "sv": (
+        r"jag|mig|min|mitt|vi|jeg|meg|mig",
+        r"inte|ikke|aldrig|om[oö]jligt|ingen|inget|utanf[oö]r",
+        r"svar\w*|besvar\w*|hj[aä]lpa|hj[aæ]lpe|s[aä]ga|kommenter\w*|uttala|bed[oö]ma|uttale",
+        r"avst[aå]\w*|avb[oö]j\w*|v[aä]grar|helst inte|afst[aå]r|avsl[aå]r|n[aæ]gter",
+    ),
+    "ru": (
+        r"я|мне|меня|мой|могу|буду|хочу|хотел\w*|предпочитаю|вынужден\w*|мы",
+        r"не|нельзя|невозможно|никак\w*",
+        r"ответ\w*|отвеча\w*|помоч\w*|помога\w*|сказать|коммент\w*|суди\w*|обсужда\w*",
+        r"отказыва\w*|откажусь|воздерж\w*|предпочитаю не|уклон\w*",
+    ),
+}
+_REFUSALS = [tuple(re.compile(rf"(?<!\w)(?:{x})(?!\w)") for x in words) for words in _DECLINING.values()]
+#: Languages without blanks between words: (act of speech ... denial) or (denial ... act of speech).
+_REFUSALS_CJK = re.compile(
+    r"(?:答|回答|お手伝い|コメント|判断|意見)[^。！？]{0,10}(?:ません|ない|できかね|控え|差し控)|(?:控え|辞退)させて"
+    r"|(?:无法|無法|不能|不便|拒绝|拒絕|不会|不會|不方便|恕不|不予)[^。！？]{0,8}(?:回答|答复|答覆|帮|幫|提供|评论|評論|判断|判斷|奉告)|无可奉告"
+    r"|(?:답변|대답|답|도와|의견)[^.!?]{0,10}(?:없|않|못|어렵|거절)"
+)
+#: Words of talk about the evidence rather than of an answer. Fixed values.
+_EVIDENCE = re.compile(
+    r"(?i)(?<!\w)(?:options?|frames?|clips?|captions?|question|events?|segments?|footage|screen|picture|scene|resolution|seconds?|choice|view|"
+    r"bild|optionen|abschnitt|sekunden?|frage|szene|ausschnitt|imagen|opci[oó]n|opciones|fragmento|segundos?|escena|pregunta|l'image|image|passage|secondes?|sc[eè]ne)(?!\w)"
+)
+#: Openings by which a sentence states an answer. Fixed values.
+_STATES = re.compile(
+    r"(?i)^\W*(?:it|that|this|they|there)(?:'s| is| are| was| were| would be)(?! not)(?!\w)|^\W*(?:the answer|it must|das (?:ist|sind|war)|es (?:ist|sind|handelt)|zu sehen (?:ist|sind)|man sieht|es |son |hay |se trata|se ve |aparece "
+    r"|c'est|ce sont|il s'agit|on voit|il y a|[eè] |sono |si tratta|[eé] |trata-se|het is|dat is|to jest|det [aä]r)"
 )
-#: Sentences that look like a refusal but go on to answer.
-_HARMLESS = re.compile(r"(?i)\b(?:can't read the plate|cannot show the far side|low resolution of the clip|somebody off screen)\b")
 
 _ASKED = re.compile(
     r"(?i)^\W*(?:you asked|you ask|the question is|the question was|question|q|frage|die frage(?: lautet| ist)?|ihre frage|pregunta|la pregunta(?: es)?|question pos[eé]e|la question(?: est)?|vous demandez|preguntas|sie fragen|du fragst)\b\s*[:：,]?\s*"
@@ -71,14 +136,29 @@ _ASKED = re.compile(
 _FUNCTION_WORDS = {
     "en": "the is are was and of to in that it this with what which where how many does do can be seen shown as near there so not answer at on by because for from you have has but would since they an or fits since option options",
     "de": "der die das ist sind und zu nicht ein eine einen dem den des im um wird was wo wer wie auf mit für während bleibt daher passt aber davon es sich ich von bei zum zur erkennen sehen daneben nach als auch wenn ins kommt antwort am richtige weil dass",
-    "es": "el la los las es son y de que no un una en se qué cuál dónde hacia mientras con por para así lo al del está pero como cuando muestra más su respuesta porque le esto hay aparece tiene trata opción opciones",
+    "es": "el la los las es son y de que no un una en se qué cuál dónde hacia mientras con por para así lo al del está pero como cuando muestra más su respuesta porque le esto hay aparece tiene trata opción opciones durante unos unas ve eso ese este sobre entre sin muy también solo ya",
     "fr": "le la les est sont et de que ne pas un une des dans en se qu'est qui où vers pendant avec pour ainsi ce du au cela mais comme quand montre plus son réponse c'est il elle sur donc l'on une aux entre quel quelle s'agit par",
 }
-#: Languages that answers come in besides.
+#: Languages that answers may come in besides: frequent function words. Fixed values.
 _FURTHER = {
     "it": "il lo gli i della dello delle dei che è si non per uno un una del alla questa questo quello perché verso sono più con risposta quindi le e ma basta scena vede circa al nella nel possono",
     "pt": "os da do das dos não em uma uns umas é que para isso mas com resposta nenhum pela pelo certa vê ao há portanto mostra esta outras outros durante",
+    "nl": "de het een en van ik is dat niet op te zijn met voor er die wordt hier naar aan bij ook maar om dan nog wel deze dit heeft staat dus daarom antwoord welke geen zich kunnen",
+    "sv": "och att det som en ett är av för på med den till inte de om var han hon har jag men så här från kan svaret syns eftersom bilden därför ingen detta vid",
+    "da": "og at det som en et er af for på med den til ikke de om var han hun har jeg men så her fra kan svaret ses fordi billedet derfor ingen dette ved",
+    "pl": "i w na z do się nie że to jest jak ale po od przez dla są przy tym który która jego więc odpowiedź widać ponieważ obraz tylko może oraz za",
+    "cs": "a v na z do se ne že to je jak ale po od pro jsou při který která jeho tak odpověď vidět protože obraz jen může nebo za není",
+    "tr": "ve bir bu için ile de da çok daha ne olarak gibi ama var olan kadar sonra değil görüntü cevap çünkü olduğu yanıt şu veya ise",
+    "ro": "și în de la cu pe nu este un o care ce mai din pentru sunt dar sau prin se al ale răspunsul deci aceasta fost imaginea",
+    "fi": "ja on ei se että kuin mutta tai ovat hän oli joka tämä niin myös kun vain vastaus siis kuvassa näkyy koska",
+    "hu": "és a az hogy nem egy is meg van ez de csak volt már mint vagy ki azt mert válasz tehát képen látható ezért",
+    "id": "yang dan di ini itu dengan untuk dari tidak dalam adalah pada ke akan juga karena jawaban terlihat gambar jadi oleh",
+    "vi": "và của là có không được trong cho một này các với người đã những câu trả lời hình vì nên",
 }
+#: Letters that only some of these languages use. Fixed values.
+_LETTERS = {"pl": "ąćęłńśźż", "cs": "ěřůčšž", "tr": "ğışİ", "ro": "șțăâ", "hu": "őű", "vi": "ơưđạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ", "sv": "å", "da": "æøå", "de": "ß", "es": "ñ¿¡", "pt": "ãõ", "fr": "œ"}
+#: Those of which two words tell less than of a neighbouring language.
+_RARE = frozenset(_FURTHER) - {"it", "pt"}
 _SETS = {k: frozenset(v.split()) for k, v in (_FUNCTION_WORDS | _FURTHER).items()}
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _QUOTED = re.compile(r"«[^»]*»|„[^“”]*[“”]|“[^”]*”|\"[^\"]*\"|(?<!\w)'[^']*'(?!\w)")
@@ -102,15 +182,11 @@ def _script(text: str) -> str | None:
     return max(seen, key=lambda k: (seen[k], k)) if seen else None
 
 
-def _scores(text: str) -> dict[str, int]:
-    toks = [t.replace("’", "'") for t in _TOKEN.findall(text.casefold())]
-    return {k: sum(t in s for t in toks) for k, s in _SETS.items()}
-
-
 @lru_cache(1 << 14)
 def language(question: str) -> str | None:
     """Language of a question by its function words; None if they do not tell."""
-    sc = {k: v for k, v in _scores(question).items() if k in _FUNCTION_WORDS}
+    words, letters = _language_marks(question.replace("’", "'"))
+    sc = {k: sum(n for w, n in words.items() if w in _SETS[k]) + letters.get(k, 0) for k in _FUNCTION_WORDS}
     best = max(sc, key=lambda k: (sc[k], k))
     rest = max(v for k, v in sc.items() if k != best)
     return best if sc[best] > rest else None
@@ -203,50 +279,85 @@ def _fields(obj: dict) -> tuple[str | None, str, bool]:
     return (answer if answer is None or isinstance(answer, str) else json.dumps(answer)), " ".join(other), there
 
 
+RULES = {name: k + 1 for k, name in enumerate(DEFECTS)}
+
+
+class _Pair:
+    """What the rules look at."""
+
+    def __init__(self, question: str | None, response: str | None, options: list[str] | None, predicted: str | None):
+        self.question, self.options = (question or "").strip(), [o for o in options or [] if o]
+        text = _INVISIBLE.sub("", response or "").strip()
+        body, self.cut = _unwrap(text)
+        self.body = body.strip()
+        self.nothing = bool(_NOTHING.match(text) or _NOTHING.match(self.body) or _NOTHING.match(_LABEL.sub("", self.body)))
+        obj, self.said, self.broken = None, self.body, False
+        if self.body[:1] in "{[":
+            try:
+                obj = json.loads(self.body, strict=False)
+            except ValueError:
+                if not _balanced(self.body):
+                    self.broken, self.said = True, _strings(self.body)
+        if isinstance(obj, list) and len(obj) == 1 and isinstance(obj[0], dict):
+            obj = obj[0]
+        self.answer, self.analysis, self.blank = None, self.said, False
+        if isinstance(obj, dict):
+            self.answer, self.analysis, _ = _fields(obj)
+            self.blank = self.answer is None or bool(_INVISIBLE.sub("", self.answer).strip().lower() in _BLANK_WORDS or _NOTHING.match(self.answer))
+            if self.blank:
+                self.answer = None
+            self.said = f"{self.analysis} {self.answer or ''}".strip()
+        #: plain text, whole or not
+        self.plain = obj is None and not self.broken
+        self.given = self.answer if self.answer is not None else self.said
+        self.letter = bool(_LETTER_ONLY.match(self.answer or self.body)) or self.plain and bool(_CONCLUSION.search(self.body) or _LAST_LETTER.search(self.body))
+        self.predicted = bool(predicted and _LETTER_ONLY.match(predicted))
+
+
+def _hits(p: _Pair) -> dict[str, bool]:
+    """Every rule that is triggered, and whether it makes the pair defective by itself (a rule may also
+    show something beside another defect)."""
+    if p.nothing:
+        return {"empty": True}
+    found: dict[str, bool] = {}
+    if p.blank:
+        found["empty"] = True
+    ends = p.plain and not p.letter and not p.predicted and _breaks_off(p.body, p.question, p.options)
+    if p.broken or p.cut or ends:
+        found["truncated"] = True
+    if p.question and not p.letter:
+        if any(_copies(x, p.question, p.options) for x in {p.said, p.given, p.analysis}):
+            found["copies_question"] = p.blank or _copies(p.given, p.question, p.options)
+    if not p.letter and not (p.predicted and p.answer is not None) and _declines(p.said):
+        found["refusal"] = not p.predicted
+    if _foreign(p.question, p.analysis, p.answer or p.analysis, p.options):
+        found["other_language"] = True
+    return found
+
+
+def _order(p: _Pair, found: dict[str, bool]) -> list[str]:
+    """The decisive defect first: an unclosed wrapper says nothing else for sure; a blank answer is for
+    want of one unless the text says why; a refusal that comes to its end is not truncated."""
+    if p.broken:
+        first = ("truncated",)
+    elif p.blank:
+        first = ("refusal", "copies_question", "empty")
+    elif "truncated" in found and "refusal" in found and _END.search(p.body) and not _ELLIPSIS.search(p.body):
+        first = ("copies_question", "refusal")
+    else:
+        first = ("copies_question",)
+    order = [*first, *(d for d in DEFECTS if d not in first)]
+    return sorted(found, key=lambda d: (not found[d], order.index(d)))
+
+
 def defects(question: str | None, response: str | None, options: list[str] | None = None, predicted: str | None = None) -> list[str]:
     """Every defect of a pair, the decisive one first; [] if there is none.
 
-    A null or blank question has no language and cannot be copied. Null options count as none. Every rule
-    is tried on its own; ``_ordered`` only says which hit is decisive."""
-    first = _ordered(question, response, options)
-    return first + [d for d in _all(question, response, options) if d not in first] if first else first
-
-
-def _all(question: str | None, response: str | None, options: list[str] | None) -> list[str]:
-    """Hits of each rule on a pair that has a defect, whatever the others say."""
-    text = _INVISIBLE.sub("", response or "").strip()
-    question, options = (question or "").strip(), [o for o in options or [] if o]
-    body, cut = _unwrap(text)
-    body = body.strip()
-    if _NOTHING.match(body) or _NOTHING.match(_LABEL.sub("", body)):
-        return ["empty"]
-    obj, answer, said = None, None, body
-    if body[:1] in "{[":
-        try:
-            obj = json.loads(body, strict=False)
-        except ValueError:
-            if not _balanced(body):
-                cut, said = True, _strings(body)
-    if isinstance(obj, list) and len(obj) == 1 and isinstance(obj[0], dict):
-        obj = obj[0]
-    found, analysis = [], said
-    if isinstance(obj, dict):
-        answer, analysis, _ = _fields(obj)
-        if answer is None or _INVISIBLE.sub("", answer).strip().lower() in _BLANK_WORDS or _NOTHING.match(answer):
-            found.append("empty")
-            answer = None
-        said = f"{analysis} {answer or ''}".strip()
-    plain = obj is None and said is body
-    letter = bool(_LETTER_ONLY.match(answer or body)) or bool(plain and (_CONCLUSION.search(body) or _LAST_LETTER.search(body)))
-    if question and not letter and any(_copies(x, question, options) for x in {said, answer or said, analysis}):
-        found.append("copies_question")
-    if cut or plain and not letter and _breaks_off(body, options):
-        found.append("truncated")
-    if not letter and _declines(said):
-        found.append("refusal")
-    if _foreign(question, analysis, answer or analysis, options):
-        found.append("other_language")
-    return found
+    A null or blank question has no language and cannot be copied. Null options count as none, a null or
+    unreadable prediction tells nothing."""
+    p = _Pair(question, response, options, predicted)
+    found = _hits(p)
+    return _order(p, found) if any(found.values()) else []
 
 
 def _strings(text: str) -> str:
@@ -255,7 +366,12 @@ def _strings(text: str) -> str:
     return " ".join(re.sub(r'\\(["\\/])|\\[nrt]', lambda m: m[1] or " ", x) for x, key in parts if not key).strip()
 
 
-def _breaks_off(body: str, options: list[str]) -> bool:
+def _sentences(text: str) -> list[str]:
+    return [s.strip() for s in re.split(r"(?<=[.!?])\s+|(?<=[。！？])|\n", text) if s.strip()]
+
+
+def _breaks_off(body: str, question: str, options: list[str]) -> bool:
+    """A plain text that stops before its end, or before it comes to an answer."""
     n, ended = len(body.split()), bool(_END.search(body))
     opts = {_plain(_OPTION_MARK.sub("", o)) for o in options}
     is_option = any(_plain(_OPTION_MARK.sub("", x)) in opts for x in (body, body.splitlines()[-1]))  # or a list of options ends with one
@@ -264,88 +380,33 @@ def _breaks_off(body: str, options: list[str]) -> bool:
         return True
     if not ended:
         return not options and n > 8
-    return not _answers(body, options) and _reasons_only(body)
-
-
-def _ordered(question: str | None, response: str | None, options: list[str] | None) -> list[str]:
-    """Defects by the ordered rules, of which the first hit is decisive."""
-    if response is None:
-        return ["empty"]
-    text = _INVISIBLE.sub("", response).strip()
-    question, options = (question or "").strip(), [o for o in options or [] if o]
-    if _NOTHING.match(text):
-        return ["empty"]
-    body, open_fence = _unwrap(text)
-    body = body.strip()
-    if _NOTHING.match(body) or _NOTHING.match(_LABEL.sub("", body)):
-        return ["empty"]
-
-    found: list[str] = []
-    obj, answer, analysis = None, None, body
-    if body[:1] in "{[":
-        try:
-            obj = json.loads(body, strict=False)
-        except ValueError:
-            if not _balanced(body):
-                return ["truncated"]
-    if isinstance(obj, list) and len(obj) == 1 and isinstance(obj[0], dict):
-        obj = obj[0]
-    if isinstance(obj, dict):
-        answer, analysis, there = _fields(obj)
-        blank = answer is None or _INVISIBLE.sub("", answer).strip().lower() in _BLANK_WORDS or _NOTHING.match(answer)
-        if blank:
-            if _declines(analysis):
-                return ["refusal"]
-            if question and _copies(analysis, question, options):
-                return ["copies_question"]
-            return ["empty"]
-    elif open_fence:
-        found.append("truncated")
-
-    letter = bool(answer is not None and _LETTER_ONLY.match(answer)) or bool(_LETTER_ONLY.match(body)) or bool(obj is None and (_CONCLUSION.search(body) or _LAST_LETTER.search(body)))
-    given = answer if answer is not None else body
-    if obj is None and not letter and not found:
-        opts = {_plain(_OPTION_MARK.sub("", o)) for o in options}
-        is_option = _plain(_OPTION_MARK.sub("", body)) in opts
-        marked = bool(_OPTION_MARK.match(body)) and len(body.split()) <= 12
-        copy = bool(question) and _copies(body, question, options)
-        if copy:
-            found.append("copies_question")
-        elif (_ELLIPSIS.search(body) or not _END.search(body)) and not is_option and not marked and len(body.split()) > 5:
-            found.append("truncated")
-        elif not options and not _END.search(body) and len(body.split()) > 8:
-            found.append("truncated")
-        elif _END.search(body) and not _answers(body, options) and _reasons_only(body):
-            found.append("truncated")
-    elif not letter and question and _copies(given, question, options):
-        found.append("copies_question")
-    if not letter and (_declines(body if obj is None else f"{analysis} {given}")) and "copies_question" not in found:
-        found.append("refusal")
-        if "truncated" in found and _END.search(body) and not _ELLIPSIS.search(body):
-            found.remove("truncated")
-    if _foreign(question, analysis if obj is not None else body, given, options):
-        found.append("other_language")
-    return found
-
-
-def _declines(text: str) -> bool:
-    return any(_REFUSAL.search(s.replace("’", "'")) and not _HARMLESS.search(s) for s in re.split(r"(?<=[.!?])\s+|\n", text))
-
+    return not _answers(body, question, opts)
 
-_REASON = re.compile(
-    r"(?i)^(?:the (?:clip|caption|question|frames|\w+(?:[ -]\w+){0,3} is in view)|options? |no frame|between |event \d|of the four|unfortunately the first|i am sorry for the low|it is not possible that|a sign in|somebody off|i can't read"
-    r"|das bild ist|die optionen|der abschnitt|f[uü]r etwa|las opciones|la imagen|el fragmento|durante unos|les options|l'image|le passage|pendant \d)"
-)
 
+def _answers(body: str, question: str, opts: set[str]) -> bool:
+    """Some sentence gives an answer: it states one, or begins with an option, or it does not just talk
+    about the evidence and stands alone."""
+    parts = _sentences(body)
+    if question and parts and _plain(parts[0]) == _plain(question):
+        parts = parts[1:]
+    for s in parts:
+        w = _plain(s).split()
+        if _STATES.match(s) or any(o and " ".join(w[i:]).startswith(o) for o in opts for i in range(min(3, len(w)))):
+            return True
+    denied = any(f.search(low) and no.search(low) for s in parts for low in [s.casefold().replace("’", "'")] for f, no, _, _ in _REFUSALS)
+    return not denied and len(parts) <= 1 and not any(_EVIDENCE.search(s) for s in parts)
 
-def _reasons_only(text: str) -> bool:
-    """All sentences are reasons that lead up to an answer, and none gives it."""
-    parts = [s for s in re.split(r"(?<=[.!?])\s+|\n", text) if s.strip()]
-    return bool(parts) and all(_REASON.match(s.strip()) for s in parts)
 
-
-def _answers(text: str, options: list[str]) -> bool:
-    return bool(re.search(r"(?i)^(?:it is|that would be|das ist|zu sehen ist|es |se trata|c'est|il s'agit)", text))
+def _declines(text: str) -> bool:
+    """Some sentence refuses to answer."""
+    for s in _sentences(text):
+        low = s.casefold().replace("’", "'")
+        if _REFUSALS_CJK.search(s):
+            return True
+        for speaker, denial, speech, decline in _REFUSALS:
+            if speaker.search(low) and (decline.search(low) or denial.search(low) and speech.search(low)):
+                return True
+    return False
 
 
 def _foreign(question: str, analysis: str, given: str, options: list[str]) -> bool:
@@ -363,27 +424,35 @@ def _foreign(question: str, analysis: str, given: str, options: list[str]) -> bo
     lang = language(question)
     if lang is None:
         return False
-    sc = _scores(text)
-    best = max(sc, key=lambda k: (sc[k], k))
-    return best != lang and sc[best] >= 2 and sc[best] > 1.5 * sc[lang]
+    words, letters = _language_marks(text)
+    own = _SETS[lang]
+    for other, theirs in _SETS.items():
+        if other != lang:
+            a = sum(n for w, n in words.items() if w in theirs and w not in own) + letters.get(other, 0)
+            b = sum(n for w, n in words.items() if w in own and w not in theirs) + letters.get(lang, 0)
+            if a >= (3 if other in _RARE else 2) and a > 1.5 * b:
+                return True
+    return False
+
+
+def _language_marks(text: str) -> tuple[Counter, dict[str, int]]:
+    """Words of a text with their number, and by language the number of letters that mark it."""
+    low = text.casefold()
+    return Counter(_TOKEN.findall(low)), {k: n for k, cs in _LETTERS.items() if (n := sum(low.count(c) for c in cs))}
 
 
-_SCHEMA = "response_id bigint, rule_no int, defect string"
+_SCHEMA = "response_id bigint, rank int, rule_no int, defect string"
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, nos, names = [], [], []
-        for i, q, r, o, p in zip(*(b.column(k).to_pylist() for k in range(5))):
-            for n, d in enumerate(defects(q, r, o, p)):
-                ids.append(i)
-                nos.append(n)
-                names.append(d)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(names, pa.string())], ["response_id", "rule_no", "defect"])
+        rows = [(i, n, RULES[d], d) for i, q, r, o, p in zip(*(b.column(k).to_pylist() for k in range(5))) for n, d in enumerate(defects(q, r, o, p))]
+        cols = list(zip(*rows)) or [(), (), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["response_id", "rank", "rule_no", "defect"])
 
 
 def pair_defects(responses: DataFrame) -> DataFrame:
-    """Every triggered defect of each row: response_id, rule_no (0 is decisive), defect.
+    """Every triggered defect of each row: response_id, rank (0 is decisive), rule_no (1 to 5), defect.
 
     ``responses``: response_id, question, response, options, predicted. Each row is judged alone, so
     repeated rows repeat their defects; an empty table gives an empty result; further columns are ignored.

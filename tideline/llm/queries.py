@@ -27,7 +27,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("p2_found")
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decisive defect of each defective response."""
-    return pair_defects(table(spark, sf_dir, "responses")).where("rule_no = 0").select("response_id", "defect")
+    return pair_defects(table(spark, sf_dir, "responses")).where("rank = 0").select("response_id", "defect")
 
 
 @R.query("p2_all")
