@@ -129,6 +129,7 @@ class Spelling:
 
     def __init__(self, counts: dict[str, int] | None = None):
         self.counts = counts or {}
+        self.top = max(self.counts.values(), default=0)
         self.meant: dict[str, tuple[str, int]] = {}
         self.pairs: dict[tuple[str, str], int | None] = {}
 
@@ -142,18 +143,24 @@ class Spelling:
         x, y = self.counts.get(a, 0), self.counts.get(b, 0)
         return y > 0 and (x <= SHARE * y or x <= FEW and x <= FEW_SHARE * y)
 
+    def may_be_slip(self, w: str) -> bool:
+        """Rare beside the most frequent word."""
+        n = self.counts.get(w, 0)
+        return n <= SHARE * self.top or n <= FEW and n <= FEW_SHARE * self.top
+
     def _meant(self, w: str) -> tuple[str, int]:
         """The most frequent word that ``w`` is a slip of, and the number of slips; itself if there is none."""
         got = self.meant.get(w)
         if got is None:
             got = w, 0
-            if len(w) > 3 and w.isalpha() and self.counts:
+            if len(w) > 3 and w.isalpha() and self.may_be_slip(w):
                 near = _edits(w)
-                for n, some in ((1, near), (2, set().union(*(_edits(x, False) for x in near)) if len(w) > 6 else ())):
-                    better = [x for x in some if x in self.counts and self.rare_beside(w, x)]
-                    if better:
-                        got = max(better, key=lambda x: (self.counts[x], x)), n
-                        break
+                better = [x for x in near if x in self.counts and self.rare_beside(w, x)]
+                n = 1
+                if not better and len(w) > 6:  # a second slip, in one more letter or two swapped
+                    n, better = 2, [x for y in near for x in _edits(y, False) if x in self.counts and self.rare_beside(w, x)]
+                if better:
+                    got = max(better, key=lambda x: (self.counts[x], x)), n
             if len(self.meant) > 1 << 17:
                 self.meant.clear()
             self.meant[w] = got
@@ -184,6 +191,8 @@ class Spelling:
             got = [n for n in (slips(x, y, most), slips(*single, most)) if n is not None]
             if got:
                 return min(got)
+        if abs(len(a) - len(b)) > 4 or len(set(a) ^ set(b)) > 4 or not (self.may_be_slip(a) or self.may_be_slip(b)):
+            return None
         (x, n), (y, m) = self._meant(a), self._meant(b)
         return n + m if n + m and (x == y or _one_verb(x, y)) else None
 
