@@ -9,7 +9,7 @@ from tideline.llm.captions import caption_runs
 from tideline.llm.knn import neighbour_pairs, neighbours, recall
 from tideline.llm.packing import pack
 from tideline.llm.pair_defects import pair_defects
-from tideline.llm.subjects import subject_areas
+from tideline.llm.subjects import agreement, subject_areas
 from tideline.registry import Registry
 from tideline.sources.tables import table
 
@@ -64,7 +64,17 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas that each document is about."""
-    return subject_areas(table(spark, sf_dir, "documents")).select("doc_id", "area")
+    return _subjects(spark, sf_dir).select("doc_id", "area")
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_areas"))
+
+
+@R.query("p8_agreement")
+def p8_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of the areas against the raters' labels, on which nothing is fitted."""
+    return agreement(_subjects(spark, sf_dir), table(spark, sf_dir, "doc_area_labels"))
 
 
 @R.query("p1_recall")
