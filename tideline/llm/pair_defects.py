@@ -111,6 +111,7 @@ _DECLINING = {
     ),
 }
 _REFUSALS = [tuple(re.compile(rf"(?<!\w)(?:{x})(?!\w)") for x in words) for words in _DECLINING.values()]
+_MAY_REFUSE = re.compile("|".join(rf"(?<!\w)(?:{no}|{out})(?!\w)" for _, no, _, out in _DECLINING.values()))
 #: Languages without blanks between words: (act of speech ... denial) or (denial ... act of speech).
 _REFUSALS_CJK = re.compile(
     r"(?:答|回答|お手伝い|コメント|判断|意見)[^。！？]{0,10}(?:ません|ない|できかね|控え|差し控)|(?:控え|辞退)させて"
@@ -401,8 +402,10 @@ def _declines(text: str) -> bool:
     """Some sentence refuses to answer."""
     for s in _sentences(text):
         low = s.casefold().replace("’", "'")
-        if _REFUSALS_CJK.search(s):
+        if not s.isascii() and _REFUSALS_CJK.search(s):
             return True
+        if not _MAY_REFUSE.search(low):
+            continue
         for speaker, denial, speech, decline in _REFUSALS:
             if speaker.search(low) and (decline.search(low) or denial.search(low) and speech.search(low)):
                 return True
@@ -424,17 +427,31 @@ def _foreign(question: str, analysis: str, given: str, options: list[str]) -> bo
     lang = language(question)
     if lang is None:
         return False
-    words, letters = _language_marks(text)
-    own = _SETS[lang]
-    for other, theirs in _SETS.items():
-        if other != lang:
-            a = sum(n for w, n in words.items() if w in theirs and w not in own) + letters.get(other, 0)
-            b = sum(n for w, n in words.items() if w in own and w not in theirs) + letters.get(lang, 0)
-            if a >= (3 if other in _RARE else 2) and a > 1.5 * b:
+    low = text.casefold()
+    tokens, alien = _TOKEN.findall(low), _alien(lang)
+    votes = Counter(k for w in tokens if w in alien for k in alien[w])
+    for k, cs in _LETTERS.items():
+        if k != lang and (n := sum(low.count(c) for c in cs)):
+            votes[k] += n
+    for other, a in votes.items():
+        if a >= (3 if other in _RARE else 2):
+            theirs = _SETS[other]
+            b = sum(w in _SETS[lang] and w not in theirs for w in tokens) + sum(low.count(c) for c in _LETTERS.get(lang, ""))
+            if a > 1.5 * b:
                 return True
     return False
 
 
+@lru_cache(8)
+def _alien(lang: str) -> dict[str, tuple[str, ...]]:
+    """Function words that a language does not have, with the languages that do."""
+    out: dict[str, tuple[str, ...]] = {}
+    for k, ws in _SETS.items():
+        for w in ws - _SETS[lang]:
+            out[w] = (*out.get(w, ()), k)
+    return out
+
+
 def _language_marks(text: str) -> tuple[Counter, dict[str, int]]:
     """Words of a text with their number, and by language the number of letters that mark it."""
     low = text.casefold()
