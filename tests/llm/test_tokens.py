@@ -68,3 +68,18 @@ def test_pack(spark):
         parts = Counter(t.doc_id for t in got)
         assert all(parts[i] == max(1, -(-n // 64)) for i, n in rows[:500] if i != 7)
     assert pack(df.limit(0), "doc_id", "n", 64).count() == 0
+
+
+def test_fill_report(spark):
+    """No container is overfull, no token is lost, nothing that fits is split, and the number of containers
+    is within a few of the least possible."""
+    from tideline.llm.packing import fill_report
+
+    r = random.Random(9)
+    rows = [(i, int(r.lognormvariate(3, 1))) for i in range(4000)] + [(9000, 5000), (9001, None), (9002, 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n bigint")
+    got = fill_report(pack(df, "doc_id", "n", 512, shard_items=900), 512).first()
+    assert got.tokens == sum(n or 0 for _, n in rows) and got.overfull == got.wrong_fill == got.wrongly_split == 0
+    assert got.split_items == sum((n or 0) > 512 for _, n in rows) and got.least_containers <= got.containers <= 1.02 * got.least_containers + 3
+    none = fill_report(pack(df.limit(0), "doc_id", "n", 512), 512).first()
+    assert (none["items"], none.tokens, none.containers) == (0, 0, 0)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import checkpointed
+
 #: Items of a shard, on average. Shards grow in number with the input, not in size.
 SHARD_ITEMS = 20_000
 #: Shards whose open containers are packed together.
@@ -118,7 +120,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, n_items: int | No
     dealt = items.select(
         F.pmod(F.xxhash64(F.col(key)), F.lit(shards)).cast("bigint").alias("shard"), F.col(key).cast("bigint").alias("doc"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("size")
     )
-    packed = dealt.groupBy("shard").applyInArrow(_pack_shard(capacity), "shard bigint, doc bigint, part int, size bigint, box bigint, fill bigint")
+    # one small row per item, read twice: written once, so that no shard is packed again
+    packed = checkpointed(dealt.groupBy("shard").applyInArrow(_pack_shard(capacity), "shard bigint, doc bigint, part int, size bigint, box bigint, fill bigint"))
     opened = packed.where(f"fill between 1 and {capacity - 1}").groupBy("shard", "box").agg(F.max("fill").alias("fill"))
     moved = (
         opened.withColumn("grp", F.floor(F.col("shard") / GROUP_SHARDS))
@@ -130,3 +133,20 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, n_items: int | No
     return joined.select(
         F.col("doc").alias("doc_id"), "part", F.col("size").alias("n_tokens"), box_id.alias("container_id"), F.coalesce("to_fill", "fill").alias("fill")
     )
+
+
+def fill_report(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row that shows what a packing keeps and how tight it is: items (rows), tokens, containers, least_containers
+    (tokens over capacity, rounded up: no packing needs fewer), fill_share, overfull (containers above
+    the capacity), wrong_fill (containers whose rows do not add up to their fill), split_items (items in
+    several parts) and wrongly_split (those that would fit one container)."""
+    box = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("t"), F.max("fill").alias("fill"), F.count("*").alias("rows"))
+    a = box.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("items"), F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"), F.count_if(F.col("t") > 0).alias("containers"),
+        F.count_if(F.col("t") > capacity).alias("overfull"), F.count_if(F.col("t") != F.col("fill")).alias("wrong_fill"),
+    )
+    cut = packed.where("part > 0").select("doc_id").distinct()
+    whole = packed.join(cut, "doc_id", "left_semi").groupBy("doc_id").agg(F.sum("n_tokens").alias("t"))
+    b = whole.agg(F.count("*").alias("split_items"), F.count_if(F.col("t") <= capacity).alias("wrongly_split"))
+    least = F.ceil(F.col("tokens") / capacity).cast("bigint")
+    return a.join(b, F.lit(True)).select("items", "tokens", "containers", least.alias("least_containers"), F.round(F.try_divide(F.col("tokens"), F.col("containers") * capacity), 6).alias("fill_share"), "overfull", "wrong_fill", "split_items", "wrongly_split")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tideline.llm.bpe import encode_texts, token_counts
 from tideline.llm.captions import caption_runs
 from tideline.llm.knn import neighbour_pairs, neighbours, recall
-from tideline.llm.packing import pack
+from tideline.llm.packing import fill_report, pack
 from tideline.llm.pair_defects import pair_defects
 from tideline.llm.subjects import agreement, subject_areas
 from tideline.registry import Registry
@@ -61,6 +61,12 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_counts(docs, "doc_id"), "doc_id", "n_tokens", CAPACITY, n_items=docs.count())
 
 
+@R.query("p7_fill")
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the packing keeps and how near it comes to the least number of containers."""
+    return fill_report(p7_containers(spark, sf_dir), CAPACITY)
+
+
 @R.query("p8_found")
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas that each document is about."""
