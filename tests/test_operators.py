@@ -56,6 +56,23 @@ def test_overlap_join(spark, width):
         assert got == sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and ok(p, q))
 
 
+def test_overlap_join_of_very_long_intervals(spark):
+    """Lengths from nothing to 10**9: no interval is written into many buckets, and no pair is lost or doubled."""
+    r = random.Random(3)
+    make = lambda n: [(r.choice([1, 2]), i, s := r.randint(-(10**6), 10**6), s + r.choice([0, 5, 100, 10**4, 10**6, 10**8, 10**9])) for i in range(n)]
+    a, b = make(120), make(120)
+    left = spark.createDataFrame(a, "k int, i int, ls bigint, le bigint")
+    assert I._cells(left, "ls", "le", 64).count() < 40 * len(a)
+    got = sorted((x.i, x.j) for x in I.overlap_join(left, spark.createDataFrame(b, "k int, j int, rs bigint, re bigint"), ["k"], FI.overlaps_closed).collect())
+    assert got == sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and p[2] <= q[3] and p[3] >= q[2])
+
+
+def test_coverage_and_hits(spark):
+    runs = spark.createDataFrame([(1, 0, 10), (1, 20, 30)], "k int, s bigint, e bigint")
+    refs = spark.createDataFrame([(1, 1, 5, 25), (1, 2, 10, 10), (1, 3, 9, 9), (1, 4, 40, 50), (1, 5, 30, 20), (2, 6, 0, 5)], "k int, i int, s bigint, e bigint")
+    assert {x.i: x.coverage for x in I.coverage(runs, refs, "k").collect()} == {1: 0.5, 2: 0.0, 3: 1.0, 4: 0.0, 5: 0.0, 6: 0.0}
+
+
 @pytest.mark.parametrize("gap", [0, 5])
 def test_merged_and_clusters(spark, gap):
     rows = [(k, i, s, e) for k, i, s, e in spans(100, 3) if gap or e > s]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def seconds_of(text: Column) -> Column:
     """Seconds of ``S``, ``M:S`` or ``H:M:S`` split at ``:`` and ``.``; only digit parts count, and of more
     than three the first three (so ``29:32.120`` is 29 h 32 min 120 s). Null without a digit part."""
-    p = F.filter(F.split(F.trim(text), "[:.]"), lambda x: x.rlike("^[0-9]+$"))
+    p = F.filter(F.transform(F.split(F.trim(text), "[:.]"), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]+$"))
     n = lambda i: F.get(p, F.lit(i)).cast("bigint")
     return F.when(F.size(p) == 0, None).when(F.size(p) == 1, n(0)).when(F.size(p) == 2, n(0) * 60 + n(1)).otherwise(n(0) * 3600 + n(1) * 60 + n(2))
 
@@ -20,7 +20,7 @@ def segments_of(ref: Column) -> Column:
     or unreadable references; an equal pair stays empty (C6/C9)."""
     t = F.trim(ref)
     bad = t.isNull() | t.isin("", "N/A", "None", "None-None")
-    a, b = F.trim(F.get(F.split(t, "-"), F.lit(0))), F.trim(F.get(F.split(t, "-"), F.lit(1)))
+    a, b = F.trim(F.get(F.split(t, "-", 2), F.lit(0))), F.trim(F.get(F.split(t, "-", 2), F.lit(1)))
     lo, hi = seconds_of(F.when(a == "", b).otherwise(a)), seconds_of(F.when(b == "", a).otherwise(b))
     one = lambda s, e, p: F.struct(s.alias("gs"), e.alias("ge"), F.lit(p).alias("point"))
     span = F.when(lo.isNull() | hi.isNull() | (hi < lo), None).otherwise(F.array(one(lo, hi, False)))
@@ -29,6 +29,17 @@ def segments_of(ref: Column) -> Column:
     return F.when(bad, None).when(t.contains("-"), span).otherwise(listed)
 
 
+def valid_reference(ref: Column) -> Column:
+    """A reference that an evaluation counts: not a word for none, both sides of a range there, and every
+    time in it readable."""
+    t = F.trim(ref)
+    sides = F.split(t, "-", 2)
+    there = lambda x: ~F.trim(x).isin("", "None") & seconds_of(x).isNotNull()
+    points = F.filter(F.split(t, ","), lambda x: F.trim(x) != "")
+    ok = F.when(t.contains("-"), F.forall(sides, there)).otherwise((F.size(points) > 0) & F.forall(points, lambda x: seconds_of(x).isNotNull()))
+    return F.coalesce(~t.isin("", "N/A", "None", "None-None") & ok, F.lit(False))
+
+
 def hms(seconds: Column) -> Column:
     s = F.floor(seconds).cast("bigint")
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("bigint"), F.floor(s % 3600 / 60).cast("bigint"), s % 60)

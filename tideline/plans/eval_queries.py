@@ -9,7 +9,7 @@ from tideline.functions import answers as A
 from tideline.functions import timetext as T
 from tideline.operators import seeds as S
 from tideline.operators.metrics import MEASURES, averaged, retrieval_accuracy
-from tideline.plans.base import EV, GT, SD, events, question_truth, seeds, truth
+from tideline.plans.base import EV, GT, SD, events, json_scalar, question_truth, seeds, store_questions, truth, valid_sql, valid_truth
 from tideline.plans.graph_queries import TOP, top_seeds
 from tideline.registry import Registry
 from tideline.sources import stores
@@ -17,24 +17,28 @@ from tideline.sources.tables import table
 
 R = Registry()
 
-_ACC = f"""WITH {SD}, {TOP}, {GT}, raw AS (SELECT t.store_no, t.question_id, t.event_id, f.s, f.e FROM top t JOIN (SELECT store_no, question_id, event_id, arg_min(s, ord) AS s, arg_min(e, ord) AS e FROM sd GROUP BY ALL) f USING (store_no, question_id, event_id)),
+_ACC = f"""WITH {SD}, {TOP}, {GT}, vt AS (SELECT gt.* FROM gt JOIN qn USING (store_no, question_id) WHERE {valid_sql("qn.ref")}), raw AS (SELECT t.store_no, t.question_id, t.event_id, f.s, f.e FROM top t JOIN (SELECT store_no, question_id, event_id, arg_min(s, ord) AS s, arg_min(e, ord) AS e FROM sd GROUP BY ALL) f USING (store_no, question_id, event_id)),
 x AS (SELECT store_no, question_id, event_id, CAST(floor(s) AS BIGINT) AS s, greatest(CAST(floor(e) AS BIGINT), CAST(floor(s) AS BIGINT) + 1) AS e FROM raw),
-h AS (SELECT x.store_no, x.question_id, x.event_id, gt.seg FROM x JOIN gt USING (store_no, question_id) WHERE greatest(x.s, gt.gs) < least(x.e, gt.ge)),
+h AS (SELECT x.store_no, x.question_id, x.event_id, vt.seg FROM x JOIN vt USING (store_no, question_id) WHERE greatest(x.s, vt.gs) < least(x.e, vt.ge)),
 nh AS (SELECT store_no, question_id, count(DISTINCT event_id) AS tp_evt, count(DISTINCT seg) AS tp_seg FROM h GROUP BY ALL),
 ne AS (SELECT store_no, question_id, count(*) AS n_events, sum(e - s) AS total_s FROM x GROUP BY ALL),
-ng AS (SELECT store_no, question_id, count(*) AS n_segments FROM gt GROUP BY ALL),
-us AS (SELECT 'x' AS side, store_no, question_id, s, e FROM x UNION ALL SELECT 'g', store_no, question_id, gs, ge FROM gt),
+ng AS (SELECT store_no, question_id, count(*) AS n_segments FROM vt GROUP BY ALL),
+us AS (SELECT 'x' AS side, store_no, question_id, s, e FROM x UNION ALL SELECT 'g', store_no, question_id, gs, ge FROM vt WHERE ge > gs),
 fl AS (SELECT *, max(e) OVER (PARTITION BY side, store_no, question_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tp FROM us),
 isl AS (SELECT *, sum(CASE WHEN tp IS NULL OR s > tp THEN 1 ELSE 0 END) OVER (PARTITION BY side, store_no, question_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM fl),
 un AS (SELECT side, store_no, question_id, g, min(s) AS s, max(e) AS e FROM isl GROUP BY ALL),
 ul AS (SELECT store_no, question_id, sum(e - s) FILTER (side = 'x') AS found_s, sum(e - s) FILTER (side = 'g') AS true_s FROM un GROUP BY ALL),
 ub AS (SELECT a.store_no, a.question_id, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS both_s FROM un a JOIN un b ON a.side = 'x' AND b.side = 'g' AND a.store_no = b.store_no AND a.question_id = b.question_id AND greatest(a.s, b.s) < least(a.e, b.e) GROUP BY ALL),
-c AS (SELECT ng.store_no, ng.question_id, n_segments, coalesce(n_events, 0) AS n_events, coalesce(total_s, 0) AS total_s, coalesce(tp_evt, 0) AS tp_evt, coalesce(tp_seg, 0) AS tp_seg, coalesce(found_s, 0) AS found_s, coalesce(true_s, 0) AS true_s, coalesce(both_s, 0) AS both_s
-  FROM ng LEFT JOIN ne USING (store_no, question_id) LEFT JOIN nh USING (store_no, question_id) LEFT JOIN ul USING (store_no, question_id) LEFT JOIN ub USING (store_no, question_id)),
-d AS (SELECT *, CASE WHEN n_events = 0 THEN 0.0 ELSE tp_evt / n_events END AS precision_evt, tp_seg / n_segments AS recall_evt, CASE WHEN found_s = 0 THEN 0.0 ELSE both_s / found_s END AS precision_sec, both_s / true_s AS recall_sec FROM c),
-acc AS (SELECT store_no, question_id, n_events, n_segments, tp_evt, tp_seg, CAST(total_s AS BIGINT) AS total_s, tp_evt > 0 AS hit, precision_evt, recall_evt, CASE WHEN precision_evt + recall_evt <= 0 THEN 0.0 ELSE 2 * precision_evt * recall_evt / (precision_evt + recall_evt) END AS f1_evt,
+cs AS (SELECT vt.store_no, vt.question_id, vt.seg, CASE WHEN vt.point OR vt.ge = vt.gs THEN CAST(coalesce(bool_or(un.s <= vt.gs AND vt.gs < un.e), FALSE) AS INT) * 1.0
+  ELSE coalesce(sum(CASE WHEN greatest(un.s, vt.gs) < least(un.e, vt.ge) THEN least(un.e, vt.ge) - greatest(un.s, vt.gs) END), 0) / (vt.ge - vt.gs) END AS c
+  FROM vt LEFT JOIN un ON un.side = 'x' AND un.store_no = vt.store_no AND un.question_id = vt.question_id GROUP BY vt.store_no, vt.question_id, vt.seg, vt.gs, vt.ge, vt.point),
+cv AS (SELECT store_no, question_id, avg(c) AS coverage, bool_or(c > 0) AS hit FROM cs GROUP BY ALL),
+c AS (SELECT ng.store_no, ng.question_id, n_segments, coalesce(n_events, 0) AS n_events, coalesce(total_s, 0) AS total_s, coalesce(tp_evt, 0) AS tp_evt, coalesce(tp_seg, 0) AS tp_seg, coalesce(found_s, 0) AS found_s, coalesce(true_s, 0) AS true_s, coalesce(both_s, 0) AS both_s, hit, coverage
+  FROM ng LEFT JOIN ne USING (store_no, question_id) LEFT JOIN nh USING (store_no, question_id) LEFT JOIN ul USING (store_no, question_id) LEFT JOIN ub USING (store_no, question_id) LEFT JOIN cv USING (store_no, question_id)),
+d AS (SELECT *, CASE WHEN n_events = 0 THEN 0.0 ELSE tp_evt / n_events END AS precision_evt, tp_seg / n_segments AS recall_evt, CASE WHEN found_s = 0 THEN 0.0 ELSE both_s / found_s END AS precision_sec, CASE WHEN true_s = 0 THEN 0.0 ELSE both_s / true_s END AS recall_sec FROM c),
+acc AS (SELECT store_no, question_id, n_events, n_segments, tp_evt, tp_seg, CAST(total_s AS BIGINT) AS total_s, hit, coverage, precision_evt, recall_evt, CASE WHEN precision_evt + recall_evt <= 0 THEN 0.0 ELSE 2 * precision_evt * recall_evt / (precision_evt + recall_evt) END AS f1_evt,
   tp_seg / (n_segments + n_events - tp_evt) AS iou_evt, CASE WHEN n_events > tp_evt THEN tp_evt / (n_events - tp_evt) WHEN tp_evt > 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS snr_evt,
-  precision_sec, recall_sec, CASE WHEN precision_sec + recall_sec <= 0 THEN 0.0 ELSE 2 * precision_sec * recall_sec / (precision_sec + recall_sec) END AS f1_sec, both_s / (found_s + true_s - both_s) AS iou_sec,
+  precision_sec, recall_sec, CASE WHEN precision_sec + recall_sec <= 0 THEN 0.0 ELSE 2 * precision_sec * recall_sec / (precision_sec + recall_sec) END AS f1_sec, CASE WHEN found_s + true_s - both_s = 0 THEN 0.0 ELSE both_s / (found_s + true_s - both_s) END AS iou_sec,
   CASE WHEN found_s > both_s THEN both_s / (found_s - both_s) WHEN both_s > 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS snr_sec FROM d)
 """
 
@@ -43,7 +47,7 @@ def accuracy(spark, sf):
     sd = seeds(spark, sf)
     first = sd.groupBy("store_no", "question_id", "event_id").agg(F.min_by(F.struct("s", "e"), "ord").alias("x"), F.min("ord").alias("ord"))
     found = top_seeds(spark, sf).select("store_no", "question_id", "event_id").join(first, ["store_no", "question_id", "event_id"])
-    return retrieval_accuracy(found.select("store_no", "question_id", "event_id", "ord", "x.s", "x.e"), truth(spark, sf))
+    return retrieval_accuracy(found.select("store_no", "question_id", "event_id", "ord", "x.s", "x.e"), valid_truth(spark, sf))
 
 
 def _rounded(names):

@@ -11,7 +11,7 @@ from tideline.operators import intervals as I
 from tideline.operators import seeds as S
 from tideline.operators.metrics import MEASURES, retrieval_accuracy
 from tideline.operators.ordering import numbered, prev_next
-from tideline.plans.base import EV, GT, SD, events, seeds, truth
+from tideline.plans.base import EV, GT, SD, events, seeds, valid_sql, valid_truth
 from tideline.plans.eval_queries import _ACC, _rounded
 from tideline.plans.graph_queries import EDGES, PN, edges
 from tideline.plans.interval_queries import _FIRST, _ranked, temporal_neighbours
@@ -30,7 +30,7 @@ nb AS (SELECT DISTINCT t.store_no, t.question_id, u.e AS event_id FROM top t JOI
   AND NOT EXISTS (SELECT 1 FROM top z WHERE z.store_no = t.store_no AND z.question_id = t.question_id AND z.event_id = u.e)),
 cnd AS (SELECT store_no, question_id, event_id, 0 AS extra, rnk AS place FROM top UNION ALL SELECT store_no, question_id, event_id, 1, 0 FROM nb),
 cap AS (SELECT store_no, question_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id ORDER BY extra, place, event_id) AS slot FROM cnd) WHERE slot <= 80),
-pay AS (SELECT store_no, event_id, arg_min(s, pos) AS s, arg_min(e, pos) AS e, arg_min(ms, pos) AS ms, arg_min(me, pos) AS me FROM ev GROUP BY ALL), {GT},
+pay AS (SELECT store_no, event_id, arg_min(s, pos) AS s, arg_min(e, pos) AS e, arg_min(ms, pos) AS ms, arg_min(me, pos) AS me FROM ev GROUP BY ALL), {GT}, vt AS (SELECT gt.* FROM gt JOIN qn USING (store_no, question_id) WHERE {valid_sql("qn.ref")}),
 raw AS (SELECT cap.store_no, cap.question_id, cap.event_id, pay.s, pay.e, pay.ms, pay.me FROM cap JOIN pay ON pay.store_no = cap.store_no AND pay.event_id = cap.event_id),
 cf AS (SELECT *, max(me) OVER (PARTITION BY store_no, question_id ORDER BY ms, me ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tp FROM raw),
 nc AS (SELECT store_no, question_id, CAST(sum(CASE WHEN tp IS NULL OR ms > tp + 30000 THEN 1 ELSE 0 END) AS BIGINT) AS n_clusters FROM cf GROUP BY ALL),
@@ -47,7 +47,7 @@ def flagship_slice(spark, sf):
     found = checkpointed(capped.join(pay, ["store_no", "event_id"]).select("store_no", "question_id", "event_id", "ord", "x.s", "x.e", "x.ms", "x.me"))
     spans = found.select(F.concat_ws(":", "store_no", "question_id").alias("q"), F.col("ms").alias("s"), F.col("me").alias("e"))
     n = I.merged(spans, "q", 30_000).groupBy("q").agg(F.count("*").alias("n_clusters"))
-    acc = retrieval_accuracy(found, truth(spark, sf)).withColumn("q", F.concat_ws(":", "store_no", "question_id"))
+    acc = retrieval_accuracy(found, valid_truth(spark, sf)).withColumn("q", F.concat_ws(":", "store_no", "question_id"))
     return acc.join(n, "q", "left").drop("q").withColumns({m: F.round(m, 6) for m in MEASURES})
 
 

@@ -8,7 +8,7 @@ from tideline.functions.intervals import holds_closed, hull_iou, overlaps_closed
 from tideline.operators import intervals as I
 from tideline.operators import seeds as S
 from tideline.operators.ordering import prev_next
-from tideline.plans.base import EV, GT, SD, events, seeds, truth
+from tideline.plans.base import BR, EV, GT, SD, bridge, events, seeds, truth
 from tideline.registry import Registry
 
 R = Registry()
@@ -128,34 +128,40 @@ def interval_intersection_length(spark, sf):
     return both.groupBy("store_no").agg(F.sum(F.col("e") - F.col("s")).cast("bigint").alias("shared"))
 
 
-@R.query("interval_coverage", _islands(0, f", {GT}") + """SELECT gt.store_no, gt.seg, round(coalesce(least(1.0, sum(least(m.e, gt.ge * 1000) - greatest(m.s, gt.gs * 1000)) / ((gt.ge - gt.gs) * 1000.0)), 0), 6) AS coverage
-FROM gt LEFT JOIN m ON m.store_no = gt.store_no AND greatest(m.s, gt.gs * 1000) < least(m.e, gt.ge * 1000) GROUP BY gt.store_no, gt.seg, gt.gs, gt.ge""")
+@R.query("interval_coverage", _islands(0, f", {GT}") + """SELECT gt.store_no, gt.seg, CASE WHEN gt.point OR gt.ge = gt.gs THEN CAST(bool_or(coalesce(m.s <= gt.gs * 1000 AND gt.gs * 1000 < m.e, FALSE)) AS INT) * 1.0
+  ELSE round(least(1.0, coalesce(sum(CASE WHEN m.s IS NOT NULL THEN greatest(0, least(m.e, gt.ge * 1000) - greatest(m.s, gt.gs * 1000)) END), 0) / ((gt.ge - gt.gs) * 1000.0)), 6) END AS coverage
+FROM gt LEFT JOIN m ON m.store_no = gt.store_no AND m.s <= gt.ge * 1000 AND m.e >= gt.gs * 1000 GROUP BY gt.store_no, gt.seg, gt.gs, gt.ge, gt.point""")
 def interval_coverage(spark, sf):
-    """Share of each segment that the events cover."""
-    gt = truth(spark, sf)
-    left = I.merged(_ms(spark, sf), "store_no").select("store_no", F.col("s").alias("ls"), F.col("e").alias("le"))
-    right = gt.select("store_no", "seg", (F.col("gs") * 1000).alias("rs"), (F.col("ge") * 1000).alias("re"))
-    cover = I.overlap_join(left, right, ["store_no"], overlaps_strict, 64_000).groupBy("store_no", "seg").agg(F.sum(F.least("le", "re") - F.greatest("ls", "rs")).alias("ms"))
-    share = F.least(F.lit(1.0), F.coalesce("ms", F.lit(0)) / ((F.col("ge") - F.col("gs")) * 1000.0))
-    return gt.join(cover, ["store_no", "seg"], "left").select("store_no", "seg", F.round(share, 6).alias("coverage"))
+    """Share of each segment that the events cover; a point is covered (1) or not (0), its end left out (C4)."""
+    return I.coverage(I.merged(_ms(spark, sf), "store_no"), _ref_ms(spark, sf), "store_no", 64_000).select("store_no", "seg", F.round("coverage", 6).alias("coverage"))
 
 
-@R.query("interval_hit_gt", f"""WITH {EV}, {GT}
-SELECT gt.store_no, gt.question_id, bool_or(ev.pos IS NOT NULL) AS hit FROM gt LEFT JOIN ev ON ev.store_no = gt.store_no AND ev.pos % 3 = 0 AND greatest(ev.s, gt.gs) < least(ev.e, gt.ge) GROUP BY gt.store_no, gt.question_id""")
-def interval_hit_gt(spark, sf):
-    """Whether any event hits any segment of the question."""
-    return _hit_gt(spark, sf, "pos % 3 = 0")
+def _ref_ms(spark, sf):
+    """References in milliseconds: a point stays a point, as does a range of equal ends."""
+    return truth(spark, sf).select("store_no", "question_id", "seg", (F.col("gs") * 1000).alias("s"), F.when(F.col("point"), F.col("gs") * 1000).otherwise(F.col("ge") * 1000).alias("e"))
+
+
+@R.query("interval_list_coverage", _islands(0, f", {GT}") + """SELECT store_no, round(coalesce(sum(shared) / sum(length), 0), 6) AS coverage FROM (
+  SELECT gt.store_no, gt.seg, (gt.ge - gt.gs) * 1000.0 AS length, coalesce(sum(CASE WHEN m.s IS NOT NULL THEN greatest(0, least(m.e, gt.ge * 1000) - greatest(m.s, gt.gs * 1000)) END), 0) AS shared FROM gt LEFT JOIN m ON m.store_no = gt.store_no AND m.s <= gt.ge * 1000 AND m.e >= gt.gs * 1000
+  WHERE NOT gt.point AND gt.ge > gt.gs GROUP BY gt.store_no, gt.seg, gt.gs, gt.ge) GROUP BY store_no""")
+def interval_list_coverage(spark, sf):
+    """Coverage of the list of a store's segments by its events, weighted by length."""
+    ref = _ref_ms(spark, sf).where("e > s").withColumn("len", F.col("e") - F.col("s"))
+    c = I.coverage(I.merged(_ms(spark, sf), "store_no"), ref, "store_no", 64_000)
+    return c.groupBy("store_no").agg(F.round(F.sum(F.col("coverage") * F.col("len")) / F.sum("len"), 6).alias("coverage"))
 
 
-@R.query("interval_hit_gt_all", R.sql["interval_hit_gt"].replace(" AND ev.pos % 3 = 0", ""))
-def interval_hit_gt_all(spark, sf):
-    """The same with every event."""
-    return _hit_gt(spark, sf, "true")
+_HIT = "(CASE WHEN gt.point OR gt.ge = gt.gs THEN ev.s <= gt.gs AND gt.gs < ev.e ELSE greatest(ev.s, gt.gs) < least(ev.e, gt.ge) END)"
 
 
-def _hit_gt(spark, sf, which):
+@R.query("interval_hit_gt", f"""WITH {EV}, {GT}
+SELECT gt.store_no, gt.question_id, bool_or(ev.pos IS NOT NULL) AS hit FROM gt LEFT JOIN ev ON ev.store_no = gt.store_no AND {_HIT} GROUP BY gt.store_no, gt.question_id""")
+def interval_hit_gt(spark, sf):
+    """Whether any event hits any segment of the question; a point is hit from the start of an event
+    to before its end (C4), a range by more than a point (C3)."""
     gt = truth(spark, sf)
-    met = I.overlap_join(_ev_side(spark, sf).where(which), _gt_side(spark, sf), ["store_no"], overlaps_strict).select("store_no", "seg").distinct().withColumn("h", F.lit(True))
+    ref = gt.select("store_no", "seg", F.col("gs").cast("double").alias("rs"), F.when(F.col("point"), F.col("gs")).otherwise(F.col("ge")).cast("double").alias("re"))
+    met = I.overlap_join(_ev_side(spark, sf), ref, ["store_no"], I.hits_reference).select("store_no", "seg").distinct().withColumn("h", F.lit(True))
     return gt.join(met, ["store_no", "seg"], "left").groupBy("store_no", "question_id").agg(F.coalesce(F.bool_or("h"), F.lit(False)).alias("hit"))
 
 
@@ -247,10 +253,20 @@ def seeds_topk_fill(spark, sf):
 
 @R.query("seeds_temporal_only", f"WITH {SD} SELECT DISTINCT store_no, question_id, event_id FROM sd WHERE score IS NULL")
 def seeds_temporal_only(spark, sf):
-    """Seeds of time matches."""
+    """K6: seeds of time matches."""
     return S.temporal_only(seeds(spark, sf))
 
 
+@R.query("seeds_temporal_log", f"WITH {EV}, {GT} SELECT DISTINCT gt.store_no, gt.question_id, ev.event_id FROM gt JOIN ev ON ev.store_no = gt.store_no AND floor(ev.s) <= gt.ge AND floor(ev.e) >= gt.gs")
+def seeds_temporal_log(spark, sf):
+    """The log of time matches (per question its segments, per segment the events that overlap it in
+    whole seconds, ends included) read back as the set of event ids of each question."""
+    g = truth(spark, sf).select("store_no", "question_id", "seg", F.col("gs").alias("rs"), F.col("ge").alias("re"))
+    e = events(spark, sf).select("store_no", "event_id", F.floor("s").alias("ls"), F.floor("e").alias("le"))
+    log = I.overlap_join(e, g, ["store_no"], overlaps_closed).groupBy("store_no", "question_id", "seg").agg(F.collect_list("event_id").alias("events_retrieved"))
+    return log.select("store_no", "question_id", F.explode("events_retrieved").alias("event_id")).distinct()
+
+
 @R.query("seeds_emb_only", f"""WITH {SD}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id, event_id ORDER BY ord) AS r1 FROM sd WHERE score IS NOT NULL
   AND NOT EXISTS (SELECT 1 FROM sd t WHERE t.score IS NULL AND t.store_no = sd.store_no AND t.question_id = sd.question_id AND t.event_id = sd.event_id)) WHERE r1 = 1) """ + _ranked("score DESC, ord", 10))
 def seeds_emb_only(spark, sf):
@@ -303,9 +319,9 @@ def seeds_null_count_top10(spark, sf):
     return n.orderBy(F.desc("nulls"), "store_no", "question_id").limit(10)
 
 
-@R.query("seeds_filter_allowed", f"""WITH {SD}, a AS (SELECT DISTINCT event_id FROM ev WHERE pos % 4 = 1), {_FIRST.replace("FROM sd)", "FROM sd WHERE event_id IN (SELECT event_id FROM a))")}
+@R.query("seeds_filter_allowed", f"""WITH {SD}, {BR}, a AS (SELECT DISTINCT event_id FROM br), {_FIRST.replace("FROM sd)", "FROM sd WHERE event_id IN (SELECT event_id FROM a))")}
 SELECT store_no, question_id, event_id, ord FROM f""")
 def seeds_filter_allowed(spark, sf):
-    """K9: seed rows of an allowed id set, the first of each id."""
-    allowed = events(spark, sf).where("pos % 4 = 1").select("event_id").distinct()
+    """K9: seed rows of an allowed id set (events with an entity), the first of each id."""
+    allowed = bridge(spark, sf).select("event_id").distinct()
     return S.first_per_event(seeds(spark, sf).join(allowed, "event_id", "left_semi")).select("store_no", "question_id", "event_id", "ord")

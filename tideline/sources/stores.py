@@ -68,6 +68,7 @@ def _question_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         ids, texts = b.column(0).to_pylist(), [_clean(x) for x in b.column(1).to_pylist()]
         for i, j in _slices([len(t) for t in texts]):
             rows = []
+            keys = {(t, v): k for t, v, k in _video_keys(texts[i:j])}
             for f in _questions(texts[i:j]):
                 if not len(f.nodes):
                     continue
@@ -76,24 +77,27 @@ def _question_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 raw = lambda k, r: f.idx.raw_text(get[k][r]).decode("utf-8", "replace") if get[k][r] >= 0 and not f.idx.is_null(get[k][r : r + 1])[0] else None  # noqa: B023, E731
                 for r, (t, v, q) in enumerate(f.tags.tolist()):
                     kind = text("question_type", r) if get["question_type"][r] < 0 or f.idx.kind[get["question_type"][r]] <= 2 else raw("question_type", r)
-                    rows.append((ids[i + t], v, q, None, text("question_id", r) or text("uid", r), text("query", r) or text("question", r), text("answer", r), text("time_reference", r), kind, raw("options", r)))
+                    rows.append((ids[i + t], v, q, keys.get((t, v)), text("question_id", r) or text("uid", r), text("query", r) or text("question", r), text("answer", r), text("time_reference", r), kind, raw("options", r)))
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(c, pa.string()) for c in cols[3:]], ["file_id", "video_no", "question_no", *_QUESTION])
 
 
+def _video_keys(texts: list[bytes]) -> Iterator[tuple[int, int, str | None]]:
+    """(text, video place, key) of the videos of some texts."""
+    for f in _videos(texts):
+        f = f.take(f.idx.kind[f.nodes] == OPEN_OBJ)
+        if len(f.nodes):
+            names = [f.idx.member(f.nodes, k) for k in ("video_key", "key")]
+            for r, (t, v) in enumerate(f.tags.tolist()):
+                yield t, v, next((s for m in names if m[r] >= 0 and (s := _scalar(f.idx, m[r])) is not None), None)
+
+
 def _video_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, texts = b.column(0).to_pylist(), [_clean(x) for x in b.column(1).to_pylist()]
         for i, j in _slices([len(t) for t in texts]):
-            rows = []
-            for f in _videos(texts[i:j]):
-                f = f.take(f.idx.kind[f.nodes] == OPEN_OBJ)
-                if not len(f.nodes):
-                    continue
-                names = [f.idx.member(f.nodes, k) for k in ("video_key", "key")]
-                for r, (t, v) in enumerate(f.tags.tolist()):
-                    rows.append((ids[i + t], v, next((s for m in names if m[r] >= 0 and (s := _scalar(f.idx, m[r])) is not None), None)))
+            rows = [(ids[i + t], v, k) for t, v, k in _video_keys(texts[i:j])]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["file_id", "video_no", "video_key"])
 
@@ -104,9 +108,15 @@ def video_keys(files: DataFrame) -> DataFrame:
     return f.mapInArrow(_video_batches, "file_id bigint, video_no bigint, video_key string").where("video_key is not null")
 
 
+def placed_questions(files: DataFrame) -> DataFrame:
+    """Questions of question files of any layout, one row each, with the key of their video (null if it has
+    none); options and lists of types as JSON text."""
+    return files.where("file_id is not null and payload is not null").select("file_id", "payload").mapInArrow(_question_batches, _QSCHEMA)
+
+
 def questions(files: DataFrame) -> DataFrame:
     """Questions of question files of any layout, one row each; options and lists of types as JSON text.
     Question text with options inside is split at the ``(A)`` line into ``stem`` and ``inline_options``."""
-    q = files.where("file_id is not null and payload is not null").select("file_id", "payload").mapInArrow(_question_batches, _QSCHEMA).drop("video_key")
+    q = placed_questions(files).drop("video_key")
     stem = F.regexp_extract("text", "(?s)^(.*?)(?:\\n\\(A\\).*)?$", 1)
     return q.withColumns({"stem": F.trim(stem), "inline_options": F.regexp_extract("text", "(?s)\\n(\\(A\\).*)$", 1)})
