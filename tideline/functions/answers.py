@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Texts that tell of a failed request rather than an answer. Fixed values.
-ERROR_TEXT = "(?i)(^\\s*\\[?error|exception|traceback|timed? ?out|rate limit|connection (refused|reset)|out of memory|failed to|no response|service unavailable)"
+ERROR_TEXT = "(?i)(internal error|error happened|status code|ResponseType\\.|INPUT_LENGTH_ERROR|TOKEN_LIMIT|TIMEOUT|FAILED|exception|traceback)"
+
+_STRICT = {"allowSingleQuotes": "false", "mode": "PERMISSIVE"}
 
 
 def unfenced(text: Column) -> Column:
@@ -14,13 +16,34 @@ def unfenced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, "(?i)^\\s*```[a-z]*\\s*|\\s*```\\s*$", ""))
 
 
+def json_members(text: Column) -> Column:
+    """Members of a JSON object as a map of texts; null if the text is not one."""
+    return F.from_json(text, "map<string,string>", _STRICT)
+
+
+def _first(m: Column, *names: str) -> Column:
+    """The first of some members that is there and not empty."""
+    return F.coalesce(*(F.nullif(F.try_element_at(m, F.lit(n)), F.lit("")) for n in names))
+
+
 def answer_letter(text: Column) -> Column:
-    """Letter A-D of a response: the JSON member, else a phrase that names it, else a bare letter; null if none."""
+    """Letter A-D of a response: the answer member of a JSON object, else one that a text quotes, else a
+    letter with a point or bracket at the end; null if none."""
     t = unfenced(text)
-    json = F.coalesce(F.regexp_extract(t, '(?i)"answer"\\s*:\\s*"\\s*\\(?([A-D])\\b', 1), F.lit(""))
-    phrase = F.coalesce(F.regexp_extract(t, "(?i)(?:answer is|answer:|choose)\\s*\\(?([A-D])\\b", 1), F.lit(""))
-    bare = F.coalesce(F.regexp_extract(t, "^\\(?([A-Da-d])[).]?\\s*(?:$|[.)]|\\s)", 1), F.lit(""))
-    return F.upper(F.coalesce(F.nullif(json, F.lit("")), F.nullif(phrase, F.lit("")), F.nullif(bare, F.lit(""))))
+    whole = F.upper(_first(json_members(t), "Answer", "answer"))
+    quoted = F.nullif(F.upper(F.regexp_extract(t, '(?i)"answer"\\s*:\\s*"([A-D])"', 1)), F.lit(""))
+    last = F.nullif(F.regexp_extract(t, "\\b([ABCD])\\s*[.)]\\s*$", 1), F.lit(""))
+    return F.coalesce(F.when(whole.isin("A", "B", "C", "D"), whole), quoted, last)
+
+
+def valid_answer(text: Column, of_format: bool = False) -> Column:
+    """A response without an error text that holds a JSON object with an answer member that is not blank
+    (with ``of_format``: one of A-D)."""
+    fenced = F.regexp_extract(text, "(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```", 1)
+    plain = F.regexp_extract(text, "(?s)\\{.*\\}", 0)
+    answer = F.trim(_first(json_members(F.when(fenced != "", fenced).otherwise(plain)), "Answer", "answer"))
+    good = F.upper(answer).isin("A", "B", "C", "D") if of_format else answer != ""
+    return F.coalesce(~text.rlike(ERROR_TEXT) & good, F.lit(False))
 
 
 def normalised_letter(text: Column) -> Column:

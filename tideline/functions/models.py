@@ -46,10 +46,14 @@ def generate(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]]
     return df.mapInPandas(run, df.selectExpr("*", "'' as response").schema)
 
 
+def words_of(text: Column) -> Column:
+    """Distinct words of a text."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
+
+
 def word_overlap(a: Column, b: Column) -> Column:
     """Share of the distinct words of ``b`` that ``a`` has: a stand-in for a pair scorer's recall."""
-    ws = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(ws(a), ws(b))).cast("double"), F.size(ws(b))), F.lit(0.0))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(words_of(a), words_of(b))).cast("double"), F.size(words_of(b))), F.lit(0.0))
 
 
 def capitalised_objects(text: Column, stop: list[str]) -> Column:

@@ -54,10 +54,10 @@ def linspace_ints(n: Column, k: int) -> Column:
 
 
 def clock_seconds(text: Column) -> Column:
-    """First clock time in a text, with an optional AM or PM behind it; null if there is none."""
-    pat = r"(?i)(?:around|at|about|~)?\s*(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(am|pm)?"
-    g = lambda i: F.regexp_extract(text, pat, i)
-    h, half = F.try_cast(g(1), "int") if hasattr(F, "try_cast") else g(1).try_cast("int"), F.lower(g(4))
-    m, s = g(2).try_cast("int"), F.coalesce(g(3).try_cast("int"), F.lit(0))
-    hour = F.when((half == "pm") & (h < 12), h + 12).when((half == "am") & (h == 12), F.lit(0)).otherwise(h)
-    return F.when(g(1) == "", None).otherwise((hour * 3600 + m * 60 + s).cast("bigint"))
+    """First clock time of a text in seconds of the day; with PM anywhere in the text hours 1 to 11 are of the
+    afternoon, with AM hour 12 is 0. Null if there is none, or if the text is ``none``."""
+    pat = r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?"
+    g = lambda i: F.regexp_extract(text, pat, i).try_cast("bigint")
+    h, low = g(1), F.lower(text)
+    hour = F.when(low.contains("pm"), F.when(h.between(1, 11), h + 12).otherwise(h)).when(low.contains("am") & (h == 12), F.lit(0)).otherwise(h)
+    return hour * 3600 + g(2) * 60 + F.coalesce(g(3), F.lit(0))

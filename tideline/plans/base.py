@@ -110,6 +110,16 @@ GT = segments_sql("qn", "store_no, question_id", "ref") + """,
 gt AS (SELECT store_no, question_id, question_id * 1000 + i AS seg, gs, ge, point FROM tr)"""
 
 
+#: Number of a question by the id that the files give it (the first of a store, if several have one id).
+QI = f"qi AS (SELECT store_no, ask_id, min(question_id) AS qno FROM (SELECT store_no, question_id, coalesce({json_scalar("(q -> 'question_id')")}, {json_scalar("(q -> 'uid')")}) AS ask_id FROM qn) WHERE ask_id IS NOT NULL GROUP BY ALL)"
+
+
+def question_ids(questions: DataFrame) -> DataFrame:
+    """store_no, ask_id (text of a question's id in its file), qno (its number in the store). ``questions``:
+    :func:`store_questions`."""
+    return questions.where("asked_id is not null").groupBy("store_no", F.col("asked_id").alias("ask_id")).agg(F.min("question_id").alias("qno"))
+
+
 def _usable_span(df: DataFrame) -> DataFrame:
     s, e = F.get("duration", F.lit(0)), F.get("duration", F.lit(1))
     return df.where((F.size("duration") == 2) & s.isNotNull() & e.isNotNull() & (e > s))
@@ -145,10 +155,11 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def store_questions(spark: SparkSession, sf: str) -> DataFrame:
     """Questions of every store of their video, numbered from 0 in order of file, video and place: store_no,
-    question_id, file_id, video_no, question_no, time_reference and the other fields of a question.
+    question_id, file_id, video_no, question_no, asked_id (the question's own id), time_reference and the other fields.
     Numbering works in blocks of files, so that a store with very many questions is not one task."""
     place = table(spark, sf, "video_stores").where("store_no is not null").select("store_no", "video_key").distinct()
     q = stores.placed_questions(table(spark, sf, "qa_files")).join(place, "video_key")
+    q = q.withColumnRenamed("question_id", "asked_id")
     order = F.col("file_id") * F.lit(1 << 40) + F.col("video_no") * F.lit(1 << 20) + F.col("question_no")
     return numbered(q.withColumn("_o", order), ["store_no"], "_o", "question_id", block=1 << 46).drop("_o", "group_size")
 

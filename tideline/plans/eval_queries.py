@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.functions import answers as A
+from tideline.functions import models as M
 from tideline.functions import timetext as T
 from tideline.operators import seeds as S
 from tideline.operators.metrics import MEASURES, averaged, retrieval_accuracy
-from tideline.plans.base import EV, GT, SD, events, json_scalar, question_truth, seeds, store_questions, truth, valid_sql, valid_truth
-from tideline.plans.graph_queries import TOP, top_seeds
+from tideline.plans.base import EV, GT, QA, QI, SD, events, json_scalar, question_ids, question_truth, seeds, segments_sql, store_questions, truth, valid_sql, valid_truth
+from tideline.plans.graph_queries import FB, TOP, top_seeds
+from tideline.plans.interval_queries import temporal_neighbours
 from tideline.registry import Registry
 from tideline.sources import stores
 from tideline.sources.tables import table
@@ -72,13 +74,17 @@ def retrieval_accuracy_overall(spark, sf):
     return averaged(accuracy(spark, sf), [])
 
 
-@R.query("accuracy_by_query_type", _ACC.rstrip() + ", ty AS (SELECT a.*, unnest(list_filter([CASE WHEN question_id % 2 = 0 THEN 'temporal' END, CASE WHEN question_id % 3 = 0 THEN 'object' END, CASE WHEN question_id IN (1, 5) THEN 'other' END], lambda x: x IS NOT NULL)) AS query_type FROM acc a) " + _means("query_type").replace("FROM acc", "FROM ty"))
+_TYPES = "ty AS (SELECT acc.*, unnest(CASE WHEN len(k) = 0 THEN ['other'] ELSE k END) AS query_type FROM acc JOIN (SELECT store_no, question_id, list_distinct(CASE json_type(t) WHEN 'ARRAY' THEN list_filter(CAST(t AS VARCHAR[]), lambda x: x IS NOT NULL AND trim(x) <> '') WHEN 'VARCHAR' THEN list_filter([t ->> '$'], lambda x: trim(x) <> '') ELSE [] END) AS k FROM (SELECT store_no, question_id, coalesce((q -> 'question_type'), CAST('null' AS JSON)) AS t FROM qn)) USING (store_no, question_id))"
+
+
+@R.query("accuracy_by_query_type", _ACC.rstrip() + f", {_TYPES} " + _means("query_type").replace("FROM acc", "FROM ty"))
 def accuracy_by_query_type(spark, sf):
     """A5: the means by type of question; a question can have several types, else it is ``other``."""
-    q = F.col("question_id")
-    kinds = F.array_compact(F.array(F.when(q % 2 == 0, "temporal"), F.when(q % 3 == 0, "object")))
-    typed = accuracy(spark, sf).withColumn("query_type", F.explode(F.when(F.size(kinds) == 0, F.array(F.lit("other"))).otherwise(kinds)))
-    return averaged(typed, ["query_type"])
+    kind = F.col("question_type")
+    kinds = F.when(F.startswith(kind, F.lit("[")), F.from_json(kind, "array<string>")).when(kind.isNotNull(), F.array(kind)).otherwise(F.array().cast("array<string>"))
+    kinds = F.array_distinct(F.filter(kinds, lambda x: x.isNotNull() & (F.trim(x) != "")))
+    q = store_questions(spark, sf).select("store_no", "question_id", F.explode(F.when(F.size(kinds) == 0, F.array(F.lit("other"))).otherwise(kinds)).alias("query_type"))
+    return averaged(accuracy(spark, sf).join(q, ["store_no", "question_id"]), ["query_type"])
 
 
 @R.query("unique_duration_last_wins", f"""WITH {SD}, l AS (SELECT store_no, question_id, event_id, arg_max(e - s, ord) AS d FROM sd GROUP BY ALL), q AS (SELECT store_no, question_id, sum(d) AS d FROM l GROUP BY ALL)
@@ -122,30 +128,20 @@ def grid_k_t(spark, sf):
 
 # --- time references -------------------------------------------------------------------------
 
-_REF = """ref AS (SELECT store_no, pos, CASE pos % 8 WHEN 0 THEN 'N/A' WHEN 1 THEN (pos // 60) || ':' || (pos % 60) WHEN 2 THEN '00:' || (pos % 60) || '-' || (1 + pos // 60) || ':30' WHEN 3 THEN '1:27:' || (pos % 60) WHEN 4 THEN (pos % 60) || ',' || (pos % 60 + 90)
- WHEN 5 THEN '-02:' || (pos % 60) WHEN 6 THEN '02:00-01:00' ELSE '29:32.' || (pos % 60) END AS time_ref FROM ev)"""
-
+@R.query("time_ref_parse", f"WITH {QA}, qr AS (SELECT file_id, video_no, question_no, {json_scalar("(q -> 'time_reference')")} AS ref FROM qq), {segments_sql('qr', 'file_id, video_no, question_no', 'ref')} SELECT file_id, video_no, question_no, i AS seg, gs, ge, point FROM tr")
+def time_ref_parse(spark, sf):
+    """The time references of all questions as segments; invalid and inverted ones have none."""
+    q = stores.questions(table(spark, sf, "qa_files"))
+    return q.select("file_id", "video_no", "question_no", F.posexplode(T.segments_of(F.col("time_reference"))).alias("seg", "z")).select("file_id", "video_no", "question_no", "seg", "z.gs", "z.ge", "z.point")
 
-def _time_refs(spark, sf):
-    p = F.col("pos")
-    m, s = F.floor(p / 60).cast("string"), (p % 60).cast("string")
-    k = p % 8
-    text = (
-        F.when(k == 0, F.lit("N/A")).when(k == 1, F.concat(m, F.lit(":"), s)).when(k == 2, F.concat(F.lit("00:"), s, F.lit("-"), (F.floor(p / 60) + 1).cast("string"), F.lit(":30"))).when(k == 3, F.concat(F.lit("1:27:"), s))
-        .when(k == 4, F.concat(s, F.lit(","), (p % 60 + 90).cast("string"))).when(k == 5, F.concat(F.lit("-02:"), s)).when(k == 6, F.lit("02:00-01:00")).otherwise(F.concat(F.lit("29:32."), s))
-    )
-    return events(spark, sf).select("store_no", "pos", text.alias("time_ref"))
 
+@R.query("time_ref_valid", f"WITH {QA}, qr AS (SELECT file_id, video_no, question_no, {json_scalar("(q -> 'time_reference')")} AS ref FROM qq) SELECT file_id, video_no, question_no, {valid_sql('ref')} AS valid FROM qr")
+def time_ref_valid(spark, sf):
+    """A3: which time references an evaluation counts."""
+    return stores.questions(table(spark, sf, "qa_files")).select("file_id", "video_no", "question_no", T.valid_reference(F.col("time_reference")).alias("valid"))
 
-@R.query("time_ref_parse", f"""WITH {EV}, {_REF} SELECT store_no, pos, 0 AS seg, CASE pos % 8 WHEN 1 THEN pos // 60 * 60 + pos % 60 WHEN 2 THEN pos % 60 WHEN 3 THEN 5220 + pos % 60 WHEN 4 THEN pos % 60 WHEN 5 THEN 120 + pos % 60 ELSE 106320 + pos % 60 END AS gs,
-CASE pos % 8 WHEN 1 THEN pos // 60 * 60 + pos % 60 + 1 WHEN 2 THEN (1 + pos // 60) * 60 + 30 WHEN 3 THEN 5221 + pos % 60 WHEN 4 THEN pos % 60 + 1 WHEN 5 THEN 120 + pos % 60 ELSE 106321 + pos % 60 END AS ge FROM ref WHERE pos % 8 NOT IN (0, 6)
-UNION ALL SELECT store_no, pos, 1, pos % 60 + 90, pos % 60 + 91 FROM ref WHERE pos % 8 = 4""")
-def time_ref_parse(spark, sf):
-    """Time references of eight forms as segments; invalid and inverted ones have none."""
-    return _time_refs(spark, sf).select("store_no", "pos", F.posexplode(T.segments_of(F.col("time_ref"))).alias("seg", "z")).select("store_no", "pos", "seg", "z.gs", "z.ge")
 
-
-@R.query("time_ref_questions")
+@R.query("time_ref_questions", f"WITH {QA}, qr AS (SELECT file_id, video_no, question_no, {json_scalar("(q -> 'time_reference')")} AS time_reference FROM qq), {segments_sql('qr', 'file_id, video_no, question_no', 'time_reference')} SELECT qr.*, tr.i AS seg, tr.gs, tr.ge FROM qr LEFT JOIN tr USING (file_id, video_no, question_no)")
 def time_ref_questions(spark, sf):
     """The time references of all questions as segments; those without any are kept with none."""
     q = stores.questions(table(spark, sf, "qa_files"))
@@ -153,13 +149,13 @@ def time_ref_questions(spark, sf):
     return q.select("file_id", "video_no", "question_no", "time_reference", z).select("file_id", "video_no", "question_no", "time_reference", "seg", "z.gs", "z.ge")
 
 
-@R.query("question_segments")
+@R.query("question_segments", f"WITH {EV}, {GT} SELECT store_no, file_id, video_no, question_no, CAST(seg % 1000 AS INT) AS seg, gs, ge FROM gt JOIN qn USING (store_no, question_id)")
 def question_segments(spark, sf):
     """A3: true segments of the questions of each store."""
     return question_truth(spark, sf)
 
 
-@R.query("question_segments_hit")
+@R.query("question_segments_hit", f"WITH {EV}, {GT} SELECT qn.store_no, file_id, video_no, question_no, bool_or(EXISTS (SELECT 1 FROM ev WHERE ev.store_no = gt.store_no AND greatest(ev.s, gt.gs) < least(ev.e, gt.ge))) AS hit FROM gt JOIN qn ON qn.store_no = gt.store_no AND qn.question_id = gt.question_id GROUP BY ALL")
 def question_segments_hit(spark, sf):
     """Whether any event of the store hits any segment that the question gives."""
     from tideline.functions.intervals import overlaps_strict
@@ -173,12 +169,14 @@ def question_segments_hit(spark, sf):
     return gt.select(*keys).distinct().join(met, keys, "left").select(*keys, F.coalesce("h", F.lit(False)).alias("hit"))
 
 
-@R.query("time_clock_text", f"""WITH {EV} SELECT store_no, pos, (pos % 12 + CASE WHEN pos % 2 = 0 THEN CASE WHEN pos % 12 < 12 THEN 12 ELSE 0 END ELSE 0 END) * 3600 + (pos % 60) * 60 AS seconds FROM ev""")
+_CLOCK = r"'(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?'"
+
+
+@R.query("time_clock_text", f"""SELECT response_id, (CASE WHEN contains(lower(question), 'pm') AND h BETWEEN 1 AND 11 THEN h + 12 WHEN NOT contains(lower(question), 'pm') AND contains(lower(question), 'am') AND h = 12 THEN 0 ELSE h END) * 3600 + m * 60 + s AS seconds
+FROM (SELECT response_id, question, TRY_CAST(regexp_extract(question, {_CLOCK}, 1) AS BIGINT) AS h, TRY_CAST(regexp_extract(question, {_CLOCK}, 2) AS BIGINT) AS m, coalesce(TRY_CAST(nullif(regexp_extract(question, {_CLOCK}, 3), '') AS BIGINT), 0) AS s FROM responses)""")
 def time_clock_text(spark, sf):
-    """Clock text with AM and PM as seconds of the day."""
-    p = F.col("pos")
-    text = F.concat(F.lit("It is around "), (p % 12).cast("string"), F.lit(":"), F.lpad((p % 60).cast("string"), 2, "0"), F.when(p % 2 == 0, F.lit(" PM")).otherwise(F.lit(" AM")), F.lit(" there"))
-    return events(spark, sf).select("store_no", "pos", T.clock_seconds(text).alias("seconds"))
+    """Clock time in a question's text, by AM and PM if the text has them, as seconds of the day."""
+    return table(spark, sf, "responses").select("response_id", T.clock_seconds(F.col("question")).alias("seconds"))
 
 
 # --- answers ---------------------------------------------------------------------------------
@@ -190,13 +188,16 @@ ANS = f"an AS (SELECT response_id, store_no, question_id, method, response, {_LE
 
 def answered(spark, sf):
     return table(spark, sf, "responses").select(
-        "response_id", "store_no", "question_id", "method", "response", A.normalised_letter(F.col("predicted")).alias("letter"), A.normalised_letter(F.col("ground_truth")).alias("truth"),
+        "response_id", "store_no", "question_id", "method", "question", "response", A.normalised_letter(F.col("predicted")).alias("letter"), A.normalised_letter(F.col("ground_truth")).alias("truth"),
         "latency_seconds", "prompt_tokens", "completion_tokens", "created_at",
     )
 
 
-@R.query("answer_extract", r"""WITH t AS (SELECT response_id, trim(regexp_replace(response, '(?i)^\s*```[a-z]*\s*|\s*```\s*$', '', 'g')) AS t FROM responses)
-SELECT response_id, upper(coalesce(nullif(regexp_extract(t, '(?i)"answer"\s*:\s*"\s*\(?([A-D])\b', 1), ''), nullif(regexp_extract(t, '(?i)(?:answer is|answer:|choose)\s*\(?([A-D])\b', 1), ''), nullif(regexp_extract(t, '^\(?([A-Da-d])[).]?\s*(?:$|[.)]|\s)', 1), ''))) AS letter FROM t""")
+_FIRST_OF = "CASE WHEN json_valid({0}) AND json_type({0}) = 'OBJECT' THEN coalesce(nullif((CAST({0} AS JSON) ->> 'Answer'), ''), nullif((CAST({0} AS JSON) ->> 'answer'), '')) END"
+
+
+@R.query("answer_extract", rf"""WITH t AS (SELECT response_id, trim(regexp_replace(response, '(?i)^\s*```[a-z]*\s*|\s*```\s*$', '', 'g'), chr(32)) AS t FROM responses), a AS (SELECT response_id, t, upper({_FIRST_OF.format('t')}) AS w FROM t)
+SELECT response_id, coalesce(CASE WHEN w IN ('A', 'B', 'C', 'D') THEN w END, nullif(upper(regexp_extract(t, '(?i)"answer"\s*:\s*"([A-D])"', 1)), ''), nullif(regexp_extract(t, '\b([ABCD])\s*[.)]\s*$', 1), '')) AS letter FROM a""")
 def answer_extract(spark, sf):
     """The letter of each response."""
     return table(spark, sf, "responses").select("response_id", A.answer_letter(F.col("response")).alias("letter"))
@@ -218,33 +219,48 @@ def answer_majority(spark, sf):
     return best.select("store_no", "question_id", "b.letter", "b.n")
 
 
-@R.query("answer_highest_conf", f"""WITH {ANS} SELECT store_no, question_id, response_id, letter FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id ORDER BY completion_tokens DESC NULLS LAST, response_id) AS rn FROM an WHERE letter IS NOT NULL AND store_no IS NOT NULL) WHERE rn = 1""")
+_WORDS = r"list_distinct(list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))"
+
+
+@R.query("answer_highest_conf", f"""WITH {ANS}, c AS (SELECT an.store_no, an.question_id, an.response_id, an.letter, CASE WHEN len({_WORDS.format('an.response')}) = 0 THEN 0 ELSE len(list_intersect({_WORDS.format('r.question')}, {_WORDS.format('an.response')})) / len({_WORDS.format('an.response')}) END AS score
+FROM an JOIN responses r USING (response_id) WHERE letter IS NOT NULL AND an.store_no IS NOT NULL)
+SELECT store_no, question_id, response_id, letter, round(coalesce(score, 0), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id ORDER BY round(coalesce(score, 0), 9) DESC, response_id) AS rn FROM c) WHERE rn = 1""")
 def answer_highest_conf(spark, sf):
-    """The answer of highest confidence (here its length), the first on ties."""
-    a = answered(spark, sf).where("letter is not null and store_no is not null")
-    best = a.groupBy("store_no", "question_id").agg(F.min_by(F.struct("response_id", "letter"), F.struct(-F.coalesce("completion_tokens", F.lit(-1)), F.col("response_id"))).alias("b"))
-    return best.select("store_no", "question_id", "b.response_id", "b.letter")
+    """The answer of highest score (the pair score of question and response), the first on ties."""
+    a = answered(spark, sf).where("letter is not null and store_no is not null").withColumn("score", F.round(M.word_overlap(F.col("question"), F.col("response")), 9))
+    best = a.groupBy("store_no", "question_id").agg(F.min_by(F.struct("response_id", "letter", "score"), F.struct(-F.col("score"), F.col("response_id"))).alias("b"))
+    return best.select("store_no", "question_id", "b.response_id", "b.letter", F.round("b.score", 6).alias("score"))
 
 
-_VOTE = f"""{ANS}, w AS (SELECT store_no, question_id, method, response_id, letter, len(response) AS l FROM an WHERE store_no IS NOT NULL AND response IS NOT NULL),
+_VOTE = f"""{ANS}, w AS (SELECT store_no, question_id, method, response_id, letter, {_WORDS.format('response')} AS ws FROM an WHERE store_no IS NOT NULL AND response IS NOT NULL),
 tot AS (SELECT store_no, question_id, method, count(*) AS n FROM w GROUP BY ALL),
-ag AS (SELECT store_no, question_id, method, letter, count(*) AS n, CASE WHEN count(*) < 2 THEN 0.0 ELSE 1.0 / (1 + stddev_pop(l)) END AS agree FROM w WHERE letter IS NOT NULL GROUP BY ALL),
+pr AS (SELECT a.store_no, a.question_id, a.method, a.letter, avg(CASE WHEN len(b.ws) = 0 THEN 0 ELSE len(list_intersect(a.ws, b.ws)) / len(b.ws) END) AS agree FROM w a JOIN w b ON a.store_no = b.store_no AND a.question_id = b.question_id AND a.method = b.method AND a.letter = b.letter AND a.response_id <> b.response_id GROUP BY ALL),
+ag AS (SELECT c.store_no, c.question_id, c.method, c.letter, c.n, coalesce(pr.agree, 0) AS agree FROM (SELECT store_no, question_id, method, letter, count(*) AS n FROM w WHERE letter IS NOT NULL GROUP BY ALL) c LEFT JOIN pr ON pr.store_no = c.store_no AND pr.question_id = c.question_id AND pr.method = c.method AND pr.letter = c.letter),
 sc AS (SELECT ag.store_no, ag.question_id, ag.method, ag.letter, 0.3 * ag.n / tot.n + 0.7 * agree AS score FROM ag JOIN tot ON tot.store_no = ag.store_no AND tot.question_id = ag.question_id AND tot.method = ag.method),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id, method ORDER BY round(score, 9) DESC, letter) AS rn FROM sc) WHERE rn = 1)"""
 
 
 def voted(spark, sf):
-    a = answered(spark, sf).where("store_no is not null and response is not null").withColumn("l", F.length("response"))
-    tot = a.groupBy("store_no", "question_id", "method").agg(F.count("*").alias("total"))
-    ag = a.where("letter is not null").groupBy("store_no", "question_id", "method", "letter").agg(F.count("*").alias("n"), F.when(F.count("*") < 2, F.lit(0.0)).otherwise(1.0 / (1 + F.stddev_pop("l"))).alias("agree"))
-    sc = ag.join(tot, ["store_no", "question_id", "method"]).withColumn("score", 0.3 * F.col("n") / F.col("total") + 0.7 * F.col("agree"))
-    best = sc.groupBy("store_no", "question_id", "method").agg(F.min_by(F.struct("letter", "score"), F.struct(-F.round("score", 9), F.col("letter"))).alias("b"))
-    return best.select("store_no", "question_id", "method", "b.letter", "b.score")
+    """Best answer of each node (store, question, method). The mean pair score within an answer is worked out
+    without pairs: each response's share of words that others of its answer have, by word frequencies."""
+    a = answered(spark, sf).where("store_no is not null and response is not null")
+    node = ["store_no", "question_id", "method"]
+    tot = a.groupBy(*node).agg(F.count("*").alias("total"))
+    g = [*node, "letter"]
+    ws = a.where("letter is not null").select(*g, "response_id", F.explode_outer(M.words_of(F.col("response"))).alias("w"))
+    df = ws.where("w is not null").groupBy(*g, "w").agg((F.count("*") - 1).alias("others"))
+    per = ws.join(df, [*g, "w"], "left").groupBy(*g, "response_id").agg(F.coalesce(F.try_divide(F.sum("others").cast("double"), F.count("w")), F.lit(0.0)).alias("shared"))
+    n = F.count("*")
+    ag = per.groupBy(*g).agg(n.alias("n"), F.when(n < 2, F.lit(0.0)).otherwise(F.sum("shared") / (n * (n - 1))).alias("agree"))
+    ag = ag.withColumn("agree", F.when(F.col("n") < 2, 0.0).otherwise(F.col("agree")))
+    sc = ag.join(tot, node).withColumn("score", 0.3 * F.col("n") / F.col("total") + 0.7 * F.col("agree"))
+    best = sc.groupBy(*node).agg(F.min_by(F.struct("letter", "score"), F.struct(-F.round("score", 9), F.col("letter"))).alias("b"))
+    return best.select(*node, "b.letter", "b.score")
 
 
 @R.query("answer_vote_alpha", f"WITH {_VOTE} SELECT store_no, question_id, method, letter, round(score, 6) AS score FROM b")
 def answer_vote_alpha(spark, sf):
-    """0.3 vote share + 0.7 agreement (here a spread of lengths); the first letter wins ties."""
+    """0.3 vote share + 0.7 mean pair score of the responses with the answer; the first letter wins ties."""
     return voted(spark, sf).withColumn("score", F.round("score", 6))
 
 
@@ -269,13 +285,18 @@ def results_dedup(spark, sf):
     return best
 
 
-@R.query("results_missing", f"""WITH {ANS}, k AS (SELECT DISTINCT store_no, question_id FROM an WHERE store_no IS NOT NULL), m AS (SELECT unnest(['events_only', 'frames_only', 'multimode', 'tree']) AS method)
-SELECT k.store_no, k.question_id, m.method FROM k, m WHERE NOT EXISTS (SELECT 1 FROM an WHERE an.store_no = k.store_no AND an.question_id = k.question_id AND an.method = m.method)""")
+@R.query("results_missing", f"""WITH {EV}, {QI}, {ANS}, m AS (SELECT unnest(['events_only', 'frames_only', 'multimode', 'tree']) AS method), d AS (SELECT DISTINCT an.store_no, an.method, qi.qno FROM an JOIN qi ON qi.store_no = an.store_no AND qi.ask_id = an.question_id)
+SELECT n.store_no, m.method, n.n AS questions, array_to_string(list_sort(list(g.i) FILTER (d.qno IS NULL)), ',') AS missing FROM (SELECT store_no, count(*) AS n, unnest(range(count(*))) AS i FROM qn GROUP BY store_no) g JOIN (SELECT store_no, count(*) AS n FROM qn GROUP BY store_no) n ON n.store_no = g.store_no, m
+LEFT JOIN d ON d.store_no = g.store_no AND d.method = m.method AND d.qno = g.i GROUP BY ALL HAVING count(*) FILTER (d.qno IS NULL) > 0""")
 def results_missing(spark, sf):
-    """Methods that a question has no result for."""
-    a = answered(spark, sf).where("store_no is not null").select("store_no", "question_id", "method").distinct()
-    want = a.select("store_no", "question_id").distinct().withColumn("method", F.explode(F.array(*(F.lit(x) for x in ("events_only", "frames_only", "multimode", "tree")))))
-    return want.join(a, ["store_no", "question_id", "method"], "left_anti")
+    """Numbers of the questions of each store that a method has no result for."""
+    q = store_questions(spark, sf)
+    done = answered(spark, sf).where("store_no is not null").select("store_no", "method", F.col("question_id").alias("ask_id")).join(question_ids(q), ["store_no", "ask_id"]).select("store_no", "method", F.col("qno").alias("i")).distinct()
+    n = q.groupBy("store_no").agg(F.count("*").alias("questions"))
+    want = n.select("store_no", "questions", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("questions") - 1)).alias("i"))
+    want = want.withColumn("method", F.explode(F.array(*(F.lit(x) for x in ("events_only", "frames_only", "multimode", "tree")))))
+    left = want.join(done, ["store_no", "method", "i"], "left_anti")
+    return left.groupBy("store_no", "method", "questions").agg(F.array_join(F.array_sort(F.collect_list("i")), ",").alias("missing"))
 
 
 @R.query("results_resume_antijoin", f"""WITH {ANS} SELECT response_id FROM an WHERE method = 'tree' AND NOT EXISTS (SELECT 1 FROM an d WHERE d.method = 'multimode' AND d.store_no = an.store_no AND d.question_id = an.question_id)""")
@@ -285,28 +306,34 @@ def results_resume_antijoin(spark, sf):
     return a.where("method = 'tree'").join(a.where("method = 'multimode'").select("store_no", "question_id").distinct(), ["store_no", "question_id"], "left_anti").select("response_id")
 
 
-@R.query("results_valid", r"""SELECT response_id, response IS NOT NULL AND NOT regexp_matches(response, '(?i)(^\s*\[?error|exception|traceback|timed? ?out|rate limit|connection (refused|reset)|out of memory|failed to|no response|service unavailable)') AND regexp_matches(response, '(?i)"answer"\s*:\s*"\s*[A-D]') AS valid FROM responses""")
+_ERRORS = "internal error|error happened|status code|ResponseType\\.|INPUT_LENGTH_ERROR|TOKEN_LIMIT|TIMEOUT|FAILED|exception|traceback"
+
+
+@R.query("results_valid", rf"""WITH t AS (SELECT response_id, response, coalesce(nullif(regexp_extract(response, '```(?:json)?\s*(\{{.*?\}})\s*```', 1, 's'), ''), regexp_extract(response, '\{{.*\}}', 0, 's')) AS t FROM responses), a AS (SELECT response_id, response, trim({_FIRST_OF.format('t')}) AS w FROM t)
+SELECT response_id, coalesce(NOT regexp_matches(response, '(?i)({_ERRORS})') AND w <> '', FALSE) AS valid, coalesce(NOT regexp_matches(response, '(?i)({_ERRORS})') AND upper(w) IN ('A', 'B', 'C', 'D'), FALSE) AS lettered FROM a""")
 def results_valid(spark, sf):
-    """A response without an error text and with a JSON answer of A-D."""
+    """A response without an error text and with a JSON answer, of any form and of A-D."""
     t = F.col("response")
-    return table(spark, sf, "responses").select("response_id", F.coalesce(~A.looks_like_error(t) & t.rlike('(?i)"answer"\\s*:\\s*"\\s*[A-D]'), F.lit(False)).alias("valid"))
+    return table(spark, sf, "responses").select("response_id", A.valid_answer(t).alias("valid"), A.valid_answer(t, True).alias("lettered"))
 
 
-_WRONG = f"""{ANS}, ov AS (SELECT store_no, question_id, bool_or(completion_tokens % 3 = 0) AS overlap FROM an WHERE completion_tokens IS NOT NULL GROUP BY ALL),
-w AS (SELECT an.method, an.response_id, CASE WHEN an.letter = an.truth THEN 'right' WHEN an.letter IS NULL AND ov.store_no IS NULL THEN 'not counted' WHEN ov.store_no IS NULL THEN 'wrong, no category' WHEN ov.overlap THEN 'wrong content' ELSE 'wrong retrieval' END AS verdict
-FROM an LEFT JOIN ov ON ov.store_no = an.store_no AND ov.question_id = an.question_id WHERE an.truth IS NOT NULL)"""
+_WRONG = f"""{_ACC.rstrip()[5:]}, {QI}, {ANS}, w AS (SELECT an.method, an.response_id, CASE WHEN an.letter = an.truth THEN 'right' WHEN qi.qno IS NULL AND an.letter IS NULL THEN 'not counted' WHEN qi.qno IS NULL THEN 'wrong, no category' WHEN acc.store_no IS NOT NULL AND NOT acc.hit THEN 'wrong retrieval' ELSE 'wrong content' END AS verdict
+FROM an LEFT JOIN qi ON qi.store_no = an.store_no AND qi.ask_id = an.question_id LEFT JOIN acc ON acc.store_no = qi.store_no AND acc.question_id = qi.qno WHERE an.truth IS NOT NULL)"""
 
 
 def attributed(spark, sf):
-    a = answered(spark, sf)
-    ov = a.where("completion_tokens is not null").groupBy("store_no", "question_id").agg(F.bool_or(F.col("completion_tokens") % 3 == 0).alias("overlap"), F.lit(True).alias("there"))
-    v = F.when(F.col("letter") == F.col("truth"), "right").when(F.col("letter").isNull() & F.col("there").isNull(), "not counted").when(F.col("there").isNull(), "wrong, no category").when(F.col("overlap"), "wrong content").otherwise("wrong retrieval")
-    return a.where("truth is not null").join(ov, ["store_no", "question_id"], "left").select("method", "response_id", v.alias("verdict"))
+    a = answered(spark, sf).where("truth is not null").withColumnRenamed("question_id", "ask_id")
+    ids = question_ids(store_questions(spark, sf))
+    hit = accuracy(spark, sf).select("store_no", F.col("question_id").alias("qno"), "hit")
+    there = F.col("qno").isNotNull()
+    v = F.when(F.col("letter") == F.col("truth"), "right").when(~there & F.col("letter").isNull(), "not counted").when(~there, "wrong, no category").when(F.col("hit") == F.lit(False), "wrong retrieval").otherwise("wrong content")
+    return a.join(ids, ["store_no", "ask_id"], "left").join(hit, ["store_no", "qno"], "left").select("method", "response_id", v.alias("verdict"))
 
 
 @R.query("wrong_attribution", f"WITH {_WRONG} SELECT response_id, verdict FROM w")
 def wrong_attribution(spark, sf):
-    """A wrong answer is one of retrieval without overlap, else of content."""
+    """A wrong answer is one of retrieval if the question's time is not hit; of content if it is, or if the
+    question has no time that counts."""
     return attributed(spark, sf).select("response_id", "verdict")
 
 
@@ -325,29 +352,47 @@ def generation_log(spark, sf):
     )
 
 
-@R.query("leaf_overlap_two_level", f"WITH {SD}, q AS (SELECT store_no, question_id, avg(e - s) AS m FROM sd WHERE ord % 3 = 0 GROUP BY ALL) SELECT store_no, round(avg(m), 6) AS mean_overlap FROM q GROUP BY store_no")
-def leaf_overlap_two_level(spark, sf):
-    """Mean over the leaves of a question, then over the questions."""
-    return _leaf_overlap(seeds(spark, sf).where("ord % 3 = 0"))
-
-
-@R.query("leaf_overlap_two_level_all", R.sql["leaf_overlap_two_level"].replace(" WHERE ord % 3 = 0", ""))
-def leaf_overlap_two_level_all(spark, sf):
-    """The same over all leaves."""
-    return _leaf_overlap(seeds(spark, sf))
-
-
-def _leaf_overlap(leaves):
-    q = leaves.groupBy("store_no", "question_id").agg(F.avg(F.col("e") - F.col("s")).alias("m"))
-    return q.groupBy("store_no").agg(F.round(F.avg("m"), 6).alias("mean_overlap"))
+_LEAF = f"""WITH {SD}, {GT}, r AS (SELECT *, row_number() OVER (PARTITION BY store_no, question_id ORDER BY score DESC NULLS FIRST, ord) AS rnk FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id, event_id ORDER BY ord) AS r1 FROM sd) WHERE r1 = 1)),
+lf AS (SELECT store_no, question_id, (rnk - 1) % 3 AS leaf, CAST(floor(s) AS BIGINT) AS s, greatest(CAST(floor(e) AS BIGINT), CAST(floor(s) AS BIGINT) + 1) AS e FROM r WHERE rnk <= 9),
+fl AS (SELECT *, max(e) OVER (PARTITION BY store_no, question_id, leaf ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tp FROM lf),
+isl AS (SELECT *, sum(CASE WHEN tp IS NULL OR s > tp THEN 1 ELSE 0 END) OVER (PARTITION BY store_no, question_id, leaf ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM fl),
+m AS (SELECT store_no, question_id, leaf, min(s) AS s, max(e) AS e FROM isl GROUP BY store_no, question_id, leaf, g),
+vt AS (SELECT gt.*, l.leaf FROM gt JOIN qn USING (store_no, question_id) JOIN (SELECT DISTINCT store_no, question_id, leaf FROM lf) l USING (store_no, question_id) WHERE {valid_sql("qn.ref")}),
+c AS (SELECT vt.store_no, vt.question_id, vt.leaf, vt.seg, CASE WHEN vt.point OR vt.ge = vt.gs THEN CAST(coalesce(bool_or(m.s <= vt.gs AND vt.gs < m.e), FALSE) AS INT) * 1.0 ELSE coalesce(sum(CASE WHEN greatest(m.s, vt.gs) < least(m.e, vt.ge) THEN least(m.e, vt.ge) - greatest(m.s, vt.gs) END), 0) / (vt.ge - vt.gs) END AS c
+  FROM vt LEFT JOIN m ON m.store_no = vt.store_no AND m.question_id = vt.question_id AND m.leaf = vt.leaf GROUP BY vt.store_no, vt.question_id, vt.leaf, vt.seg, vt.gs, vt.ge, vt.point),
+l AS (SELECT store_no, question_id, leaf, avg(c) AS c FROM c GROUP BY ALL), q AS (SELECT store_no, question_id, avg(c) AS c FROM l GROUP BY ALL)
+SELECT store_no, count(*) AS questions, round(avg(c), 6) AS mean_overlap FROM q GROUP BY store_no"""
 
 
-@R.query("superset_check", f"WITH {SD}, {TOP} SELECT store_no, question_id, event_id FROM top WHERE rnk <= 3 EXCEPT SELECT store_no, question_id, event_id FROM top")
+@R.query("leaf_overlap_two_level", _LEAF)
+def leaf_overlap_two_level(spark, sf):
+    """Share of a question's time that the events of a leaf cover, mean over the leaves of the question (its
+    best nine seeds dealt to three leaves), then over the questions of each store."""
+    from tideline.functions.intervals import truncated_ends
+    from tideline.operators.intervals import coverage, merged
+
+    top = S.topk_nulls_first(seeds(spark, sf), 9).withColumn("leaf", ((F.col("rnk") - 1) % 3).cast("bigint"))
+    a, b = truncated_ends(F.col("s"), F.col("e"))
+    top = top.select("store_no", "question_id", "leaf", F.concat_ws(":", "store_no", "question_id", "leaf").alias("k"), a.alias("s"), b.alias("e"))
+    leaves = top.select("store_no", "question_id", "leaf", "k").distinct()
+    refs = valid_truth(spark, sf).join(leaves, ["store_no", "question_id"]).select("k", "store_no", "question_id", "leaf", "seg", F.col("gs").alias("s"), F.when(F.col("point"), F.col("gs")).otherwise(F.col("ge")).alias("e"))
+    c = coverage(merged(top.select("k", "s", "e"), "k"), refs, "k")
+    leaf = c.groupBy("store_no", "question_id", "leaf").agg(F.avg("coverage").alias("c"))
+    return leaf.groupBy("store_no", "question_id").agg(F.avg("c").alias("c")).groupBy("store_no").agg(F.count("*").alias("questions"), F.round(F.avg("c"), 6).alias("mean_overlap"))
+
+
+@R.query("superset_check", f"""WITH {SD}, {TOP}, {FB}, f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id, event_id ORDER BY ord) AS r1 FROM sd WHERE score IS NOT NULL) WHERE r1 = 1),
+b AS (SELECT store_no, question_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id ORDER BY score DESC, ord) AS rnk FROM f) WHERE rnk <= 2),
+x AS (SELECT store_no, question_id, event_id FROM top UNION SELECT * FROM fb), d AS (SELECT * FROM b EXCEPT SELECT * FROM x)
+SELECT q.store_no, q.question_id, count(d.event_id) AS lacking FROM (SELECT DISTINCT store_no, question_id FROM b) q LEFT JOIN d ON d.store_no = q.store_no AND d.question_id = q.question_id GROUP BY ALL""")
 def superset_check(spark, sf):
-    """Seeds of a smaller budget that a larger one lacks (none)."""
-    top = top_seeds(spark, sf)
+    """For every question, how many of its two best scored seeds the expansion of its top seeds lacks."""
     c = ["store_no", "question_id", "event_id"]
-    return top.where("rnk <= 3").select(*c).exceptAll(top.select(*c))
+    top = top_seeds(spark, sf)
+    base = S.topk_scored(seeds(spark, sf), 2).select(*c)
+    lacking = base.join(top.select(*c).unionByName(temporal_neighbours(spark, sf, top).select(*c)).distinct(), c, "left_anti")
+    n = lacking.groupBy("store_no", "question_id").agg(F.count("*").alias("lacking"))
+    return base.select("store_no", "question_id").distinct().join(n, ["store_no", "question_id"], "left").fillna(0, ["lacking"])
 
 
 @R.query("clean_text", r"""SELECT doc_id, md5(replace(regexp_replace(replace(replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[\x00-\x1f\x7f-\x9f]', '', 'g'), '/', ' ')) AS cleaned FROM documents""")
