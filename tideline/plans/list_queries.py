@@ -9,11 +9,13 @@ from tideline.functions import timetext as T
 from tideline.functions.intervals import holds_closed, overlaps_closed
 from tideline.operators import cache as C
 from tideline.operators import eventlist as L
+from tideline.operators import frames as FR
 from tideline.operators import seeds as S
 from tideline.operators import tracks as K
-from tideline.operators.intervals import overlap_join
+from tideline.operators import vector as V
+from tideline.operators.intervals import merged, overlap_join
 from tideline.operators.ordering import numbered, prev_next
-from tideline.plans.base import BR, EV, GT, SD, bridge, events, seeds, truth
+from tideline.plans.base import BR, EV, GT, SD, VEC, bridge, events, json_scalar, seeds, store_questions, truth, vectors
 from tideline.plans.graph_queries import FB, TOP, top_seeds
 from tideline.plans.interval_queries import temporal_neighbours
 from tideline.registry import Registry
@@ -21,26 +23,40 @@ from tideline.sources.tables import table
 
 R = Registry()
 
-VS = "vs AS (SELECT store_no, fps, CAST(floor(fps) AS BIGINT) AS f, frame_count AS n FROM video_stores WHERE fps >= 1 AND frame_count IS NOT NULL)"
+VS = "vs AS (SELECT store_no, fps, frame_count AS n, width, height, created_at FROM video_stores WHERE fps > 0 AND frame_count IS NOT NULL)"
 
 
 def _stores(spark, sf):
-    return table(spark, sf, "video_stores").where("fps >= 1 and frame_count is not null").select("store_no", "fps", F.floor("fps").cast("bigint").alias("f"), F.col("frame_count").alias("n"))
+    return table(spark, sf, "video_stores").where("fps > 0 and frame_count is not null").select("store_no", "fps", F.col("frame_count").alias("n"), "width", "height", "created_at")
 
 
-@R.query("frames_by_fps", f"""WITH {EV}, {VS}, b AS (SELECT ev.store_no, ev.pos, CAST(floor(ev.s * vs.f) AS BIGINT) AS lo, CAST(floor(ev.e * vs.f) AS BIGINT) AS hi, greatest(1, vs.f) AS step FROM ev JOIN vs USING (store_no))
-SELECT store_no, pos, unnest(range(lo, hi, step)) AS frame FROM b""")
+def _timed(spark, sf):
+    return events(spark, sf).join(_stores(spark, sf), "store_no")
+
+
+def _rate(target: float, s="s", e="e") -> str:
+    lo, hi = f"CAST(floor({s} * fps) AS BIGINT)", f"CAST(floor({e} * fps) AS BIGINT)"
+    return f"CASE WHEN {s} = {e} THEN [{lo}] ELSE range({lo}, {hi}, greatest(1, CAST(floor(fps / {target}) AS BIGINT))) END"
+
+
+@R.query("frames_by_fps", f"WITH {EV}, {VS} SELECT store_no, pos, target, unnest(fr) AS frame FROM (SELECT store_no, pos, 1.0 AS target, {_rate(1.0)} AS fr FROM ev JOIN vs USING (store_no) UNION ALL SELECT store_no, pos, 0.5, {_rate(0.5)} FROM ev JOIN vs USING (store_no))")
 def frames_by_fps(spark, sf):
-    """frames of each event at one per second, the end left out."""
-    b = events(spark, sf).join(_stores(spark, sf), "store_no").select("store_no", "pos", F.floor(F.col("s") * F.col("f")).cast("bigint").alias("lo"), F.floor(F.col("e") * F.col("f")).cast("bigint").alias("hi"), F.greatest(F.lit(1), "f").alias("step"))
-    return b.where("lo < hi").select("store_no", "pos", F.explode(F.sequence("lo", F.col("hi") - 1, "step")).alias("frame"))
+    """frames of each event at one per second and at one per two seconds, the end left out."""
+    b = _timed(spark, sf)
+    out = None
+    for target in (1.0, 0.5):
+        part = b.select("store_no", "pos", F.lit(target).alias("target"), F.explode(FR.at_rate(F.col("s"), F.col("e"), F.col("fps"), target)).alias("frame"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-@R.query("frames_by_num", f"WITH {EV} SELECT store_no, pos, i AS place, round(s + i * (e - s) / 3, 6) AS t FROM (SELECT *, unnest(range(4)) AS i FROM ev)")
+@R.query("frames_by_num", f"""WITH {EV}, {VS}, k AS (SELECT ev.store_no, pos, s, e, fps, m FROM ev JOIN vs USING (store_no), (SELECT unnest([1, 2, 4]) AS m)), p AS (SELECT *, unnest(range(m)) AS i FROM k),
+q AS (SELECT store_no, pos, m AS n, i AS place, fps, CASE WHEN m = 1 THEN (s + e) / 2 ELSE s + i * (e - s) / (m - 1) END AS x FROM p) SELECT store_no, pos, n, place, round(x, 6) AS t, CAST(floor(x * fps) AS BIGINT) AS frame FROM q""")
 def frames_by_num(spark, sf):
-    """four instants of each event, evenly spaced, both ends included."""
-    rows = events(spark, sf).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    return rows.select("store_no", "pos", "place", F.round(F.col("s") + F.col("place") * (F.col("e") - F.col("s")) / 3, 6).alias("t"))
+    """one, two and four instants of each event with their frames."""
+    b = _timed(spark, sf).withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4))))
+    p = b.select("store_no", "pos", "n", "fps", F.posexplode(FR.instants(F.col("s"), F.col("e"), F.col("n"))).alias("place", "x"))
+    return p.select("store_no", "pos", "n", "place", F.round("x", 6).alias("t"), FR.frame_at(F.col("x"), F.col("fps")).alias("frame"))
 
 
 @R.query("frames_linspace", f"""WITH {VS}, k AS (SELECT store_no, n, unnest(CASE WHEN n <= 64 THEN range(n) ELSE range(64) END) AS i FROM vs)
@@ -58,62 +74,121 @@ def _segment_seconds(spark, sf):
     return gt.select("store_no", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), "gs"), "ge")).alias("sec")).distinct()
 
 
-@R.query("frames_segment_seconds", f"WITH {EV}, {GT}, {_SEGS}, {VS} SELECT DISTINCT sec.store_no, sec.sec * vs.f AS frame FROM sec JOIN vs USING (store_no)")
+@R.query("frames_segment_seconds", f"WITH {EV}, {GT}, {_SEGS}, {VS} SELECT DISTINCT sec.store_no, CAST(floor(sec.sec * vs.fps) AS BIGINT) AS frame FROM sec JOIN vs USING (store_no)")
 def frames_segment_seconds(spark, sf):
     """one frame per second inside the segments, ends included, distinct."""
-    return _segment_seconds(spark, sf).join(_stores(spark, sf), "store_no").select("store_no", (F.col("sec") * F.col("f")).alias("frame")).distinct()
+    return _segment_seconds(spark, sf).join(_stores(spark, sf), "store_no").select("store_no", FR.frame_at(F.col("sec"), F.col("fps")).alias("frame")).distinct()
+
 
+def _spread(rows: str, keys: str, order: str, k: int) -> str:
+    """SQL: ``k`` rows of each group, evenly spread, the last pinned."""
+    return f"""SELECT {keys}, {order} FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS r, count(*) OVER (PARTITION BY {keys}) AS c FROM {rows}) z
+WHERE c <= {k} OR r = c - 1 OR EXISTS (SELECT 1 FROM (SELECT unnest(range({k - 1})) AS j) y WHERE CAST(floor(y.j * ((z.c - 1) / {k - 1}.0)) AS BIGINT) = z.r)"""
 
-@R.query("frames_segments_uniform", f"""WITH {EV}, {GT}, {_SEGS}, r AS (SELECT store_no, sec, row_number() OVER (PARTITION BY store_no ORDER BY sec) - 1 AS i, count(*) OVER (PARTITION BY store_no) AS n FROM sec),
-p AS (SELECT DISTINCT store_no, n, CASE WHEN n <= 20 THEN k ELSE CASE WHEN k = 19 THEN n - 1 ELSE CAST(floor(k * ((n - 1) / 19.0)) AS BIGINT) END END AS i FROM (SELECT DISTINCT store_no, n FROM r) x, (SELECT unnest(range(20)) AS k) y)
-SELECT r.store_no, r.sec FROM r JOIN p ON p.store_no = r.store_no AND p.i = r.i""")
+
+def _spread_of(df, key, order, k):
+    r = numbered(df, [key], order)
+    p = r.select(key, "group_size").distinct().select(key, F.explode(T.linspace_ints(F.col("group_size"), k)).alias("rank0")).distinct()
+    return r.join(p, [key, "rank0"]).select(key, order)
+
+
+@R.query("frames_segments_uniform", f"WITH {EV}, {GT}, {_SEGS}, {VS}, fr AS (SELECT DISTINCT sec.store_no, CAST(floor(sec.sec * vs.fps) AS BIGINT) AS frame FROM sec JOIN vs USING (store_no)) {_spread('fr', 'store_no', 'frame', 20)}")
 def frames_segments_uniform(spark, sf):
-    """20 seconds of each store's segments, evenly spread."""
-    r = numbered(_segment_seconds(spark, sf), ["store_no"], "sec")
-    p = r.select("store_no", "group_size").distinct().select("store_no", F.explode(T.linspace_ints(F.col("group_size"), 20)).alias("rank0")).distinct()
-    return r.join(p, ["store_no", "rank0"]).select("store_no", "sec")
+    """20 frames of each store's segments at one per second, evenly spread."""
+    return _spread_of(frames_segment_seconds(spark, sf), "store_no", "frame", 20)
 
 
-@R.query("frames_per_event_9s", f"WITH {EV} SELECT store_no, pos, greatest(1, CAST(ceil((e - s) / 9) AS BIGINT)) AS n FROM ev")
-def frames_per_event_9s(spark, sf):
-    """one frame per 9 s of an event, at least one."""
-    return events(spark, sf).select("store_no", "pos", F.greatest(F.lit(1), F.ceil((F.col("e") - F.col("s")) / 9)).cast("bigint").alias("n"))
+_MERGED_GT = """gfl AS (SELECT store_no, gs, ge, max(ge) OVER (PARTITION BY store_no ORDER BY gs, ge, seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM gt WHERE ge > gs),
+gisl AS (SELECT store_no, gs, ge, sum(CASE WHEN top IS NULL OR gs > top THEN 1 ELSE 0 END) OVER (PARTITION BY store_no ORDER BY gs, ge ROWS UNBOUNDED PRECEDING) AS g FROM gfl),
+gm AS (SELECT store_no, min(gs) AS s, max(ge) AS e FROM gisl GROUP BY store_no, g)"""
 
 
-@R.query("frames_stride", f"""WITH {EV}, n AS (SELECT store_no, pos, row_number() OVER (PARTITION BY store_no ORDER BY pos) - 1 AS r, count(*) OVER (PARTITION BY store_no) AS c FROM ev)
-SELECT store_no, pos FROM n WHERE r % greatest(1, CAST(ceil(c / 25.0) AS BIGINT)) = 0""")
-def frames_stride(spark, sf):
-    """every n-th row so that at most 25 remain of each store."""
-    r = numbered(events(spark, sf).select("store_no", "pos"), ["store_no"], "pos")
-    return r.where(F.col("rank0") % F.greatest(F.lit(1), F.ceil(F.col("group_size") / 25.0)) == 0).select("store_no", "pos")
+@R.query("frames_merged_segments", f"WITH {EV}, {GT}, {_MERGED_GT}, {VS}, fr AS (SELECT DISTINCT store_no, unnest({_rate(1.0)}) AS frame FROM gm JOIN vs USING (store_no)) {_spread('fr', 'store_no', 'frame', 30)}")
+def frames_merged_segments(spark, sf):
+    """F8: one frame per second of every merged segment, 30 of each store, evenly spread."""
+    g = truth(spark, sf).select("store_no", F.col("gs").alias("s"), F.col("ge").alias("e"))
+    fr = merged(g, "store_no").join(_stores(spark, sf), "store_no").select("store_no", F.explode(FR.at_rate(F.col("s"), F.col("e"), F.col("fps"), 1.0)).alias("frame")).distinct()
+    return _spread_of(fr, "store_no", "frame", 30)
 
 
-_FS = "((pos * 7919) % 1000) / 1000.0"
+@R.query("frames_per_event_9s", f"""WITH {EV}, {VS}, k AS (SELECT store_no, pos, s, e, fps, greatest(1, CAST(ceil((e - s) / 9) AS BIGINT)) AS n FROM ev JOIN vs USING (store_no)), p AS (SELECT *, unnest(range(n)) AS i FROM k)
+SELECT store_no, pos, n, i AS place, CAST(floor(CASE WHEN n = 1 THEN (s + e) / 2 ELSE s + i * (e - s) / (n - 1) END * fps) AS BIGINT) AS frame FROM p""")
+def frames_per_event_9s(spark, sf):
+    """one frame per 9 s of an event, at least one, evenly spread."""
+    b = _timed(spark, sf).withColumn("n", FR.per_seconds(F.col("s"), F.col("e"), 9.0))
+    p = b.select("store_no", "pos", "n", "fps", F.posexplode(FR.instants(F.col("s"), F.col("e"), F.col("n"))).alias("place", "x"))
+    return p.select("store_no", "pos", "n", F.col("place").cast("bigint").alias("place"), FR.frame_at(F.col("x"), F.col("fps")).alias("frame"))
 
 
-@R.query("frames_score_threshold", f"""WITH {EV}, f AS (SELECT store_no, pos, {_FS} AS score FROM ev), t AS (SELECT store_no, CASE WHEN count(*) >= 8 THEN list_sort(list(score), 'DESC')[8] ELSE -1 END AS kth FROM f GROUP BY store_no),
-a AS (SELECT f.store_no, f.pos FROM f JOIN t USING (store_no) WHERE f.score > t.kth), x AS (SELECT f.store_no, f.pos, row_number() OVER (PARTITION BY f.store_no ORDER BY f.pos) AS r FROM f WHERE pos % 10 = 0 AND NOT EXISTS (SELECT 1 FROM a WHERE a.store_no = f.store_no AND a.pos = f.pos)),
-c AS (SELECT t.store_no, 8 - count(a.pos) AS left_n FROM t LEFT JOIN a USING (store_no) GROUP BY t.store_no)
-SELECT store_no, pos, 'score' AS how FROM a UNION ALL SELECT x.store_no, x.pos, 'stride' FROM x JOIN c USING (store_no) WHERE x.r <= c.left_n""")
+@R.query("frames_stride", f"""WITH {EV}, {VS}, f AS (SELECT store_no, pos, fps, unnest(range(len(fr))) AS i, unnest(fr) AS frame FROM (SELECT store_no, pos, fps, {_rate(2.0)} AS fr FROM ev JOIN vs USING (store_no))),
+n AS (SELECT *, row_number() OVER (PARTITION BY store_no ORDER BY pos, i) - 1 AS r, count(*) OVER (PARTITION BY store_no) AS c FROM f)
+SELECT store_no, pos, frame, 'most' AS how FROM n WHERE r % greatest(1, CAST(ceil(c / 256.0) AS BIGINT)) = 0 UNION ALL SELECT store_no, pos, frame, 'rate' FROM n WHERE r % greatest(1, CAST(floor(fps / 2.0) AS BIGINT)) = 0""")
+def frames_stride(spark, sf):
+    """frames of all events of a store end to end (an overlap counts twice), every n-th of them: so that at
+    most 256 remain, or by the rate."""
+    b = _timed(spark, sf)
+    f = b.select("store_no", "pos", "fps", F.posexplode(FR.at_rate(F.col("s"), F.col("e"), F.col("fps"), 2.0)).alias("i", "frame"))
+    r = numbered(f.withColumn("o", F.col("pos") * F.lit(1 << 32) + F.col("i")), ["store_no"], "o", block=1 << 40)
+    most = r.where(F.col("rank0") % F.greatest(F.lit(1), F.ceil(F.col("group_size") / 256.0)) == 0).select("store_no", "pos", "frame", F.lit("most").alias("how"))
+    return most.unionByName(r.where(F.col("rank0") % F.greatest(F.lit(1), F.floor(F.col("fps") / 2.0)) == 0).select("store_no", "pos", "frame", F.lit("rate").alias("how")))
+
+
+# frame scores: similarity of every frame vector of a store to its first event vector; event scores likewise
+_FSC = f"""{VEC}, qf AS (SELECT store_no, arg_min(v, vec_id) AS qv FROM vec WHERE vec_kind = 'event' AND store_no IS NOT NULL GROUP BY store_no),
+fs AS (SELECT vec.store_no, CAST(owner_id AS DOUBLE) AS sec, max(round(list_cosine_similarity(v, qv), 9)) AS score FROM vec JOIN qf USING (store_no) WHERE vec_kind = 'frame' AND TRY_CAST(owner_id AS DOUBLE) IS NOT NULL GROUP BY ALL),
+es AS (SELECT vec.store_no, owner_id AS event_id, max(round(list_cosine_similarity(v, qv), 9)) AS score FROM vec JOIN qf USING (store_no) WHERE vec_kind = 'event' GROUP BY ALL)"""
+
+
+def _scored(spark, sf):
+    """(frame scores: store_no, sec, score; event scores: store_no, event_id, score)."""
+    v = vectors(spark, sf).where("store_no is not null")
+    q = v.where("vec_kind = 'event'").groupBy("store_no").agg(F.min_by("v", "vec_id").alias("qv"))
+    s = v.join(q, "store_no").select("store_no", "vec_kind", "owner_id", F.round(V.cosine(F.col("v"), F.col("qv")), 9).alias("score"))
+    sec = F.expr("try_cast(owner_id as double)")
+    fs = s.where("vec_kind = 'frame'").select("store_no", sec.alias("sec"), "score").where("sec is not null").groupBy("store_no", "sec").agg(F.max("score").alias("score"))
+    return fs, s.where("vec_kind = 'event'").groupBy("store_no", F.col("owner_id").alias("event_id")).agg(F.max("score").alias("score"))
+
+
+@R.query("frames_score_threshold", f"""WITH {EV}, {_FSC}, t AS (SELECT store_no, CASE WHEN count(*) >= 4 THEN list_sort(list(score), 'DESC')[4] ELSE -2 END AS kth FROM fs GROUP BY store_no),
+a AS (SELECT fs.store_no, fs.sec FROM fs JOIN t USING (store_no) WHERE fs.score > t.kth), n AS (SELECT store_no, sec, row_number() OVER (PARTITION BY store_no ORDER BY sec) - 1 AS r FROM fs),
+x AS (SELECT n.store_no, n.sec, row_number() OVER (PARTITION BY n.store_no ORDER BY n.sec) AS r FROM n WHERE n.r % 2 = 0 AND NOT EXISTS (SELECT 1 FROM a WHERE a.store_no = n.store_no AND a.sec = n.sec)),
+c AS (SELECT t.store_no, 4 - count(a.sec) AS left_n FROM t LEFT JOIN a USING (store_no) GROUP BY t.store_no)
+SELECT store_no, sec, 'score' AS how FROM a UNION ALL SELECT x.store_no, x.sec, 'stride' FROM x JOIN c USING (store_no) WHERE x.r <= c.left_n""")
 def frames_score_threshold(spark, sf):
-    """rows that score above the 8th best, filled up to 8 with stride rows."""
-    f = events(spark, sf).select("store_no", "pos", (((F.col("pos") * 7919) % 1000) / 1000.0).alias("score"))
-    top = f.withColumn("r", F.row_number().over(Window.partitionBy("store_no").orderBy(F.desc("score"), "pos"))).where("r <= 8")
-    t = top.groupBy("store_no").agg(F.when(F.count("*") >= 8, F.min("score")).otherwise(F.lit(-1.0)).alias("kth"))
-    a = f.join(t, "store_no").where("score > kth").select("store_no", "pos")
-    left = t.join(a.groupBy("store_no").count(), "store_no", "left").select("store_no", (8 - F.coalesce("count", F.lit(0))).alias("left_n"))
-    x = f.where("pos % 10 = 0").join(a, ["store_no", "pos"], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("store_no").orderBy("pos"))).where("r <= 8")
-    x = x.join(left, "store_no").where("r <= left_n")
-    return a.withColumn("how", F.lit("score")).unionByName(x.select("store_no", "pos", F.lit("stride").alias("how")))
-
-
-@R.query("percentile_event_filter", f"""WITH {EV}, t AS (SELECT store_no, quantile_cont({_FS}, 0.5) AS mid, quantile_cont((pos * 31) % 97, 0.9) AS high FROM ev GROUP BY store_no)
-SELECT ev.store_no, ev.pos FROM ev JOIN t USING (store_no) WHERE {_FS} > t.mid OR (pos * 31) % 97 >= t.high""")
+    """frames that score above the 4th best of their store, filled up to 4 with every second frame."""
+    f, _ = _scored(spark, sf)
+    top = f.withColumn("r", F.row_number().over(Window.partitionBy("store_no").orderBy(F.desc("score"), "sec"))).where("r <= 4")
+    t = top.groupBy("store_no").agg(F.when(F.count("*") >= 4, F.min("score")).otherwise(F.lit(-2.0)).alias("kth"))
+    a = f.join(t, "store_no").where("score > kth").select("store_no", "sec")
+    left = t.join(a.groupBy("store_no").count(), "store_no", "left").select("store_no", (4 - F.coalesce("count", F.lit(0))).alias("left_n"))
+    x = numbered(f.select("store_no", "sec"), ["store_no"], "sec").where("rank0 % 2 = 0").join(a, ["store_no", "sec"], "left_anti")
+    x = x.withColumn("r", F.row_number().over(Window.partitionBy("store_no").orderBy("sec"))).where("r <= 4").join(left, "store_no").where("r <= left_n")
+    return a.withColumn("how", F.lit("score")).unionByName(x.select("store_no", "sec", F.lit("stride").alias("how")))
+
+
+@R.query("percentile_event_filter", f"""WITH {EV}, {GT}, {VS}, {_FSC}, x AS (SELECT ev.store_no, ev.pos, ev.s, ev.e, vs.fps, es.score FROM ev JOIN vs ON vs.store_no = ev.store_no JOIN es ON es.store_no = ev.store_no AND es.event_id = ev.event_id),
+t AS (SELECT store_no, quantile_cont(score, 0.9) AS high FROM x GROUP BY store_no), m AS (SELECT store_no, median(score) AS mid FROM fs GROUP BY store_no),
+j AS (SELECT x.store_no, x.pos, x.s, x.e, x.score, t.high, m.mid, x.fps, max(fs.score) AS best, avg(fs.score) AS mean, count(fs.score) AS n FROM x JOIN t ON t.store_no = x.store_no LEFT JOIN m ON m.store_no = x.store_no
+  LEFT JOIN fs ON fs.store_no = x.store_no AND floor(x.s * x.fps) <= floor(fs.sec * x.fps) AND floor(fs.sec * x.fps) <= floor(x.e * x.fps) GROUP BY ALL)
+SELECT store_no, pos, round(e - s, 6) AS length_s, n AS frames, round(coalesce(best, 0), 6) AS best, round(coalesce(mean, 0), 6) AS mean,
+EXISTS (SELECT 1 FROM gt WHERE gt.store_no = j.store_no AND floor(gt.gs * j.fps) > 0 AND floor(j.s * j.fps) <= floor(gt.ge * j.fps) AND floor(j.e * j.fps) >= floor(gt.gs * j.fps)) AS hits FROM j WHERE coalesce(best > mid, FALSE) OR score >= high""")
 def percentile_event_filter(spark, sf):
-    """events with a frame score over the median or an event score in the top tenth."""
-    e = events(spark, sf).select("store_no", "pos", (((F.col("pos") * 7919) % 1000) / 1000.0).alias("fs"), ((F.col("pos") * 31) % 97).cast("double").alias("es"))
-    t = e.groupBy("store_no").agg(F.percentile("fs", F.lit(0.5)).alias("mid"), F.percentile("es", F.lit(0.9)).alias("high"))
-    return e.join(t, "store_no").where("fs > mid or es >= high").select("store_no", "pos")
+    """events with a frame score over the median of the store's frames or an event score in the top tenth,
+    with their length, frame scores and whether they hit a true segment (one that begins at 0 never does)."""
+    f, es = _scored(spark, sf)
+    x = _timed(spark, sf).join(es, ["store_no", "event_id"]).select("store_no", "pos", "s", "e", "fps", "score")
+    t = x.groupBy("store_no").agg(F.percentile("score", F.lit(0.9)).alias("high"))
+    m = f.groupBy("store_no").agg(F.percentile("score", F.lit(0.5)).alias("mid"))
+    at = lambda c: F.floor(F.col(c) * F.col("fps"))
+    fr = f.join(_stores(spark, sf), "store_no").select("store_no", at("sec").alias("rs"), at("sec").alias("re"), F.col("score").alias("fscore"))
+    ev = x.withColumns({"ls": at("s"), "le": at("e")})
+    inside = overlap_join(ev.select("store_no", "pos", "ls", "le"), fr, ["store_no"], overlaps_closed, 2048).groupBy("store_no", "pos").agg(F.max("fscore").alias("best"), F.avg("fscore").alias("mean"), F.count("*").alias("frames"))
+    g = truth(spark, sf).join(_stores(spark, sf), "store_no").select("store_no", at("gs").alias("rs"), at("ge").alias("re")).where("rs > 0")
+    hit = overlap_join(ev.select("store_no", "pos", "ls", "le"), g, ["store_no"], overlaps_closed, 2048).select("store_no", "pos").distinct().withColumn("h", F.lit(True))
+    j = ev.join(t, "store_no").join(m, "store_no", "left").join(inside, ["store_no", "pos"], "left").join(hit, ["store_no", "pos"], "left")
+    j = j.where(F.coalesce(F.col("best") > F.col("mid"), F.lit(False)) | (F.col("score") >= F.col("high")))
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
+    return j.select("store_no", "pos", F.round(F.col("e") - F.col("s"), 6).alias("length_s"), F.coalesce("frames", F.lit(0)).alias("frames"), zero("best"), zero("mean"), F.coalesce("h", F.lit(False)).alias("hits"))
 
 
 @R.query("frames_owning_events", f"""WITH {EV}, {GT} SELECT DISTINCT ev.store_no, ev.pos FROM ev JOIN gt ON gt.store_no = ev.store_no AND floor(ev.s) <= gt.gs + 5 AND gt.gs + 5 <= floor(ev.e)""")
@@ -124,96 +199,165 @@ def frames_owning_events(spark, sf):
     return overlap_join(a, p, ["store_no"], lambda s, e, t, _: holds_closed(s, e, t)).select("store_no", "pos").distinct()
 
 
-@R.query("frames_evidence_text", f"""WITH {EV}, {GT}, m AS (SELECT ev.store_no, ev.pos, gt.gs + 5 AS t FROM ev LEFT JOIN gt ON gt.store_no = ev.store_no AND ev.s <= gt.gs + 5 AND gt.gs + 5 <= ev.e WHERE ev.pos % 5 = 0)
+@R.query("frames_evidence_text", f"""WITH {EV}, {GT}, m AS (SELECT ev.store_no, ev.pos, gt.gs + 5 AS t FROM ev LEFT JOIN gt ON gt.store_no = ev.store_no AND ev.s <= gt.gs + 5 AND gt.gs + 5 <= ev.e)
 SELECT store_no, pos, coalesce(string_agg(CAST(t AS VARCHAR), ',' ORDER BY t), '') AS frames FROM m GROUP BY store_no, pos""")
 def frames_evidence_text(spark, sf):
     """events with the seconds that are visual evidence for them, none included."""
-    return _evidence_text(spark, sf, "pos % 5 = 0")
-
-
-@R.query("frames_evidence_text_all", R.sql["frames_evidence_text"].replace(" WHERE ev.pos % 5 = 0", ""))
-def frames_evidence_text_all(spark, sf):
-    """the same for every event."""
-    return _evidence_text(spark, sf, "true")
-
-
-def _evidence_text(spark, sf, which):
-    a = events(spark, sf).where(which).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
+    a = events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
     p = truth(spark, sf).select("store_no", (F.col("gs") + 5).alias("t"), (F.col("gs") + 5).cast("double").alias("rs"), (F.col("gs") + 5).cast("double").alias("re"))
     m = overlap_join(a, p, ["store_no"], lambda s, e, t, _: holds_closed(s, e, t)).groupBy("store_no", "pos").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     return a.join(m, ["store_no", "pos"], "left").select("store_no", "pos", F.coalesce(F.array_join("ts", ","), F.lit("")).alias("frames"))
 
 
-@R.query("display_to_video_sec", f"WITH {EV} SELECT store_no, pos, greatest(0, CAST(floor(s) AS BIGINT) + 3600 - CASE WHEN store_no % 2 = 0 THEN 4000 ELSE 3500 END) AS video_sec FROM ev")
+_REFD = "(date_part('hour', vs.created_at) * 3600 + date_part('minute', vs.created_at) * 60 + CAST(floor(date_part('second', vs.created_at)) AS BIGINT))"
+
+
+@R.query("display_to_video_sec", f"""WITH {EV}, {VS}, d AS (SELECT ev.store_no, ev.pos, {_REFD} AS r, ({_REFD} + CAST(floor(ev.s) AS BIGINT)) % 86400 AS d FROM ev JOIN vs ON vs.store_no = ev.store_no AND vs.created_at IS NOT NULL)
+SELECT store_no, pos, d AS display_sec, greatest(0, CASE WHEN r > 43200 AND d < 43200 THEN d + 86400 ELSE d END - r) AS video_sec FROM d""")
 def display_to_video_sec(spark, sf):
-    """display clock to video second by a reference pair per store, not before 0."""
-    ref = F.when(F.col("store_no") % 2 == 0, 4000).otherwise(3500)
-    return events(spark, sf).select("store_no", "pos", F.greatest(F.lit(0), F.floor("s") + 3600 - ref).cast("bigint").alias("video_sec"))
+    """the clock that a video shows (it was made at ``created_at``) back to its second, over midnight."""
+    at = F.col("created_at")
+    d = _timed(spark, sf).where("created_at is not null").withColumn("r", (F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)).cast("bigint"))
+    d = d.withColumn("display_sec", ((F.col("r") + F.floor("s")) % 86400).cast("bigint"))
+    return d.select("store_no", "pos", "display_sec", FR.video_second(F.col("display_sec"), F.lit(0), F.col("r"), wraps=F.lit(True)).alias("video_sec"))
 
 
-@R.query("seconds_to_timestamp", f"WITH {EV} SELECT store_no, pos, format('{{:02d}}:{{:02d}}:{{:02d}}', CAST(floor(s) AS BIGINT) // 3600, CAST(floor(s) AS BIGINT) % 3600 // 60, CAST(floor(s) AS BIGINT) % 60) AS stamp FROM ev")
+@R.query("seconds_to_timestamp", f"WITH {EV}, {VS} SELECT ev.store_no, pos, format('{{:02d}}:{{:02d}}:{{:02d}}', CAST(floor(s) AS BIGINT) // 3600, CAST(floor(s) AS BIGINT) % 3600 // 60, CAST(floor(s) AS BIGINT) % 60) AS stamp, CAST(floor(s * fps) AS BIGINT) AS frame, round(floor(s * fps) / fps, 6) AS frame_sec FROM ev JOIN vs USING (store_no)")
 def seconds_to_timestamp(spark, sf):
-    """seconds as HH:MM:SS."""
-    return events(spark, sf).select("store_no", "pos", T.hms(F.col("s")).alias("stamp"))
+    """seconds as HH:MM:SS, as a frame, and the frame as seconds again."""
+    fr = FR.frame_at(F.col("s"), F.col("fps"))
+    return _timed(spark, sf).select("store_no", "pos", T.hms(F.col("s")).alias("stamp"), fr.alias("frame"), F.round(fr / F.col("fps"), 6).alias("frame_sec"))
 
 
-@R.query("boxes_normalised", f"""WITH {EV} SELECT store_no, pos, least(1000, greatest(0, CAST(round((pos % 640) * 1000.0 / 640) AS BIGINT))) AS x0, least(1000, greatest(0, CAST(round((pos % 640 + 50) * 1000.0 / 640) AS BIGINT))) AS x1 FROM ev""")
+@R.query("boxes_normalised", f"""WITH {VS}, d AS (SELECT store_no, entity_id, ord, frame FROM (SELECT store_no, id AS entity_id, unnest(range(len(frame_indices))) AS ord, unnest(frame_indices) AS frame FROM (SELECT *, row_number() OVER (PARTITION BY store_no, id ORDER BY loaded_at DESC, len(coalesce(frame_indices, [])) DESC) AS rn FROM vdb_entities WHERE store_no IS NOT NULL AND id IS NOT NULL) WHERE rn = 1 AND frame_indices IS NOT NULL) WHERE frame IS NOT NULL),
+b AS (SELECT d.*, vs.width AS w, vs.height AS h, frame % vs.width - 40.0 AS x0, frame % vs.height - 20.0 AS y0 FROM d JOIN vs ON vs.store_no = d.store_no WHERE vs.width > 0 AND vs.height > 0),
+c AS (SELECT *, greatest(0, least(w, x0)) AS a0, greatest(0, least(h, y0)) AS b0, greatest(0, least(w, x0 + 120)) AS a1, greatest(0, least(h, y0 + 90)) AS b1, min(frame) OVER (PARTITION BY store_no, entity_id) AS base FROM b)
+SELECT store_no, entity_id, ord, frame - base AS frame, CAST(round(a0 * 1000.0 / w) AS BIGINT) AS x0, CAST(round(b0 * 1000.0 / h) AS BIGINT) AS y0, CAST(round(a1 * 1000.0 / w) AS BIGINT) AS x1, CAST(round(b1 * 1000.0 / h) AS BIGINT) AS y1 FROM c WHERE a1 > a0 AND b1 > b0 AND (frame - base) % 2 = 0""")
 def boxes_normalised(spark, sf):
-    """Box ends on a scale of 0 to 1000, clamped."""
-    box = lambda x: F.least(F.lit(1000), F.greatest(F.lit(0), F.round(x * 1000.0 / 640).cast("bigint")))
-    return events(spark, sf).select("store_no", "pos", box(F.col("pos") % 640).alias("x0"), box(F.col("pos") % 640 + 50).alias("x1"))
+    """Boxes of a track cut to the picture and put on a scale of 0 to 1000, frames counted from its
+    first, every second one. The tables have no boxes: a window that moves with the frame stands in."""
+    d = _detections(spark, sf).join(_stores(spark, sf).where("width > 0 and height > 0"), "store_no")
+    x, y = F.col("frame") % F.col("width") - 40.0, F.col("frame") % F.col("height") - 20.0
+    base = F.min("frame").over(Window.partitionBy("store_no", "entity_id"))
+    c = d.select("store_no", "entity_id", "ord", (F.col("frame") - base).alias("frame"), "width", "height", FR.clamped_box(F.array(x, y, x + 120, y + 90), F.col("width"), F.col("height")).alias("box"))
+    c = c.where("box is not null and frame % 2 = 0").withColumn("box", FR.normalised_box(F.col("box"), F.col("width"), F.col("height")))
+    return c.select("store_no", "entity_id", "ord", "frame", *(F.get("box", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))))
 
 
-@R.query("context_modes", f"""WITH {EV}, {GT}, o AS (SELECT DISTINCT ev.store_no, ev.pos FROM ev JOIN gt ON gt.store_no = ev.store_no AND ev.s <= gt.ge AND ev.e >= gt.gs), {_SEGS}
-SELECT 'events' AS mode, store_no, count(*) AS n FROM o GROUP BY store_no UNION ALL SELECT 'frames', store_no, count(*) FROM sec GROUP BY store_no""")
-def context_modes(spark, sf):
-    """events and frames that the segments select, by mode."""
-    a = events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
-    g = truth(spark, sf).select("store_no", F.col("gs").cast("double").alias("rs"), F.col("ge").cast("double").alias("re"))
-    ev = overlap_join(a, g, ["store_no"], overlaps_closed).select("store_no", "pos").distinct().groupBy("store_no").agg(F.count("*").alias("n")).select(F.lit("events").alias("mode"), "store_no", "n")
-    fr = _segment_seconds(spark, sf).groupBy("store_no").agg(F.count("*").alias("n")).select(F.lit("frames").alias("mode"), "store_no", "n")
-    return ev.unionByName(fr)
+_MODES = f"""WITH {EV}, {GT}, {_SEGS}, {_FSC}, fr AS (SELECT store_no, sec, row_number() OVER (PARTITION BY store_no ORDER BY sec) - 1 AS r, count(*) OVER (PARTITION BY store_no) AS c FROM sec),
+ft AS (SELECT fs.store_no, CAST(fs.sec AS BIGINT) AS sec, row_number() OVER (PARTITION BY fs.store_no ORDER BY fs.score DESC, fs.sec) AS r FROM fs),
+f AS (SELECT 'all' AS how, store_no, sec FROM fr UNION ALL SELECT 'uniform', store_no, sec FROM fr WHERE c <= 20 OR r = c - 1 OR EXISTS (SELECT 1 FROM (SELECT unnest(range(19)) AS j) y WHERE CAST(floor(y.j * ((fr.c - 1) / 19.0)) AS BIGINT) = fr.r) UNION ALL SELECT DISTINCT 'topk', store_no, sec FROM ft WHERE r <= 20),
+e AS (SELECT DISTINCT 'all' AS how, ev.store_no, ev.pos FROM ev JOIN gt ON gt.store_no = ev.store_no AND ev.s <= gt.ge AND ev.e >= gt.gs UNION SELECT how, store_no, pos FROM (SELECT f.how, f.store_no, f.sec, min(ev.pos) AS pos FROM f JOIN ev ON ev.store_no = f.store_no AND ev.s <= f.sec AND f.sec <= ev.e WHERE f.how <> 'all' GROUP BY ALL))
+SELECT how, 'frames' AS kind, store_no, sec AS item FROM f UNION ALL SELECT how, 'events', store_no, pos FROM e"""
 
 
-@R.query("overlap_variants_frames", f"""WITH {EV}, {GT}, fr AS (SELECT store_no, pos * 3 AS sec FROM ev WHERE pos % 4 = 0), j AS (SELECT fr.store_no, fr.sec, bool_or(gt.seg IS NOT NULL) AS inside FROM fr LEFT JOIN gt ON gt.store_no = fr.store_no AND gt.gs <= fr.sec AND fr.sec <= gt.ge GROUP BY ALL)
-SELECT store_no, count(*) AS n, count(*) FILTER (inside) AS inside, round(avg(CAST(inside AS INT)), 6) AS share FROM j GROUP BY store_no""")
+@R.query("context_modes", _MODES)
+def context_modes(spark, sf):
+    """what each mode puts before a model: frames chosen uniformly, by score or all of the segments', and the
+    events of these frames (all: of the segments). A mode with both has the rows of both kinds."""
+    return _context(spark, sf)
+
+
+def _context(spark, sf, hows=("uniform", "topk", "all"), kinds=("frames", "events")):
+    sec = _segment_seconds(spark, sf)
+    spans = events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
+    out = None
+    for how in hows:
+        if how == "topk":
+            fs, _ = _scored(spark, sf)
+            fr = fs.withColumn("r", F.row_number().over(Window.partitionBy("store_no").orderBy(F.desc("score"), "sec"))).where("r <= 20").select("store_no", F.col("sec").cast("bigint").alias("sec")).distinct()
+        else:
+            fr = sec if how == "all" else _spread_of(sec, "store_no", "sec", 20)
+        parts = []
+        if "frames" in kinds:
+            parts.append(fr.select(F.lit(how).alias("how"), F.lit("frames").alias("kind"), "store_no", F.col("sec").alias("item")))
+        if "events" in kinds:
+            if how == "all":
+                g = truth(spark, sf).select("store_no", F.col("gs").cast("double").alias("rs"), F.col("ge").cast("double").alias("re"))
+                ev = overlap_join(spans, g, ["store_no"], overlaps_closed).select("store_no", "pos")
+            else:
+                p = fr.select("store_no", "sec", F.col("sec").cast("double").alias("rs"), F.col("sec").cast("double").alias("re"))
+                ev = overlap_join(spans, p, ["store_no"], lambda s, e, t, _: holds_closed(s, e, t)).groupBy("store_no", "sec").agg(F.min("pos").alias("pos")).select("store_no", "pos")
+            parts.append(ev.distinct().select(F.lit(how).alias("how"), F.lit("events").alias("kind"), "store_no", F.col("pos").alias("item")))
+        for part in parts:
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+_HULL = f"""hl AS (SELECT store_no, question_id, min(gs) AS hs, max(CASE WHEN point THEN gs ELSE ge END) AS he FROM gt GROUP BY ALL),
+ge0 AS (SELECT hl.store_no, hl.question_id, ev.s, ev.e FROM hl JOIN ev ON ev.store_no = hl.store_no AND NOT (ev.e < hl.hs OR ev.s > hl.he))"""
+
+
+def _merge_sql(name: str, rows: str, keys: str) -> str:
+    return f"""{name}_f AS (SELECT {keys}, s, e, max(e) OVER (PARTITION BY {keys} ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {rows}),
+{name}_i AS (SELECT {keys}, s, e, sum(CASE WHEN top IS NULL OR s > top THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM {name}_f),
+{name} AS (SELECT {keys}, min(s) AS s, max(e) AS e FROM {name}_i GROUP BY {keys}, g)"""
+
+
+_K2 = "store_no, question_id"
+_SHARES = lambda name, a, b: f"{name} AS (SELECT b.{'store_no'}, b.question_id, bool_or(a.s IS NOT NULL) AS hit, coalesce(sum(CASE WHEN a.s IS NOT NULL AND greatest(a.s, b.s) < least(a.e, b.e) THEN least(a.e, b.e) - greatest(a.s, b.s) END), 0) AS shared FROM {b} b LEFT JOIN {a} a ON a.store_no = b.store_no AND a.question_id = b.question_id AND NOT (a.e < b.s OR a.s > b.e) GROUP BY ALL)"
+_TOPEV = "te AS (SELECT t.store_no, t.question_id, f.s, f.e FROM top t JOIN (SELECT store_no, question_id, event_id, arg_min(s, ord) AS s, arg_min(e, ord) AS e FROM sd GROUP BY ALL) f USING (store_no, question_id, event_id))"
+
+
+@R.query("overlap_variants_frames", f"""WITH {SD}, {TOP}, {GT}, {_HULL}, {_merge_sql('gx', 'ge0', _K2)}, {_TOPEV}, fr AS (SELECT DISTINCT store_no, question_id, CAST(floor(s) AS BIGINT) + 1 AS t FROM te),
+fa AS (SELECT fr.store_no, fr.question_id, count(*) AS frames, count(*) FILTER (EXISTS (SELECT 1 FROM gx WHERE gx.store_no = fr.store_no AND gx.question_id = fr.question_id AND gx.s <= fr.t AND fr.t <= gx.e)) AS in_gt FROM fr GROUP BY ALL),
+ow AS (SELECT DISTINCT store_no, question_id, s, e FROM (SELECT fr.store_no, fr.question_id, fr.t, arg_min(ev.s, ev.pos) AS s, arg_min(ev.e, ev.pos) AS e FROM fr JOIN ev ON ev.store_no = fr.store_no AND ev.s <= fr.t AND fr.t <= ev.e GROUP BY ALL)), {_merge_sql('om', 'ow', _K2)},
+hb AS (SELECT store_no, question_id, hs AS s, he AS e FROM hl), {_SHARES('sb', 'om', 'hb')}, {_SHARES('sc', 'om', 'gx')}, gl AS (SELECT store_no, question_id, sum(e - s) AS l FROM gx GROUP BY ALL)
+SELECT hl.store_no, hl.question_id, fa.frames, fa.in_gt, fa.in_gt > 0 AS a_hit, sb.hit AS b_hit, round(CASE WHEN he > hs THEN sb.shared / (he - hs) ELSE 0 END, 6) AS b_share, sc.hit AS c_hit, round(sc.shared / gl.l, 6) AS c_share
+FROM hl JOIN fa USING (store_no, question_id) JOIN sb USING (store_no, question_id) LEFT JOIN sc USING (store_no, question_id) LEFT JOIN gl USING (store_no, question_id)""")
 def overlap_variants_frames(spark, sf):
-    """Share of chosen frames inside the true segments."""
-    return _frames_inside(spark, sf, "pos % 4 = 0")
-
-
-@R.query("overlap_variants_frames_all", R.sql["overlap_variants_frames"].replace(" WHERE pos % 4 = 0", ""))
-def overlap_variants_frames_all(spark, sf):
-    """The same with a frame of every event."""
-    return _frames_inside(spark, sf, "true")
-
-
-def _frames_inside(spark, sf, which):
-    fr = events(spark, sf).where(which).select("store_no", (F.col("pos") * 3).alias("sec"))
-    g = truth(spark, sf).select("store_no", F.col("gs").alias("ls"), F.col("ge").alias("le"))
-    inside = overlap_join(g, fr.withColumns({"rs": F.col("sec"), "re": F.col("sec")}), ["store_no"], lambda s, e, t, _: holds_closed(s, e, t)).select("store_no", "sec").distinct().withColumn("h", F.lit(1))
-    j = fr.join(inside, ["store_no", "sec"], "left")
-    return j.groupBy("store_no").agg(F.count("*").alias("n"), F.count("h").alias("inside"), F.round(F.avg(F.coalesce("h", F.lit(0))), 6).alias("share"))
-
-
-@R.query("overlap_variants_events", f"""WITH {EV}, {GT}, c AS (SELECT store_no, pos, s, e FROM ev WHERE pos % 4 = 0), t AS (SELECT DISTINCT ev.store_no, ev.pos FROM ev JOIN gt ON gt.store_no = ev.store_no AND ev.s <= gt.ge AND ev.e >= gt.gs)
-SELECT c.store_no, count(*) AS n, count(t.pos) AS in_truth, round(count(t.pos) / count(*), 6) AS share FROM c LEFT JOIN t ON t.store_no = c.store_no AND t.pos = c.pos GROUP BY c.store_no""")
+    """Frames of a question (one of each top seed) against the events of its time (A), the events of the frames
+    against its time (B) and against the events of its time (C). A list of points counts from its first to its last."""
+    hull, gt_ev, te, q = _variants(spark, sf)
+    fr = te.select("q", (F.floor("s") + 1).cast("bigint").alias("t")).distinct()
+    p = fr.select("q", "t", F.col("t").cast("double").alias("rs"), F.col("t").cast("double").alias("re"))
+    point = lambda s, e, t, _: holds_closed(s, e, t)
+    inside = overlap_join(gt_ev.select("q", F.col("s").alias("ls"), F.col("e").alias("le")), p, ["q"], point).select("q", "t").distinct().withColumn("h", F.lit(1))
+    fa = fr.join(inside, ["q", "t"], "left").groupBy("q").agg(F.count("*").alias("frames"), F.count("h").alias("in_gt"))
+    own = overlap_join(events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le")), p.withColumn("store_no", F.substring_index("q", ":", 1).cast("bigint")), ["store_no"], point)
+    own = own.groupBy("q", "t").agg(F.min_by(F.struct(F.col("ls").alias("s"), F.col("le").alias("e")), "pos").alias("x")).select("q", "x.s", "x.e").distinct()
+    b, c = _shares(own, hull, "b"), _shares(own, gt_ev, "c")
+    out = q.join(fa, "q").join(b, "q").join(c, "q", "left")
+    return out.select("store_no", "question_id", "frames", "in_gt", (F.col("in_gt") > 0).alias("a_hit"), "b_hit", "b_share", "c_hit", "c_share")
+
+
+@R.query("overlap_variants_events", f"""WITH {SD}, {TOP}, {GT}, {_HULL}, {_merge_sql('gx', 'ge0', _K2)}, {_TOPEV}, {_merge_sql('om', 'te', _K2)}, hb AS (SELECT store_no, question_id, hs AS s, he AS e FROM hl), {_SHARES('sb', 'om', 'hb')}, {_SHARES('sc', 'om', 'gx')},
+gl AS (SELECT store_no, question_id, sum(e - s) AS l FROM gx GROUP BY ALL), tq AS (SELECT DISTINCT store_no, question_id FROM te)
+SELECT hl.store_no, hl.question_id, sb.hit AS a_hit, round(CASE WHEN he > hs THEN sb.shared / (he - hs) ELSE 0 END, 6) AS a_share, sc.hit AS b_hit, round(sc.shared / gl.l, 6) AS b_share
+FROM hl JOIN tq USING (store_no, question_id) JOIN sb USING (store_no, question_id) LEFT JOIN sc USING (store_no, question_id) LEFT JOIN gl USING (store_no, question_id)""")
 def overlap_variants_events(spark, sf):
-    """Share of chosen events among the events of the true segments."""
-    return _events_inside(spark, sf, "pos % 4 = 0")
-
-
-@R.query("overlap_variants_events_all", R.sql["overlap_variants_events"].replace(" WHERE pos % 4 = 0", ""))
-def overlap_variants_events_all(spark, sf):
-    """The same with every event."""
-    return _events_inside(spark, sf, "true")
-
-
-def _events_inside(spark, sf, which):
-    a = events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
-    g = truth(spark, sf).select("store_no", F.col("gs").cast("double").alias("rs"), F.col("ge").cast("double").alias("re"))
-    t = overlap_join(a, g, ["store_no"], overlaps_closed).select("store_no", "pos").distinct().withColumn("h", F.lit(1))
-    return a.where(which).join(t, ["store_no", "pos"], "left").groupBy("store_no").agg(F.count("*").alias("n"), F.count("h").alias("in_truth"), F.round(F.count("h") / F.count("*"), 6).alias("share"))
+    """Top seeds' events of a question against its time (A) and against the merged events of its time (B)."""
+    hull, gt_ev, te, q = _variants(spark, sf)
+    out = q.join(te.select("q").distinct(), "q").join(_shares(te, hull, "a"), "q").join(_shares(te, gt_ev, "b"), "q", "left")
+    return out.select("store_no", "question_id", "a_hit", "a_share", "b_hit", "b_share")
+
+
+def _variants(spark, sf):
+    """(hull of each question's time, merged events that it touches, spans of its top seeds, questions), by ``q``."""
+    key = F.concat_ws(":", "store_no", "question_id").alias("q")
+    g = truth(spark, sf).groupBy("store_no", "question_id").agg(F.min("gs").alias("hs"), F.max(F.when(F.col("point"), F.col("gs")).otherwise(F.col("ge"))).alias("he"))
+    q = g.select(key, "store_no", "question_id")
+    hull = g.select(key, F.col("hs").cast("double").alias("s"), F.col("he").cast("double").alias("e"))
+    spans = events(spark, sf).select("store_no", F.col("s").alias("ls"), F.col("e").alias("le"))
+    met = overlap_join(spans, g.select(key, "store_no", F.col("hs").cast("double").alias("rs"), F.col("he").cast("double").alias("re")), ["store_no"], overlaps_closed)
+    gt_ev = _merged_real(met.select("q", F.col("ls").alias("s"), F.col("le").alias("e")))
+    return hull, gt_ev, _cache_seeds(spark, sf).select(key, "s", "e"), q
+
+
+def _merged_real(df):
+    """Spans of real ends merged (microseconds stand for them)."""
+    m = merged(df.select("q", F.round(F.col("s") * 1_000_000).cast("bigint").alias("s"), F.round(F.col("e") * 1_000_000).cast("bigint").alias("e")), "q")
+    return m.select("q", (F.col("s") / 1e6).alias("s"), (F.col("e") / 1e6).alias("e"))
+
+
+def _shares(ours, theirs, name):
+    """Whether any of our spans touches theirs (ends included), and the share of theirs that ours cover."""
+    a = _merged_real(ours).select("q", F.col("s").alias("ls"), F.col("e").alias("le"))
+    met = overlap_join(a, theirs.select("q", F.col("s").alias("rs"), F.col("e").alias("re")), ["q"], overlaps_closed)
+    got = met.groupBy("q").agg(F.sum(F.greatest(F.lit(0.0), F.least("le", "re") - F.greatest("ls", "rs"))).alias("shared"))
+    total = theirs.groupBy("q").agg(F.sum(F.col("e") - F.col("s")).alias("l"))
+    share = F.when(F.col("l") > 0, F.coalesce("shared", F.lit(0.0)) / F.col("l")).otherwise(F.lit(0.0))
+    return total.join(got, "q", "left").select("q", F.col("shared").isNotNull().alias(f"{name}_hit"), F.round(share, 6).alias(f"{name}_share"))
 
 
 # --- tracks ----------------------------------------------------------------------------------
