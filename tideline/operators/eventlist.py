@@ -67,6 +67,35 @@ def merge_adjacent(chunks: DataFrame) -> DataFrame:
     return chunks.select(*cols).repartition("list_id").sortWithinPartitions("list_id", "s", "e").mapInPandas(run, CHUNK)
 
 
+def act(chunks: DataFrame, near: DataFrame, forward: bool, ratio: float = 0.2) -> DataFrame:
+    """The list actions: without the ``ratio`` of lowest score, with the neighbour of each chunk's first
+    (``forward``: the event before it) or last event put to it, merged. ``near``: _store, _end (event), near_id, os, oe."""
+    d = drop_lowest(chunks, ratio).withColumn("_store", F.substring_index("list_id", ":", 1)).withColumn("_end", F.element_at("event_ids", 1 if forward else -1))
+    d = d.join(near, ["_store", "_end"], "left")
+    put = lambda c, x: F.when(F.col("near_id").isNull(), F.col(c)).otherwise(F.concat(F.array(x), c) if forward else F.concat(c, F.array(x)))
+    d = d.withColumns({"event_ids": put("event_ids", F.col("near_id")), "data_s": put("data_s", F.col("os")), "data_e": put("data_e", F.col("oe"))})
+    d = d.withColumns({"s": F.element_at("data_s", 1), "e": F.element_at("data_e", -1)})
+    return merge_adjacent(d)
+
+
+def requery(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """Answers of a sub-query (list_id, s, e, score, event_id) put into the lists as chunks of the next generation,
+    those whose start is there already left out; ``fresh`` tells the new ones."""
+    top = chunks.groupBy("list_id").agg((F.max("generation") + 1).alias("generation"))
+    new = found.join(top, "list_id").select("list_id", F.lit(0).alias("chunk_no"), "s", "e", "score", "generation", F.array("event_id").alias("event_ids"), F.array("s").alias("data_s"), F.array("e").alias("data_e"))
+    added = new.join(chunks.select("list_id", "s"), ["list_id", "s"], "left_anti").withColumn("fresh", F.lit(True))
+    return chunks.withColumn("fresh", F.lit(False)).unionByName(added)
+
+
+def merge_lists(chunks: DataFrame, spans: DataFrame, keep: float | None = None, cap: int = 1000) -> DataFrame:
+    """Several lists of a group as one: the distinct events of the ``keep`` best of each list, at score 0, in order of
+    start, at most ``cap``. ``chunks`` has group_id besides; ``spans``: group_id, event_id, s, e (unique)."""
+    d = chunks if keep is None else drop_lowest(chunks, 1 - keep)
+    ids = d.select("group_id", F.explode("event_ids").alias("event_id")).distinct()
+    m = ids.join(spans, ["group_id", "event_id"]).withColumn("score", F.lit(0.0))
+    return m.withColumn("_r", F.row_number().over(Window.partitionBy("group_id").orderBy("s", "event_id"))).where(F.col("_r") <= cap).drop("_r")
+
+
 def drop_lowest(chunks: DataFrame, ratio: float | None = None, cap: int = 16) -> DataFrame:
     """Without the ``int(n * ratio)`` chunks of lowest score, or with the ``cap`` best ones."""
     w = Window.partitionBy("list_id")

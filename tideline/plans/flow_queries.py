@@ -15,7 +15,7 @@ from tideline.plans.base import EV, GT, SD, events, seeds, valid_sql, valid_trut
 from tideline.plans.eval_queries import _ACC, _rounded
 from tideline.plans.graph_queries import EDGES, PN, edges
 from tideline.plans.interval_queries import _FIRST, _ranked, temporal_neighbours
-from tideline.plans.list_queries import _cache_seeds
+from tideline.plans.list_queries import cache_rows
 from tideline.registry import Registry
 from tideline.session import checkpointed, scratch_dir
 from tideline.sources import stores
@@ -253,13 +253,13 @@ isl AS (SELECT *, sum(CASE WHEN top IS NULL OR ms > top + 30000 THEN 1 ELSE 0 EN
 SELECT store_no, min(ms) AS s, max(me) AS e, count(*) AS n FROM isl GROUP BY store_no, g""")
 def stream_gap_clusters(spark, sf):
     """Gap clusters of the event stream."""
-    return W.drained(W.gap_clusters(_event_stream(spark, sf), 30_000), "complete", "gap-clusters")
+    return W.drained(W.gap_clusters(W.end_of_input(_event_stream(spark, sf)), 30_000), "append", "gap-clusters")
 
 
 @R.query("stream_sliding_chunks", f"""WITH {_RAW}, w AS (SELECT store_no, unnest([ms // 20000 * 20000, ms // 20000 * 20000 - 20000]) AS s, ms FROM rw) SELECT store_no, s, count(*) AS n FROM w WHERE ms >= s AND ms < s + 30000 GROUP BY store_no, s""")
 def stream_sliding_chunks(spark, sf):
     """Events per sliding chunk of 30 s that shares 10 s with the next."""
-    return W.drained(W.sliding_counts(_event_stream(spark, sf), "30 seconds", "20 seconds"), "complete", "sliding")
+    return W.drained(W.sliding_counts(W.end_of_input(_event_stream(spark, sf)), "30 seconds", "20 seconds"), "append", "sliding")
 
 
 @R.query("stream_tracks", """WITH d AS (SELECT store_no, id AS entity_id, unnest(frame_indices) AS frame FROM vdb_entities WHERE store_no IS NOT NULL AND id IS NOT NULL) SELECT store_no, entity_id, min(frame) AS first_frame, max(frame) AS last_frame, count(frame) AS total_frames FROM d WHERE frame IS NOT NULL GROUP BY ALL""")
@@ -267,12 +267,12 @@ def stream_tracks(spark, sf):
     """Running track aggregates of the stream of entity rows."""
     s = W.source(spark, f"{sf}/vdb_entities.parquet").where("store_no is not null and id is not null")
     det = s.select("store_no", F.col("id").alias("entity_id"), F.explode("frame_indices").alias("frame")).where("frame is not null")
-    return W.drained(W.running_tracks(det), "complete", "tracks")
+    return W.drained(W.running_tracks(det), "update", "tracks", ["store_no", "entity_id"])
 
 
 @R.query("stream_cache")
 def stream_cache(spark, sf):
     """The cross-query cache as keyed state over a stream of seeds."""
     path = scratch_dir(spark, "cache-seeds")
-    _cache_seeds(spark, sf).write.parquet(path)
+    cache_rows(spark, sf).write.parquet(path)
     return W.drained(W.keyed_cache(W.source(spark, path)), "append", "cache")

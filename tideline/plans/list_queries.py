@@ -369,20 +369,40 @@ def _detections(spark, sf):
     raw = table(spark, sf, "vdb_entities").where("store_no is not null and id is not null")
     n = F.size(F.coalesce("frame_indices", F.array().cast("array<bigint>")))
     one = raw.withColumn("r", F.row_number().over(Window.partitionBy("store_no", "id").orderBy(F.desc("loaded_at"), n.desc()))).where("r = 1")
-    return one.select("store_no", F.col("id").alias("entity_id"), F.posexplode("frame_indices").alias("ord", "frame")).where("frame is not null").withColumn("event_id", (F.col("frame") % 7).cast("string"))
+    return one.select("store_no", F.col("id").alias("entity_id"), F.posexplode("frame_indices").alias("ord", "frame")).where("frame is not null").withColumn("event_id", F.lit(None).cast("string"))
 
 
-@R.query("track_upsert_histories", f"WITH {_DET} SELECT store_no, entity_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS total_frames, md5(string_agg(CAST(frame AS VARCHAR), ',' ORDER BY frame)) AS frames FROM det GROUP BY store_no, entity_id")
+_NAME = "nm AS (SELECT store_no, id AS entity_id, min(coalesce(nullif(lower(regexp_extract(d, '([A-Za-z]+)', 1)), ''), 'unknown')) AS class FROM (SELECT store_no, id, unnest(descriptions) AS d FROM vdb_entities WHERE store_no IS NOT NULL AND id IS NOT NULL) WHERE d IS NOT NULL GROUP BY ALL)"
+
+
+def _classes(spark, sf):
+    """Class of an entity: the first word of its descriptions, the smallest of several."""
+    d = table(spark, sf, "vdb_entities").where("store_no is not null and id is not null").select("store_no", F.col("id").alias("entity_id"), F.explode("descriptions").alias("d")).where("d is not null")
+    word = F.lower(F.regexp_extract("d", "([A-Za-z]+)", 1))
+    return d.groupBy("store_no", "entity_id").agg(F.min(F.when(word == "", "unknown").otherwise(word)).alias("class"))
+
+
+@R.query("track_upsert_histories", f"""WITH {EV}, {VS}, {_DET}, {_NAME}, o AS (SELECT det.store_no, det.entity_id, det.frame, min(ev.pos) AS pos FROM det JOIN vs ON vs.store_no = det.store_no LEFT JOIN ev ON ev.store_no = det.store_no AND ev.s <= det.frame / vs.fps AND det.frame / vs.fps <= ev.e GROUP BY det.store_no, det.entity_id, det.ord, det.frame),
+x AS (SELECT store_no, entity_id, pos, min(frame) AS f FROM o WHERE pos IS NOT NULL GROUP BY ALL), y AS (SELECT store_no, entity_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY f, pos) AS event_ids FROM x GROUP BY ALL),
+h AS (SELECT store_no, entity_id, min(frame) AS first_frame, max(frame) AS last_frame, count(*) AS total_frames, md5(string_agg(CAST(frame AS VARCHAR), ',' ORDER BY frame)) AS frames FROM o GROUP BY ALL)
+SELECT h.*, coalesce(nm.class, 'unknown') AS class, coalesce(y.event_ids, '') AS event_ids FROM h LEFT JOIN nm ON nm.store_no = h.store_no AND nm.entity_id = h.entity_id LEFT JOIN y ON y.store_no = h.store_no AND y.entity_id = h.entity_id""")
 def track_upsert_histories(spark, sf):
-    """History of each track from its detections."""
-    return K.upserted(_detections(spark, sf), ["store_no", "entity_id"]).select("store_no", "entity_id", "first_frame", "last_frame", "total_frames", F.md5(F.array_join("frames", ",")).alias("frames"))
+    """History of each track from its detections: frames, class, and the places of the events that hold them,
+    each once in order of first frame."""
+    d = _detections(spark, sf).drop("event_id").join(_stores(spark, sf).select("store_no", "fps"), "store_no")
+    d = d.withColumns({"rs": F.col("frame") / F.col("fps"), "re": F.col("frame") / F.col("fps")})
+    spans = events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
+    own = overlap_join(spans, d.select("store_no", "entity_id", "ord", "rs", "re"), ["store_no"], lambda s, e, t, _: holds_closed(s, e, t)).groupBy("store_no", "entity_id", "ord").agg(F.min("pos").alias("event_id"))
+    t = K.upserted(d.select("store_no", "entity_id", "ord", "frame").join(own, ["store_no", "entity_id", "ord"], "left"), ["store_no", "entity_id"])
+    t = t.join(_classes(spark, sf), ["store_no", "entity_id"], "left").fillna("unknown", ["class"])
+    return t.select("store_no", "entity_id", "first_frame", "last_frame", "total_frames", F.md5(F.array_join("frames", ",")).alias("frames"), "class", F.array_join("event_ids", ",").alias("event_ids"))
 
 
-@R.query("track_stats", f"WITH {_DET}, t AS (SELECT store_no, entity_id, count(*) AS n FROM det GROUP BY ALL) SELECT store_no, count(*) AS tracks, CAST(sum(n) AS BIGINT) AS total_frames, round(avg(n), 6) AS mean_length FROM t GROUP BY store_no")
+@R.query("track_stats", f"WITH {_DET}, {_NAME}, t AS (SELECT store_no, entity_id, count(*) AS n FROM det GROUP BY ALL) SELECT t.store_no, coalesce(nm.class, 'unknown') AS class, count(*) AS tracks, CAST(sum(n) AS BIGINT) AS total_frames, round(avg(n), 6) AS mean_length FROM t LEFT JOIN nm ON nm.store_no = t.store_no AND nm.entity_id = t.entity_id GROUP BY ROLLUP (t.store_no, coalesce(nm.class, 'unknown'))")
 def track_stats(spark, sf):
-    """Tracks, frames and mean length by store."""
-    t = _detections(spark, sf).groupBy("store_no", "entity_id").agg(F.count("*").alias("n"))
-    return t.groupBy("store_no").agg(F.count("*").alias("tracks"), F.sum("n").cast("bigint").alias("total_frames"), F.round(F.avg("n"), 6).alias("mean_length"))
+    """Tracks, frames and mean length by store and class, by store, and over all."""
+    t = _detections(spark, sf).groupBy("store_no", "entity_id").agg(F.count("*").alias("n")).join(_classes(spark, sf), ["store_no", "entity_id"], "left").fillna("unknown", ["class"])
+    return t.rollup("store_no", "class").agg(F.count("*").alias("tracks"), F.sum("n").cast("bigint").alias("total_frames"), F.round(F.avg("n"), 6).alias("mean_length"))
 
 
 @R.query("track_frame_range", f"WITH {_DET} SELECT store_no, entity_id, count(*) AS n, min(frame) AS first_frame FROM det WHERE frame BETWEEN 500 AND 5000 GROUP BY store_no, entity_id")
@@ -392,41 +412,79 @@ def track_frame_range(spark, sf):
     return t.select("store_no", "entity_id", F.col("total_frames").alias("n"), "first_frame")
 
 
+_WIN = f"w AS (SELECT br.store_no, br.entity_id, min(CAST(floor(ev.s * vs.fps) AS BIGINT)) AS lo, min(CAST(floor(ev.e * vs.fps) AS BIGINT)) AS hi, br.event_id FROM br JOIN ev ON ev.store_no = br.store_no AND ev.event_id = br.event_id JOIN vs ON vs.store_no = br.store_no GROUP BY br.store_no, br.entity_id, br.event_id)"
+
+
+@R.query("track_clip_to_event", f"""WITH {EV}, {BR}, {VS}, {_DET}, {_WIN}, h AS (SELECT store_no, entity_id, list_sort(list(frame)) AS fr FROM det GROUP BY ALL),
+c AS (SELECT h.store_no, h.entity_id, w.event_id, fr, list_filter(fr, lambda x: x BETWEEN w.lo AND w.hi) AS got FROM h JOIN w ON w.store_no = h.store_no AND w.entity_id = h.entity_id)
+SELECT store_no, entity_id, event_id, len(got) > 0 AS inside, array_to_string(CASE WHEN len(got) = 0 THEN fr ELSE got END, ',') AS frames FROM c""")
+def track_clip_to_event(spark, sf):
+    """History of an entity clipped to the frames of each event it occurs in; whole if none is there."""
+    h = _detections(spark, sf).groupBy("store_no", "entity_id").agg(F.array_sort(F.collect_list("frame")).alias("fr"))
+    ev = _timed(spark, sf).select("store_no", "event_id", FR.frame_at(F.col("s"), F.col("fps")).alias("lo"), FR.frame_at(F.col("e"), F.col("fps")).alias("hi"))
+    w = bridge(spark, sf).select("store_no", "entity_id", "event_id").distinct().join(ev, ["store_no", "event_id"]).groupBy("store_no", "entity_id", "event_id").agg(F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    c = h.join(w, ["store_no", "entity_id"])
+    inside = F.exists("fr", lambda x: x.between(F.col("lo"), F.col("hi")))
+    return c.select("store_no", "entity_id", "event_id", inside.alias("inside"), F.array_join(K.clipped(F.col("fr"), F.col("lo"), F.col("hi")), ",").alias("frames"))
+
+
+@R.query("filter_object_frames", f"WITH {VS}, {_DET} SELECT det.store_no, det.entity_id, count(*) AS n FROM det JOIN vs ON vs.store_no = det.store_no WHERE det.frame >= vs.n // 4 AND det.frame <= vs.n // 2 GROUP BY ALL")
+def filter_object_frames(spark, sf):
+    """Detections with a frame number in a closed range (the second quarter of their video)."""
+    d = _detections(spark, sf).join(_stores(spark, sf).select("store_no", "n"), "store_no")
+    return d.where(K.frame_filter(F.col("frame"), F.floor(F.col("n") / 4), F.floor(F.col("n") / 2))).groupBy("store_no", "entity_id").agg(F.count("*").alias("n"))
+
+
 # --- verification and cache ------------------------------------------------------------------
 
-_MAT = f"{SD}, {TOP}, mx AS (SELECT t.store_no, t.question_id, t.event_id, j AS col, CASE WHEN ascii(right(t.event_id, 1)) % 4 = 0 THEN 'no' WHEN t.question_id % 5 = 0 OR (ascii(right(t.event_id, 1)) * 7 + j * 5 + t.question_id) % 3 <> 0 THEN 'yes' ELSE 'no' END AS verdict FROM top t, (SELECT unnest(range(4)) AS j))"
+_W4 = "list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 4))"
+_OPT = f"""op AS (SELECT store_no, question_id, unnest(range(len(l))) AS col, unnest(l) AS option FROM (SELECT store_no, question_id, list_filter(list_transform(CASE json_type(o) WHEN 'ARRAY' THEN CAST(o AS VARCHAR[]) ELSE [] END, lambda x: trim(x)), lambda x: x IS NOT NULL AND x <> '') AS l FROM (SELECT store_no, question_id, coalesce((q -> 'options'), CAST('null' AS JSON)) AS o FROM qn)))"""
+_TX = "tx AS (SELECT store_no, event_id, arg_min(description, pos) AS d FROM ev GROUP BY ALL)"
+_MAT = f"""{SD}, {TOP}, {_OPT}, {_TX}, mx AS (SELECT t.store_no, t.question_id, t.event_id, op.col, CASE WHEN len(list_intersect({_W4.format('op.option')}, {_W4.format("coalesce(tx.d, '')")})) > 0 THEN 'yes' ELSE 'no' END AS verdict
+FROM top t JOIN op ON op.store_no = t.store_no AND op.question_id = t.question_id JOIN tx ON tx.store_no = t.store_no AND tx.event_id = t.event_id)"""
+
+
+def _options(spark, sf):
+    """Options of each question, the expected events of a verification: store_no, question_id, col, option."""
+    o = F.filter(F.transform(F.from_json("options", "array<string>"), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    return store_questions(spark, sf).select("store_no", "question_id", F.posexplode(o).alias("col", "option"))
+
+
+def _verdicts(spark, sf, candidates):
+    """Yes where a caption shares a word of four letters with an option of the question: a stand-in for a model."""
+    tx = events(spark, sf).groupBy("store_no", "event_id").agg(F.min_by("description", "pos").alias("d"))
+    w = lambda c: F.filter(F.split(F.lower(c), "[^\\p{L}\\p{N}]+"), lambda x: F.length(x) >= 4)
+    m = candidates.select("store_no", "question_id", "event_id").join(_options(spark, sf), ["store_no", "question_id"]).join(tx, ["store_no", "event_id"])
+    return m.select("store_no", "question_id", "event_id", "col", F.when(F.arrays_overlap(w(F.col("option")), w(F.coalesce("d", F.lit("")))), "yes").otherwise("no").alias("verdict"))
 
 
 def _matrix(spark, sf):
-    t = top_seeds(spark, sf).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    last = F.ascii(F.right("event_id", F.lit(1)))
-    v = (last % 4 != 0) & ((F.col("question_id") % 5 == 0) | ((last * 7 + F.col("col") * 5 + F.col("question_id")) % 3 != 0))
-    return t.select("store_no", "question_id", "event_id", "col", F.when(v, "yes").otherwise("no").alias("verdict"))
+    return _verdicts(spark, sf, top_seeds(spark, sf))
 
 
 _VK = ["store_no", "question_id", "event_id"]
 
 
 def _verify_sql(cond):
-    return f"WITH {_MAT} SELECT store_no, question_id, event_id, yes, asked FROM (SELECT store_no, question_id, event_id, count(*) FILTER (verdict = 'yes') AS yes, count(*) AS asked FROM mx GROUP BY ALL) WHERE {cond}"
+    return f"WITH {_MAT}, ct AS (SELECT store_no, question_id, event_id, count(*) FILTER (verdict = 'yes') AS yes, count(*) AS asked FROM mx GROUP BY ALL) SELECT * FROM (SELECT t.store_no, t.question_id, t.event_id, coalesce(yes, 0) AS yes, coalesce(asked, 0) AS asked FROM top t LEFT JOIN ct ON ct.store_no = t.store_no AND ct.question_id = t.question_id AND ct.event_id = t.event_id) WHERE {cond}"
 
 
-@R.query("verify_matrix_any", _verify_sql("yes >= 1"))
+@R.query("verify_matrix_any", _verify_sql("yes >= 1 OR asked = 0"))
 def verify_matrix_any(spark, sf):
-    """C-1: candidates with a yes."""
-    return C.verified(_matrix(spark, sf), _VK, "any")
+    """C-1: candidates with a yes, or of which nothing was asked."""
+    return C.verified(top_seeds(spark, sf), _matrix(spark, sf), _VK, "any")
 
 
 @R.query("verify_matrix_majority", _verify_sql("yes > asked // 2"))
 def verify_matrix_majority(spark, sf):
     """C-1: candidates with more yes than half."""
-    return C.verified(_matrix(spark, sf), _VK, "majority")
+    return C.verified(top_seeds(spark, sf), _matrix(spark, sf), _VK, "majority")
 
 
-@R.query("verify_matrix_all", _verify_sql("yes = asked"))
+@R.query("verify_matrix_all", _verify_sql("yes = asked AND asked > 0"))
 def verify_matrix_all(spark, sf):
     """C-1: candidates with nothing but yes."""
-    return C.verified(_matrix(spark, sf), _VK, "all")
+    return C.verified(top_seeds(spark, sf), _matrix(spark, sf), _VK, "all")
 
 
 @R.query("postfilter_all_no", f"WITH {_MAT}, {FB}, bad AS (SELECT store_no, question_id, event_id FROM mx GROUP BY ALL HAVING count(*) FILTER (verdict = 'yes') = 0) SELECT store_no, question_id, event_id FROM fb WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.store_no = fb.store_no AND bad.question_id = fb.question_id AND bad.event_id = fb.event_id)")
@@ -436,12 +494,27 @@ def postfilter_all_no(spark, sf):
     return C.without_all_no(cand, _matrix(spark, sf), _VK).select(*_VK)
 
 
-@R.query("verdict_parse", f"""WITH {EV}, t AS (SELECT store_no, pos, CASE pos % 4 WHEN 0 THEN ['yes', 'no', 'no'] WHEN 1 THEN ['no', 'no', 'no'] WHEN 2 THEN ['no', 'yes', 'yes'] ELSE ['yes', 'yes', 'no'] END AS v FROM ev) SELECT store_no, pos, array_to_string(v, ',') AS verdicts FROM t""")
+@R.query("verdict_parse", f"""WITH {_MAT}, n AS (SELECT store_no, question_id, count(*) AS n FROM op GROUP BY ALL), v AS (SELECT store_no, question_id, event_id, list(verdict ORDER BY col) AS v FROM mx GROUP BY ALL)
+SELECT v.store_no, v.question_id, v.event_id, array_to_string(CASE v.question_id % 3 WHEN 0 THEN list_concat(v, ['no']) WHEN 1 THEN list_transform(v, lambda x: 'no') ELSE v[1:n.n - 1] END, ',') AS verdicts FROM v JOIN n ON n.store_no = v.store_no AND n.question_id = v.question_id""")
 def verdict_parse(spark, sf):
-    """C-2: verdict lists of four forms: short, unreadable, fenced and too long."""
-    k = F.col("pos") % 4
-    text = F.when(k == 0, F.lit('["Yes"]')).when(k == 1, F.lit("[yes, no")).when(k == 2, F.lit('```json\n["no", " YES ", "yes"]\n```')).otherwise(F.lit('["yes", "yes", "maybe", "yes"]'))
-    return events(spark, sf).select("store_no", "pos", F.array_join(C.verdict_list(text, F.lit(3)), ",").alias("verdicts"))
+    """C-2: the verdicts of each candidate written as a model does and read again: fenced and one short, cut off,
+    and one too long."""
+    k = F.col("question_id") % 3
+    v = _matrix(spark, sf).groupBy(*_VK).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "verdict"))), lambda x: F.upper(x["verdict"])).alias("v"))
+    j = F.to_json("v")
+    text = F.when(k == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```"))).when(k == 1, F.expr("left(to_json(v), length(to_json(v)) - 2)")).otherwise(j)
+    m = F.size("v") + F.when(k == 0, 1).when(k == 1, 0).otherwise(-1)
+    return v.select(*_VK, F.array_join(C.verdict_list(text, m), ",").alias("verdicts"))
+
+
+@R.query("expected_events_parse", """SELECT response_id, array_to_string(CASE WHEN response_id % 4 = 3 THEN [] ELSE list_transform(list_filter(coalesce(options, []), lambda x: x IS NOT NULL AND x <> ''), lambda x: trim(x)) END, '|') AS expected FROM responses""")
+def expected_events_parse(spark, sf):
+    """C-3: the options of each response written as a model writes expected events (plain, fenced, or cut off) and
+    read again; what cannot be read has none."""
+    k = F.col("response_id") % 4
+    j = F.concat(F.lit('{"query_events": '), F.coalesce(F.to_json("options"), F.lit("null")), F.lit("}"))
+    text = F.when(k == 0, j).when(k == 3, F.concat(F.lit('{"query_events": '), F.lit('["cut'))).otherwise(F.concat(F.lit("```json\n"), j, F.lit("\n```")))
+    return table(spark, sf, "responses").select("response_id", F.array_join(C.expected_events(text), "|").alias("expected"))
 
 
 @R.query("event_text", f"WITH {EV} SELECT store_no, pos, '[' || CAST(floor(s) AS BIGINT) || '-' || CAST(floor(e) AS BIGINT) || '] ' || coalesce(description, '') AS line FROM ev")
@@ -455,53 +528,71 @@ def _cache_seeds(spark, sf):
     return top_seeds(spark, sf).select("store_no", "question_id", "event_id").join(sd, ["store_no", "question_id", "event_id"]).select("store_no", "question_id", "event_id", "x.s", "x.e")
 
 
+def cache_rows(spark, sf):
+    """Rows of :func:`cross_cache`: top seeds of every question and their neighbours, with spans and verdicts."""
+    top = top_seeds(spark, sf).select("store_no", "question_id", "event_id", F.col("rnk").cast("bigint").alias("rnk"))
+    pn = prev_next(events(spark, sf).select("store_no", "pos", "event_id"), "store_no", "pos", "event_id")
+    near = top.join(pn, ["store_no", "event_id"]).select("store_no", "question_id", F.col("event_id").alias("seed_id"), F.explode(F.array("prev_event_id", "next_event_id")).alias("event_id")).where("event_id is not null").distinct()
+    rows = top.select("store_no", "question_id", F.lit(None).cast("string").alias("seed_id"), "event_id", "rnk").unionByName(near.withColumn("rnk", F.lit(0).cast("bigint")))
+    span = events(spark, sf).groupBy("store_no", "event_id").agg(F.min_by(F.struct("s", "e"), "pos").alias("x"))
+    ok = C.verified(rows, _verdicts(spark, sf, rows.select(*_VK).distinct()), _VK, "any").select(*_VK, F.lit(True).alias("ok"))
+    return rows.join(span, ["store_no", "event_id"]).join(ok, _VK, "left").select("store_no", "question_id", "seed_id", "event_id", "rnk", "x.s", "x.e", F.coalesce("ok", F.lit(False)).alias("ok"))
+
+
 @R.query("crosscache_sequential")
 def crosscache_sequential(spark, sf):
-    """C-5/C-6/W4: queries of each store in order against its growing cache."""
-    return C.sequential_cache(_cache_seeds(spark, sf))
+    """C-5/C-6: queries of each store in order against its growing cache: reused and covered, times, entries."""
+    return C.cross_cache(cache_rows(spark, sf)).drop("a", "b")
 
 
 @R.query("crosscache_method_a")
 def crosscache_method_a(spark, sf):
-    """C-7: uncovered seeds with their temporal neighbours, capped, verified, and the reused ids."""
-    cached = C.sequential_cache(_cache_seeds(spark, sf))
-    reused = cached.where("reused <> ''").select("store_no", "question_id", F.explode(F.split("reused", ",")).alias("event_id"))
-    top = top_seeds(spark, sf).join(reused, _VK, "left_anti")
-    capped = S.budget_cap(top, temporal_neighbours(spark, sf, top), 8).select(*_VK)
-    kept = capped.join(C.verified(_matrix(spark, sf), _VK, "any").select(*_VK), _VK, "left_semi")
-    return kept.unionByName(reused).distinct()
+    """C-7: uncovered seeds with their neighbours, cut to the budget and verified, and the reused ids."""
+    got = C.cross_cache(cache_rows(spark, sf)).where("a <> ''")
+    return got.select("store_no", "question_id", F.explode(F.split("a", ",")).alias("event_id"))
 
 
 @R.query("crosscache_method_b")
 def crosscache_method_b(spark, sf):
-    """C-8: seeds, reused ids and the expansion of all seeds that the cache does not cover."""
-    cached = C.sequential_cache(_cache_seeds(spark, sf))
-    reused = cached.where("reused <> ''").select("store_no", "question_id", F.explode(F.split("reused", ",")).alias("event_id"))
-    top = top_seeds(spark, sf)
-    free = top.join(reused, _VK, "left_anti")
-    return top.select(*_VK).unionByName(reused).unionByName(temporal_neighbours(spark, sf, free).select(*_VK)).distinct()
-
-
-@R.query("explore_batches", f"""WITH {SD}, {TOP}, {FB}, b1 AS (SELECT store_no, question_id, event_id FROM top UNION SELECT * FROM fb), tm AS (SELECT DISTINCT store_no, question_id, event_id FROM sd WHERE score IS NULL)
-SELECT 1 AS batch, * FROM b1 UNION ALL SELECT 2, tm.* FROM tm WHERE NOT EXISTS (SELECT 1 FROM b1 WHERE b1.store_no = tm.store_no AND b1.question_id = tm.question_id AND b1.event_id = tm.event_id)""")
+    """C-8: seeds, reused ids and the neighbours of all seeds that the cache does not cover, with the length of
+    these neighbours."""
+    got = C.cross_cache(cache_rows(spark, sf)).where("b <> ''")
+    return got.select("store_no", "question_id", "time_b_s", F.explode(F.split("b", ",")).alias("event_id"))
+
+
+@R.query("explore_batches", f"""WITH {_MAT}, {FB}, b1 AS (SELECT store_no, question_id, event_id, 0 AS extra, rnk AS place FROM top UNION ALL SELECT fb.store_no, fb.question_id, fb.event_id, 1, 0 FROM fb WHERE NOT EXISTS (SELECT 1 FROM top z WHERE z.store_no = fb.store_no AND z.question_id = fb.question_id AND z.event_id = fb.event_id)),
+c1 AS (SELECT store_no, question_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id ORDER BY extra, place, event_id) AS slot FROM b1) WHERE slot <= 12),
+tm AS (SELECT DISTINCT store_no, question_id, event_id FROM sd WHERE score IS NULL), tf AS (SELECT DISTINCT t.store_no, t.question_id, u.e AS event_id FROM tm t JOIN pn ON pn.store_no = t.store_no AND pn.event_id = t.event_id, LATERAL (SELECT pn.p AS e UNION ALL SELECT pn.n) u WHERE u.e IS NOT NULL),
+b2 AS (SELECT * FROM tm UNION SELECT * FROM tf), h2 AS (SELECT * FROM b2 EXCEPT SELECT * FROM c1), r2 AS (SELECT *, row_number() OVER (PARTITION BY store_no, question_id ORDER BY event_id) - 1 AS r, count(*) OVER (PARTITION BY store_no, question_id) AS n FROM h2),
+c2 AS (SELECT store_no, question_id, event_id FROM r2 WHERE n <= 4 OR EXISTS (SELECT 1 FROM (SELECT unnest(range(4)) AS i) k WHERE k.i * r2.n // 4 = r2.r)),
+al AS (SELECT 1 AS batch, * FROM c1 UNION ALL SELECT 2, * FROM c2),
+vd AS (SELECT a.batch, a.store_no, a.question_id, a.event_id, count(op.col) AS asked, count(*) FILTER (op.col IS NOT NULL AND len(list_intersect({_W4.format('op.option')}, {_W4.format("coalesce(tx.d, '')")})) > 0) AS yes
+FROM al a JOIN tx ON tx.store_no = a.store_no AND tx.event_id = a.event_id LEFT JOIN op ON op.store_no = a.store_no AND op.question_id = a.question_id GROUP BY ALL)
+SELECT batch, store_no, question_id, event_id, yes >= 1 OR asked = 0 AS kept FROM vd""")
 def explore_batches(spark, sf):
-    """C-10/C-11: seeds and neighbours first, then time matches that are not in the history."""
+    """C-10/C-11: seeds and their neighbours first, cut to a budget of 12; then time matches and their neighbours
+    that are not in the history, four evenly chosen by id; all verified."""
     top = top_seeds(spark, sf)
-    b1 = top.select(*_VK).unionByName(temporal_neighbours(spark, sf, top).select(*_VK)).distinct()
-    b2 = S.temporal_only(seeds(spark, sf)).join(b1, _VK, "left_anti")
-    return b1.select(F.lit(1).alias("batch"), *_VK).unionByName(b2.select(F.lit(2).alias("batch"), *_VK))
-
-
-@R.query("history_band_anti", f"""WITH {SD}, {TOP}, c AS (SELECT DISTINCT t.store_no, ev.pos, (ev.s + ev.e) / 2 AS m FROM top t JOIN ev ON ev.store_no = t.store_no AND ev.event_id = t.event_id), h AS (SELECT store_no, (s + e) / 2 AS m FROM ev WHERE pos % 60 = 0)
-SELECT c.store_no, c.pos FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.store_no = c.store_no AND abs(h.m - c.m) <= 30)""")
+    c1 = S.budget_cap(top, temporal_neighbours(spark, sf, top), 12).select(*_VK)
+    tm = S.temporal_only(seeds(spark, sf))
+    h2 = tm.unionByName(temporal_neighbours(spark, sf, tm).select(*_VK)).distinct().join(c1, _VK, "left_anti")
+    w = Window.partitionBy("store_no", "question_id")
+    r2 = h2.withColumns({"r": F.row_number().over(w.orderBy("event_id")) - 1, "n": F.count("*").over(w)})
+    c2 = r2.where((F.col("n") <= 4) | F.exists(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.floor(i * F.col("n") / 4)), lambda x: x == F.col("r")))
+    al = c1.select(F.lit(1).alias("batch"), *_VK).unionByName(c2.select(F.lit(2).alias("batch"), *_VK))
+    ok = C.verified(al, _verdicts(spark, sf, al.select(*_VK).distinct()), _VK, "any").select(*_VK, F.lit(True).alias("ok"))
+    return al.join(ok, _VK, "left").select("batch", *_VK, F.coalesce("ok", F.lit(False)).alias("kept"))
+
+
+@R.query("history_band_anti", f"""WITH {SD}, {TOP}, {_TOPEV}, m AS (SELECT DISTINCT store_no, question_id, (s + e) / 2 AS m FROM te), c AS (SELECT t.store_no, t.question_id, t.event_id, (f.s + f.e) / 2 AS m FROM top t JOIN (SELECT store_no, question_id, event_id, arg_min(s, ord) AS s, arg_min(e, ord) AS e FROM sd GROUP BY ALL) f USING (store_no, question_id, event_id))
+SELECT store_no, question_id, event_id FROM c WHERE NOT EXISTS (SELECT 1 FROM m h WHERE h.store_no = c.store_no AND h.question_id = c.question_id - 1 AND abs(h.m - c.m) <= 30)""")
 def history_band_anti(spark, sf):
-    """Candidates farther than 30 s from all that was seen."""
-    ev = events(spark, sf).withColumn("m", (F.col("s") + F.col("e")) / 2)
-    c = top_seeds(spark, sf).select("store_no", "event_id").join(ev, ["store_no", "event_id"]).select("store_no", "pos", "m").distinct()
-    a = c.withColumns({"ls": F.col("m"), "le": F.col("m")})
-    h = ev.where("pos % 60 = 0").select("store_no", (F.col("m") - 30).alias("rs"), (F.col("m") + 30).alias("re"), F.col("m").alias("hm"))
-    near = overlap_join(a, h, ["store_no"], overlaps_closed).where(F.abs(F.col("hm") - F.col("m")) <= 30).select("store_no", "pos").distinct()
-    return c.join(near, ["store_no", "pos"], "left_anti").select("store_no", "pos")
+    """Seeds of a question whose middle is farther than 30 s from all that the question before it saw."""
+    c = _cache_seeds(spark, sf).withColumn("m", (F.col("s") + F.col("e")) / 2)
+    a = c.select(*_VK, F.col("m").alias("ls"), F.col("m").alias("le"))
+    h = c.select("store_no", (F.col("question_id") + 1).alias("question_id"), (F.col("m") - 30).alias("rs"), (F.col("m") + 30).alias("re"), F.col("m").alias("hm")).distinct()
+    near = overlap_join(a, h, ["store_no", "question_id"], overlaps_closed).where(F.abs(F.col("hm") - F.col("ls")) <= 30).select(*_VK).distinct()
+    return c.select(*_VK).join(near, _VK, "left_anti")
 
 
 # --- event lists -----------------------------------------------------------------------------
@@ -521,7 +612,7 @@ _CL = f"""{SD}, lst AS (SELECT store_no || ':' || question_id AS list_id, s, e,
 
 @R.query("event_list_merge_fold")
 def event_list_merge_fold(spark, sf):
-    """Ordered merge of each list."""
+    """Ordered merge of each list."""
     m = L.merge_adjacent(chunk_lists(spark, sf))
     return m.select("list_id", "chunk_no", "s", "e", F.round("score", 6).alias("score"), "generation", F.array_join("event_ids", ",").alias("event_ids"), F.size("data_s").alias("n_data"))
 
@@ -554,9 +645,58 @@ def event_list_insert(spark, sf):
     return L.insert(c, again).select("list_id", "s").distinct()
 
 
+def _action(spark, sf, forward: bool):
+    """F or B: drop the fifth of lowest score, put the event before (F) or after (B) to each chunk, merge."""
+    ev = events(spark, sf).groupBy("store_no", "event_id").agg(F.min_by(F.struct("pos", "s", "e"), "pos").alias("x"))
+    pn = prev_next(events(spark, sf).select("store_no", "pos", "event_id"), "store_no", "pos", "event_id").groupBy("store_no", "event_id").agg(F.min_by("prev_event_id" if forward else "next_event_id", "pos").alias("other"))
+    near = pn.join(ev.select("store_no", F.col("event_id").alias("other"), F.col("x.s").alias("os"), F.col("x.e").alias("oe")), ["store_no", "other"])
+    near = near.select(F.col("store_no").cast("string").alias("_store"), F.col("event_id").alias("_end"), F.col("other").alias("near_id"), "os", "oe")
+    return L.act(chunk_lists(spark, sf), near, forward)
+
+
+@R.query("event_list_forward")
+def event_list_forward(spark, sf):
+    """T5 (F): each list without its weakest fifth, the event before each chunk put to it, merged."""
+    return _list_rows(_action(spark, sf, True))
+
+
+@R.query("event_list_backward")
+def event_list_backward(spark, sf):
+    """T5 (B): the same with the event after each chunk."""
+    return _list_rows(_action(spark, sf, False))
+
+
+def _list_rows(m):
+    return m.select("list_id", "chunk_no", "s", "e", F.round("score", 6).alias("score"), "generation", F.array_join("event_ids", ",").alias("event_ids"), F.size("data_s").alias("n_data"))
+
+
+@R.query("event_list_requery", f"""WITH {_CL}, nw AS (SELECT DISTINCT lst.list_id, sd.s, sd.event_id FROM lst JOIN sd ON lst.list_id = sd.store_no || ':' || ((sd.question_id + 1))),
+al AS (SELECT list_id, s, 0 AS fresh FROM lst UNION ALL SELECT DISTINCT nw.list_id, nw.s, 1 FROM nw WHERE NOT EXISTS (SELECT 1 FROM lst WHERE lst.list_id = nw.list_id AND lst.s = nw.s))
+SELECT list_id, s, fresh FROM al""")
+def event_list_requery(spark, sf):
+    """A sub-query (here the question before) is answered and its events put into the list, those already
+    there left out, in the next generation."""
+    base = chunk_lists(spark, sf)
+    sub = seeds(spark, sf).groupBy("store_no", "question_id", "s").agg(F.min("event_id").alias("event_id"), F.min("e").alias("e"), F.max("score").alias("score"))
+    sub = sub.select(F.concat_ws(":", "store_no", (F.col("question_id") + 1).cast("string")).alias("list_id"), "s", "e", F.coalesce("score", F.lit(1.0)).alias("score"), "event_id").join(base.select("list_id").distinct(), "list_id", "left_semi")
+    out = L.requery(base, sub)
+    return out.select("list_id", "s", F.col("fresh").cast("int").alias("fresh")).distinct()
+
+
+@R.query("event_list_merge_lists", f"""WITH {_CL}, k AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, s) AS r, count(*) OVER (PARTITION BY list_id) AS n FROM lst), d AS (SELECT * FROM k WHERE r <= n - CAST(floor(n * 0.5) AS BIGINT)),
+u AS (SELECT DISTINCT split_part(list_id, ':', 1) AS store, event_id FROM d), p AS (SELECT CAST(store_no AS VARCHAR) AS store, event_id, arg_min(s, pos) AS s, arg_min(e, pos) AS e FROM ev GROUP BY ALL)
+SELECT u.store AS list_id, u.event_id, p.s, p.e, 0.0 AS score FROM u JOIN p ON p.store = u.store AND p.event_id = u.event_id""")
+def event_list_merge_lists(spark, sf):
+    """The better half of all lists of a store put together: distinct events at score 0, at most 1,000 by start."""
+    spans = events(spark, sf).groupBy("store_no", "event_id").agg(F.min_by(F.struct("s", "e"), "pos").alias("x")).select(F.col("store_no").cast("string").alias("group_id"), "event_id", "x.s", "x.e")
+    lists = chunk_lists(spark, sf).withColumn("group_id", F.substring_index("list_id", ":", 1))
+    m = L.merge_lists(lists, spans, 0.5)
+    return m.select(F.col("group_id").alias("list_id"), "event_id", "s", "e", "score")
+
+
 @R.query("event_list_add_neighbour", f"""WITH {SD}, {TOP}, {FB} SELECT DISTINCT t.store_no, t.question_id, t.event_id, pn.p AS before_id FROM top t JOIN pn ON pn.store_no = t.store_no AND pn.event_id = t.event_id""")
 def event_list_add_neighbour(spark, sf):
-    """T5: the event before each seed, in storage order."""
+    """T5 (neighbour alone): the event before each seed, in storage order."""
     pn = prev_next(events(spark, sf).select("store_no", "pos", "event_id"), "store_no", "pos", "event_id")
     return top_seeds(spark, sf).select(*_VK).join(pn, ["store_no", "event_id"]).select(*_VK, F.col("prev_event_id").alias("before_id")).distinct()
 

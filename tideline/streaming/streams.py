@@ -1,7 +1,10 @@
 """Structured Streaming forms of the order-dependent operators.
 
 Each runs to the end of what is there (``availableNow``) and leaves a table in the shared folder; with
-another trigger the same plans run on. Late rows: the watermark bounds how late a row may come.
+another trigger the same plans run on. Windowed forms run in append mode: a window is written once, when
+the watermark has passed it, and its state is dropped; rows that come later than the watermark allows
+are left out. ``end_of_input`` adds a row far in the future, which closes the last windows of a table
+that is read as a stream. Running aggregates run in update mode: the last row of a key counts.
 """
 
 from __future__ import annotations
@@ -14,48 +17,73 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tideline.operators.cache import answer_query
+from tideline.operators.cache import IN, Cache, queries_of
 from tideline.session import scratch_dir
 
+#: How late a row may come.
+LATE = "1 hour"
+#: Owner and time (ms) of the row that closes an input.
+END_OWNER, END_MS = -(1 << 62), 32_503_680_000_000
 
-def source(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table as a stream of its files."""
+
+def source(spark: SparkSession, path: str, files_at_once: int | None = None) -> DataFrame:
+    """A parquet table as a stream of its files, in order of their age."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():  # a stream reads folders
         return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
     return reader.parquet(path)
 
 
-def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run a stream to the end of its input; in complete mode the table is the last result, in append
-    mode all rows."""
+def end_of_input(events: DataFrame) -> DataFrame:
+    """``events`` (store_no, pos, ms, me) and the row that closes the input; results have no row of its owner."""
+    spark = events.sparkSession
+    path = scratch_dir(spark, "end-of-input")
+    spark.range(1).select(F.lit(END_OWNER).alias("store_no"), F.lit(0).cast("bigint").alias("pos"), F.lit(END_MS).cast("bigint").alias("ms"), F.lit(END_MS + 1).cast("bigint").alias("me")).write.parquet(path)
+    return events.select("store_no", "pos", "ms", "me").unionByName(source(spark, path))
+
+
+def drained(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream to the end of its input; in append mode the table has all rows, in update mode the last row of
+    each of ``keys``."""
     spark = stream.sparkSession
     out, check = scratch_dir(spark, name), scratch_dir(spark, f"{name}-checkpoint")
-    if mode == "complete":
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True)
+    if mode == "update":
 
-        def keep(df: DataFrame, _: int) -> None:
-            df.write.mode("overwrite").parquet(out)
+        def keep(df: DataFrame, batch: int) -> None:
+            df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-        q = stream.writeStream.outputMode("complete").option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(keep).start()
-    else:
-        q = stream.writeStream.outputMode(mode).option("checkpointLocation", check).trigger(availableNow=True).format("parquet").option("path", out).start()
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+        writer.foreachBatch(keep).start().awaitTermination()
+        schema = spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0)).schema
+        rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out) if _exists(spark, out) else spark.createDataFrame([], schema)
+        rest = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("x")).select(*keys, *(F.col(f"x.{c}") for c in rest))
+    writer.format("parquet").option("path", out).start().awaitTermination()
+    done = spark.read.schema(stream.schema).parquet(out)
+    # taken out here: within the stream the filter would go below the watermark that the row is to move
+    return done.where(F.col("store_no") != END_OWNER) if "store_no" in stream.columns else done
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def gap_clusters(events: DataFrame, gap_ms: int) -> DataFrame:
+def gap_clusters(events: DataFrame, gap_ms: int, late: str = LATE) -> DataFrame:
     """Clusters of spans at most ``gap_ms`` apart as session windows with a dynamic gap.
     ``events``: store_no, ms, me."""
     rows = events.select("store_no", F.timestamp_millis("ms").alias("ts"), F.concat((F.col("me") - F.col("ms") + gap_ms + 1).cast("string"), F.lit(" milliseconds")).alias("gap"))
-    w = rows.withWatermark("ts", "1 hour").groupBy("store_no", F.session_window("ts", F.col("gap")).alias("w")).count()
+    w = rows.withWatermark("ts", late).groupBy("store_no", F.session_window("ts", F.col("gap")).alias("w")).count()
     return w.select("store_no", F.unix_millis("w.start").alias("s"), (F.unix_millis("w.end") - (gap_ms + 1)).alias("e"), F.col("count").alias("n"))
 
 
-def sliding_counts(events: DataFrame, length: str, slide: str) -> DataFrame:
+def sliding_counts(events: DataFrame, length: str, slide: str, late: str = LATE) -> DataFrame:
     """Events per sliding chunk."""
     rows = events.select("store_no", F.timestamp_millis("ms").alias("ts"))
-    w = rows.withWatermark("ts", "1 hour").groupBy("store_no", F.window("ts", length, slide).alias("w")).count()
+    w = rows.withWatermark("ts", late).groupBy("store_no", F.window("ts", length, slide).alias("w")).count()
     return w.select("store_no", F.unix_millis("w.start").alias("s"), F.col("count").alias("n"))
 
 
@@ -64,23 +92,25 @@ def running_tracks(detections: DataFrame) -> DataFrame:
     return detections.groupBy("store_no", "entity_id").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.count("frame").alias("total_frames"))
 
 
-_OUT = "store_no bigint, question_id bigint, n_seeds bigint, n_reused bigint, n_covered bigint, cache_size bigint"
+_OUT = "store_no bigint, question_id bigint, n_seeds bigint, n_reused bigint, n_covered bigint, cache_size bigint, a string, b string"
 
 
-def keyed_cache(seeds: DataFrame, gap: float = 30.0, least: float = 0.5) -> DataFrame:
-    """The cross-query cache as keyed state: queries of a store that arrive together are answered in order
-    of question_id against the state, which then grows. ``seeds``: store_no, question_id, event_id, s, e."""
+def keyed_cache(rows: DataFrame, gap: float = 30.0, least: float = 0.5, budget: int = 8, final_gap: float = 30.0) -> DataFrame:
+    """The cross-query cache as keyed state: queries of a store that arrive together are answered in order of
+    question_id against the state, which then grows. ``rows``: as for the batch form."""
+    cols = [c.split()[0] for c in _OUT.split(", ")]
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        cache = [(s, e, ids) for s, e, ids in json.loads(state.get[0])] if state.exists else []
+        cache = Cache()
+        for s, e, members, time in json.loads(state.get[0]) if state.exists else []:
+            cache.add(s, e, [tuple(m) for m in members], time)
         pdf = pd.concat(list(frames))
-        out = []
-        for q, g in pdf.sort_values(["question_id", "s", "event_id"]).groupby("question_id"):
-            rows = list(zip(g["s"].tolist(), g["e"].tolist(), g["event_id"].tolist()))
-            reused, covered, new = answer_query(rows, cache, gap, least)
-            cache += new
-            out.append((key[0], q, len(rows), len(reused), len(covered), len(cache)))
-        state.update((json.dumps(cache),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-
-    return seeds.groupBy("store_no").applyInPandasWithState(step, _OUT, "cache string", "append", GroupStateTimeout.NoTimeout)
+        pdf = pdf.astype({"seed_id": object}).where(pdf.notna(), None)
+        pdf["neighbour"] = pdf["seed_id"].map(lambda x: x is not None)
+        pdf["by"] = pdf["seed_id"].map(lambda x: x or "")
+        pdf = pdf.sort_values(["question_id", "neighbour", "rnk", "by", "event_id"])
+        out = [{"store_no": s, "question_id": q} | query.answer(cache, gap, least, budget, final_gap) for s, q, query in queries_of(pdf[IN])]
+        state.update((json.dumps(cache.entries),))
+        yield pd.DataFrame(out, columns=cols)
+
+    return rows.select(*IN).groupBy("store_no").applyInPandasWithState(step, _OUT, "cache string", "append", GroupStateTimeout.NoTimeout)
