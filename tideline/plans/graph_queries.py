@@ -6,11 +6,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.operators import graph as G
+from tideline.functions.intervals import holds_closed
 from tideline.operators import seeds as S
+from tideline.operators import vector as V
+from tideline.operators.intervals import merged, overlap_join, total_length
 from tideline.operators.ordering import prev_next
-from tideline.plans.base import BR, EV, GT, SD, bridge, events, seeds, truth
+from tideline.plans.base import BR, EV, GT, SD, VEC, bridge, events, seeds, truth, vectors
 from tideline.plans.interval_queries import temporal_neighbours
 from tideline.registry import Registry
+from tideline.session import checkpointed
 
 R = Registry()
 
@@ -54,25 +58,46 @@ def _steps(spark, sf):
     return pn.select("store_no", F.col("event_id").alias("a"), F.explode(F.array("prev_event_id", "next_event_id")).alias("b")).where("b is not null and a <> b").distinct()
 
 
-@R.query("expand_two_hop", f"""WITH {EV}, {_STEP}, s0 AS (SELECT DISTINCT store_no, event_id AS seed_id FROM ev WHERE pos % 50 = 0),
-h1 AS (SELECT s0.store_no, seed_id, b AS child, max(a) AS parent FROM s0 JOIN stp ON stp.store_no = s0.store_no AND a = seed_id WHERE b <> seed_id GROUP BY ALL),
+_HOPS = """h1 AS (SELECT s0.store_no, seed_id, b AS child, max(a) AS parent FROM s0 JOIN stp ON stp.store_no = s0.store_no AND a = seed_id WHERE b <> seed_id GROUP BY ALL),
 h2 AS (SELECT h1.store_no, h1.seed_id, stp.b AS child, max(stp.a) AS parent FROM h1 JOIN stp ON stp.store_no = h1.store_no AND stp.a = h1.child WHERE stp.b <> h1.seed_id
-  AND NOT EXISTS (SELECT 1 FROM h1 z WHERE z.store_no = h1.store_no AND z.seed_id = h1.seed_id AND z.child = stp.b) GROUP BY ALL)
+  AND NOT EXISTS (SELECT 1 FROM h1 z WHERE z.store_no = h1.store_no AND z.seed_id = h1.seed_id AND z.child = stp.b) GROUP BY ALL)"""
+
+
+@R.query("expand_two_hop", f"""WITH {EV}, {_STEP}, s0 AS (SELECT DISTINCT store_no, event_id AS seed_id FROM ev), {_HOPS}
 SELECT store_no, seed_id, 1 AS hop, parent, child FROM h1 UNION ALL SELECT store_no, seed_id, 2, parent, child FROM h2""")
 def expand_two_hop(spark, sf):
-    """Two hops along the timeline with their trace."""
-    return _two_hop(spark, sf, "pos % 50 = 0")
+    """Two hops along the timeline from every event, with their trace."""
+    return G.multi_hop(events(spark, sf).select("store_no", F.col("event_id").alias("seed_id")).distinct(), _steps(spark, sf), 2)
+
+
+_MIXED = f"{_STEP.replace('stp AS', 'st0 AS')}, eo AS (SELECT DISTINCT x.store_no, x.event_id AS a, y.event_id AS b FROM bd x JOIN bd y ON y.store_no = x.store_no AND y.entity_id = x.entity_id AND y.event_id <> x.event_id), stp AS (SELECT * FROM st0 UNION SELECT * FROM eo)"
+_TOP2 = "s0 AS (SELECT DISTINCT store_no, event_id AS seed_id FROM top WHERE rnk <= 1)"
+
 
+@R.query("expand_hops_mixed", f"""WITH {SD}, {TOP}, {BD}, {_MIXED}, {_TOP2}, {_HOPS}
+SELECT store_no, seed_id, 1 AS hop, parent, child FROM h1 UNION ALL SELECT store_no, seed_id, 2, parent, child FROM h2""")
+def expand_hops_mixed(spark, sf):
+    """Two hops from the best seed of every question, along the timeline and over shared entities."""
+    return _mixed(spark, sf)
+
+
+def _mixed(spark, sf):
+    start = top_seeds(spark, sf).where("rnk <= 1").select("store_no", F.col("event_id").alias("seed_id")).distinct()
+    steps, br = checkpointed(_steps(spark, sf)), checkpointed(bridge(spark, sf).select("store_no", "entity_id", "event_id").distinct())
 
-@R.query("expand_two_hop_all", R.sql["expand_two_hop"].replace(" WHERE pos % 50 = 0", ""))
-def expand_two_hop_all(spark, sf):
-    """The same from every event."""
-    return _two_hop(spark, sf, "true")
+    def step(last):
+        time = last.join(steps.withColumnsRenamed({"a": "node", "b": "child"}), ["store_no", "node"])
+        over = G.entity_mediated(last.withColumnRenamed("node", "event_id"), br).select("store_no", "seed_id", F.col("event_id").alias("node"), F.col("other_id").alias("child"))
+        return time.select("store_no", "seed_id", "node", "child").unionByName(over)
 
+    return G.expand_hops(start, step, 2)
 
-def _two_hop(spark, sf, which):
-    start = events(spark, sf).where(which).select("store_no", F.col("event_id").alias("seed_id")).distinct()
-    return G.multi_hop(start, _steps(spark, sf), 2)
+
+@R.query("expand_reachable", f"""WITH {SD}, {TOP}, {BD}, {_MIXED}, {_TOP2}, {_HOPS}
+SELECT store_no, seed_id, count(*) AS n FROM (SELECT store_no, seed_id, seed_id AS node FROM s0 WHERE EXISTS (SELECT 1 FROM h1 WHERE h1.store_no = s0.store_no AND h1.seed_id = s0.seed_id) UNION SELECT store_no, seed_id, child FROM h1 UNION SELECT store_no, seed_id, child FROM h2) GROUP BY ALL""")
+def expand_reachable(spark, sf):
+    """Size of what a trace reaches from its seed, the seed included."""
+    return G.reachable(_mixed(spark, sf)).groupBy("store_no", "seed_id").agg(F.count("*").alias("n"))
 
 
 @R.query("expand_payloads", f"""WITH {SD}, {TOP}, {FB}, pay AS (SELECT store_no, event_id, min(pos) AS pos, arg_min(s, pos) AS s, arg_min(e, pos) AS e FROM ev GROUP BY ALL)
@@ -83,13 +108,23 @@ def expand_payloads(spark, sf):
     return temporal_neighbours(spark, sf, top_seeds(spark, sf)).join(pay, ["store_no", "event_id"]).select("store_no", "question_id", "event_id", "pos", "s", "e")
 
 
-@R.query("expand_selective", f"""WITH {SD}, {TOP}, {FB}, det AS (SELECT store_no, event_id, max((pos * 13) % 100) / 100.0 AS best FROM ev GROUP BY ALL)
-SELECT store_no, question_id, event_id FROM top UNION SELECT fb.store_no, fb.question_id, fb.event_id FROM fb JOIN det ON det.store_no = fb.store_no AND det.event_id = fb.event_id WHERE det.best >= 0.5""")
+_FR = f"""{VEC}, qf AS (SELECT store_no, arg_min(v, vec_id) AS qv FROM vec WHERE vec_kind = 'event' AND store_no IS NOT NULL GROUP BY store_no),
+fs AS (SELECT vec.store_no, CAST(owner_id AS DOUBLE) AS sec, max(round(list_cosine_similarity(v, qv), 9)) AS score FROM vec JOIN qf USING (store_no) WHERE vec_kind = 'frame' AND TRY_CAST(owner_id AS DOUBLE) IS NOT NULL GROUP BY ALL)"""
+
+
+@R.query("expand_selective", f"""WITH {SD}, {TOP}, {FB}, {_FR}, det AS (SELECT ev.store_no, ev.event_id, max(fs.score) AS best FROM fs JOIN ev ON ev.store_no = fs.store_no AND ev.s <= fs.sec AND fs.sec <= ev.e GROUP BY ALL), hs AS (SELECT DISTINCT store_no FROM fs)
+SELECT store_no, question_id, event_id FROM top UNION SELECT fb.store_no, fb.question_id, fb.event_id FROM fb LEFT JOIN hs ON hs.store_no = fb.store_no LEFT JOIN det ON det.store_no = fb.store_no AND det.event_id = fb.event_id WHERE hs.store_no IS NULL OR det.best >= 0""")
 def expand_selective(spark, sf):
-    """Neighbours with a detection score of at least one half; seeds always stay."""
+    """Neighbours in which a frame scores at least the threshold (0, against the store's first event vector); all
+    neighbours in stores without frame scores; seeds always stay."""
     top = top_seeds(spark, sf)
-    det = events(spark, sf).groupBy("store_no", "event_id").agg((F.max((F.col("pos") * 13) % 100) / 100.0).alias("best")).where("best >= 0.5")
-    near = temporal_neighbours(spark, sf, top).join(det, ["store_no", "event_id"], "left_semi")
+    v = vectors(spark, sf).where("store_no is not null")
+    q = v.where("vec_kind = 'event'").groupBy("store_no").agg(F.min_by("v", "vec_id").alias("qv"))
+    sec = F.expr("try_cast(owner_id as double)")
+    fs = v.where("vec_kind = 'frame'").join(q, "store_no").select("store_no", sec.alias("rs"), sec.alias("re"), F.round(V.cosine(F.col("v"), F.col("qv")), 9).alias("score")).where("rs is not null")
+    spans = events(spark, sf).select("store_no", "event_id", F.col("s").alias("ls"), F.col("e").alias("le"))
+    det = overlap_join(spans, fs, ["store_no"], lambda s, e, t, _: holds_closed(s, e, t)).groupBy("store_no", "event_id").agg(F.max("score").alias("best"))
+    near = G.selective(temporal_neighbours(spark, sf, top), det, fs.select("store_no").distinct(), 0.0)
     return top.select("store_no", "question_id", "event_id").unionByName(near.select("store_no", "question_id", "event_id")).distinct()
 
 
@@ -174,18 +209,13 @@ def graph_delete_nodes(spark, sf):
 
 
 
-@R.query("graph_connected_components", f"""WITH RECURSIVE {BD}, n AS (SELECT DISTINCT store_no || ':' || event_id AS u, store_no || ':' || entity_id AS v FROM bd WHERE store_no <> 1),
-g AS (SELECT u, v FROM n UNION SELECT v, u FROM n), w(node, comp) AS (SELECT DISTINCT u, u FROM g UNION SELECT g.v, w.comp FROM w JOIN g ON g.u = w.node)
-SELECT node, min(comp) AS component FROM w GROUP BY node""")
-def graph_connected_components(spark, sf):
-    """Components of the event-entity graph of all stores but the live camera's (store 1)."""
-    b = bridge(spark, sf).where("store_no <> 1").select(F.concat_ws(":", "store_no", "event_id").alias("a"), F.concat_ws(":", "store_no", "entity_id").alias("b")).distinct()
-    return G.components(b)
+_CC = f"""WITH RECURSIVE {BD}, n AS (SELECT DISTINCT store_no || ':' || event_id AS u, store_no || ':' || entity_id AS v FROM bd), g AS (SELECT u, v FROM n UNION SELECT v, u FROM n),
+w(node, comp) USING KEY (node) AS (SELECT u, u FROM g GROUP BY u UNION SELECT g.v, min(w.comp) FROM w JOIN g ON g.u = w.node JOIN recurring.w AS r ON r.node = g.v WHERE w.comp < r.comp GROUP BY g.v)"""
 
 
-@R.query("graph_components_all_stores")
-def graph_components_all_stores(spark, sf):
-    """Components of the event-entity graph of every store. No SQL twin: a recursive one is too slow on store 1."""
+@R.query("graph_connected_components", f"{_CC} SELECT node, comp AS component FROM w")
+def graph_connected_components(spark, sf):
+    """Components of the event-entity graph of every store."""
     return _components(bridge(spark, sf))
 
 
@@ -193,11 +223,10 @@ def _components(b):
     return G.components(b.select(F.concat_ws(":", "store_no", "event_id").alias("a"), F.concat_ws(":", "store_no", "entity_id").alias("b")).distinct())
 
 
-@R.query("graph_largest_component")
+@R.query("graph_largest_component", f"{_CC}, t AS (SELECT comp FROM w GROUP BY comp ORDER BY count(*) DESC, comp LIMIT 1) SELECT node, comp AS component FROM w WHERE comp IN (SELECT comp FROM t)")
 def graph_largest_component(spark, sf):
     """Nodes of the largest component over all stores (ties: the smaller name)."""
-    b = bridge(spark, sf).select(F.concat_ws(":", "store_no", "event_id").alias("a"), F.concat_ws(":", "store_no", "entity_id").alias("b")).distinct()
-    c = G.components(b)
+    c = _components(bridge(spark, sf))
     top = c.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1)
     return c.join(F.broadcast(top.select("component")), "component", "left_semi").select("node", "component")
 
@@ -249,18 +278,18 @@ def event_continuity(spark, sf):
     )
 
 
-@R.query("store_alignment", f"""WITH {EV}, {BD}, x AS (SELECT DISTINCT store_no, event_id FROM ev), y AS (SELECT DISTINCT store_no, event_id FROM bd)
-SELECT coalesce(x.store_no, y.store_no) AS store_no, count(*) FILTER (x.event_id IS NOT NULL AND y.event_id IS NOT NULL) AS in_both, count(*) FILTER (y.event_id IS NULL) AS only_events, count(*) FILTER (x.event_id IS NULL) AS only_bridge,
-min(CASE WHEN x.event_id IS NULL THEN y.event_id END) AS sample FROM x FULL JOIN y ON x.store_no = y.store_no AND x.event_id = y.event_id GROUP BY 1""")
+@R.query("store_alignment", f"""WITH {EV}, {BD}, x AS (SELECT DISTINCT store_no, event_id FROM ev), y AS (SELECT DISTINCT store_no, event_id FROM bd), j AS (SELECT coalesce(x.store_no, y.store_no) AS store_no, x.event_id AS xe, y.event_id AS ye FROM x FULL JOIN y ON x.store_no = y.store_no AND x.event_id = y.event_id)
+SELECT store_no, count(*) FILTER (xe IS NOT NULL AND ye IS NOT NULL) AS in_both, count(*) FILTER (ye IS NULL) AS only_events, count(*) FILTER (xe IS NULL) AS only_bridge,
+coalesce(array_to_string(list_sort(list(xe) FILTER (ye IS NULL))[1:20], ','), '') AS events_sample, coalesce(array_to_string(list_sort(list(ye) FILTER (xe IS NULL))[1:20], ','), '') AS bridge_sample FROM j GROUP BY store_no""")
 def store_alignment(spark, sf):
-    """Ids of one store that the other lacks."""
+    """How many ids of one store the other lacks, and the first 20 of them; ranked, so that no list is gathered whole."""
     x = events(spark, sf).select("store_no", "event_id").distinct().withColumn("x", F.lit(1))
     y = bridge(spark, sf).select("store_no", "event_id").distinct().withColumn("y", F.lit(1))
-    j = x.join(y, ["store_no", "event_id"], "full_outer")
-    return j.groupBy("store_no").agg(
-        F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("in_both"), F.count_if(F.col("y").isNull()).alias("only_events"), F.count_if(F.col("x").isNull()).alias("only_bridge"),
-        F.min(F.when(F.col("x").isNull(), F.col("event_id"))).alias("sample"),
-    )
+    j = x.join(y, ["store_no", "event_id"], "full_outer").select("store_no", "event_id", F.when(F.col("x").isNull(), "bridge").when(F.col("y").isNull(), "events").otherwise("both").alias("side"))
+    n = j.groupBy("store_no").agg(F.count_if(F.col("side") == "both").alias("in_both"), F.count_if(F.col("side") == "events").alias("only_events"), F.count_if(F.col("side") == "bridge").alias("only_bridge"))
+    some = j.where("side <> 'both'").withColumn("r", F.row_number().over(Window.partitionBy("store_no", "side").orderBy("event_id"))).where("r <= 20")
+    some = some.groupBy("store_no").agg(*(F.array_join(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("event_id")))), ",").alias(f"{s}_sample") for s in ("events", "bridge")))
+    return n.join(some, "store_no", "left").fillna("", ["events_sample", "bridge_sample"])
 
 
 @R.query("vdb_vs_kg_links", f"""WITH {EDGES}, kg AS (SELECT store_no, CASE WHEN a LIKE 'Event-%' THEN a ELSE b END AS event_id, CASE WHEN a LIKE 'Event-%' THEN b ELSE a END AS entity_id FROM ed WHERE kind = 'belong_to')
@@ -275,12 +304,40 @@ def vdb_vs_kg_links(spark, sf):
     return agg(v, "vdb").join(agg(k, "kg"), "store_no").select("store_no", "vdb_links", "kg_links", "vdb_avg", "kg_avg")
 
 
+@R.query("vdb_vs_kg_one_hop", f"""WITH {SD}, {TOP}, {EDGES.removeprefix(EV + ', ')}, kb AS (SELECT store_no, CASE WHEN a LIKE 'Event-%' THEN a ELSE b END AS event_id, CASE WHEN a LIKE 'Event-%' THEN b ELSE a END AS entity_id FROM ed WHERE kind = 'belong_to'),
+s AS (SELECT DISTINCT store_no, event_id FROM top), v AS (SELECT s.store_no, count(DISTINCT y.event_id) AS n FROM s JOIN bd x ON x.store_no = s.store_no AND x.event_id = s.event_id JOIN bd y ON y.store_no = x.store_no AND y.entity_id = x.entity_id AND y.event_id <> x.event_id WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.store_no = y.store_no AND z.event_id = y.event_id) GROUP BY s.store_no),
+k AS (SELECT s.store_no, count(DISTINCT y.event_id) AS n FROM s JOIN kb x ON x.store_no = s.store_no AND x.event_id = s.event_id JOIN kb y ON y.store_no = x.store_no AND y.entity_id = x.entity_id AND y.event_id <> x.event_id WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.store_no = y.store_no AND z.event_id = y.event_id) GROUP BY s.store_no)
+SELECT c.store_no, c.n AS seeds, coalesce(v.n, 0) AS vdb_new, coalesce(k.n, 0) AS kg_new, round(coalesce(v.n, 0) / c.n, 2) AS vdb_avg, round(coalesce(k.n, 0) / c.n, 2) AS kg_avg FROM (SELECT store_no, count(*) AS n FROM s GROUP BY store_no) c LEFT JOIN v USING (store_no) LEFT JOIN k USING (store_no)""")
+def vdb_vs_kg_one_hop(spark, sf):
+    """New events one hop over shared entities from the top seeds, by the vector store's links and by the
+    graph's, in all and per seed."""
+    s = checkpointed(top_seeds(spark, sf).select("store_no", "event_id").distinct())
+    first = F.col("a").startswith("Event-")
+    kb = edges(spark, sf).where("kind = 'belong_to'").select("store_no", F.when(first, F.col("a")).otherwise(F.col("b")).alias("event_id"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("entity_id"))
+    out = s.groupBy("store_no").agg(F.count("*").alias("seeds"))
+    for name, links in (("vdb", bridge(spark, sf)), ("kg", kb)):
+        new = G.entity_mediated(s, links).select("store_no", F.col("other_id").alias("event_id")).distinct().join(s, ["store_no", "event_id"], "left_anti")
+        out = out.join(new.groupBy("store_no").agg(F.count("*").alias(f"{name}_new")), "store_no", "left").fillna(0, [f"{name}_new"])
+    return out.select("store_no", "seeds", "vdb_new", "kg_new", *(F.round(F.col(f"{n}_new") / F.col("seeds"), 2).alias(f"{n}_avg") for n in ("vdb", "kg")))
+
+
 @R.query("expand_and_measure", f"""WITH {SD}, {TOP}, {FB}, {GT}, x AS (SELECT DISTINCT fb.store_no, fb.question_id, ev.pos, ev.s, ev.e, ev.ms, ev.me FROM fb JOIN ev ON ev.store_no = fb.store_no AND ev.event_id = fb.event_id),
-h AS (SELECT DISTINCT x.store_no, x.question_id FROM x JOIN gt ON gt.store_no = x.store_no AND gt.question_id = x.question_id AND greatest(x.s, gt.gs) < least(x.e, gt.ge))
-SELECT x.store_no, x.question_id, CAST(sum(x.me - x.ms) AS BIGINT) AS total_ms, bool_or(h.store_no IS NOT NULL) AS hit FROM x LEFT JOIN h ON h.store_no = x.store_no AND h.question_id = x.question_id GROUP BY ALL""")
+h AS (SELECT DISTINCT x.store_no, x.question_id FROM x JOIN gt ON gt.store_no = x.store_no AND gt.question_id = x.question_id AND greatest(x.s, gt.gs) < least(x.e, gt.ge)),
+al AS (SELECT store_no, question_id, ms, me FROM x UNION SELECT t.store_no, t.question_id, ev.ms, ev.me FROM top t JOIN ev ON ev.store_no = t.store_no AND ev.event_id = t.event_id),
+fl AS (SELECT *, max(me) OVER (PARTITION BY store_no, question_id ORDER BY ms, me ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS tp FROM al), isl AS (SELECT *, sum(CASE WHEN tp IS NULL OR ms > tp + 1000 THEN 1 ELSE 0 END) OVER (PARTITION BY store_no, question_id ORDER BY ms, me ROWS UNBOUNDED PRECEDING) AS g FROM fl),
+m AS (SELECT store_no, question_id, CAST(sum(l) AS BIGINT) AS merged_ms FROM (SELECT store_no, question_id, max(me) - min(ms) AS l FROM isl GROUP BY store_no, question_id, g) GROUP BY ALL)
+SELECT x.store_no, x.question_id, CAST(sum(x.me - x.ms) AS BIGINT) AS total_ms, bool_or(h.store_no IS NOT NULL) AS hit, any_value(m.merged_ms) AS merged_ms FROM x LEFT JOIN h ON h.store_no = x.store_no AND h.question_id = x.question_id LEFT JOIN m ON m.store_no = x.store_no AND m.question_id = x.question_id GROUP BY ALL""")
 def expand_and_measure(spark, sf):
-    """Length of the expanded events and whether they hit a true segment of the question."""
-    x = temporal_neighbours(spark, sf, top_seeds(spark, sf)).join(events(spark, sf), ["store_no", "event_id"]).select("store_no", "question_id", "pos", "s", "e", "ms", "me").distinct()
-    gt = truth(spark, sf).drop("seg")
+    """Length of the expanded events, whether they hit a true segment of the question, and their length merged at
+    a gap of 1 s with the seeds that were there before."""
+    top = top_seeds(spark, sf)
+    ev = events(spark, sf)
+    x = temporal_neighbours(spark, sf, top).join(ev, ["store_no", "event_id"]).select("store_no", "question_id", "pos", "s", "e", "ms", "me").distinct()
+    gt = truth(spark, sf).select("store_no", "question_id", "gs", "ge")
     h = x.join(gt, ["store_no", "question_id"]).where(F.greatest("s", "gs") < F.least("e", "ge")).select("store_no", "question_id").distinct().withColumn("h", F.lit(True))
-    return x.join(h, ["store_no", "question_id"], "left").groupBy("store_no", "question_id").agg(F.sum(F.col("me") - F.col("ms")).cast("bigint").alias("total_ms"), F.coalesce(F.bool_or("h"), F.lit(False)).alias("hit"))
+    q = F.concat_ws(":", "store_no", "question_id").alias("q")
+    before = top.select("store_no", "question_id", "event_id").join(ev, ["store_no", "event_id"])
+    al = x.select(q, F.col("ms").alias("s"), F.col("me").alias("e")).unionByName(before.select(q, F.col("ms").alias("s"), F.col("me").alias("e")))
+    m = total_length(merged(al, "q", 1000), "q").withColumnRenamed("length", "merged_ms")
+    out = x.join(h, ["store_no", "question_id"], "left").groupBy("store_no", "question_id").agg(F.sum(F.col("me") - F.col("ms")).cast("bigint").alias("total_ms"), F.coalesce(F.bool_or("h"), F.lit(False)).alias("hit"))
+    return out.withColumn("q", q).join(m, "q", "left").drop("q")

@@ -9,7 +9,7 @@ from tideline.functions.intervals import holds_closed
 from tideline.operators import fusion as B
 from tideline.operators import vector as V
 from tideline.operators.intervals import overlap_join
-from tideline.plans.base import BR, EV, VEC, bridge, events, vectors
+from tideline.plans.base import BR, EV, SD, VEC, bridge, events, seeds, vectors
 from tideline.registry import Registry
 from tideline.sources.tables import table
 
@@ -107,17 +107,11 @@ def vector_mean_content(spark, sf):
     return m.select("store_no", "vec_kind", "n", F.round(F.get("v", F.lit(0)), 6).alias("x0"), F.round(F.get("v", F.lit(7)), 6).alias("x7"))
 
 
-@R.query("vector_upsert", f"""WITH {VEC}, b AS (SELECT vec_id, owner_id, vec_kind FROM vec WHERE vec_id % 2 = 0), c AS (SELECT vec_id, 'new-' || vec_id AS owner_id, vec_kind FROM vec WHERE vec_id % 3 = 0)
+@R.query("vector_upsert", f"""WITH {VEC}, b AS (SELECT vec_id, owner_id, vec_kind FROM vec WHERE vec_kind IS NULL OR vec_kind <> 'frame'), c AS (SELECT vec_id, 'new-' || vec_id AS owner_id, vec_kind FROM vec WHERE vec_kind <> 'event')
 SELECT coalesce(c.vec_id, b.vec_id) AS vec_id, CASE WHEN c.vec_id IS NULL THEN b.owner_id ELSE c.owner_id END AS owner_id, CASE WHEN c.vec_id IS NULL THEN b.vec_kind ELSE c.vec_kind END AS vec_kind,
 CASE WHEN c.vec_id IS NULL THEN 'kept' WHEN b.vec_id IS NULL THEN 'inserted' ELSE 'updated' END AS change FROM b FULL JOIN c ON b.vec_id = c.vec_id""")
 def vector_upsert(spark, sf):
-    """V4: update by id, insert what is new."""
-    return _upserted(spark, sf, "vec_id % 2 = 0", "vec_id % 3 = 0")
-
-
-@R.query("vector_upsert_all", R.sql["vector_upsert"].replace("vec_id % 2 = 0", "vec_kind IS NULL OR vec_kind <> 'frame'").replace("vec_id % 3 = 0", "vec_kind <> 'event'"))
-def vector_upsert_all(spark, sf):
-    """V4: the same with all vectors: events are kept, frames are new, the other kinds are updated."""
+    """V4: update by id, insert what is new: event vectors are kept, frames are new, the other kinds are updated."""
     return _upserted(spark, sf, "vec_kind is null or vec_kind <> 'frame'", "vec_kind <> 'event'")
 
 
@@ -242,39 +236,26 @@ def fusion_single_view(spark, sf):
     return out
 
 
-@R.query("fusion_seed_list", f"WITH {EV} SELECT DISTINCT store_no, event_id, 1.0 AS score FROM ev WHERE pos % 11 = 0")
+@R.query("fusion_seed_list", f"WITH {SD}, sl AS (SELECT DISTINCT store_no, question_id, event_id FROM sd WHERE score IS NULL) SELECT sl.store_no, sl.question_id, sl.event_id, 1.0 AS score, e.s, e.e FROM sl JOIN (SELECT store_no, event_id, arg_min(s, pos) AS s, arg_min(e, pos) AS e FROM ev GROUP BY ALL) e ON e.store_no = sl.store_no AND e.event_id = sl.event_id")
 def fusion_seed_list(spark, sf):
-    """A given seed list at score 1."""
-    return _seed_list(events(spark, sf).where("pos % 11 = 0"))
-
-
-@R.query("fusion_seed_list_all", R.sql["fusion_seed_list"].replace(" WHERE pos % 11 = 0", ""))
-def fusion_seed_list_all(spark, sf):
-    """Every event as a seed at score 1."""
-    return _seed_list(events(spark, sf))
+    """Given seed lists (the time matches of every question) at score 1, with their events."""
+    chosen = seeds(spark, sf).where("score is null").select("store_no", "question_id", "event_id").distinct()
+    ev = events(spark, sf).groupBy("store_no", "event_id").agg(F.min_by(F.struct("s", "e"), "pos").alias("x"))
+    return chosen.join(ev, ["store_no", "event_id"]).select("store_no", "question_id", "event_id", F.lit(1.0).alias("score"), "x.s", "x.e")
 
 
-def _seed_list(chosen):
-    return chosen.select("store_no", "event_id").distinct().withColumn("score", F.lit(1.0))
-
-
-def filter_expression(equal: dict | None = None, within: dict | None = None, lo=None, hi=None):
-    """Conjunction of equalities, memberships (an empty list is skipped) and a closed time range."""
+def filter_expression(equal: dict | None = None, within: dict | None = None, lo=None, hi=None, start: str = "s", end: str = "e"):
+    """Conjunction of equalities, memberships (an empty list is skipped) and a closed time range."""
     out = F.lit(True)
     for k, v in (equal or {}).items():
         out = out & (F.col(k) == v)
     for k, v in (within or {}).items():
         out = out & F.col(k).isin(list(v)) if v else out
-    return out if lo is None else out & (F.col("s") <= hi) & (F.col("e") >= lo)
+    return out if lo is None else out & (F.col(start) <= hi) & (F.col(end) >= lo)
 
 
-@R.query("filter_expressions", f"WITH {EV} SELECT store_no, pos FROM ev WHERE store_no IN (1, 2, 3, 5, 8) AND s <= 900 AND e >= 60")
+@R.query("filter_expressions", "SELECT response_id, store_no, method FROM responses WHERE correct = TRUE AND method IN ('tree', 'multimode') AND latency_seconds <= 20 AND latency_seconds >= 1")
 def filter_expressions(spark, sf):
-    """A composed filter that reaches the scan."""
-    return events(spark, sf).where(filter_expression(within={"store_no": [1, 2, 3, 5, 8], "pos": []}, lo=60, hi=900)).select("store_no", "pos")
-
-
-@R.query("filter_expressions_all", R.sql["filter_expressions"].replace("store_no IN (1, 2, 3, 5, 8) AND ", ""))
-def filter_expressions_all(spark, sf):
-    """The same over all stores: empty lists are skipped, the time range stays."""
-    return events(spark, sf).where(filter_expression(within={"store_no": [], "pos": []}, lo=60, hi=900)).select("store_no", "pos")
+    """A composed filter of an equality, a membership, an empty list and a closed range, which reaches the scan."""
+    f = filter_expression({"correct": True}, {"method": ["tree", "multimode"], "store_no": []}, 1, 20, "latency_seconds", "latency_seconds")
+    return table(spark, sf, "responses").where(f).select("response_id", "store_no", "method")

@@ -43,18 +43,30 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Only a local session without one gets a
+    temporary folder; on a cluster executors could not read it, so a missing setting is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no shared folder for intermediate tables")
+        folder = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tideline-"))
+    return folder.rstrip("/")
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def checkpointed(df):
-    """Cut lineage with a reliable checkpoint. The folder is the cluster's ``spark.checkpoint.dir``;
-    only where none is set (tests) a temporary one is used."""
+    """Cut lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(_shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared checkpoint folder for a table written and read again."""
+    """A fresh path in the shared folder for a table written and read again."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{_shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
