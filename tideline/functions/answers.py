@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,8 +60,10 @@ def looks_like_error(text: Column) -> Column:
 
 
 def cleaned(text: Column) -> Column:
-    """Common HTML entities resolved, control characters out, slashes to blanks."""
-    t = text
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return F.replace(F.regexp_replace(t, "[\\x00-\\x1f\\x7f-\\x9f]", ""), F.lit("/"), F.lit(" "))
+    """HTML entities resolved (all of them), control characters out, slashes to blanks."""
+
+    @F.pandas_udf("string")
+    def resolved(ts: pd.Series) -> pd.Series:
+        return ts.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+
+    return F.replace(F.regexp_replace(resolved(text), "[\\x00-\\x1f\\x7f-\\x9f]", ""), F.lit("/"), F.lit(" "))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.session import checkpointed
+
 
 def hash_embedder(dim: int = 64):
     """Arrow UDF text -> unit vector: signed counts of hashed words. Null and wordless texts give null."""
@@ -46,6 +48,39 @@ def generate(df: DataFrame, prompt: str, model: Callable[[list[str]], list[str]]
     return df.mapInPandas(run, df.selectExpr("*", "'' as response").schema)
 
 
+def generate_with_retry(df: DataFrame, key: list[str], prompt: str, model: Callable[[list[str], int], list[str | None]], most: int = 3, batch: int = 64) -> DataFrame:
+    """Adds ``response`` and ``fails``: rows that the model leaves unanswered (None, or a failed batch) are asked again, up
+    to ``most`` times; only these rows are asked again. ``model``: prompts and number of the attempt to answers.
+    ``key`` is unique. What stays unanswered has a null response."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*key, prompt]) + ", response string"
+
+    def asking(attempt: int):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                out: list[str | None] = []
+                for i in range(0, len(pdf), batch):
+                    part = pdf[prompt].iloc[i : i + batch].tolist()
+                    try:
+                        out += model(part, attempt)
+                    except Exception:  # noqa: BLE001
+                        out += [None] * len(part)
+                yield pdf[[*key, prompt]].assign(response=out)
+
+        return run
+
+    left, done = df.select(*key, prompt), None
+    for attempt in range(most):
+        got = checkpointed(left.mapInPandas(asking(attempt), schema))
+        last = attempt == most - 1
+        part = got.where(F.lit(True) if last else F.col("response").isNotNull()).withColumn("fails", F.lit(attempt) + F.col("response").isNull().cast("int"))
+        done = part if done is None else done.unionByName(part)
+        left = got.where("response is null").select(*key, prompt)
+        if last or not left.take(1):
+            break
+    return df.join(done.select(*key, "response", "fails"), key)
+
+
 def words_of(text: Column) -> Column:
     """Distinct words of a text."""
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != ""))
@@ -63,11 +98,14 @@ def capitalised_objects(text: Column, stop: list[str]) -> Column:
 
 
 class Detector:
-    """UDTF: one row per detected object of a caption (label, score, start of the label)."""
+    """UDTF: one row per detected object of a caption: label (cut to 77 words), score (three decimals), start of the
+    label, and a box (two decimals) whose place across a picture of width 1 is the label's place in the text."""
 
     def eval(self, caption: str, labels: str):
         text = (caption or "").lower()
         for label in (labels or "").lower().split(","):
-            at = text.find(label.strip())
-            if label.strip() and at >= 0:
-                yield label.strip(), round(0.5 + len(label.strip()) / (2.0 * len(text)), 3), at
+            label = " ".join(label.split()[:77])
+            at = text.find(label)
+            if label and at >= 0:
+                x0, x1 = round(at / len(text), 2), round((at + len(label)) / len(text), 2)
+                yield label, round(0.5 + len(label) / (2.0 * len(text)), 3), at, x0, 0.25, x1, 0.75

@@ -155,3 +155,55 @@ def merge_entities(entities: DataFrame, share: float = 0.4, seed: int = 3, one_t
     for r in large:
         out = out.unionByName(_merged_together(e.where((F.col("store_no") == r["store_no"]) & (F.col("name") == r["name"])), max(1, int(share * r["n"]))))
     return out
+
+
+def merged_payload(entities: DataFrame, keys: list[str]) -> DataFrame:
+    """Entities of each group as one: keys, new_id, members, descriptions (the first of each, in order of id),
+    timestamps and frame_indices (distinct, sorted), durations (by start) and events (repetitions kept).
+    ``entities``: keys, entity_id, descriptions, timestamps, frame_indices, durations, events. Nulls are left out."""
+    first = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("entity_id", F.get("descriptions", F.lit(0)).alias("d")))), lambda x: x["d"].isNotNull()), lambda x: x["d"])
+    flat = lambda c: F.filter(F.flatten(F.collect_list(c)), lambda x: x.isNotNull())
+    g = entities.groupBy(*keys).agg(
+        F.count("*").alias("members"), first.alias("descriptions"), F.array_sort(F.array_distinct(flat("timestamps"))).alias("timestamps"), F.array_sort(F.array_distinct(flat("frame_indices"))).alias("frame_indices"),
+        F.array_sort(flat("durations")).alias("durations"), flat("events").alias("events"),
+    )
+    return g.withColumn("new_id", F.concat(F.lit("Entity-"), F.md5(F.array_join("descriptions", ""))))
+
+
+def rewritten(relations: DataFrame, merged: DataFrame) -> DataFrame:
+    """Relations (store_no, entity1, entity2, ...) with both ends put to the merged entities (``merged``: store_no,
+    entity_id, merged_id); ends that were not merged stay."""
+    out = relations
+    for end in ("entity1", "entity2"):
+        to = merged.select("store_no", F.col("entity_id").alias(end), F.col("merged_id").alias("_to"))
+        out = out.join(to, ["store_no", end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return out
+
+
+def formatted_entities(extracted: DataFrame) -> DataFrame:
+    """Entities of an extraction (store_no, event_id, place, name, description, index, timestamps), formatted: entity_id
+    from name and description, stamps at the indices that exist; without a stamp dropped; the first of each name."""
+    n = F.size("timestamps")
+    stamps = F.transform(F.filter("index", lambda i: (i >= 0) & (i < n)), lambda i: F.get("timestamps", i))
+    e = extracted.withColumn("stamps", stamps).where("size(stamps) > 0 and name is not null and description is not null")
+    first = F.row_number().over(Window.partitionBy("store_no", "event_id", "name").orderBy("place"))
+    e = e.withColumn("_r", first).where("_r = 1").drop("_r")
+    return e.withColumn("entity_id", F.concat(F.lit("Entity-"), F.md5(F.concat("name", "description"))))
+
+
+def formatted_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations by name (store_no, event_id, name1, name2, description) between formatted entities of the event; those with
+    an end that is none of them, or with both ends the same, are dropped."""
+    one = lambda k: entities.select("store_no", "event_id", F.col("name").alias(f"name{k}"), F.col("entity_id").alias(f"entity{k}"))
+    r = relations.where("name1 <> name2").join(one(1), ["store_no", "event_id", "name1"]).join(one(2), ["store_no", "event_id", "name2"])
+    return r.withColumn("relation_id", F.concat(F.lit("Relation-"), F.md5(F.concat("name1", "name2", "description"))))
+
+
+def extraction_verdict(text):
+    """``ok``, or what is wrong first with an extraction's JSON: ``unreadable``, ``empty`` (no entities), ``entity`` (one
+    without a name, description or list of whole numbers), ``relation`` (one without both ends or a description)."""
+    p = F.from_json(text, "Entities array<struct<Entity_name:string,Entity_description:string,Index:array<int>>>, Relations array<struct<Entity1:string,Entity2:string,Relation_description:string>>", {"allowSingleQuotes": "false"})
+    e, r = p["Entities"], p["Relations"]
+    bad_e = F.exists(e, lambda x: x["Entity_name"].isNull() | x["Entity_description"].isNull() | x["Index"].isNull() | F.exists(x["Index"], lambda i: i.isNull()))
+    bad_r = F.exists(r, lambda x: x["Entity1"].isNull() | x["Entity2"].isNull() | x["Relation_description"].isNull())
+    return F.when(e.isNull(), "unreadable").when(F.size(e) == 0, "empty").when(F.coalesce(bad_e, F.lit(True)), "entity").when(F.coalesce(bad_r, F.lit(False)), "relation").otherwise("ok")

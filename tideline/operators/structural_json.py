@@ -371,14 +371,11 @@ def question_links(files: DataFrame) -> DataFrame:
 def array_links(df: DataFrame, key: str, lists: dict[str, str], src: str) -> DataFrame:
     """Elements of array columns as linked rows: ``lists`` maps column to child_kind. Null arrays
     and null elements have no row (elements keep their place); rows with a null key have none."""
-    out = None
-    for column, kind in lists.items():
-        rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("parent_key"), F.posexplode(column).alias("no", "child"))
-        rows = rows.where("child is not null").select(
-            F.lit(src).alias("src"), "parent_key", F.lit(kind).alias("child_kind"), F.col("no").cast("bigint").alias("child_no"), F.col("child").cast("string").alias("child_key")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    # one pass over the table: the lists of a row side by side
+    whole = F.array(*(F.struct(F.lit(kind).alias("child_kind"), F.col(column).cast("array<string>").alias("l")) for column, kind in lists.items()))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("parent_key"), F.explode(whole).alias("x"))
+    rows = rows.select("parent_key", F.col("x.child_kind").alias("child_kind"), F.posexplode("x.l").alias("no", "child_key")).where("child_key is not null")
+    return rows.select(F.lit(src).alias("src"), "parent_key", "child_kind", F.col("no").cast("bigint").alias("child_no"), "child_key")
 
 
 _NODES = "doc_key string, node_no bigint, parent_no bigint, ordinal bigint, member string, kind string, text string"

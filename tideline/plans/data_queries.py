@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.operators.run_bitmap import periods_and_gaps, spans_of
 from tideline.operators.structural_json import array_links, json_nodes, question_links
+from tideline.plans.base import QA, _held, json_scalar
 from tideline.registry import Registry
 from tideline.sources.tables import table
 
@@ -47,7 +48,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(events.unionByName(entities))
 
 
-@R.query("p5_found")
+_OPTIONS = f"""qo AS (SELECT file_id, video_no, question_no, {_held("(q -> 'options')")} AS o FROM qq WHERE (q -> 'options') IS NOT NULL),
+ol AS (SELECT file_id, video_no, question_no, unnest(range(len(l))) AS no, unnest(l) AS o FROM (SELECT file_id, video_no, question_no, CASE json_type(o) WHEN 'ARRAY' THEN CAST(o AS JSON[])
+  WHEN 'OBJECT' THEN list_transform(list_sort(json_keys(o)), lambda k: json_extract(o, '$."' || k || '"')) ELSE CAST([] AS JSON[]) END AS l FROM qo))"""
+
+P5_SQL = f"""WITH {QA}, {_OPTIONS}, en AS (SELECT id, unnest(range(len(events))) AS no, unnest(events) AS c, 'event' AS kind FROM vdb_entities WHERE id IS NOT NULL
+  UNION ALL SELECT id, unnest(range(len(frame_indices))), CAST(unnest(frame_indices) AS VARCHAR), 'frame' FROM vdb_entities WHERE id IS NOT NULL)
+SELECT DISTINCT * FROM (SELECT 'entity' AS src, id AS parent_key, kind AS child_kind, no AS child_no, c AS child_key FROM en WHERE c IS NOT NULL
+  UNION ALL SELECT 'qa', file_id || ':' || video_no, 'question', question_no, coalesce({json_scalar("(q -> 'question_id')")}, {json_scalar("(q -> 'uid')")}, '') FROM qq
+  UNION ALL SELECT 'qa', file_id || ':' || video_no || ':' || question_no, 'option', no, {json_scalar('o')} FROM ol WHERE {json_scalar('o')} IS NOT NULL)"""
+
+
+@R.query("p5_found", P5_SQL)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children of entities (events, frames) and of question files (questions, options)."""
     entities = array_links(table(spark, sf_dir, "vdb_entities"), "id", {"events": "event", "frame_indices": "frame"}, "entity")

@@ -6,16 +6,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideline.functions import models as M
+from tideline.operators import explore as X
 from tideline.operators import ingest as G
+from tideline.operators import ingest as N
 from tideline.operators import intervals as I
 from tideline.operators import seeds as S
 from tideline.operators.metrics import MEASURES, retrieval_accuracy
 from tideline.operators.ordering import numbered, prev_next
-from tideline.plans.base import EV, GT, SD, events, seeds, valid_sql, valid_truth
+from tideline.plans.base import BR, EV, GT, QA, SD, bridge, events, json_scalar, seeds, valid_sql, valid_truth
 from tideline.plans.eval_queries import _ACC, _rounded
-from tideline.plans.graph_queries import EDGES, PN, edges
+from tideline.plans.graph_queries import EDGES, PN, edges, relations, top_seeds
 from tideline.plans.interval_queries import _FIRST, _ranked, temporal_neighbours
-from tideline.plans.list_queries import cache_rows
+from tideline.plans.list_queries import _NAME, _classes, cache_rows
 from tideline.registry import Registry
 from tideline.session import checkpointed, scratch_dir
 from tideline.sources import stores
@@ -99,7 +101,12 @@ def qa_questions(spark, sf):
     return stores.questions(table(spark, sf, "qa_files"))
 
 
-@R.query("qa_answer_keys")
+_AK = f"""WITH {QA}, b AS (SELECT file_id, video_no, question_no, coalesce(nullif({json_scalar("(q -> 'question_id')")}, ''), {json_scalar("(q -> 'uid')")}) AS qid, {json_scalar("(q -> 'answer')")} AS answer, CASE json_type((q -> 'options')) WHEN 'ARRAY' THEN CAST((q -> 'options') AS VARCHAR[]) END AS l FROM qq),
+c AS (SELECT file_id, video_no, question_no, qid, answer, regexp_replace(CASE WHEN ascii(upper(answer)) >= 65 THEN l[ascii(upper(answer)) - 64] END, '^\\(?[A-Da-d][).:]\\s*', '') AS statement FROM b WHERE answer IS NOT NULL)
+SELECT file_id, video_no, 'place' AS key_kind, CAST(question_no AS VARCHAR) AS key, answer, statement FROM c UNION ALL SELECT file_id, video_no, 'id', qid, answer, statement FROM c WHERE qid IS NOT NULL"""
+
+
+@R.query("qa_answer_keys", _AK)
 def qa_answer_keys(spark, sf):
     """Answers under the question's place and under its id, with the chosen option as a statement."""
     q = stores.questions(table(spark, sf, "qa_files"))
@@ -133,21 +140,77 @@ def _described(spark, sf):
     return named.select("store_no", "entity_id", "description", F.lower(F.substring_index("first", ",", 1)).alias("name"))
 
 
-@R.query("entity_format", """WITH u AS (SELECT store_no, pos, description, split_part(coalesce(description, ''), ' ', 2) AS name, duration[1] AS t FROM vdb_events WHERE store_no IS NOT NULL AND pos IS NOT NULL)
-SELECT store_no, name, 'Entity-' || md5(name) AS entity_id, arg_min(description, pos) AS description FROM u WHERE name <> '' AND t IS NOT NULL GROUP BY store_no, name""")
+@R.query("entity_merge_payload", f"""WITH {_NAME}, e AS (SELECT v.*, nm.class FROM (SELECT *, row_number() OVER (PARTITION BY store_no, id ORDER BY loaded_at DESC, len(coalesce(events, [])) DESC, len(coalesce(descriptions, [])) DESC) AS rn FROM vdb_entities WHERE id IS NOT NULL AND store_no IS NOT NULL) v JOIN nm ON nm.store_no = v.store_no AND nm.entity_id = v.id WHERE rn = 1),
+d AS (SELECT store_no, class, string_agg(d, '' ORDER BY id) AS ds, count(d) AS nd FROM (SELECT store_no, class, id, descriptions[1] AS d FROM e) GROUP BY ALL),
+t AS (SELECT store_no, class, array_to_string(list_sort(list(DISTINCT x)), ',') AS frames FROM (SELECT store_no, class, unnest(frame_indices) AS x FROM e) WHERE x IS NOT NULL GROUP BY ALL),
+g AS (SELECT store_no, class, count(*) AS members FROM e GROUP BY ALL)
+SELECT g.store_no, g.class, 'Entity-' || md5(coalesce(d.ds, '')) AS new_id, g.members, d.nd AS descriptions, coalesce(t.frames, '') AS frames FROM g JOIN d ON d.store_no = g.store_no AND d.class = g.class LEFT JOIN t ON t.store_no = g.store_no AND t.class = g.class""")
+def entity_merge_payload(spark, sf):
+    """G14 (payload): entities of one group (here a class) as one: id of the descriptions put together, distinct frames."""
+    m = N.merged_payload(_latest_entities(spark, sf), ["store_no", "class"])
+    return m.select("store_no", "class", "new_id", "members", F.size("descriptions").cast("bigint").alias("descriptions"), F.array_join(F.array_sort("frame_indices"), ",").alias("frames"))
+
+
+def _latest_entities(spark, sf):
+    raw = table(spark, sf, "vdb_entities").where("id is not null and store_no is not null")
+    size = lambda c: F.desc(F.size(F.coalesce(c, F.array().cast("array<string>"))))
+    w = Window.partitionBy("store_no", "id").orderBy(F.desc("loaded_at"), size("events"), size("descriptions"))
+    return raw.withColumn("r", F.row_number().over(w)).where("r = 1").withColumnRenamed("id", "entity_id").join(_classes(spark, sf), ["store_no", "entity_id"])
+
+
+@R.query("entity_relations_rewritten")
+def entity_relations_rewritten(spark, sf):
+    """G14 (relations): relations with their ends put to the merged entities, those of an entity with itself included."""
+    m = G.merge_entities(_described(spark, sf))
+    return N.rewritten(relations(spark, sf), m)
+
+
+_RAW = f"""{BR}, {_NAME}, fd AS (SELECT store_no, id AS entity_id, min(d) AS d FROM (SELECT store_no, id, unnest(descriptions) AS d FROM vdb_entities WHERE store_no IS NOT NULL AND id IS NOT NULL) WHERE d IS NOT NULL GROUP BY ALL),
+px AS (SELECT store_no, event_id, arg_min(s, pos) AS s, arg_min(e, pos) AS e FROM ev GROUP BY ALL),
+rw AS (SELECT b.store_no, b.event_id, row_number() OVER (PARTITION BY b.store_no, b.event_id ORDER BY b.entity_id) - 1 AS i, coalesce(nm.class, 'unknown') AS name, fd.d AS description, px.s, px.e FROM (SELECT DISTINCT store_no, entity_id, event_id FROM br) b JOIN px ON px.store_no = b.store_no AND px.event_id = b.event_id JOIN fd ON fd.store_no = b.store_no AND fd.entity_id = b.entity_id LEFT JOIN nm ON nm.store_no = b.store_no AND nm.entity_id = b.entity_id),
+fe AS (SELECT * FROM (SELECT store_no, event_id, i, name, description, 'Entity-' || md5(name || description) AS entity_id, list_filter([CASE WHEN i IN (0, 1) THEN s END, CASE WHEN i IN (1, 2) THEN (s + e) / 2 END], lambda x: x IS NOT NULL) AS stamps, row_number() OVER (PARTITION BY store_no, event_id, name ORDER BY i) AS rn FROM rw WHERE i <= 2) WHERE rn = 1)"""
+
+
+def _extracted(spark, sf):
+    """Entities of every event as an extraction gives them: place in the list, name, description and the indices of the
+    two frames (start and middle of the event) they are seen in, some of which do not exist."""
+    ev = events(spark, sf).groupBy("store_no", "event_id").agg(F.min_by(F.struct("s", "e"), "pos").alias("x"))
+    d = table(spark, sf, "vdb_entities").where("store_no is not null and id is not null").select("store_no", F.col("id").alias("entity_id"), F.explode("descriptions").alias("d")).where("d is not null").groupBy("store_no", "entity_id").agg(F.min("d").alias("description"))
+    b = bridge(spark, sf).select("store_no", "entity_id", "event_id").distinct().join(ev, ["store_no", "event_id"]).join(d, ["store_no", "entity_id"]).join(_classes(spark, sf), ["store_no", "entity_id"], "left")
+    i = F.row_number().over(Window.partitionBy("store_no", "event_id").orderBy("entity_id")) - 1
+    return b.select("store_no", "event_id", i.alias("place"), F.coalesce("class", F.lit("unknown")).alias("name"), "description", F.array(i - 1, i).alias("index"), F.array(F.col("x.s"), (F.col("x.s") + F.col("x.e")) / 2).alias("timestamps"))
+
+
+@R.query("entity_format", f"WITH {EV}, {_RAW} SELECT store_no, event_id, name, entity_id, description, len(stamps) AS stamps, round(stamps[1], 6) AS first_stamp FROM fe")
 def entity_format(spark, sf):
-    """md5 ids, the first row per raw name, rows without a time dropped."""
-    u = table(spark, sf, "vdb_events").where("store_no is not null and pos is not null").select("store_no", "pos", "description", F.coalesce(F.get(F.split(F.coalesce("description", F.lit("")), " "), F.lit(1)), F.lit("")).alias("name"), F.get("duration", F.lit(0)).alias("t"))
-    g = u.where("name <> '' and t is not null").groupBy("store_no", "name").agg(F.min_by("description", "pos").alias("description"))
-    return g.select("store_no", "name", F.concat(F.lit("Entity-"), F.md5("name")).alias("entity_id"), "description")
+    """Extracted entities formatted: md5 ids, the first of each name of an event, indices out of range left out,
+    entities without a time dropped."""
+    e = N.formatted_entities(_extracted(spark, sf))
+    return e.select("store_no", "event_id", "name", "entity_id", "description", F.size("stamps").cast("bigint").alias("stamps"), F.round(F.get("stamps", F.lit(0)), 6).alias("first_stamp"))
+
+
+@R.query("relation_format", f"""WITH {EV}, {_RAW}, rr AS (SELECT store_no, event_id, i, name AS n1, lead(name) OVER (PARTITION BY store_no, event_id ORDER BY i) AS n2 FROM rw)
+SELECT a.store_no, a.event_id, 'Relation-' || md5(rr.n1 || rr.n2 || 'next to') AS relation_id, a.entity_id AS entity1, b.entity_id AS entity2, 'next to' AS description FROM rr JOIN fe a ON a.store_no = rr.store_no AND a.event_id = rr.event_id AND a.name = rr.n1 JOIN fe b ON b.store_no = rr.store_no AND b.event_id = rr.event_id AND b.name = rr.n2 WHERE rr.n1 <> rr.n2""")
+def relation_format(spark, sf):
+    """Relations between formatted entities, by name; those with an unknown end or with itself are dropped."""
+    x = _extracted(spark, sf)
+    w = Window.partitionBy("store_no", "event_id").orderBy("place")
+    r = x.select("store_no", "event_id", F.col("name").alias("name1"), F.lead("name").over(w).alias("name2"), F.lit("next to").alias("description")).where("name2 is not null")
+    return N.formatted_relations(r, N.formatted_entities(x)).select("store_no", "event_id", "relation_id", "entity1", "entity2", "description")
 
 
-@R.query("extraction_validate")
+@R.query("extraction_validate", f"WITH {EV}, {_RAW}, c AS (SELECT store_no, event_id, count(*) AS n FROM rw GROUP BY ALL) SELECT store_no, event_id, CASE n % 4 WHEN 0 THEN 'entity' WHEN 1 THEN 'ok' WHEN 2 THEN 'relation' ELSE 'unreadable' END AS verdict FROM c")
 def extraction_validate(spark, sf):
-    """Shape of JSON responses, permissively parsed."""
-    t = F.trim(F.regexp_replace("response", "(?i)^\\s*```[a-z]*\\s*|\\s*```\\s*$", ""))
-    p = F.from_json(t, "Analysis string, Answer string")
-    return table(spark, sf, "responses").select("response_id", F.coalesce(p["Answer"].isNotNull() & p["Analysis"].isNotNull(), F.lit(False)).alias("valid"))
+    """Shape of an event's extraction as JSON (some without a description, some with a broken relation, some cut
+    off): what is wrong with it first."""
+    n = F.col("n")
+    e = F.transform(F.array_sort(F.collect_list(F.struct("place", "name", "description", "index"))), lambda x: F.struct(x["name"].alias("Entity_name"), x["description"].alias("Entity_description"), x["index"].alias("Index")))
+    g = _extracted(spark, sf).groupBy("store_no", "event_id").agg(e.alias("e"), F.count("*").alias("n"))
+    ents = F.when(n % 4 == 0, F.regexp_replace(F.to_json("e"), '"Entity_description":"[^"]*",', "")).otherwise(F.to_json("e"))
+    rel = F.when(n % 4 == 2, F.lit('[{"Entity1": "a", "Relation_description": "b"}]')).otherwise(F.lit('[{"Entity1": "a", "Entity2": "b", "Relation_description": "c"}]'))
+    text = F.concat(F.lit('{"Entities": '), ents, F.lit(', "Relations": '), rel, F.lit("}"))
+    text = F.when(n % 4 == 3, F.substring(text, 1, 40)).otherwise(text)
+    return g.select("store_no", "event_id", N.extraction_verdict(text).alias("verdict"))
 
 
 @R.query("semantic_chunking")
@@ -168,7 +231,7 @@ def embed_text_hash(spark, sf):
 
 @R.query("generate_responses")
 def generate_responses(spark, sf):
-    """Batched generation with error text for failed batches (a stand-in model that echoes)."""
+    """Batched generation with error text for failed batches (a stand-in model that echoes)."""
     e = events(spark, sf).where("description is not null").select("store_no", "pos", F.col("description").alias("prompt"))
     return M.generate(e, "prompt", lambda ps: [p.upper() for p in ps])
 
@@ -178,11 +241,11 @@ def detect_udtf(spark, sf):
     """One row per detected label of a caption, by a table function."""
     from pyspark.sql.functions import udtf
 
-    f = udtf(M.Detector, returnType="label string, score double, at int")
+    f = udtf(M.Detector, returnType="label string, score double, at int, x0 double, y0 double, x1 double, y1 double")
     spark.udtf.register("tideline_detect", f)
     view = events(spark, sf).where("description is not null").select("store_no", "pos", "description")
     view.createOrReplaceTempView("tideline_captions")
-    return spark.sql("SELECT c.store_no, c.pos, d.label, d.score, d.at FROM tideline_captions c, LATERAL tideline_detect(c.description, 'camera,red,four,street') d")
+    return spark.sql("SELECT c.store_no, c.pos, d.label, d.score, d.at, d.x0, d.x1 FROM tideline_captions c, LATERAL tideline_detect(c.description, 'camera,red,four,street') d")
 
 
 @R.query("pair_word_overlap", r"""WITH ev AS (SELECT store_no, pos, description FROM (SELECT *, row_number() OVER (PARTITION BY store_no, pos ORDER BY loaded_at DESC) AS rn FROM vdb_events WHERE store_no IS NOT NULL AND pos IS NOT NULL) WHERE rn = 1 AND description IS NOT NULL),
@@ -204,36 +267,46 @@ def query_objects(spark, sf):
 
 # --- graph exploration by documented rules -----------------------------------------------------
 
-_SHAPE = f"""{EDGES}, nd AS (SELECT DISTINCT store_no, a AS node FROM ed UNION SELECT DISTINCT store_no, b FROM ed), sh AS (
-SELECT n.store_no, n.n_events / n.n_objects AS r, 2.0 * m.n_edges / ((n.n_events + n.n_objects) * (n.n_events + n.n_objects - 1)) AS d FROM
-(SELECT store_no, CAST(count(*) FILTER (node LIKE 'Event-%') AS DOUBLE) AS n_events, CAST(count(*) FILTER (node LIKE 'Entity-%') AS DOUBLE) AS n_objects FROM nd GROUP BY store_no) n JOIN (SELECT store_no, count(*) AS n_edges FROM ed GROUP BY store_no) m ON m.store_no = n.store_no WHERE n.n_objects > 0 AND n.n_events > 0)"""
+_NRG = f"""{EDGES}, tr AS (SELECT store_no, node, round(sum(t), 6) AS t FROM (SELECT store_no, a AS node, CASE kind WHEN 'belong_to' THEN 0.9 WHEN 'event_time_relation' THEN 0.7 WHEN 'relation' THEN 0.8 ELSE 0.5 END AS t FROM ed UNION ALL SELECT store_no, b, CASE kind WHEN 'belong_to' THEN 0.9 WHEN 'event_time_relation' THEN 0.7 WHEN 'relation' THEN 0.8 ELSE 0.5 END FROM ed) GROUP BY ALL),
+en AS (SELECT store_no, node, node LIKE 'Event-%' AS is_ev, CAST(t AS DOUBLE) / max(t) OVER (PARTITION BY store_no, node LIKE 'Event-%') AS energy FROM tr)"""
 
 
-@R.query("graph_shape_strategy", f"""WITH {_SHAPE} SELECT store_no, round(r, 6) AS r, round(d, 6) AS d, CASE WHEN r > 1.2 THEN 'GROUNDING' WHEN r < 0.6 THEN 'BRIDGING' WHEN d > 0.3 THEN 'LEAPING' WHEN d < 0.1 THEN 'TRIANGULATION' ELSE 'BALANCED' END AS strategy FROM sh""")
-def graph_shape_strategy(spark, sf):
-    """Shape of each store's graph and the strategy it calls for (the score is taken as settled)."""
+@R.query("graph_energy", f"WITH {_NRG} SELECT store_no, node, round(energy, 6) AS energy, round(energy / ln(3), 6) AS damped_1, round(energy / ln(7), 6) AS damped_5, energy >= CASE WHEN is_ev THEN 0.7 ELSE 0.6 END AS terminal FROM en")
+def graph_energy(spark, sf):
+    """Energy of each node by the trust of its edges, damped at iterations 1 and 5, and whether it is a
+    terminal by its energy."""
+    e = X.energies(edges(spark, sf))
+    return e.select("store_no", "node", F.round("energy", 6).alias("energy"), F.round(X.damped(F.col("energy"), 1), 6).alias("damped_1"), F.round(X.damped(F.col("energy"), 5), 6).alias("damped_5"), (F.col("energy") >= X.by_sort(F.col("ev"), X.TERMINAL)).alias("terminal"))
+
+
+@R.query("graph_triggers", f"WITH {_NRG} SELECT n.store_no, n.events, n.objects, m.edges, n.events > 50 OR n.objects > 100 OR m.edges > 300 AS prune FROM (SELECT store_no, count(*) FILTER (is_ev) AS events, count(*) FILTER (NOT is_ev) AS objects FROM en GROUP BY store_no) n JOIN (SELECT store_no, count(*) AS edges FROM ed GROUP BY store_no) m ON m.store_no = n.store_no")
+def graph_triggers(spark, sf):
+    """Sizes of each store's graph and whether it is to be pruned."""
     e = edges(spark, sf)
-    nd = e.select("store_no", F.col("a").alias("node")).unionByName(e.select("store_no", F.col("b").alias("node"))).distinct()
-    n = nd.groupBy("store_no").agg(F.count_if(F.col("node").startswith("Event-")).cast("double").alias("x"), F.count_if(F.col("node").startswith("Entity-")).cast("double").alias("y"))
-    s = n.where("x > 0 and y > 0").join(e.groupBy("store_no").agg(F.count("*").alias("m")), "store_no")
-    s = s.select("store_no", (F.col("x") / F.col("y")).alias("r"), (2.0 * F.col("m") / ((F.col("x") + F.col("y")) * (F.col("x") + F.col("y") - 1))).alias("d"))
-    kind = F.when(F.col("r") > 1.2, "GROUNDING").when(F.col("r") < 0.6, "BRIDGING").when(F.col("d") > 0.3, "LEAPING").when(F.col("d") < 0.1, "TRIANGULATION").otherwise("BALANCED")
-    return s.select("store_no", F.round("r", 6).alias("r"), F.round("d", 6).alias("d"), kind.alias("strategy"))
+    return X.triggers(e, X.energies(e))
 
 
-_ENERGY = "((ascii(right({0}, 1)) * 17 + ascii(substr({0}, 10, 1)) * 5) % 100) / 100.0"
+@R.query("graph_shape_strategy", f"""WITH {_NRG}, sh AS (SELECT n.store_no, n.n_events / n.n_objects AS r, 2.0 * m.n_edges / ((n.n_events + n.n_objects) * (n.n_events + n.n_objects - 1)) AS d, abs(n.kept - n.mean) / n.mean AS v FROM
+(SELECT store_no, CAST(count(*) FILTER (is_ev) AS DOUBLE) AS n_events, CAST(count(*) FILTER (NOT is_ev) AS DOUBLE) AS n_objects, avg(energy) AS mean, avg(energy) FILTER (energy >= CASE WHEN is_ev THEN 0.3 ELSE 0.25 END) AS kept FROM en GROUP BY store_no) n JOIN (SELECT store_no, count(*) AS n_edges FROM ed GROUP BY store_no) m ON m.store_no = n.store_no WHERE n.n_objects > 0 AND n.n_events > 0)
+SELECT store_no, round(r, 6) AS r, round(d, 6) AS d, round(v, 6) AS v, CASE WHEN r > 1.2 THEN 'GROUNDING' WHEN r < 0.6 THEN 'BRIDGING' WHEN d > 0.3 AND v < 0.05 THEN 'LEAPING' WHEN d < 0.1 THEN 'TRIANGULATION' ELSE 'BALANCED' END AS strategy FROM sh""")
+def graph_shape_strategy(spark, sf):
+    """Shape of each store's graph (events to objects, density, and by how much the mean score changes when weak
+    nodes go) and the strategy it calls for."""
+    e = edges(spark, sf)
+    en = X.energies(e)
+    n = en.groupBy("store_no").agg(F.count_if("ev").cast("double").alias("x"), F.count_if(~F.col("ev")).cast("double").alias("y"), F.avg("energy").alias("mean"), F.avg(F.when(F.col("energy") >= X.by_sort(F.col("ev"), X.STAYS), F.col("energy"))).alias("kept"))
+    s = n.where("x > 0 and y > 0").join(e.groupBy("store_no").agg(F.count("*").alias("m")), "store_no")
+    s = s.select("store_no", (F.col("x") / F.col("y")).alias("r"), (2.0 * F.col("m") / ((F.col("x") + F.col("y")) * (F.col("x") + F.col("y") - 1))).alias("d"), (F.abs(F.col("kept") - F.col("mean")) / F.col("mean")).alias("v"))
+    return s.select("store_no", *(F.round(c, 6).alias(c) for c in ("r", "d", "v")), X.strategy(F.col("r"), F.col("d"), F.col("v")).alias("strategy"))
 
 
-@R.query("graph_prune", f"""WITH {EDGES}, nd AS (SELECT DISTINCT store_no, a AS node FROM ed UNION SELECT DISTINCT store_no, b FROM ed), sc AS (SELECT store_no, node, {_ENERGY.format('node')} AS energy FROM nd)
-SELECT store_no, node, round(energy, 6) AS energy, round(energy / ln(5 + 2), 6) AS damped, energy >= CASE WHEN node LIKE 'Event-%' THEN 0.7 ELSE 0.6 END AS terminal FROM sc WHERE energy >= CASE WHEN node LIKE 'Event-%' THEN 0.3 ELSE 0.25 END""")
+@R.query("graph_prune")
 def graph_prune(spark, sf):
-    """Terminals, removal of weak nodes, damping at iteration 5 (scores are stand-ins)."""
+    """What stays of each store's best nodes: terminals (seeds among them), nodes that connect, and strong
+    ones, after damping until the size is stable."""
     e = edges(spark, sf)
-    nd = e.select("store_no", F.col("a").alias("node")).unionByName(e.select("store_no", F.col("b").alias("node"))).distinct()
-    sc = nd.withColumn("energy", ((F.ascii(F.right("node", F.lit(1))) * 17 + F.ascii(F.substring("node", 10, 1)) * 5) % 100) / 100.0)
-    ev = F.col("node").startswith("Event-")
-    sc = sc.where(F.col("energy") >= F.when(ev, 0.3).otherwise(0.25))
-    return sc.select("store_no", "node", F.round("energy", 6).alias("energy"), F.round(F.col("energy") / F.log(F.lit(7.0)), 6).alias("damped"), (F.col("energy") >= F.when(ev, 0.7).otherwise(0.6)).alias("terminal"))
+    top = top_seeds(spark, sf).where("rnk = 1").select("store_no", F.col("event_id").alias("node"))
+    return X.pruned(e, X.energies(e), top)
 
 
 # --- streams -----------------------------------------------------------------------------------

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.structural_json import OPEN_OBJ, _clean, _questions, _scalar, _slices, _videos
+from tideline.session import checkpointed
 
 
-def read_vector_collection(spark: SparkSession, path: str) -> DataFrame:
+def read_vector_collection(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Vector collection files (embedding_dim, data, matrix as base64 float32): one row per vector with
-    its file, place, id, metadata as JSON and components. Several files are read side by side."""
-    raw = spark.read.option("multiLine", True).schema("embedding_dim int, data array<map<string,string>>, matrix string").json(path)
+    its file, place, id, metadata as JSON and components. Several files are read side by side; with
+    ``lines`` a file has a collection per line."""
+    raw = spark.read.option("multiLine", not lines).schema("embedding_dim int, data array<map<string,string>>, matrix string").json(path)
     raw = raw.select(F.input_file_name().alias("file"), "embedding_dim", "data", F.unbase64("matrix").alias("m"))
     one = raw.select("file", "embedding_dim", "m", F.posexplode("data").alias("pos", "meta"))
     width = F.col("embedding_dim") * 4
@@ -39,24 +41,102 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return ids.select("id", kind.alias("kind")), e
 
 
+def write_vectors(df: DataFrame, path: str) -> None:
+    """Vector collections (store_no, vec_kind, id, v) in their native form: parquet by store and kind, written whole or
+    not at all; a store that is written again replaces itself alone."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store_no", "vec_kind").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def export_vector_collections(df: DataFrame, path: str) -> None:
+    """Vector collections (store_no, vec_kind, id, v) as exchange files: one JSON line per store and kind with
+    embedding_dim, data and a base64 float32 matrix. A line holds a collection whole, so a task holds one
+    collection: a form for single videos; :func:`write_vectors` is the form for large stores."""
+    import base64
+    import json
+
+    import pandas as pd
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        m = np.stack([np.asarray(v, "<f4") for v in pdf["v"]])
+        doc = {"embedding_dim": int(m.shape[1]), "data": [{"__id__": str(i), "id": str(i)} for i in pdf["id"]], "matrix": base64.b64encode(m.tobytes()).decode()}
+        return pd.DataFrame({"value": [json.dumps(doc)]})
+
+    df.select("store_no", "vec_kind", "id", "v").groupBy("store_no", "vec_kind").applyInPandas(one, "value string").write.mode("overwrite").text(path)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A graph (nodes: id; edges: a, b, weight) as a folder of GraphML files, each a whole document of some of its nodes
+    and edges, so that writing is spread over tasks."""
+    from xml.sax.saxutils import quoteattr
+
+    lines = nodes.select(F.lit("n").alias("kind"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("w")).unionByName(
+        edges.select(F.lit("e").alias("kind"), "a", "b", F.col("weight").cast("double").alias("w"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+        some = False
+        for rb in batches:
+            rows = [] if some else ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml><key id="d0" for="edge" attr.name="weight" attr.type="double"/><graph edgedefault="undirected">']
+            for kind, a, b, w in zip(*(c.to_pylist() for c in rb.columns)):
+                rows.append(f"<node id={quoteattr(a)}/>" if kind == "n" else f'<edge source={quoteattr(a)} target={quoteattr(b)}><data key="d0">{w}</data></edge>')
+            some = True
+            yield out(rows)
+        if some:
+            yield out(["</graph></graphml>"])
+
+    lines.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def find_graphml(spark: SparkSession, path: str) -> str:
+    """The GraphML file of a store: ``path`` with .graphml or, if that is missing, .graphml.xml."""
+    for end in ("", ".graphml", ".graphml.xml"):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path + end)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            return path + end
+    raise FileNotFoundError(path)
+
+
 def save_cache(entries: DataFrame, path: str) -> None:
-    """Cross-query cache as a parquet table, one folder per store; written whole or not at all."""
-    entries.write.mode("overwrite").partitionBy("store_no").parquet(path)
+    """Cross-query cache as a parquet table, one folder per store; written whole or not at all, and a store that is saved
+    again replaces itself alone."""
+    entries.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store_no").parquet(path)
 
 
 def load_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A saved cache; a missing or unreadable one is empty."""
+    """A saved cache; a missing one is empty, and so is every file of it that cannot be read."""
     schema = "question_id bigint, s double, e double, event_ids array<string>, store_no bigint"
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(path)
+
+
+def write_results(df: DataFrame, path: str, keys: list[str], order: list[str]) -> None:
+    """Results with one row per key, the last by ``order``, written whole or not at all."""
+    rest = [c for c in df.columns if c not in keys]
+    df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*keys, *(F.col(f"x.{c}") for c in rest)).write.mode("overwrite").parquet(path)
+
+
+def flush(df: DataFrame, path: str, key: list[str]) -> int:
+    """Append the rows whose key is not in the table yet, and tell how many: a run that was cut off goes on where it was."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    new = checkpointed(df.join(spark.read.parquet(path).select(*key), key, "left_anti") if there else df)
+    new.write.mode("append").parquet(path)
+    return new.count()
 
 
 def report(df: DataFrame, path: str, form: str = "csv") -> None:
-    """A report as CSV with a header, or as JSON lines."""
-    w = df.coalesce(1).write.mode("overwrite")
-    w.option("header", True).csv(path) if form == "csv" else w.json(path)
+    """A report as CSV with a header, as JSON lines or as text lines, by all tasks; a small report is one file by its plan."""
+    w = df.write.mode("overwrite")
+    {"csv": lambda: w.option("header", True).csv(path), "json": lambda: w.json(path), "text": lambda: w.text(path)}[form]()
 
 
 _QUESTION = ["video_key", "question_id", "text", "answer", "time_reference", "question_type", "options"]
