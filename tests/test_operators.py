@@ -164,11 +164,71 @@ def test_list_merge_rules(spark):
     assert {r.path for r in L.search_paths(spark).where("depth = 2").collect()} == {"RQ>SA", "F>SA", "B>SA"} and L.search_paths(spark).count() == 13
 
 
+def ask(seeds, near=(), ok=()):
+    q = C.Query()
+    q.seeds, q.ok = list(seeds), set(ok)
+    for seed, span in near:
+        q.near.setdefault(seed, []).append(span)
+    return q
+
+
 def test_cache_rules():
     assert C.hull_iou((0, 10), (5, 20)) == 0.25
-    cache = [(0.0, 10.0, ["x"]), (0.0, 10.0, ["y"])]
-    reused, covered, new = C.answer_query([(0.0, 9.0, "a"), (100.0, 110.0, "b")], cache, 30.0, 0.5)
-    assert (reused, covered, new) == (["x"], ["a"], [(100.0, 110.0, ["b"])])
+    cache = C.Cache()
+    cache.add(0.0, 10.0, [(0.0, 10.0, "x")], 5.0)
+    cache.add(0.0, 10.0, [(0.0, 10.0, "y")], 7.0)
+    got = ask([(0.0, 9.0, "a"), (100.0, 110.0, "b")], [("a", (9.0, 12.0, "na")), ("b", (110.0, 130.0, "nb")), ("b", (90.0, 100.0, "mb"))], {"b", "nb", "na"}).answer(cache, 30.0, 0.5, 8, 30.0)
+    # the earlier entry on ties; its seed is covered, so only the other is expanded; A is verified, B is not
+    assert (got["reused"], got["covered"], got["mean_reused_s"]) == ("x", "a", 5.0)
+    assert (got["a"], got["b"], got["time_b_s"]) == ("b,nb,x", "a,b,mb,nb,x", 30.0)
+    # the clusters of A and B together are new entries
+    assert [(e[0], e[1], sorted(m[2] for m in e[2]), e[3]) for e in cache.entries[2:]] == [(0.0, 10.0, ["a", "x"], 30.0), (90.0, 130.0, ["b", "mb", "nb"], 30.0)]
+    assert ask([(500.0, 510.0, "c")], [("c", (510.0, 520.0, str(i))) for i in range(9)], map(str, range(9))).answer(cache, 30.0, 0.5, 3, 30.0)["a"] == "0,1"
+    assert ask([]).answer(cache, 30.0, 0.5, 3, 30.0)["b"] == ""
+
+
+def test_cache_finds_what_a_scan_finds():
+    r = random.Random(2)
+    cache, entries = C.Cache(), []
+    for _ in range(300):
+        s = r.uniform(-500, 5000)
+        e = s + r.choice([1, 20, 300, 90_000])
+        cache.add(s, e, [], 0.0)
+        entries.append((s, e))
+        lo = r.uniform(-500, 5000)
+        hi = lo + r.choice([1, 30, 400, 200_000])
+        want = max(range(len(entries)), key=lambda k: (C.hull_iou((lo, hi), entries[k]), -k))
+        at, v = cache.best(lo, hi)
+        assert v == C.hull_iou((lo, hi), entries[want]) and (v == 0 and at is None or at == want)
+
+
+def test_cross_cache_streams(spark):
+    r = random.Random(7)
+    rows = []
+    for store in (1, 2, 3):
+        for q in range(25):
+            for k in range(r.randint(1, 4)):
+                s = r.uniform(0, 400)
+                rows.append((store, q, None, f"e{store}-{q}-{k}", k, s, s + 20, r.random() < 0.7))
+                rows.append((store, q, f"e{store}-{q}-{k}", f"n{r.randint(0, 9)}", 0, s + 20, s + 30, r.random() < 0.5))
+    df = spark.createDataFrame(rows, "store_no bigint, question_id bigint, seed_id string, event_id string, rnk bigint, s double, e double, ok boolean").repartition(5)
+    got = {(x.store_no, x.question_id): x.asDict() for x in C.cross_cache(df).collect()}
+    for store in (1, 2, 3):
+        cache = C.Cache()
+        for q in range(25):
+            mine = [x for x in rows if x[:2] == (store, q)]
+            seeds = sorted((x for x in mine if x[2] is None), key=lambda x: x[4])
+            near = sorted((x for x in mine if x[2] is not None), key=lambda x: (x[2], x[3]))
+            want = ask([(x[5], x[6], x[3]) for x in seeds], [(x[2], (x[5], x[6], x[3])) for x in near], [x[3] for x in mine if x[7]]).answer(cache, 30.0, 0.5, 8, 30.0)
+            assert got[store, q] == {"store_no": store, "question_id": q} | want
+    assert C.cross_cache(df.limit(0)).count() == 0
+
+
+def test_verified_without_questions(spark):
+    c = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "store_no int, question_id int, event_id string")
+    m = spark.createDataFrame([(1, 1, "a", "no"), (1, 1, "a", "yes")], "store_no int, question_id int, event_id string, verdict string")
+    ids = lambda rule: sorted(x.event_id for x in C.verified(c, m, ["store_no", "question_id", "event_id"], rule).collect())
+    assert (ids("any"), ids("majority"), ids("all")) == (["a", "b"], [], [])
 
 
 def test_verdicts(spark):

@@ -25,6 +25,6 @@ def test_components_of_every_store(spark, tmp_path):
     rows = [(s, f"Entity-{i:02}", [f"Event-{j:02}" for j in range(40) if (i * 7 + j * 11 + s) % 13 == 0], at) for s in (1, 2, 5) for i in range(30)]
     rows += [(1, "Entity-x", ["Event-x", "Event-y", None], at), (1, "Entity-z", ["Event-y"], at), (2, "Entity-n", None, at)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/vdb_entities.parquet")
-    got = {r.node: r.component for r in Q.graph_components_all_stores(spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in Q.graph_connected_components(spark, str(tmp_path)).collect()}
     assert got == union_find([(f"{s}:{v}", f"{s}:{i}") for s, i, events, _ in rows for v in events or [] if v])
     assert {n.split(":")[0] for n in got} == {"1", "2", "5"} and got["1:Entity-z"] == got["1:Event-x"]

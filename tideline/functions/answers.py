@@ -31,12 +31,13 @@ def _first(m: Column, *names: str) -> Column:
 
 def answer_letter(text: Column) -> Column:
     """Letter A-D of a response: the answer member of a JSON object, else one that a text quotes, else a
-    letter with a point or bracket at the end; null if none."""
+    letter with a point or bracket at the end, else a text that is nothing but a letter; null if none."""
     t = unfenced(text)
     whole = F.upper(_first(json_members(t), "Answer", "answer"))
     quoted = F.nullif(F.upper(F.regexp_extract(t, '(?i)"answer"\\s*:\\s*"([A-D])"', 1)), F.lit(""))
     last = F.nullif(F.regexp_extract(t, "\\b([ABCD])\\s*[.)]\\s*$", 1), F.lit(""))
-    return F.coalesce(F.when(whole.isin("A", "B", "C", "D"), whole), quoted, last)
+    bare = F.nullif(F.upper(F.regexp_extract(t, "^\\s*\\(?([A-Da-d])[).]?\\s*$", 1)), F.lit(""))
+    return F.coalesce(F.when(whole.isin("A", "B", "C", "D"), whole), quoted, last, bare)
 
 
 def valid_answer(text: Column, of_format: bool = False) -> Column:

@@ -24,7 +24,7 @@ def noise_ratio(signal, noise):
 
 def retrieval_accuracy(found: DataFrame, truth: DataFrame) -> DataFrame:
     """One row per query of ``truth``. ``found``: store_no, question_id, event_id, ord, s, e.
-    ``truth``: store_no, question_id, seg, gs, ge (whole seconds), point (a time, kept as ``[gs, gs + 1)``).
+    ``truth``: store_no, question_id, seg, gs, ge (whole seconds), and point where some are times, kept as ``[gs, gs + 1)``.
 
     Events are cut to whole seconds, the first row of an id counts, empty spans are rejected (C10); an
     event is right if it shares more than a point with a segment (C3). ``hit`` and ``coverage`` look at the
@@ -36,6 +36,7 @@ def retrieval_accuracy(found: DataFrame, truth: DataFrame) -> DataFrame:
     ev = found.where("e > s").groupBy(*Q, "event_id").agg(F.min_by(F.struct("s", "e"), "ord").alias("x"))
     key = F.concat_ws(":", *Q)
     ev = checkpointed(ev.select(*Q, "event_id", F.col("x.s").alias("s"), F.col("x.e").alias("e")).select(*Q, "event_id", a.alias("s"), b.alias("e")).withColumn("k", key))
+    truth = truth if "point" in truth.columns else truth.withColumn("point", F.lit(False))
     truth = checkpointed(truth.select(*Q, "seg", "gs", "ge", "point").withColumn("k", key))
     hits = overlap_join(ev.withColumnsRenamed({"s": "ls", "e": "le"}).drop("k"), truth.select(*Q, "seg", F.col("gs").alias("rs"), F.col("ge").alias("re")), Q, overlaps_strict)
     n_ev = ev.groupBy(*Q).agg(F.count("*").alias("n_events"), F.sum(F.col("e") - F.col("s")).alias("total_s"))

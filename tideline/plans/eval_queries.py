@@ -197,7 +197,7 @@ _FIRST_OF = "CASE WHEN json_valid({0}) AND json_type({0}) = 'OBJECT' THEN coales
 
 
 @R.query("answer_extract", rf"""WITH t AS (SELECT response_id, trim(regexp_replace(response, '(?i)^\s*```[a-z]*\s*|\s*```\s*$', '', 'g'), chr(32)) AS t FROM responses), a AS (SELECT response_id, t, upper({_FIRST_OF.format('t')}) AS w FROM t)
-SELECT response_id, coalesce(CASE WHEN w IN ('A', 'B', 'C', 'D') THEN w END, nullif(upper(regexp_extract(t, '(?i)"answer"\s*:\s*"([A-D])"', 1)), ''), nullif(regexp_extract(t, '\b([ABCD])\s*[.)]\s*$', 1), '')) AS letter FROM a""")
+SELECT response_id, coalesce(CASE WHEN w IN ('A', 'B', 'C', 'D') THEN w END, nullif(upper(regexp_extract(t, '(?i)"answer"\s*:\s*"([A-D])"', 1)), ''), nullif(regexp_extract(t, '\b([ABCD])\s*[.)]\s*$', 1), ''), nullif(upper(regexp_extract(t, '^\s*\(?([A-Da-d])[).]?\s*$', 1)), '')) AS letter FROM a""")
 def answer_extract(spark, sf):
     """The letter of each response."""
     return table(spark, sf, "responses").select("response_id", A.answer_letter(F.col("response")).alias("letter"))

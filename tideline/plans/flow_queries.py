@@ -326,13 +326,13 @@ isl AS (SELECT *, sum(CASE WHEN top IS NULL OR ms > top + 30000 THEN 1 ELSE 0 EN
 SELECT store_no, min(ms) AS s, max(me) AS e, count(*) AS n FROM isl GROUP BY store_no, g""")
 def stream_gap_clusters(spark, sf):
     """Gap clusters of the event stream."""
-    return W.drained(W.gap_clusters(W.end_of_input(_event_stream(spark, sf)), 30_000), "append", "gap-clusters")
+    return W.windows_of(_event_stream(spark, sf), lambda e: W.gap_clusters(e, 30_000), "gap-clusters")
 
 
 @R.query("stream_sliding_chunks", f"""WITH {_RAW}, w AS (SELECT store_no, unnest([ms // 20000 * 20000, ms // 20000 * 20000 - 20000]) AS s, ms FROM rw) SELECT store_no, s, count(*) AS n FROM w WHERE ms >= s AND ms < s + 30000 GROUP BY store_no, s""")
 def stream_sliding_chunks(spark, sf):
     """Events per sliding chunk of 30 s that shares 10 s with the next."""
-    return W.drained(W.sliding_counts(W.end_of_input(_event_stream(spark, sf)), "30 seconds", "20 seconds"), "append", "sliding")
+    return W.windows_of(_event_stream(spark, sf), lambda e: W.sliding_counts(e, "30 seconds", "20 seconds"), "sliding")
 
 
 @R.query("stream_tracks", """WITH d AS (SELECT store_no, id AS entity_id, unnest(frame_indices) AS frame FROM vdb_entities WHERE store_no IS NOT NULL AND id IS NOT NULL) SELECT store_no, entity_id, min(frame) AS first_frame, max(frame) AS last_frame, count(frame) AS total_frames FROM d WHERE frame IS NOT NULL GROUP BY ALL""")

@@ -58,7 +58,7 @@ def _s(x: str) -> str:
     return f"CASE len({p}) WHEN 0 THEN 0 WHEN 1 THEN {n(1)} WHEN 2 THEN {n(1)} * 60 + {n(2)} ELSE {n(1)} * 3600 + {n(2)} * 60 + {n(3)} END"
 
 
-_REFS = f"WITH {QN}, r AS (SELECT store_no, question_id, coalesce(trim(ref), '') AS t, trim(split_part(coalesce(trim(ref), ''), '-', 1)) AS a, trim(substr(coalesce(trim(ref), ''), instr(coalesce(trim(ref), ''), '-') + 1)) AS b FROM qn WHERE question_id % 3 < 2)"
+_REFS = f"WITH {QN}, r AS (SELECT store_no, question_id, CASE WHEN question_id % 3 = 2 THEN '' ELSE coalesce(trim(ref), '') END AS t, trim(split_part(coalesce(trim(ref), ''), '-', 1)) AS a, trim(substr(coalesce(trim(ref), ''), instr(coalesce(trim(ref), ''), '-') + 1)) AS b FROM qn)"
 
 
 @R.query("parse_localization_segments", f"""{_REFS} SELECT store_no, question_id, 0 AS place, least({_s('a')}, {_s('b')}) AS gs, greatest({_s('a')}, {_s('b')}) AS ge FROM r WHERE contains(t, '-') AND a <> '' AND b <> ''
@@ -75,8 +75,8 @@ CASE WHEN contains(t, '-') THEN {_s('a')} WHEN contains(t, ',') THEN NULL WHEN r
 CASE WHEN contains(t, ',') THEN list_min(list_transform(string_split(t, ','), lambda y: {_s('y')})) END AS con_lo, CASE WHEN contains(t, ',') THEN list_max(list_transform(string_split(t, ','), lambda y: {_s('y')})) END AS con_hi FROM r""")
 def parse_temporal_analysis(spark, sf):
     """Temporal analysis of a question: whether it names a time and contents, and their seconds (of several the least and
-    the greatest). Texts that are cut off are left out here."""
-    d = _time_json(store_questions(spark, sf)).where("question_id % 3 < 2").withColumn("p", P.temporal_analysis(_written(F.col("question_id"), F.col("body"))))
+    the greatest); nothing of a text that is cut off."""
+    d = _time_json(store_questions(spark, sf)).withColumn("p", P.temporal_analysis(_written(F.col("question_id"), F.col("body"))))
     g = lambda c, i: F.get(F.col(f"p.{c}"), F.lit(i))
     return d.select("store_no", "question_id", "p.has_localization", "p.has_content", g("localization", 0).alias("loc_lo"), g("localization", 1).alias("loc_hi"), g("content", 0).alias("con_lo"), g("content", 1).alias("con_hi"))
 

@@ -62,10 +62,10 @@ def _kind_hits(kind: str, k: int) -> str:
     return _hits("h", k, f"vec_kind = '{kind}'")
 
 
-@R.query("vector_topk_filtered", f"WITH {VEC}, {QS}, {_hits('h', 5, 'store_no % 2 = 0')} {_OUT}")
+@R.query("vector_topk_filtered", f"WITH {VEC}, {QS}, {_hits('h', 5, "vec_kind IN ('event', 'frame')")} {_OUT}")
 def vector_topk_filtered(spark, sf):
     """V9: top 5 among the rows of a predicate, which is applied before the search."""
-    return _scores(_found(spark, sf, 5, "store_no % 2 = 0"))
+    return _scores(_found(spark, sf, 5, "vec_kind in ('event', 'frame')"))
 
 
 @R.query("vector_events_top80", f"WITH {VEC}, {QS}, {_kind_hits('event', 80)} {_OUT}")
@@ -74,11 +74,11 @@ def vector_events_top80(spark, sf):
     return _scores(_found(spark, sf, 80, "vec_kind = 'event'"))
 
 
-@R.query("vector_ip_live_after_cut", f"WITH {VEC}, {QS}, {_hits('h', 10, sim='list_inner_product(qv, v)')} {_OUT} WHERE vec_id % 3 <> 0")
+@R.query("vector_ip_live_after_cut", f"WITH {VEC}, {QS}, {_hits('h', 10, sim='list_inner_product(qv, v)')} {_OUT} WHERE vec_id IN (SELECT vec_id FROM vec WHERE vec_kind <> 'entity')")
 def vector_ip_live_after_cut(spark, sf):
     """V8: inner-product top 10; rows whose metadata was deleted drop out after the cut."""
     hits = _found(spark, sf, 10, metric="ip")
-    live = vectors(spark, sf).where("vec_id % 3 <> 0").select("vec_id")
+    live = vectors(spark, sf).where("vec_kind <> 'entity'").select("vec_id")
     return _scores(hits.join(live, "vec_id", "left_semi"))
 
 
@@ -120,12 +120,12 @@ def _upserted(spark, sf, base, changes):
     return V.upsert(v.where(base), v.where(changes).withColumn("owner_id", F.concat(F.lit("new-"), F.col("vec_id").cast("string"))), "vec_id", ["owner_id", "vec_kind"])
 
 
-@R.query("vector_get_delete_count", f"""WITH {VEC}, k AS (SELECT DISTINCT owner_id FROM vec WHERE vec_id % 10 = 0)
+@R.query("vector_get_delete_count", f"""WITH {VEC}, k AS (SELECT DISTINCT id AS owner_id FROM vdb_entities WHERE id IS NOT NULL)
 SELECT vec_kind, count(*) AS n, count(*) FILTER (k.owner_id IS NOT NULL) AS got, count(*) FILTER (k.owner_id IS NULL) AS left_after_delete FROM vec LEFT JOIN k ON k.owner_id = vec.owner_id GROUP BY vec_kind""")
 def vector_get_delete_count(spark, sf):
     """Get by ids, delete by ids, count."""
     v = vectors(spark, sf).drop("v")
-    keys = v.where("vec_id % 10 = 0").select("owner_id").distinct().withColumn("hit", F.lit(True))
+    keys = table(spark, sf, "vdb_entities").where("id is not null").select(F.col("id").alias("owner_id")).distinct().withColumn("hit", F.lit(True))
     return v.join(keys, "owner_id", "left").groupBy("vec_kind").agg(F.count("*").alias("n"), F.count("hit").alias("got"), F.count_if(F.col("hit").isNull()).alias("left_after_delete"))
 
 

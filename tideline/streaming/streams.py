@@ -3,14 +3,14 @@
 Each runs to the end of what is there (``availableNow``) and leaves a table in the shared folder; with
 another trigger the same plans run on. Windowed forms run in append mode: a window is written once, when
 the watermark has passed it, and its state is dropped; rows that come later than the watermark allows
-are left out. ``end_of_input`` adds a row far in the future, which closes the last windows of a table
-that is read as a stream. Running aggregates run in update mode: the last row of a key counts.
+are left out. ``windows_of`` ends with a row far in the future, after all others, which closes the last
+windows of a table that is read as a stream. Running aggregates run in update mode: the last row of a key counts.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,12 +37,23 @@ def source(spark: SparkSession, path: str, files_at_once: int | None = None) ->
     return reader.parquet(path)
 
 
-def end_of_input(events: DataFrame) -> DataFrame:
-    """``events`` (store_no, pos, ms, me) and the row that closes the input; results have no row of its owner."""
+_EVENT = "store_no bigint, pos bigint, ms bigint, me bigint"
+
+
+def windows_of(events: DataFrame, build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """All windows that ``build`` makes of a stream of events (store_no, pos, ms, me), the last ones included: the stream
+    is drained first; then the row that closes the input comes in by a second source, and the query goes on
+    from its checkpoint."""
     spark = events.sparkSession
-    path = scratch_dir(spark, "end-of-input")
-    spark.range(1).select(F.lit(END_OWNER).alias("store_no"), F.lit(0).cast("bigint").alias("pos"), F.lit(END_MS).cast("bigint").alias("ms"), F.lit(END_MS + 1).cast("bigint").alias("me")).write.parquet(path)
-    return events.select("store_no", "pos", "ms", "me").unionByName(source(spark, path))
+    end, out, check = (scratch_dir(spark, f"{name}{x}") for x in ("-end", "", "-checkpoint"))
+    spark.createDataFrame([], _EVENT).write.parquet(end)
+    stream = build(events.select("store_no", "pos", "ms", "me").unionByName(source(spark, end)))
+    for last in (False, True):
+        if last:
+            spark.createDataFrame([(END_OWNER, 0, END_MS, END_MS + 1)], _EVENT).coalesce(1).write.mode("append").parquet(end)
+        stream.writeStream.outputMode("append").option("checkpointLocation", check).trigger(availableNow=True).format("parquet").option("path", out).start().awaitTermination()
+    # the closing row is taken out here: within the stream a filter would go below the watermark that it is to move
+    return spark.read.schema(stream.schema).parquet(out).where(F.col("store_no") != END_OWNER)
 
 
 def drained(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
@@ -62,9 +73,7 @@ def drained(stream: DataFrame, mode: str, name: str, keys: list[str] | None = No
         rest = [c for c in stream.columns if c not in keys]
         return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("x")).select(*keys, *(F.col(f"x.{c}") for c in rest))
     writer.format("parquet").option("path", out).start().awaitTermination()
-    done = spark.read.schema(stream.schema).parquet(out)
-    # taken out here: within the stream the filter would go below the watermark that the row is to move
-    return done.where(F.col("store_no") != END_OWNER) if "store_no" in stream.columns else done
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
