@@ -142,24 +142,50 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists(per, secs, np.int32), lists(per, lens, np.int32), lists(ends, flat, np.int64)], ["doc_id", "store_no", "source", "secs", "lens", "words"])
 
 
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each group; groups lie end to end, ``starts`` has one more than there are groups."""
+    out = np.zeros((len(starts) - 1, x.shape[1]))
+    some = np.diff(starts) > 0
+    if some.any():
+        out[some] = np.add.reduceat(x, starts[:-1][some], axis=0)
+    return out
+
+
 class _Batch:
-    """Statements of some documents as flat arrays."""
+    """Statements of some documents as flat arrays, in order of document, statement and word."""
 
     def __init__(self, secs: pa.Array, lens: pa.Array, words: pa.Array):
         ints = lambda x: x.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         self.n_docs = len(secs)
         self.sec, size = ints(secs), ints(lens)
         self.n = len(self.sec)
-        self.doc = np.repeat(np.arange(self.n_docs), np.diff(secs.offsets.to_numpy()))
+        self.of_doc = secs.offsets.to_numpy().astype(np.int64)
+        self.of_doc = self.of_doc - self.of_doc[0]
+        self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.of_doc))
+        self.of_statement = np.concatenate([[0], np.cumsum(size)])
         self.row = np.repeat(np.arange(self.n), size)
         self.vocabulary, self.col = np.unique(ints(words), return_inverse=True)
         self.col = self.col.reshape(-1)
 
     def per_statement(self, by_word: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.bincount(self.row, weights=w, minlength=self.n) for w in by_word[self.col].T])
+        return _sums(by_word[self.col], self.of_statement)
 
     def per_doc(self, by_statement: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.bincount(self.doc, weights=v, minlength=self.n_docs) for v in by_statement.T])
+        return _sums(by_statement, self.of_doc)
+
+    def per_word(self, by_statement: np.ndarray) -> np.ndarray:
+        order = np.argsort(self.col, kind="stable")
+        return _sums(by_statement[self.row[order]], np.searchsorted(self.col[order], np.arange(len(self.vocabulary) + 1)))
+
+
+def _parts(rb: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most 1000 documents and about half a million words (a longer document is alone)."""
+    at = rb.column("words").offsets.to_numpy().astype(np.int64)
+    i = 0
+    while i < rb.num_rows:
+        j = int(min(i + 1000, max(i + 1, np.searchsorted(at, at[i] + 500_000, "right") - 1)))
+        yield rb.slice(i, j - i)
+        i = j
 
 
 class Lifts:
@@ -221,20 +247,20 @@ def _counting(seeds, k_areas: int):
 
     def run(batches: Iterator[pa.RecordBatch], model: Lifts | None) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            rb = rb.select(["secs", "lens", "words"])
-            b = _Batch(*(rb.column(i) for i in range(3)))
-            if not b.n or not len(b.col):
-                continue
-            lexicon = _lexicon_votes(b, seeds.value)
-            votes = _model_votes(b, model) if model is not None else lexicon
-            others = b.per_doc(votes)[b.doc] - votes  # of the rest of its document
-            total = others.sum(axis=1, keepdims=True)
-            around = np.where(total > 0.5, others / np.maximum(total, 1e-9), 0.0)
-            mass = np.where(lexicon.sum(axis=1, keepdims=True) > 0, lexicon, around)
-            counts = np.column_stack([np.bincount(b.col, weights=m, minlength=len(b.vocabulary)) for m in mass[b.row].T])
-            keys = np.append(b.vocabulary, -1)  # -1 carries the mass of all statements
-            counts = np.vstack([counts, mass.sum(axis=0)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(counts[:, k]) for k in range(k_areas))], ["word", *(f"a{k}" for k in range(k_areas))])
+            for part in _parts(rb):
+                b = _Batch(*(part.column(c) for c in ("secs", "lens", "words")))
+                if not b.n or not len(b.col):
+                    continue
+                lexicon = _lexicon_votes(b, seeds.value)
+                votes = _model_votes(b, model) if model is not None else lexicon
+                others = b.per_doc(votes)[b.doc] - votes  # of the rest of its document
+                total = others.sum(axis=1, keepdims=True)
+                around = np.where(total > 0.5, others / np.maximum(total, 1e-9), 0.0)
+                mass = np.where(lexicon.sum(axis=1, keepdims=True) > 0, lexicon, around)
+                counts = b.per_word(mass)
+                keys = np.append(b.vocabulary, -1)  # -1 carries the mass of all statements
+                counts = np.vstack([counts, mass.sum(axis=0)])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(counts[:, k]) for k in range(k_areas))], ["word", *(f"a{k}" for k in range(k_areas))])
 
     return run
 
@@ -307,26 +333,27 @@ def _scoring(seeds, k_areas: int):
     """Codes and statement counts per document, from rows of ``cut`` with a model."""
 
     def run(batches: Iterator[pa.RecordBatch], model: Lifts) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            b = _Batch(*(part.column(i) for i in range(3, 6)))
-            n = b.n_docs
-            if b.n:
-                total = np.maximum(np.bincount(b.doc, minlength=n), 1)[:, None]
-                best = _model_votes(b, model)
-                lex, got = b.per_doc(_lexicon_votes(b, seeds.value)) / total, b.per_doc(best)
-                width = int(b.sec.max()) + 1
-                secs, at = np.unique(b.doc * width + b.sec, return_inverse=True)
-                at = at.reshape(-1)
-                per = np.column_stack([np.bincount(at, weights=v, minlength=len(secs)) for v in best.T])
-                leads = (per > np.minimum(1, np.bincount(at)[:, None] - 1)) & (per == per.max(axis=1, keepdims=True))
-                section = np.zeros((n, k_areas), np.int64)
-                np.maximum.at(section, secs // width, leads.astype(np.int64) + (per > 0))
-                lex_code, learned = _code(lex, LEXICON_BINS), _code((got / total).round(9), LEARNED_BINS)
-            else:
-                got, section, lex_code, learned = np.zeros((n, k_areas)), *(np.zeros((n, k_areas), np.int64) for _ in range(3))
-            codes = (lex_code * CODES[1] + learned) * CODES[2] + section
-            flat = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k_areas, pa.int32()), pa.array(x.reshape(-1), t))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), flat(codes.astype(np.int32), pa.int32()), flat(got.astype(np.int64), pa.int64())], ["doc_id", "store_no", "source", "codes", "counts"])
+        for rb in batches:
+            for part in _parts(rb):
+                b = _Batch(*(part.column(i) for i in range(3, 6)))
+                n = b.n_docs
+                if b.n:
+                    total = np.maximum(np.bincount(b.doc, minlength=n), 1)[:, None]
+                    best = _model_votes(b, model)
+                    lex, got = b.per_doc(_lexicon_votes(b, seeds.value)) / total, b.per_doc(best)
+                    width = int(b.sec.max()) + 1
+                    secs, at = np.unique(b.doc * width + b.sec, return_inverse=True)
+                    at = at.reshape(-1)
+                    per = _sums(best, np.searchsorted(at, np.arange(len(secs) + 1)))  # sections come in order
+                    leads = (per > np.minimum(1, np.bincount(at)[:, None] - 1)) & (per == per.max(axis=1, keepdims=True))
+                    section = np.zeros((n, k_areas), np.int64)
+                    np.maximum.at(section, secs // width, leads.astype(np.int64) + (per > 0))
+                    lex_code, learned = _code(lex, LEXICON_BINS), _code((got / total).round(9), LEARNED_BINS)
+                else:
+                    got, section, lex_code, learned = np.zeros((n, k_areas)), *(np.zeros((n, k_areas), np.int64) for _ in range(3))
+                codes = (lex_code * CODES[1] + learned) * CODES[2] + section
+                flat = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k_areas, pa.int32()), pa.array(x.reshape(-1), t))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), flat(codes.astype(np.int32), pa.int32()), flat(got.astype(np.int64), pa.int64())], ["doc_id", "store_no", "source", "codes", "counts"])
 
     return run
 
