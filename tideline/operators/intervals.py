@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.run_bitmap import periods_and_gaps
+from tideline.operators.run_bitmap import SHARD_WIDTH, periods_and_gaps
 
 #: Width of a join bucket in the unit of the intervals; near the median length is best. An interval over
 #: more than LONG buckets is put into buckets LONG times as wide, and so on,
@@ -44,12 +44,13 @@ def _cells(df: DataFrame, s: str, e: str, width: float) -> DataFrame:
     return rows.withColumn("_c", F.explode(F.sequence(cell(s), F.greatest(cell(s), cell(e)))))
 
 
-def merged(df: DataFrame, key: str, gap: int = 0) -> DataFrame:
+def merged(df: DataFrame, key: str, gap: int = 0, shard: int = SHARD_WIDTH) -> DataFrame:
     """Intervals (``key``, ``s``, ``e`` in whole units) merged when they touch or stand at most
     ``gap`` apart. Built on run bitmaps with the ends moved out by ``gap``, so a key with many rows is
-    spread over time shards. With a gap, empty intervals count; without, they are dropped (C9)."""
+    spread over time shards of ``shard`` units. With a gap, empty intervals count; without, they are
+    dropped (C9)."""
     spans = df.select(F.lit("k").alias("owner_kind"), F.col(key).cast("string").alias("owner_key"), F.col("s").cast("bigint").alias("s"), (F.col("e") + gap).cast("bigint").alias("e"))
-    out = periods_and_gaps(spans).where("piece = 'period'")
+    out = periods_and_gaps(spans, shard).where("piece = 'period'")
     return out.select(F.col("owner_key").cast(df.schema[key].dataType).alias(key), F.col("start_ms").alias("s"), (F.col("end_ms") - gap).alias("e"))
 
 

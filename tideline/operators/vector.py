@@ -78,18 +78,41 @@ class _Best:
         return pa.array(np.repeat(self.qids, self.s.shape[1])[keep]), pa.array(i[keep]), pa.array(s[keep])
 
 
-_FOUND = "qid bigint, vec_id bigint, sim double"
+_FOUND = "qid bigint, part string, vec_id bigint, sim double"
+
+
+class _Parts:
+    """:class:`_Best` of each part of the rows that is asked for."""
+
+    def __init__(self, qids: np.ndarray, qv: np.ndarray, ks: dict[str, int], *how):
+        self.best = {p: _Best(qids, qv, k, *how) for p, k in ks.items()}
+
+    def add(self, parts: pa.Array, ids: np.ndarray, x: np.ndarray) -> None:
+        names = np.array(parts.to_pylist(), object)
+        for p, best in self.best.items():
+            mine = names == p
+            if mine.all():
+                best.add(ids, x)
+            elif mine.any():
+                best.add(ids[mine], x[mine])
+
+    def table(self) -> pa.Table:
+        out = []
+        for p, best in self.best.items():
+            q, i, s = best.rows()
+            out.append(pa.table([q, pa.array([p] * len(q), pa.string()), i, s], ["qid", "part", "vec_id", "sim"]))
+        return pa.concat_tables(out)
 
 
 def _scanned(block, *how):
     """mapInArrow over rows: the best of a partition for a broadcast block of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(*block.value, *how)
+        best = _Parts(*block.value, *how)
         for b in batches:
             if b.num_rows:
-                best.add(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(b.column(1)))
-        yield pa.RecordBatch.from_arrays(list(best.rows()), ["qid", "vec_id", "sim"])
+                best.add(b.column(2), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _matrix(b.column(1)))
+        yield from best.table().to_batches()
 
     return run
 
@@ -98,40 +121,52 @@ def _met(*how):
     """Cogrouped (rows, queries) of a pair of blocks: the best rows of each query."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        none = [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
+        qids, qv = np.zeros(0, np.int64), np.zeros((0, 1))
         if rows.num_rows and queries.num_rows:
             rows, queries = rows.combine_chunks(), queries.combine_chunks()
-            best = _Best(queries.column("qid").to_numpy().astype(np.int64), _matrix(queries.column("qv").chunk(0)), *how)
-            best.add(rows.column("vec_id").to_numpy().astype(np.int64), _matrix(rows.column("rv").chunk(0)))
-            none = list(best.rows())
-        return pa.Table.from_arrays(none, ["qid", "vec_id", "sim"])
+            qids, qv = queries.column("qid").to_numpy().astype(np.int64), _matrix(queries.column("qv").chunk(0))
+        best = _Parts(qids, qv, *how)
+        if len(qids):
+            best.add(rows.column("part"), rows.column("vec_id").to_numpy().astype(np.int64), _matrix(rows.column("rv").chunk(0)))
+        return best.table()
 
     return run
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, least: float | None = None, metric: str = "cosine", eps: float = 0.0, decimals: int = 9) -> DataFrame:
-    """The ``k`` most similar rows of each query: qid, vec_id, sim, rnk.
-
-    ``rows`` (vec_id, v) and ``queries`` (qid, v) hold usable vectors of one dimension. Order is
-    similarity (to ``decimals``) descending, then vec_id; with ``least`` rows below it are left out.
-    A query finds itself if it is among the rows. No queries or no rows give an empty result."""
-    spark, how = rows.sparkSession, (k, least, metric, eps, decimals)
-    rows, queries = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "v"), queries.select(F.col("qid").cast("bigint").alias("qid"), "v")
+def search_parts(rows: DataFrame, queries: DataFrame, ks: dict[str, int], least: float | None = None, metric: str = "cosine", eps: float = 0.0, decimals: int = 9) -> DataFrame:
+    """:func:`search` in several parts of the rows at once: the ``ks[part]`` most similar rows of each query in every part,
+    by one scan. ``rows`` has a string ``part`` besides. Returns qid, part, vec_id, sim, rnk."""
+    spark, how = rows.sparkSession, (ks, least, metric, eps, decimals)
+    rows = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), "v", "part").where(F.col("part").isin(list(ks)))
+    queries = queries.select(F.col("qid").cast("bigint").alias("qid"), "v")
     few = queries.limit(BLOCK + 1).toArrow().sort_by("qid")
     if few.num_rows <= BLOCK:
-        block = (few.column("qid").to_numpy().astype(np.int64), _matrix(few.column("v").combine_chunks()) if few.num_rows else np.zeros((0, 1)))
         if not few.num_rows:
             return spark.createDataFrame([], _FOUND + ", rnk int")
+        block = (few.column("qid").to_numpy().astype(np.int64), _matrix(few.column("v").combine_chunks()))
         out = rows.mapInArrow(_scanned(spark.sparkContext.broadcast(block), *how), _FOUND)
     else:
         n_q, n_r = queries.count(), rows.count()
         qs, rs = -(-n_q // QUERY_BLOCK), max(1, -(-n_r // ROW_BLOCK))
         cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        a = rows.select(cell("vec_id", rs).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"), "vec_id", F.col("v").alias("rv"))
+        a = rows.select(cell("vec_id", rs).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(qs - 1))).alias("qb"), "vec_id", F.col("v").alias("rv"), "part")
         b = queries.select(F.explode(F.sequence(F.lit(0), F.lit(rs - 1))).alias("rb"), cell("qid", qs).alias("qb"), "qid", F.col("v").alias("qv"))
         out = a.groupBy("rb", "qb").cogroup(b.groupBy("rb", "qb")).applyInArrow(_met(*how), _FOUND)
-    w = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", decimals)), "vec_id")
-    return out.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
+    w = Window.partitionBy("qid", "part").orderBy(F.desc(F.round("sim", decimals)), "vec_id")
+    most = F.lit(0)
+    for part, k in ks.items():
+        most = F.when(F.col("part") == part, F.lit(k)).otherwise(most)
+    top = out.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= max(ks.values()))
+    return top if len(set(ks.values())) == 1 else top.where(F.col("rnk") <= most)
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int, least: float | None = None, metric: str = "cosine", eps: float = 0.0, decimals: int = 9) -> DataFrame:
+    """The ``k`` most similar rows of each query: qid, vec_id, sim, rnk.
+
+    ``rows`` (vec_id, v) and ``queries`` (qid, v) hold usable vectors of one dimension. Order is
+    similarity (to ``decimals``) descending, then vec_id; with ``least`` rows below it are left out.
+    A query finds itself if it is among the rows. No queries or no rows give an empty result."""
+    return search_parts(rows.select("vec_id", "v", F.lit("all").alias("part")), queries, {"all": k}, least, metric, eps, decimals).drop("part")
 
 
 def _summed(n_keys: int):

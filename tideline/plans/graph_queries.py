@@ -278,6 +278,19 @@ def event_continuity(spark, sf):
     )
 
 
+@R.query("event_continuity_control", f"""WITH {EV}, {BD}, l AS (SELECT ev.store_no, ev.pos, list(DISTINCT bd.entity_id) FILTER (bd.entity_id IS NOT NULL) AS es FROM ev LEFT JOIN bd ON bd.store_no = ev.store_no AND bd.event_id = ev.event_id GROUP BY ALL),
+j AS (SELECT a.store_no, coalesce(a.es, []) AS a, coalesce(b.es, []) AS b FROM l a JOIN l b ON b.store_no = a.store_no AND b.pos = a.pos + 10 + a.pos % 7), c AS (SELECT store_no, len(list_intersect(a, b)) AS shared, len(a) AS na, len(b) AS nb FROM j)
+SELECT store_no, count(*) AS pairs, count(*) FILTER (shared > 0) AS any_shared, round(avg(CASE WHEN na + nb - shared = 0 THEN 0 ELSE shared / (na + nb - shared) END), 6) AS jaccard FROM c GROUP BY store_no""")
+def event_continuity_control(spark, sf):
+    """A8 (control): objects shared by events that stand at least 10 places apart, one partner for every event."""
+    b = bridge(spark, sf).select("store_no", "event_id", "entity_id").groupBy("store_no", "event_id").agg(F.collect_set("entity_id").alias("es"))
+    rows = events(spark, sf).select("store_no", "pos", "event_id").join(b, ["store_no", "event_id"], "left").select("store_no", "pos", F.coalesce("es", F.array().cast("array<string>")).alias("es"))
+    far = rows.select("store_no", (F.col("pos") + 10 + F.col("pos") % 7).alias("other"), F.col("es").alias("a")).join(rows.select("store_no", F.col("pos").alias("other"), F.col("es").alias("b")), ["store_no", "other"])
+    shared, na, nb = F.size(F.array_intersect("a", "b")), F.size("a"), F.size("b")
+    j = far.select("store_no", shared.alias("sh"), F.coalesce(F.try_divide(shared.cast("double"), na + nb - shared), F.lit(0.0)).alias("ja"))
+    return j.groupBy("store_no").agg(F.count("*").alias("pairs"), F.count_if(F.col("sh") > 0).alias("any_shared"), F.round(F.avg("ja"), 6).alias("jaccard"))
+
+
 @R.query("store_alignment", f"""WITH {EV}, {BD}, x AS (SELECT DISTINCT store_no, event_id FROM ev), y AS (SELECT DISTINCT store_no, event_id FROM bd), j AS (SELECT coalesce(x.store_no, y.store_no) AS store_no, x.event_id AS xe, y.event_id AS ye FROM x FULL JOIN y ON x.store_no = y.store_no AND x.event_id = y.event_id)
 SELECT store_no, count(*) FILTER (xe IS NOT NULL AND ye IS NOT NULL) AS in_both, count(*) FILTER (ye IS NULL) AS only_events, count(*) FILTER (xe IS NULL) AS only_bridge,
 coalesce(array_to_string(list_sort(list(xe) FILTER (ye IS NULL))[1:20], ','), '') AS events_sample, coalesce(array_to_string(list_sort(list(ye) FILTER (xe IS NULL))[1:20], ','), '') AS bridge_sample FROM j GROUP BY store_no""")

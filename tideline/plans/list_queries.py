@@ -285,7 +285,7 @@ def _context(spark, sf, hows=("uniform", "topk", "all"), kinds=("frames", "event
 
 
 _HULL = f"""hl AS (SELECT store_no, question_id, min(gs) AS hs, max(CASE WHEN point THEN gs ELSE ge END) AS he FROM gt GROUP BY ALL),
-ge0 AS (SELECT hl.store_no, hl.question_id, ev.s, ev.e FROM hl JOIN ev ON ev.store_no = hl.store_no AND NOT (ev.e < hl.hs OR ev.s > hl.he))"""
+ge0 AS (SELECT hl.store_no, hl.question_id, round(ev.s, 6) AS s, round(ev.e, 6) AS e FROM hl JOIN ev ON ev.store_no = hl.store_no AND NOT (ev.e < hl.hs OR ev.s > hl.he))"""
 
 
 def _merge_sql(name: str, rows: str, keys: str) -> str:
@@ -296,12 +296,12 @@ def _merge_sql(name: str, rows: str, keys: str) -> str:
 
 _K2 = "store_no, question_id"
 _SHARES = lambda name, a, b: f"{name} AS (SELECT b.{'store_no'}, b.question_id, bool_or(a.s IS NOT NULL) AS hit, coalesce(sum(CASE WHEN a.s IS NOT NULL AND greatest(a.s, b.s) < least(a.e, b.e) THEN least(a.e, b.e) - greatest(a.s, b.s) END), 0) AS shared FROM {b} b LEFT JOIN {a} a ON a.store_no = b.store_no AND a.question_id = b.question_id AND NOT (a.e < b.s OR a.s > b.e) GROUP BY ALL)"
-_TOPEV = "te AS (SELECT t.store_no, t.question_id, f.s, f.e FROM top t JOIN (SELECT store_no, question_id, event_id, arg_min(s, ord) AS s, arg_min(e, ord) AS e FROM sd GROUP BY ALL) f USING (store_no, question_id, event_id))"
+_TOPEV = "te AS (SELECT t.store_no, t.question_id, round(f.s, 6) AS s, round(f.e, 6) AS e FROM top t JOIN (SELECT store_no, question_id, event_id, arg_min(s, ord) AS s, arg_min(e, ord) AS e FROM sd GROUP BY ALL) f USING (store_no, question_id, event_id))"
 
 
 @R.query("overlap_variants_frames", f"""WITH {SD}, {TOP}, {GT}, {_HULL}, {_merge_sql('gx', 'ge0', _K2)}, {_TOPEV}, fr AS (SELECT DISTINCT store_no, question_id, CAST(floor(s) AS BIGINT) + 1 AS t FROM te),
 fa AS (SELECT fr.store_no, fr.question_id, count(*) AS frames, count(*) FILTER (EXISTS (SELECT 1 FROM gx WHERE gx.store_no = fr.store_no AND gx.question_id = fr.question_id AND gx.s <= fr.t AND fr.t <= gx.e)) AS in_gt FROM fr GROUP BY ALL),
-ow AS (SELECT DISTINCT store_no, question_id, s, e FROM (SELECT fr.store_no, fr.question_id, fr.t, arg_min(ev.s, ev.pos) AS s, arg_min(ev.e, ev.pos) AS e FROM fr JOIN ev ON ev.store_no = fr.store_no AND ev.s <= fr.t AND fr.t <= ev.e GROUP BY ALL)), {_merge_sql('om', 'ow', _K2)},
+ow AS (SELECT DISTINCT store_no, question_id, s, e FROM (SELECT fr.store_no, fr.question_id, fr.t, arg_min(round(ev.s, 6), ev.pos) AS s, arg_min(round(ev.e, 6), ev.pos) AS e FROM fr JOIN ev ON ev.store_no = fr.store_no AND ev.s <= fr.t AND fr.t <= ev.e GROUP BY ALL)), {_merge_sql('om', 'ow', _K2)},
 hb AS (SELECT store_no, question_id, hs AS s, he AS e FROM hl), {_SHARES('sb', 'om', 'hb')}, {_SHARES('sc', 'om', 'gx')}, gl AS (SELECT store_no, question_id, sum(e - s) AS l FROM gx GROUP BY ALL)
 SELECT hl.store_no, hl.question_id, fa.frames, fa.in_gt, fa.in_gt > 0 AS a_hit, sb.hit AS b_hit, round(CASE WHEN he > hs THEN sb.shared / (he - hs) ELSE 0 END, 6) AS b_share, sc.hit AS c_hit, round(sc.shared / gl.l, 6) AS c_share
 FROM hl JOIN fa USING (store_no, question_id) JOIN sb USING (store_no, question_id) LEFT JOIN sc USING (store_no, question_id) LEFT JOIN gl USING (store_no, question_id)""")
@@ -345,8 +345,8 @@ def _variants(spark, sf):
 
 
 def _merged_real(df):
-    """Spans of real ends merged (microseconds stand for them)."""
-    m = merged(df.select("q", F.round(F.col("s") * 1_000_000).cast("bigint").alias("s"), F.round(F.col("e") * 1_000_000).cast("bigint").alias("e")), "q")
+    """Spans of real ends, rounded to microseconds, merged (in shards of 18 minutes)."""
+    m = merged(df.select("q", F.round(F.col("s") * 1e6).cast("bigint").alias("s"), F.round(F.col("e") * 1e6).cast("bigint").alias("e")), "q", shard=1 << 30)
     return m.select("q", (F.col("s") / 1e6).alias("s"), (F.col("e") / 1e6).alias("e"))
 
 

@@ -9,8 +9,9 @@ from tideline.functions.intervals import holds_closed
 from tideline.operators import fusion as B
 from tideline.operators import vector as V
 from tideline.operators.intervals import overlap_join
-from tideline.plans.base import BR, EV, SD, VEC, bridge, events, seeds, vectors
+from tideline.plans.base import BR, EV, GT, SD, VEC, bridge, events, seeds, truth, vectors
 from tideline.registry import Registry
+from tideline.session import checkpointed
 from tideline.sources.tables import table
 
 R = Registry()
@@ -145,8 +146,11 @@ _FRAMES = f"""{_hits('h', 64, "vec_kind = 'frame'")}, fe AS (
 
 def frame_events(spark, sf, k):
     """Frame hits with the first event, in storage order, that holds their second (ends included)."""
-    hits = _found(spark, sf, k, "vec_kind = 'frame'").withColumn("sec", F.expr("try_cast(owner_id as double)"))
-    points = hits.where("sec is not null and store_no is not null").withColumns({"rs": F.col("sec"), "re": F.col("sec")})
+    return _held_by(spark, sf, _found(spark, sf, k, "vec_kind = 'frame'"))
+
+
+def _held_by(spark, sf, hits):
+    points = hits.withColumn("sec", F.expr("try_cast(owner_id as double)")).where("sec is not null and store_no is not null").withColumns({"rs": F.col("sec"), "re": F.col("sec")})
     spans = events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
     met = overlap_join(spans, points, ["store_no"], lambda s, e, t, _: holds_closed(s, e, t))
     return met.groupBy("qid", "store_no", "vec_id", "sim", "rnk", "sec").agg(F.min("pos").alias("pos"))
@@ -166,6 +170,20 @@ def frames_topk_temporal(spark, sf):
     return hits.select("qid", "vec_id", F.row_number().over(w).cast("bigint").alias("place"))
 
 
+@R.query("frames_topk_segments", f"""WITH {EV}, {VEC}, {QS}, {GT}, sec AS (SELECT DISTINCT store_no, unnest(range(greatest(gs, 0), ge + 1)) AS sec FROM gt), fv AS (SELECT vec.* FROM vec JOIN sec ON sec.store_no = vec.store_no AND sec.sec = TRY_CAST(vec.owner_id AS DOUBLE) WHERE vec_kind = 'frame'),
+h AS (SELECT * FROM (SELECT qid, vec_id, store_no, owner_id, sim, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, vec_id) AS rnk FROM (SELECT qid, vec_id, store_no, owner_id, {_EPS} AS sim FROM qs, fv)) WHERE rnk <= 8)
+SELECT qid, vec_id, store_no, round(sim, 6) AS sim, row_number() OVER (PARTITION BY qid ORDER BY store_no, CAST(owner_id AS DOUBLE), vec_id) AS place FROM h""")
+def frames_topk_segments(spark, sf):
+    """The 8 best of the frames at whole seconds inside the true segments (a small constant on the norms), in order
+    of time."""
+    vec = vectors(spark, sf)
+    sec = truth(spark, sf).select("store_no", F.explode(F.sequence(F.greatest(F.lit(0).cast("bigint"), "gs"), "ge")).alias("sec")).select("store_no", F.col("sec").cast("double").alias("sec")).distinct()
+    fv = vec.where("vec_kind = 'frame'").withColumn("sec", F.expr("try_cast(owner_id as double)")).join(sec, ["store_no", "sec"], "left_semi")
+    hits = V.search(fv, _queries(vec), 8, eps=1e-8).join(vec.select("vec_id", "store_no", "owner_id"), "vec_id")
+    w = Window.partitionBy("qid").orderBy("store_no", F.expr("cast(owner_id as double)"), "vec_id")
+    return hits.select("qid", "vec_id", "store_no", F.round("sim", 6).alias("sim"), F.row_number().over(w).cast("bigint").alias("place"))
+
+
 # --- fusion ----------------------------------------------------------------------------------
 
 
@@ -185,10 +203,12 @@ _STARTS = "st AS (SELECT store_no, event_id, min(s) AS start_s FROM ev GROUP BY
 
 
 def views(spark, sf, ke, kn, kf):
-    """Event, entity and frame view: (qid, store_no, event_id, sim)."""
-    e = _found(spark, sf, ke, "vec_kind = 'event'").where("store_no is not null").select("qid", "store_no", F.col("owner_id").alias("event_id"), "sim")
-    n = _found(spark, sf, kn, "vec_kind = 'entity'").join(bridge(spark, sf).withColumnRenamed("entity_id", "owner_id"), ["store_no", "owner_id"]).select("qid", "store_no", "event_id", "sim")
-    f = frame_events(spark, sf, kf).join(events(spark, sf).select("store_no", "pos", "event_id"), ["store_no", "pos"]).select("qid", "store_no", "event_id", "sim")
+    """Event, entity and frame view: (qid, store_no, event_id, sim). One scan of the vectors finds the hits of all three."""
+    vec = vectors(spark, sf)
+    hits = checkpointed(V.search_parts(vec.withColumn("part", F.col("vec_kind")), _queries(vec), {"event": ke, "entity": kn, "frame": kf}).join(vec.drop("v"), "vec_id").where("store_no is not null"))
+    e = hits.where("part = 'event'").select("qid", "store_no", F.col("owner_id").alias("event_id"), "sim")
+    n = hits.where("part = 'entity'").join(bridge(spark, sf).withColumnRenamed("entity_id", "owner_id"), ["store_no", "owner_id"]).select("qid", "store_no", "event_id", "sim")
+    f = _held_by(spark, sf, hits.where("part = 'frame'")).join(events(spark, sf).select("store_no", "pos", "event_id"), ["store_no", "pos"]).select("qid", "store_no", "event_id", "sim")
     return e, n, f
 
 
