@@ -126,7 +126,7 @@ def n_lists(n: int) -> int:
 
 def n_sample(n: int) -> int:
     lists = n_lists(n)
-    return max(2048, min(lists * SAMPLE_PER_LIST, max(SAMPLE_MAX, lists * 8)))
+    return max(8192, min(lists * SAMPLE_PER_LIST, max(SAMPLE_MAX, lists * 8)))
 
 
 def fit(sample: np.ndarray, n: int, seed: int = 7) -> Index:
