@@ -252,6 +252,26 @@ def test_search_against_numpy(spark):
     assert spark.createDataFrame([([0.0, 0.0],)], "v array<double>").select(V.normalised(F.col("v"))).first()[0] == [None, None]
 
 
+def test_search_in_parts(spark, monkeypatch):
+    """Several kinds by one scan, few and many queries: as one search for each kind."""
+    r = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, v.tolist(), "abc"[i % 3] if i % 7 else None) for i, v in enumerate(r.normal(size=(90, 6)))], "vec_id bigint, v array<double>, part string").repartition(4)
+    q = rows.where("vec_id % 4 = 0").selectExpr("vec_id as qid", "v")
+    want = {(p, *x[:2], x.rnk) for p, k in (("a", 2), ("b", 5)) for x in V.search(rows.where(F.col("part") == p), q, k).collect()}
+    for few in (2048, 5):
+        monkeypatch.setattr(V, "BLOCK", few)
+        monkeypatch.setattr(V, "QUERY_BLOCK", 9)
+        monkeypatch.setattr(V, "ROW_BLOCK", 40)
+        assert {(x.part, x.qid, x.vec_id, x.rnk) for x in V.search_parts(rows, q, {"a": 2, "b": 5}).collect()} == want
+    assert V.search_parts(rows, q.limit(0), {"a": 2}).count() == 0 and V.search_parts(rows.limit(0), q, {"a": 2}).count() == 0
+
+
+def test_numbers_in_order_of_several_columns(spark):
+    rows = [(1, r.randrange(40), r.randrange(3), i) for r in [random.Random(4)] for i in range(150)]
+    got = {x.i: x.rank0 for x in numbered(spark.createDataFrame(rows, "k int, a bigint, b int, i int"), ["k"], "a", block=5, then=("b", "i")).collect()}
+    assert got == {x[3]: n for n, x in enumerate(sorted(rows, key=lambda x: x[1:]))}
+
+
 REFS = [("48:40-48:48", [(2920, 2928)]), ("00:1:20", [(80, 81)]), ("1:27:35", [(5255, 5256)]), ("01:00,02:30", [(60, 61), (150, 151)]), ("29:32.120", [(106440, 106441)]), ("-02:00", [(120, 120)]), ("02:00-01:00", None), ("N/A", None), ("", None), ("None", None), ("None-None", None), ("abc", None), (None, None)]
 
 

@@ -56,7 +56,7 @@ def test_state_goes_on(spark, tmp_path):
     for part in (rows[:3], rows[3:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
         time.sleep(1.1)
-    got = {r.question_id: (r.n_reused, r.cache_size, r.a) for r in W.drained(W.keyed_cache(W.source(spark, path, 1)), "append", "cache").collect()}
+    got = {r.question_id: (r.n_reused, r.cache_size, r.a) for r in W.drained_cache(W.source(spark, path, 1)).collect()}
     from tideline.operators.cache import cross_cache
 
     assert got == {r.question_id: (r.n_reused, r.cache_size, r.a) for r in cross_cache(spark.createDataFrame(rows, schema)).collect()}

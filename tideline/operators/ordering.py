@@ -27,13 +27,14 @@ def prev_next(df: DataFrame, key: str, order: str, value: str, block: int = BLOC
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: str, into: str = "rank0", size: str = "group_size", block: int = BLOCK) -> DataFrame:
-    """Add the 0-based place in order of ``order`` (unique within the keys) and the group's size."""
+def numbered(df: DataFrame, keys: list[str], order: str, into: str = "rank0", size: str = "group_size", block: int = BLOCK, then: tuple[str, ...] = ()) -> DataFrame:
+    """Add the 0-based place in order of ``order``, then of the columns ``then`` (unique together within the keys), and the
+    group's size. Blocks are of ``order`` alone."""
     df = df.withColumn("_b", F.floor(F.col(order) / block))
     counts = df.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
     wk = Window.partitionBy(*keys)
     base = counts.select(
         *keys, "_b", (F.sum("_c").over(wk.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")).alias("_base"), F.sum("_c").over(wk).alias(size)
     )
-    inner = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order)) - 1)
+    inner = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order, *then)) - 1)
     return inner.join(base, [*keys, "_b"]).withColumn(into, (F.col("_base") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_base")

@@ -160,8 +160,7 @@ def store_questions(spark: SparkSession, sf: str) -> DataFrame:
     place = table(spark, sf, "video_stores").where("store_no is not null").select("store_no", "video_key").distinct()
     q = stores.placed_questions(table(spark, sf, "qa_files")).join(place, "video_key")
     q = q.withColumnRenamed("question_id", "asked_id")
-    order = F.col("file_id") * F.lit(1 << 40) + F.col("video_no") * F.lit(1 << 20) + F.col("question_no")
-    return numbered(q.withColumn("_o", order), ["store_no"], "_o", "question_id", block=1 << 46).drop("_o", "group_size")
+    return numbered(q, ["store_no"], "file_id", "question_id", block=64, then=("video_no", "question_no")).drop("group_size")
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:

@@ -348,4 +348,4 @@ def stream_cache(spark, sf):
     """The cross-query cache as keyed state over a stream of seeds."""
     path = scratch_dir(spark, "cache-seeds")
     cache_rows(spark, sf).write.parquet(path)
-    return W.drained(W.keyed_cache(W.source(spark, path)), "append", "cache")
+    return W.drained_cache(W.source(spark, path))

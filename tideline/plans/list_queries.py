@@ -128,7 +128,7 @@ def frames_stride(spark, sf):
     most 256 remain, or by the rate."""
     b = _timed(spark, sf)
     f = b.select("store_no", "pos", "fps", F.posexplode(FR.at_rate(F.col("s"), F.col("e"), F.col("fps"), 2.0)).alias("i", "frame"))
-    r = numbered(f.withColumn("o", F.col("pos") * F.lit(1 << 32) + F.col("i")), ["store_no"], "o", block=1 << 40)
+    r = numbered(f, ["store_no"], "pos", block=256, then=("i",))
     most = r.where(F.col("rank0") % F.greatest(F.lit(1), F.ceil(F.col("group_size") / 256.0)) == 0).select("store_no", "pos", "frame", F.lit("most").alias("how"))
     return most.unionByName(r.where(F.col("rank0") % F.greatest(F.lit(1), F.floor(F.col("fps") / 2.0)) == 0).select("store_no", "pos", "frame", F.lit("rate").alias("how")))
 

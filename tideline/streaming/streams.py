@@ -9,13 +9,12 @@ windows of a table that is read as a stream. Running aggregates run in update mo
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tideline.operators.cache import IN, Cache, queries_of
 from tideline.session import scratch_dir
@@ -102,24 +101,54 @@ def running_tracks(detections: DataFrame) -> DataFrame:
 
 
 _OUT = "store_no bigint, question_id bigint, n_seeds bigint, n_reused bigint, n_covered bigint, cache_size bigint, a string, b string"
+_ENTRY = "s double, e double, time double, ids array<string>, starts array<double>, ends array<double>"
+#: State store with list state: new entries are appended, old ones are not written again.
+LIST_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def keyed_cache(rows: DataFrame, gap: float = 30.0, least: float = 0.5, budget: int = 8, final_gap: float = 30.0) -> DataFrame:
-    """The cross-query cache as keyed state: queries of a store that arrive together are answered in order of
-    question_id against the state, which then grows. ``rows``: as for the batch form."""
-    cols = [c.split()[0] for c in _OUT.split(", ")]
+class _CacheProcessor(StatefulProcessor):
+    """Cache entries of a store as a list."""
+
+    def __init__(self, gap: float, least: float, budget: int, final_gap: float):
+        self.rules = (gap, least, budget, final_gap)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getListState("entries", _ENTRY)
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         cache = Cache()
-        for s, e, members, time in json.loads(state.get[0]) if state.exists else []:
-            cache.add(s, e, [tuple(m) for m in members], time)
-        pdf = pd.concat(list(frames))
+        if self.entries.exists():
+            for s, e, time, ids, starts, ends in self.entries.get():
+                cache.add(s, e, list(zip(starts, ends, ids)), time)
+        known = len(cache.entries)
+        pdf = pd.concat(list(rows))
         pdf = pdf.astype({"seed_id": object}).where(pdf.notna(), None)
         pdf["neighbour"] = pdf["seed_id"].map(lambda x: x is not None)
         pdf["by"] = pdf["seed_id"].map(lambda x: x or "")
         pdf = pdf.sort_values(["question_id", "neighbour", "rnk", "by", "event_id"])
-        out = [{"store_no": s, "question_id": q} | query.answer(cache, gap, least, budget, final_gap) for s, q, query in queries_of(pdf[IN])]
-        state.update((json.dumps(cache.entries),))
-        yield pd.DataFrame(out, columns=cols)
+        out = [{"store_no": s, "question_id": q} | query.answer(cache, *self.rules) for s, q, query in queries_of(pdf[IN])]
+        new = [(float(s), float(e), float(t), [m[2] for m in ms], [float(m[0]) for m in ms], [float(m[1]) for m in ms]) for s, e, ms, t in cache.entries[known:]]
+        if new:
+            self.entries.appendList(new)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
-    return rows.select(*IN).groupBy("store_no").applyInPandasWithState(step, _OUT, "cache string", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def keyed_cache(rows: DataFrame, gap: float = 30.0, least: float = 0.5, budget: int = 8, final_gap: float = 30.0) -> DataFrame:
+    """The cross-query cache as keyed list state: queries of a store that arrive together are answered in order of
+    question_id against the state, to which the new entries are appended. ``rows``: as for the batch form.
+    The session's state store must be LIST_STATE."""
+    return rows.select(*IN).groupBy("store_no").transformWithStateInPandas(statefulProcessor=_CacheProcessor(gap, least, budget, final_gap), outputStructType=_OUT, outputMode="Append", timeMode="None")
+
+
+def drained_cache(rows: DataFrame, name: str = "cache") -> DataFrame:
+    """:func:`keyed_cache` run to the end of its input, with its state store."""
+    spark, setting = rows.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, LIST_STATE)
+    try:
+        return drained(keyed_cache(rows), "append", name)
+    finally:
+        spark.conf.set(setting, before)
