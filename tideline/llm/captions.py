@@ -316,7 +316,7 @@ def _block_runs(block_of, gap: float | None, limit: float, spelling):
         stretches: list[list[_Run]] = []
         open_ = False
         for pos, text, s, e in events:
-            w = words(text) if text is not None else ()
+            w = tuple(text.split(" ")) if text else ()
             if not w:
                 open_ = False
                 if pos in (lo, hi):
@@ -397,21 +397,17 @@ def _stitched(gap: float | None, limit: float, spelling):
     return run
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over captions: words and their number, summed per batch."""
+def _said(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: captions (last column) to the words that carry their meaning; null stays null."""
     for b in batches:
-        n: Counter = Counter()
-        for text, times in Counter(b.column(0).to_pylist()).items():
-            for w in words(text) if text is not None else ():
-                n[w] += times
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64())], ["word", "n"])
-
-
-def spelling_of(events: DataFrame) -> Spelling:
-    """Words in use in all captions. The table has at most 1 / LEAST_SHARE rows, by the share of all words
-    that a row must have; a word met once tells nothing and is left out."""
-    counts = events.select("description").mapInArrow(_word_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+        said = [None if t is None else " ".join(words(t)) for t in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(said, pa.string())], [*b.schema.names[:-1], "said"])
+
+
+def spelling_of(said: DataFrame) -> Spelling:
+    """Words in use in all captions (said: words with blanks between). The table has at most 1 / LEAST_SHARE rows,
+    by the share of all words that a row must have; a word met once tells nothing and is left out."""
+    counts = checkpointed(said.select(F.explode(F.split("said", " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return Spelling({r["word"]: r["n"] for r in counts.where(F.col("n") >= max(2, int(total * LEAST_SHARE))).collect()})
 
@@ -423,20 +419,22 @@ def caption_runs(events: DataFrame, gap: float | None = None, limit: float = MIN
     null store or pos have no place and are left out; rows with the same store and pos are one event
     (the latest caption and span that are not null). A null, empty or wordless caption belongs to no
     run and ends one. ``gap``: the most seconds between neighbours (None: any); with one, neighbours
-    without usable spans stay apart. ``spelling``: words in use, by default those of all ``events``.
+    without usable spans stay apart. ``spelling``: words in use, by default those of all rows with a place.
     An empty table gives an empty result; further columns are ignored.
 
     Returns store_no, first_pos, last_pos, event_count, start_s, end_s (hull of the usable spans,
     null if there is none), duration_s and caption (common form of the most frequent wording).
     """
     ok = F.when((F.size("duration") == 2) & (F.get("duration", F.lit(1)) > F.get("duration", F.lit(0))), F.col("duration"))
-    rows = events.where("store_no is not null and pos is not null").select(
-        "store_no", "pos", "description", F.get(ok, F.lit(0)).alias("s"), F.get(ok, F.lit(1)).alias("e"), "loaded_at", F.floor(F.col("pos") / block).alias("block")
-    )
+    rows = events.where("store_no is not null and pos is not null").select("store_no", "pos", F.get(ok, F.lit(0)).alias("s"), F.get(ok, F.lit(1)).alias("e"), "loaded_at", "description")
+    kinds = dict(rows.dtypes)
+    # captions are brought to their words once: for the counts and for the runs
+    rows = checkpointed(rows.mapInArrow(_said, ", ".join(f"{c} {kinds[c]}" for c in rows.columns[:-1]) + ", said string"))
     sorted_rows = (
-        rows.repartition("store_no", "block").sortWithinPartitions("store_no", "block", "pos", F.col("loaded_at").asc_nulls_first()).drop("block", "loaded_at")
-    )
-    shared = events.sparkSession.sparkContext.broadcast(spelling_of(events) if spelling is None else spelling)
+        rows.withColumn("block", F.floor(F.col("pos") / block)).repartition("store_no", "block")
+        .sortWithinPartitions("store_no", "block", "pos", F.col("loaded_at").asc_nulls_first()).select("store_no", "pos", "said", "s", "e")
+    )
+    shared = events.sparkSession.sparkContext.broadcast(spelling_of(rows) if spelling is None else spelling)
     # far fewer rows than events, and read twice: written once to the shared checkpoint folder
     parts = checkpointed(sorted_rows.mapInArrow(_block_runs(lambda p: p // block, gap, limit, shared), _SCHEMA))
     edges = parts.where(f"part <> {RUN}").repartition("owner").sortWithinPartitions("owner", "first_pos", "part").mapInArrow(_stitched(gap, limit, shared), _SCHEMA)
