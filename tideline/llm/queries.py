@@ -18,7 +18,16 @@ R = Registry()
 CAPACITY = 2048
 
 
-@R.query("p1_found")
+#: Brute force; at the scale of the correctness check it takes seconds.
+P1_SQL = """WITH v AS (SELECT vec_id, CAST(matrix AS DOUBLE[]) AS m, len(matrix) AS d FROM nano_vectors WHERE vec_id IS NOT NULL AND matrix IS NOT NULL AND len(matrix) = embedding_dim
+  AND len(list_filter(matrix, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(matrix, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, d, list_transform(m, lambda x: x / n) AS w FROM (SELECT *, sqrt(list_inner_product(m, m)) AS n FROM v)),
+s AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_inner_product(a.w, b.w), 6) AS sim FROM u a JOIN u b ON a.d = b.d AND a.vec_id <> b.vec_id),
+n AS (SELECT i, j FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY sim DESC, j) AS r FROM s WHERE sim >= 0.8) WHERE r <= 10)
+SELECT DISTINCT least(i, j) AS vec_id_a, greatest(i, j) AS vec_id_b FROM n"""
+
+
+@R.query("p1_found", P1_SQL)
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of vectors of which at least one is a nearest neighbour of the other."""
     return neighbour_pairs(neighbours(table(spark, sf_dir, "nano_vectors")))
