@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -107,5 +108,6 @@ class Detector:
             label = " ".join(label.split()[:77])
             at = text.find(label)
             if label and at >= 0:
-                x0, x1 = round(at / len(text), 2), round((at + len(label)) / len(text), 2)
-                yield label, round(0.5 + len(label) / (2.0 * len(text)), 3), at, x0, 0.25, x1, 0.75
+                shown = lambda x, by: math.floor(x * by + 0.5) / by
+                n = len(text)
+                yield label, shown(0.5 + len(label) / (2.0 * n), 1000), at, shown(at / n, 100), 0.25, shown((at + len(label)) / n, 100), 0.75

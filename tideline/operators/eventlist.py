@@ -48,7 +48,7 @@ def fold(chunks: list[dict]) -> list[dict]:
 
 
 def merge_adjacent(chunks: DataFrame) -> DataFrame:
-    """:func:`fold` of every list. Lists stream by in order, so a task holds one list at a time."""
+    """:func:`fold` of every list, equal spans in order of their ids. Lists stream by in order, so a task holds one list at a time."""
     cols = [c.split()[0] for c in CHUNK.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +64,7 @@ def merge_adjacent(chunks: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=cols)
         yield pd.DataFrame([{**c, "chunk_no": i} for i, c in enumerate(fold(held))], columns=cols)
 
-    return chunks.select(*cols).repartition("list_id").sortWithinPartitions("list_id", "s", "e").mapInPandas(run, CHUNK)
+    return chunks.select(*cols).repartition("list_id").sortWithinPartitions("list_id", "s", "e", "event_ids").mapInPandas(run, CHUNK)
 
 
 def act(chunks: DataFrame, near: DataFrame, forward: bool, ratio: float = 0.2) -> DataFrame:

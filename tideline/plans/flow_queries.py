@@ -95,10 +95,19 @@ def merge_results(spark, sf):
     return both.groupBy("store_no", "question_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("response_id")), ",").alias("ids"))
 
 
-@R.query("qa_questions")
+_QQ = f"""WITH {QA}, b AS (SELECT file_id, video_no, question_no, coalesce(nullif({json_scalar("(q -> 'question_id')")}, ''), {json_scalar("(q -> 'uid')")}) AS question_id, coalesce(nullif({json_scalar("(q -> 'query')")}, ''), {json_scalar("(q -> 'question')")}) AS text,
+{json_scalar("(q -> 'answer')")} AS answer, {json_scalar("(q -> 'time_reference')")} AS time_reference, coalesce((q -> 'options'), CAST('null' AS JSON)) AS o, coalesce((q -> 'question_type'), CAST('null' AS JSON)) AS k FROM qq)
+SELECT file_id, video_no, question_no, question_id, text, answer, time_reference, trim(regexp_extract(text, '(?s)^(.*?)(?:\n\(A\).*)?$', 1)) AS stem, regexp_extract(text, '(?s)\n(\(A\).*)$', 1) AS inline_options,
+CASE json_type(o) WHEN 'ARRAY' THEN array_to_string(list_transform(CAST(o AS VARCHAR[]), lambda x: coalesce(x, '?')), '|') END AS options, CASE json_type(k) WHEN 'ARRAY' THEN array_to_string(list_transform(CAST(k AS VARCHAR[]), lambda x: coalesce(x, '?')), '|') WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN NULL ELSE (k ->> '$') END AS question_type FROM b"""
+
+
+@R.query("qa_questions", _QQ)
 def qa_questions(spark, sf):
-    """Questions of all layouts with stem, options, answer and time reference."""
-    return stores.questions(table(spark, sf, "qa_files"))
+    """Questions of all layouts with stem, options in their order, answer, time reference and types."""
+    q = stores.questions(table(spark, sf, "qa_files"))
+    kind = F.col("question_type")
+    kinds = F.when(F.startswith(kind, F.lit("[")), F.array_join(F.from_json(kind, "array<string>"), "|", "?")).otherwise(kind)
+    return q.select("file_id", "video_no", "question_no", "question_id", "text", "answer", "time_reference", "stem", "inline_options", F.array_join(F.from_json("options", "array<string>"), "|", "?").alias("options"), kinds.alias("question_type"))
 
 
 _AK = f"""WITH {QA}, b AS (SELECT file_id, video_no, question_no, coalesce(nullif({json_scalar("(q -> 'question_id')")}, ''), {json_scalar("(q -> 'uid')")}) AS qid, {json_scalar("(q -> 'answer')")} AS answer, CASE json_type((q -> 'options')) WHEN 'ARRAY' THEN CAST((q -> 'options') AS VARCHAR[]) END AS l FROM qq),
@@ -213,7 +222,14 @@ def extraction_validate(spark, sf):
     return g.select("store_no", "event_id", N.extraction_verdict(text).alias("verdict"))
 
 
-@R.query("semantic_chunking")
+_CHUNKS = f"""WITH RECURSIVE {EV}, w AS (SELECT store_no, pos, row_number() OVER (PARTITION BY store_no ORDER BY pos) AS rn, list_distinct(list_filter(string_split_regex(lower(coalesce(description, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS ws FROM ev),
+st(store_no, rn, pos, first_pos, n, total, pairs, members) AS (SELECT store_no, rn, pos, pos, 1, CAST(0 AS DOUBLE), 0, [ws] FROM w WHERE rn = 1
+UNION ALL SELECT store_no, rn, pos, CASE WHEN go THEN first_pos ELSE pos END, CASE WHEN go THEN n + 1 ELSE 1 END, CASE WHEN go THEN total + list_sum(ad) ELSE 0 END, CASE WHEN go THEN pairs + len(ad) ELSE 0 END, CASE WHEN go THEN list_append(members, ws) ELSE [ws] END FROM
+  (SELECT *, n < 8 AND (total + list_sum(ad)) / (pairs + len(ad)) > 0.65 AND ad[len(ad)] > 0.65 AS go FROM (SELECT w.store_no, w.rn, w.pos, w.ws, st.first_pos, st.n, st.total, st.pairs, st.members, list_transform(st.members, lambda m: CASE WHEN len(w.ws) = 0 THEN CAST(0 AS DOUBLE) ELSE len(list_intersect(m, w.ws)) / len(w.ws) END) AS ad FROM st JOIN w ON w.store_no = st.store_no AND w.rn = st.rn + 1)))
+SELECT store_no, first_pos, max(pos) AS last_pos, max(n) AS n FROM st GROUP BY store_no, first_pos"""
+
+
+@R.query("semantic_chunking", _CHUNKS)
 def semantic_chunking(spark, sf):
     """Greedy chunks of like captions."""
     return G.semantic_chunks(events(spark, sf))
@@ -229,14 +245,14 @@ def embed_text_hash(spark, sf):
     return e.select("store_no", "pos", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("x0"), F.size("v").alias("dim"))
 
 
-@R.query("generate_responses")
+@R.query("generate_responses", f"WITH {EV} SELECT store_no, pos, description AS prompt, replace(upper(description), 'ß', 'SS') AS response FROM ev WHERE description IS NOT NULL")
 def generate_responses(spark, sf):
     """Batched generation with error text for failed batches (a stand-in model that echoes)."""
     e = events(spark, sf).where("description is not null").select("store_no", "pos", F.col("description").alias("prompt"))
     return M.generate(e, "prompt", lambda ps: [p.upper() for p in ps])
 
 
-@R.query("detect_udtf")
+@R.query("detect_udtf", f"""WITH {EV}, l AS (SELECT unnest(['camera', 'red', 'four', 'street']) AS label), d AS (SELECT store_no, pos, label, instr(lower(description), label) - 1 AS a, length(lower(description)) AS n FROM ev, l WHERE description IS NOT NULL) SELECT store_no, pos, label, floor((0.5 + length(label) / (2.0 * n)) * 1000 + 0.5) / 1000 AS score, CAST(a AS INT) AS "at", floor(a / n * 100 + 0.5) / 100 AS x0, floor((a + length(label)) / n * 100 + 0.5) / 100 AS x1 FROM d WHERE a >= 0""")
 def detect_udtf(spark, sf):
     """One row per detected label of a caption, by a table function."""
     from pyspark.sql.functions import udtf

@@ -16,7 +16,7 @@ from tideline.operators import vector as V
 from tideline.operators.intervals import merged, overlap_join
 from tideline.operators.ordering import numbered, prev_next
 from tideline.plans.base import BR, EV, GT, SD, VEC, bridge, events, json_scalar, seeds, store_questions, truth, vectors
-from tideline.plans.graph_queries import FB, TOP, top_seeds
+from tideline.plans.graph_queries import FB, PN, TOP, top_seeds
 from tideline.plans.interval_queries import temporal_neighbours
 from tideline.registry import Registry
 from tideline.sources.tables import table
@@ -610,7 +610,29 @@ def chunk_lists(spark, sf):
 _CL = f"""{SD}, lst AS (SELECT store_no || ':' || question_id AS list_id, s, e, coalesce(score, 1.0) AS score, event_id FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id ORDER BY score DESC NULLS FIRST, ord) AS rnk FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id, event_id ORDER BY ord) AS r1 FROM sd) WHERE r1 = 1)) WHERE rnk <= 30)"""
 
 
-@R.query("event_list_merge_fold")
+_LC = f"""{SD}, lc AS (SELECT store_no, store_no || ':' || question_id AS list_id, s, e, coalesce(score, 1.0) AS score, ord % 3 AS g, event_id FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id ORDER BY score DESC NULLS FIRST, ord) AS rnk FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY store_no, question_id, event_id ORDER BY ord) AS r1 FROM sd) WHERE r1 = 1)) WHERE rnk <= 30)"""
+
+
+def _fold_sql(rows: str) -> str:
+    """The ordered merge as a recursion over the places of each list. ``rows``: list_id, s, e, score, g, ids, ds."""
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY s, e, ids) AS rn FROM {rows}),
+st(list_id, rn, chunk_no, s, e, score, g, ids, ds) AS (SELECT list_id, rn, 0, s, e, CAST(score AS DOUBLE), g, ids, ds FROM r WHERE rn = 1
+UNION ALL SELECT r.list_id, r.rn, CASE WHEN st.e < r.s THEN st.chunk_no + 1 ELSE st.chunk_no END, CASE WHEN st.e < r.s THEN r.s ELSE st.s END, CASE WHEN st.e < r.s THEN r.e WHEN st.e >= r.e THEN st.e ELSE r.e END,
+  CASE WHEN st.e < r.s THEN r.score WHEN st.e >= r.e THEN st.score ELSE st.score + r.score END, CASE WHEN st.e < r.s THEN r.g WHEN st.e >= r.e THEN st.g ELSE greatest(st.g, r.g) END, CASE WHEN st.e < r.s THEN r.ids WHEN st.e >= r.e THEN st.ids ELSE list_concat(st.ids, r.ids) END,
+  CASE WHEN st.e < r.s THEN r.ds WHEN st.e >= r.e THEN st.ds WHEN st.e > r.s THEN list_concat(st.ds, CASE WHEN coalesce(list_position(list_transform(r.ds, lambda x: x >= st.e), TRUE), 0) > 0 THEN r.ds[list_position(list_transform(r.ds, lambda x: x >= st.e), TRUE):] ELSE [] END) ELSE list_concat(st.ds, r.ds) END
+  FROM st JOIN r ON r.list_id = st.list_id AND r.rn = st.rn + 1)
+SELECT list_id, chunk_no, s, e, round(score, 6) AS score, CAST(g AS INT) AS generation, array_to_string(ids, ',') AS event_ids, len(ds) AS n_data FROM (SELECT *, row_number() OVER (PARTITION BY list_id, chunk_no ORDER BY rn DESC) AS z FROM st) WHERE z = 1"""
+
+
+def _act_sql(forward: bool) -> str:
+    other, put = ("p", lambda a, x: f"list_concat([{x}], {a})") if forward else ("n", lambda a, x: f"list_concat({a}, [{x}])")
+    return f"""WITH RECURSIVE {_LC}, {PN}, kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, s) AS q, count(*) OVER (PARTITION BY list_id) AS c FROM lc) WHERE q <= c - CAST(floor(c * 0.2) AS BIGINT)),
+pv AS (SELECT store_no, event_id, arg_min(s, pos) AS s, arg_min(e, pos) AS e FROM ev GROUP BY ALL), nb AS (SELECT store_no, event_id, o AS other FROM (SELECT ev.store_no, ev.event_id, x.{other} AS o, row_number() OVER (PARTITION BY ev.store_no, ev.event_id ORDER BY ev.pos) AS z FROM ev JOIN px2 x ON x.store_no = ev.store_no AND x.pos = ev.pos) WHERE z = 1 AND o IS NOT NULL),
+ac AS (SELECT kp.list_id, kp.s AS os, kp.e AS oe, kp.score, kp.g, CASE WHEN pv.s IS NULL THEN [kp.event_id] ELSE {put('[kp.event_id]', 'nb.other')} END AS ids, CASE WHEN pv.s IS NULL THEN [kp.s] ELSE {put('[kp.s]', 'pv.s')} END AS ds, CASE WHEN pv.s IS NULL THEN [kp.e] ELSE {put('[kp.e]', 'pv.e')} END AS de
+  FROM kp LEFT JOIN nb ON nb.store_no = kp.store_no AND nb.event_id = kp.event_id LEFT JOIN pv ON pv.store_no = nb.store_no AND pv.event_id = nb.other), a2 AS (SELECT list_id, ds[1] AS s, de[len(de)] AS e, score, g, ids, ds FROM ac), {_fold_sql('a2')}""".replace(f"{PN}, ", "px2 AS (SELECT store_no, pos, lag(event_id) OVER w AS p, lead(event_id) OVER w AS n FROM ev WINDOW w AS (PARTITION BY store_no ORDER BY pos)), ")
+
+
+@R.query("event_list_merge_fold", f"WITH RECURSIVE {_LC}, l2 AS (SELECT list_id, s, e, score, g, [event_id] AS ids, [s] AS ds FROM lc), {_fold_sql('l2')}")
 def event_list_merge_fold(spark, sf):
     """Ordered merge of each list."""
     m = L.merge_adjacent(chunk_lists(spark, sf))
@@ -654,13 +676,13 @@ def _action(spark, sf, forward: bool):
     return L.act(chunk_lists(spark, sf), near, forward)
 
 
-@R.query("event_list_forward")
+@R.query("event_list_forward", _act_sql(True))
 def event_list_forward(spark, sf):
     """T5 (F): each list without its weakest fifth, the event before each chunk put to it, merged."""
     return _list_rows(_action(spark, sf, True))
 
 
-@R.query("event_list_backward")
+@R.query("event_list_backward", _act_sql(False))
 def event_list_backward(spark, sf):
     """T5 (B): the same with the event after each chunk."""
     return _list_rows(_action(spark, sf, False))
