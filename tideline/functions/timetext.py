@@ -10,8 +10,9 @@ def seconds_of(text: Column) -> Column:
     """Seconds of ``S``, ``M:S`` or ``H:M:S`` split at ``:`` and ``.``; only digit parts count, and of more
     than three the first three (so ``29:32.120`` is 29 h 32 min 120 s). Null without a digit part."""
     p = F.filter(F.transform(F.split(F.trim(text), "[:.]"), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]+$"))
-    n = lambda i: F.get(p, F.lit(i)).cast("bigint")
-    return F.when(F.size(p) == 0, None).when(F.size(p) == 1, n(0)).when(F.size(p) == 2, n(0) * 60 + n(1)).otherwise(n(0) * 3600 + n(1) * 60 + n(2))
+    # the parts are bound once: an empty list of them has no sum
+    some = F.filter(F.array(F.slice(p, 1, 3)), lambda x: F.size(x) > 0)
+    return F.get(F.transform(some, lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda s, y: s * 60 + y.cast("bigint"))), F.lit(0))
 
 
 def segments_of(ref: Column) -> Column:
@@ -23,10 +24,10 @@ def segments_of(ref: Column) -> Column:
     a, b = F.trim(F.get(F.split(t, "-", 2), F.lit(0))), F.trim(F.get(F.split(t, "-", 2), F.lit(1)))
     lo, hi = seconds_of(F.when(a == "", b).otherwise(a)), seconds_of(F.when(b == "", a).otherwise(b))
     one = lambda s, e, p: F.struct(s.alias("gs"), e.alias("ge"), F.lit(p).alias("point"))
-    span = F.when(lo.isNull() | hi.isNull() | (hi < lo), None).otherwise(F.array(one(lo, hi, False)))
-    points = F.filter(F.transform(F.split(t, ","), seconds_of), lambda x: x.isNotNull())
-    listed = F.when(F.size(points) == 0, None).otherwise(F.transform(points, lambda x: one(x, x + 1, True)))
-    return F.when(bad, None).when(t.contains("-"), span).otherwise(listed)
+    span = F.filter(F.array(one(lo, hi, False)), lambda z: z["ge"] >= z["gs"])
+    listed = F.transform(F.filter(F.transform(F.split(t, ","), seconds_of), lambda x: x.isNotNull()), lambda x: one(x, x + 1, True))
+    got = F.when(bad, None).when(t.contains("-"), span).otherwise(listed)
+    return F.get(F.filter(F.array(got), lambda x: F.size(x) > 0), F.lit(0))
 
 
 def valid_reference(ref: Column) -> Column:

@@ -164,7 +164,8 @@ def store_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf: str) -> DataFrame:
-    n = store_questions(spark, sf).groupBy("store_no").agg(F.count("*").alias("_n"))
+    place = table(spark, sf, "video_stores").where("store_no is not null").select("store_no", "video_key").distinct()
+    n = stores.question_counts(table(spark, sf, "qa_files")).join(place, "video_key").groupBy("store_no").agg(F.sum("n").alias("_n"))
     ev = events(spark, sf).join(n, "store_no", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     ev = ev.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(3), F.col("_n")) - 1)))
     score = F.when((F.col("pos") + F.col("_k")) % 5 == 0, None).otherwise(((F.col("pos") * 37 + F.col("_k") * 11) % 101) / F.lit(101.0))

@@ -184,14 +184,40 @@ def _video_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def video_keys(files: DataFrame) -> DataFrame:
     """Key of each video of question files of any layout: file_id, video_no, video_key."""
-    f = files.where("file_id is not null and payload is not null").select("file_id", "payload")
-    return f.mapInArrow(_video_batches, "file_id bigint, video_no bigint, video_key string").where("video_key is not null")
+    return _spread(files).mapInArrow(_video_batches, "file_id bigint, video_no bigint, video_key string").where("video_key is not null")
 
 
 def placed_questions(files: DataFrame) -> DataFrame:
     """Questions of question files of any layout, one row each, with the key of their video (null if it has
     none); options and lists of types as JSON text."""
-    return files.where("file_id is not null and payload is not null").select("file_id", "payload").mapInArrow(_question_batches, _QSCHEMA)
+    return _spread(files).mapInArrow(_question_batches, _QSCHEMA)
+
+
+def _spread(files: DataFrame) -> DataFrame:
+    """Payloads; of a table with fewer splits than there are cores (so at most a few GB) dealt to all cores, as reading
+    them is work."""
+    f = files.where("file_id is not null and payload is not null").select("file_id", "payload")
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return f.repartition(cores) if f.rdd.getNumPartitions() < cores // 2 else f
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [_clean(x) for x in b.column(1).to_pylist()]
+        for i, j in _slices([len(t) for t in texts]):
+            keys = {(t, v): k for t, v, k in _video_keys(texts[i:j])}
+            n: dict[str, int] = {}
+            for f in _questions(texts[i:j]):
+                for t, v, _ in f.tags.tolist():
+                    if (k := keys.get((t, v))) is not None:
+                        n[k] = n.get(k, 0) + 1
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["video_key", "n"])
+
+
+def question_counts(files: DataFrame) -> DataFrame:
+    """Number of questions of each video: video_key, n."""
+    return _spread(files).mapInArrow(_count_batches, "video_key string, n bigint").groupBy("video_key").agg(F.sum("n").alias("n"))
 
 
 def questions(files: DataFrame) -> DataFrame:
