@@ -46,10 +46,8 @@ acc AS (SELECT store_no, question_id, n_events, n_segments, tp_evt, tp_seg, CAST
 
 
 def accuracy(spark, sf):
-    sd = seeds(spark, sf)
-    first = sd.groupBy("store_no", "question_id", "event_id").agg(F.min_by(F.struct("s", "e"), "ord").alias("x"), F.min("ord").alias("ord"))
-    found = top_seeds(spark, sf).select("store_no", "question_id", "event_id").join(first, ["store_no", "question_id", "event_id"])
-    return retrieval_accuracy(found.select("store_no", "question_id", "event_id", "ord", "x.s", "x.e"), valid_truth(spark, sf))
+    found = top_seeds(spark, sf)  # the first row of each event, with its span
+    return retrieval_accuracy(found.select("store_no", "question_id", "event_id", "ord", "s", "e"), valid_truth(spark, sf))
 
 
 def _rounded(names):

@@ -43,7 +43,7 @@ SELECT acc.store_no, acc.question_id, n_events, n_segments, tp_evt, tp_seg, tota
 @R.query("flagship_slice", _SLICE)
 def flagship_slice(spark, sf):
     """Seeds, temporal neighbours, cap at 80, clusters at a gap of 30 s, accuracy against the truth."""
-    top = S.topk_nulls_first(seeds(spark, sf), 30)
+    top = checkpointed(S.topk_nulls_first(seeds(spark, sf), 30))  # read three times
     capped = S.budget_cap(top, temporal_neighbours(spark, sf, top), 80)
     pay = events(spark, sf).groupBy("store_no", "event_id").agg(F.min("pos").alias("ord"), F.min_by(F.struct("s", "e", "ms", "me"), "pos").alias("x"))
     found = checkpointed(capped.join(pay, ["store_no", "event_id"]).select("store_no", "question_id", "event_id", "ord", "x.s", "x.e", "x.ms", "x.me"))

@@ -19,6 +19,7 @@ from tideline.plans.base import BR, EV, GT, SD, VEC, bridge, events, json_scalar
 from tideline.plans.graph_queries import FB, PN, TOP, top_seeds
 from tideline.plans.interval_queries import temporal_neighbours
 from tideline.registry import Registry
+from tideline.session import checkpointed
 from tideline.sources.tables import table
 
 R = Registry()
@@ -524,16 +525,15 @@ def event_text(spark, sf):
 
 
 def _cache_seeds(spark, sf):
-    sd = seeds(spark, sf).groupBy("store_no", "question_id", "event_id").agg(F.min_by(F.struct("s", "e"), "ord").alias("x"))
-    return top_seeds(spark, sf).select("store_no", "question_id", "event_id").join(sd, ["store_no", "question_id", "event_id"]).select("store_no", "question_id", "event_id", "x.s", "x.e")
+    return top_seeds(spark, sf).select("store_no", "question_id", "event_id", "s", "e")
 
 
 def cache_rows(spark, sf):
     """Rows of :func:`cross_cache`: top seeds of every question and their neighbours, with spans and verdicts."""
-    top = top_seeds(spark, sf).select("store_no", "question_id", "event_id", F.col("rnk").cast("bigint").alias("rnk"))
+    top = checkpointed(top_seeds(spark, sf).select("store_no", "question_id", "event_id", F.col("rnk").cast("bigint").alias("rnk")))  # read twice
     pn = prev_next(events(spark, sf).select("store_no", "pos", "event_id"), "store_no", "pos", "event_id")
     near = top.join(pn, ["store_no", "event_id"]).select("store_no", "question_id", F.col("event_id").alias("seed_id"), F.explode(F.array("prev_event_id", "next_event_id")).alias("event_id")).where("event_id is not null").distinct()
-    rows = top.select("store_no", "question_id", F.lit(None).cast("string").alias("seed_id"), "event_id", "rnk").unionByName(near.withColumn("rnk", F.lit(0).cast("bigint")))
+    rows = checkpointed(top.select("store_no", "question_id", F.lit(None).cast("string").alias("seed_id"), "event_id", "rnk").unionByName(near.withColumn("rnk", F.lit(0).cast("bigint"))))
     span = events(spark, sf).groupBy("store_no", "event_id").agg(F.min_by(F.struct("s", "e"), "pos").alias("x"))
     ok = C.verified(rows, _verdicts(spark, sf, rows.select(*_VK).distinct()), _VK, "any").select(*_VK, F.lit(True).alias("ok"))
     return rows.join(span, ["store_no", "event_id"]).join(ok, _VK, "left").select("store_no", "question_id", "seed_id", "event_id", "rnk", "x.s", "x.e", F.coalesce("ok", F.lit(False)).alias("ok"))
