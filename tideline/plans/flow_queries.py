@@ -95,7 +95,7 @@ def merge_results(spark, sf):
     return both.groupBy("store_no", "question_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("response_id")), ",").alias("ids"))
 
 
-_QQ = f"""WITH {QA}, b AS (SELECT file_id, video_no, question_no, coalesce(nullif({json_scalar("(q -> 'question_id')")}, ''), {json_scalar("(q -> 'uid')")}) AS question_id, coalesce(nullif({json_scalar("(q -> 'query')")}, ''), {json_scalar("(q -> 'question')")}) AS text,
+_QQ = rf"""WITH {QA}, b AS (SELECT file_id, video_no, question_no, coalesce(nullif({json_scalar("(q -> 'question_id')")}, ''), {json_scalar("(q -> 'uid')")}) AS question_id, coalesce(nullif({json_scalar("(q -> 'query')")}, ''), {json_scalar("(q -> 'question')")}) AS text,
 {json_scalar("(q -> 'answer')")} AS answer, {json_scalar("(q -> 'time_reference')")} AS time_reference, coalesce((q -> 'options'), CAST('null' AS JSON)) AS o, coalesce((q -> 'question_type'), CAST('null' AS JSON)) AS k FROM qq)
 SELECT file_id, video_no, question_no, question_id, text, answer, time_reference, trim(regexp_extract(text, '(?s)^(.*?)(?:\n\(A\).*)?$', 1)) AS stem, regexp_extract(text, '(?s)\n(\(A\).*)$', 1) AS inline_options,
 CASE json_type(o) WHEN 'ARRAY' THEN array_to_string(list_transform(CAST(o AS VARCHAR[]), lambda x: coalesce(x, '?')), '|') END AS options, CASE json_type(k) WHEN 'ARRAY' THEN array_to_string(list_transform(CAST(k AS VARCHAR[]), lambda x: coalesce(x, '?')), '|') WHEN 'NULL' THEN NULL WHEN 'OBJECT' THEN NULL ELSE (k ->> '$') END AS question_type FROM b"""
