@@ -48,7 +48,7 @@ def _shared_dir(spark: SparkSession) -> str:
     temporary folder; on a cluster executors could not read it, so a missing setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+        if not spark.sparkContext.master.startswith("local"):  # local-cluster runs on one machine too
             raise RuntimeError("spark.checkpoint.dir names no shared folder for intermediate tables")
         folder = _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="tideline-"))
     return folder.rstrip("/")
