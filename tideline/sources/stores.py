@@ -18,10 +18,10 @@ def read_vector_collection(spark: SparkSession, path: str, lines: bool = False)
     its file, place, id, metadata as JSON and components. Several files are read side by side; with
     ``lines`` a file has a collection per line."""
     raw = spark.read.option("multiLine", not lines).schema("embedding_dim int, data array<map<string,string>>, matrix string").json(path)
-    raw = raw.select(F.input_file_name().alias("file"), "embedding_dim", "data", F.unbase64("matrix").alias("m"))
-    one = raw.select("file", "embedding_dim", "m", F.posexplode("data").alias("pos", "meta"))
     width = F.col("embedding_dim") * 4
-    one = one.select("file", F.col("pos").cast("bigint").alias("pos"), "meta", F.substring("m", F.col("pos") * width + 1, width).alias("v"))
+    # the matrix is decoded once and cut inside its row: exploded rows that carried it whole would grow with the square of a collection
+    cut = lambda m: F.transform("data", lambda meta, i: F.struct(i.cast("bigint").alias("pos"), meta.alias("meta"), F.substring(m, i * width + 1, width).alias("v")))
+    one = raw.select(F.input_file_name().alias("file"), F.explode(F.get(F.transform(F.array(F.unbase64("matrix")), cut), F.lit(0))).alias("x")).select("file", "x.*")
 
     @F.pandas_udf("array<float>")
     def floats(v):
@@ -51,22 +51,53 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def export_vector_collections(df: DataFrame, path: str) -> None:
-    """Vector collections (store_no, vec_kind, id, v) as exchange files: one JSON line per store and kind with
-    embedding_dim, data and a base64 float32 matrix. A line holds a collection whole, so a task holds one
-    collection: a form for single videos; :func:`write_vectors` is the form for large stores."""
-    import base64
-    import json
+#: Components in a document of an exchange file (2 MB, 4,096 vectors of 128); what is larger is written in parts.
+PART_VALUES = 1 << 19
+
 
-    import pandas as pd
+def export_vector_collections(df: DataFrame, path: str, part_values: int = PART_VALUES) -> None:
+    """Vector collections (store_no, vec_kind, id, v) as exchange files: one JSON line per store, kind and width with
+    embedding_dim, data and a base64 float32 matrix. A collection of more than ``part_values`` components is written in
+    parts of about that size, each a line and a whole collection document, told apart by ``part`` (a hash of the id), so
+    no task holds a collection. Vectors stand in order of id in a line."""
+    keys = ["store_no", "vec_kind", "dim", "part"]
+    rows = df.select("store_no", "vec_kind", "id", F.col("v").cast("array<float>").alias("v"), F.size("v").alias("dim"))
+    large = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in keys[:3])).agg(F.count("*").alias("_n"))
+    large = large.select("*", F.ceil(F.col("_n") * F.col("_dim") / part_values).alias("_parts")).where("_parts > 1")  # at most one row per part_values components
+    part = F.coalesce(F.pmod(F.xxhash64("id"), "_parts"), F.lit(0).cast("bigint")).alias("part")
+    rows = rows.join(F.broadcast(large), F.expr(" and ".join(f"{c} <=> _{c}" for c in keys[:3])), "left").select(*keys[:3], part, "id", "v")
+    rows.repartition(*keys).sortWithinPartitions(*keys, "id").select(*keys, F.col("id").cast("string").alias("id"), "v").mapInArrow(_documents, "value string").write.mode("overwrite").text(path)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        m = np.stack([np.asarray(v, "<f4") for v in pdf["v"]])
-        doc = {"embedding_dim": int(m.shape[1]), "data": [{"__id__": str(i), "id": str(i)} for i in pdf["id"]], "matrix": base64.b64encode(m.tobytes()).decode()}
-        return pd.DataFrame({"value": [json.dumps(doc)]})
 
-    df.select("store_no", "vec_kind", "id", "v").groupBy("store_no", "vec_kind").applyInPandas(one, "value string").write.mode("overwrite").text(path)
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """JSON documents of rows (store_no, vec_kind, dim, part, id, v) that are sorted by the first four."""
+    import base64
+    import json
+
+    def document(key: tuple, ids: list, pieces: list) -> str:
+        head = {"store_no": key[0], "vec_kind": key[1], "part": key[3], "embedding_dim": key[2], "data": [{"__id__": str(i), "id": str(i)} for i in ids]}
+        return json.dumps(head | {"matrix": base64.b64encode(b"".join(pieces)).decode()})
+
+    now, ids, pieces = None, [], []
+    for rb in batches:
+        keys = list(zip(*(rb.column(i).to_pylist() for i in range(4))))
+        names, v = rb.column(4).to_pylist(), rb.column(5)
+        flat, at = np.asarray(v.flatten(), "<f4"), np.concatenate(([0], np.cumsum([k[2] for k in keys])))
+        done, a = [], 0
+        for b in range(1, len(keys) + 1):
+            if b < len(keys) and keys[b] == keys[a]:
+                continue
+            if keys[a] != now:
+                if now is not None:
+                    done.append(document(now, ids, pieces))
+                now, ids, pieces = keys[a], [], []
+            ids += names[a:b]
+            pieces.append(flat[at[a] : at[b]].tobytes())
+            a = b
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["value"])
+    if now is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([document(now, ids, pieces)], pa.string())], ["value"])
 
 
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
