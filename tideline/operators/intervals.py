@@ -23,12 +23,16 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], on: Callabl
     bucket), so a key with many rows is spread over its buckets. An interval also looks into the buckets
     of the other classes: of a longer class it touches one or two, of a shorter one those of its ends and
     between. So that this stays bounded, each side is written in its own class and asks only the longer
-    ones; a pair meets in the class of the longer of the two, in the bucket of the later start."""
+    ones; a pair meets in the class of the longer of the two, in the bucket of the later start.
+
+    Two rows that both only ask a class never meet in it: ``_o`` says whose own class it is, the left side's (with every
+    right row) or only the right side's. Else all rows of a key would meet in the one bucket of the longest class."""
     a, b = _cells(left, "ls", "le", width), _cells(right, "rs", "re", width)
-    met = a.join(b, [*keys, "_w", "_c"])
+    a = a.withColumn("_o", F.col("_w") == F.col("_lw"))
+    b = b.withColumn("_o", F.explode(F.when(F.col("_w") == F.col("_rw"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    met = a.join(b, [*keys, "_w", "_c", "_o"])
     later = F.floor(F.greatest("ls", "rs") / (F.lit(float(width)) * F.pow(F.lit(float(LONG)), F.col("_w")))).cast("bigint")
-    once = (F.col("_c") == later) & (F.col("_w") == F.greatest("_lw", "_rw"))
-    return met.where(once & on(F.col("ls"), F.col("le"), F.col("rs"), F.col("re"))).drop("_c", "_w", "_lw", "_rw")
+    return met.where((F.col("_c") == later) & on(F.col("ls"), F.col("le"), F.col("rs"), F.col("re"))).drop("_c", "_w", "_o", "_lw", "_rw")
 
 
 def _cells(df: DataFrame, s: str, e: str, width: float) -> DataFrame:

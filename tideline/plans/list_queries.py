@@ -309,17 +309,45 @@ FROM hl JOIN fa USING (store_no, question_id) JOIN sb USING (store_no, question_
 def overlap_variants_frames(spark, sf):
     """Frames of a question (one of each top seed) against the events of its time (A), the events of the frames
     against its time (B) and against the events of its time (C). A list of points counts from its first to its last."""
-    hull, gt_ev, te, q = _variants(spark, sf)
-    fr = te.select("q", (F.floor("s") + 1).cast("bigint").alias("t")).distinct()
-    p = fr.select("q", "t", F.col("t").cast("double").alias("rs"), F.col("t").cast("double").alias("re"))
-    point = lambda s, e, t, _: holds_closed(s, e, t)
-    inside = overlap_join(gt_ev.select("q", F.col("s").alias("ls"), F.col("e").alias("le")), p, ["q"], point).select("q", "t").distinct().withColumn("h", F.lit(1))
-    fa = fr.join(inside, ["q", "t"], "left").groupBy("q").agg(F.count("*").alias("frames"), F.count("h").alias("in_gt"))
-    own = overlap_join(events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le")), p.withColumn("store_no", F.substring_index("q", ":", 1).cast("bigint")), ["store_no"], point)
-    own = own.groupBy("q", "t").agg(F.min_by(F.struct(F.col("ls").alias("s"), F.col("le").alias("e")), "pos").alias("x")).select("q", "x.s", "x.e").distinct()
-    b, c = _shares(own, hull, "b"), _shares(own, gt_ev, "c")
-    out = q.join(fa, "q").join(b, "q").join(c, "q", "left")
-    return out.select("store_no", "question_id", "frames", "in_gt", (F.col("in_gt") > 0).alias("a_hit"), "b_hit", "b_share", "c_hit", "c_share")
+    key = ["store_no", "question_id"]
+    g = checkpointed(_hulls(spark, sf))
+    fr = checkpointed(_cache_seeds(spark, sf).groupBy(*key).agg(F.collect_set((F.floor(F.round("s", 6)) + 1).cast("bigint")).alias("ts")).join(g, key))  # at most 5 frames each
+    spans = events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
+    at = fr.select(*key, F.explode("ts").alias("t"))
+    p = at.select("store_no", "t").distinct().select("*", F.col("t").cast("double").alias("rs"), F.col("t").cast("double").alias("re"))
+    real = lambda s, e: F.struct(F.round(s, 6).alias("s"), F.round(e, 6).alias("e"))
+    own = overlap_join(spans, p, ["store_no"], lambda s, e, t, _: holds_closed(s, e, t)).groupBy("store_no", "t").agg(F.min_by(real("ls", "le"), "pos").alias("x"))
+    own = at.join(own, ["store_no", "t"]).groupBy(*key).agg(_merged_few(F.collect_set("x")).alias("ours"))
+    mine = fr.join(own, key, "left").withColumn("ours", F.coalesce("ours", F.array().cast("array<struct<s:double,e:double>>")))
+    met = overlap_join(spans.drop("pos"), g.select(*key, F.col("hs").cast("double").alias("rs"), F.col("he").cast("double").alias("re")), ["store_no"], overlaps_closed)
+    gx = _merged_by(met.select(*key, F.round("ls", 6).alias("s"), F.round("le", 6).alias("e")), key)
+    hit = lambda s, e: F.exists("ours", lambda o: overlaps_closed(o["s"], o["e"], s, e))
+    shared = lambda s, e: F.aggregate("ours", F.lit(0.0), lambda n, o: n + F.greatest(F.lit(0.0), F.least(o["e"], e) - F.greatest(o["s"], s)))
+    s, e = F.col("s"), F.col("e")
+    c = gx.join(mine, key).select(*key, F.size(F.filter("ts", lambda t: holds_closed(s, e, t))).alias("n"), hit(s, e).alias("hit"), shared(s, e).alias("shared"), (e - s).alias("l"))
+    share = F.when(F.sum("l") > 0, F.sum("shared") / F.sum("l")).otherwise(F.lit(0.0))
+    c = c.groupBy(*key).agg(F.sum("n").alias("n"), F.max("hit").alias("c_hit"), F.round(share, 6).alias("c_share"))
+    hs, he = F.col("hs").cast("double"), F.col("he").cast("double")
+    b_share = F.round(F.when(he > hs, shared(hs, he) / (he - hs)).otherwise(F.lit(0.0)), 6)
+    out = mine.join(c, key, "left").withColumn("in_gt", F.coalesce("n", F.lit(0).cast("bigint")))
+    return out.select(*key, F.size("ts").cast("bigint").alias("frames"), "in_gt", (F.col("in_gt") > 0).alias("a_hit"), hit(hs, he).alias("b_hit"), b_share.alias("b_share"), "c_hit", "c_share")
+
+
+def _merged_few(spans):
+    """An array of a few spans merged where they touch, as a column."""
+    last = lambda done: F.element_at(done, -1)
+    wider = lambda done, x: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last(done)["s"].alias("s"), F.greatest(last(done)["e"], x["e"]).alias("e"))))
+    step = lambda done, x: F.when((F.size(done) == 0) | (x["s"] > F.try_element_at(done, F.lit(-1))["e"]), F.concat(done, F.array(x))).otherwise(wider(done, x))
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<s:double,e:double>>"), step)
+
+
+def _merged_by(df, key):
+    """Spans of real ends merged where they touch; a key's spans go through one task in order, none is held."""
+    w = Window.partitionBy(*key).orderBy("s", "e")
+    top = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    m = df.withColumn("_new", (top.isNull() | (F.col("s") > top)).cast("bigint"))
+    m = m.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return m.groupBy(*key, "_g").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("_g")
 
 
 @R.query("overlap_variants_events", f"""WITH {SD}, {TOP}, {GT}, {_HULL}, {_merge_sql('gx', 'ge0', _K2)}, {_TOPEV}, {_merge_sql('om', 'te', _K2)}, hb AS (SELECT store_no, question_id, hs AS s, he AS e FROM hl), {_SHARES('sb', 'om', 'hb')}, {_SHARES('sc', 'om', 'gx')},
@@ -333,10 +361,15 @@ def overlap_variants_events(spark, sf):
     return out.select("store_no", "question_id", "a_hit", "a_share", "b_hit", "b_share")
 
 
+def _hulls(spark, sf):
+    """Each question's time from its first to its last second."""
+    return truth(spark, sf).groupBy("store_no", "question_id").agg(F.min("gs").alias("hs"), F.max(F.when(F.col("point"), F.col("gs")).otherwise(F.col("ge"))).alias("he"))
+
+
 def _variants(spark, sf):
     """(hull of each question's time, merged events that it touches, spans of its top seeds, questions), by ``q``."""
     key = F.concat_ws(":", "store_no", "question_id").alias("q")
-    g = truth(spark, sf).groupBy("store_no", "question_id").agg(F.min("gs").alias("hs"), F.max(F.when(F.col("point"), F.col("gs")).otherwise(F.col("ge"))).alias("he"))
+    g = _hulls(spark, sf)
     q = g.select(key, "store_no", "question_id")
     hull = g.select(key, F.col("hs").cast("double").alias("s"), F.col("he").cast("double").alias("e"))
     spans = events(spark, sf).select("store_no", F.col("s").alias("ls"), F.col("e").alias("le"))
