@@ -153,28 +153,30 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def store_questions(spark: SparkSession, sf: str) -> DataFrame:
+def store_questions(spark: SparkSession, sf: str, placed: DataFrame | None = None) -> DataFrame:
     """Questions of every store of their video, numbered from 0 in order of file, video and place: store_no,
     question_id, file_id, video_no, question_no, asked_id (the question's own id), time_reference and the other fields.
-    Numbering works in blocks of files, so that a store with very many questions is not one task."""
+    Numbering works in blocks of files, so that a store with very many questions is not one task. ``placed``: the
+    questions of the files, if they are read already."""
     place = table(spark, sf, "video_stores").where("store_no is not null").select("store_no", "video_key").distinct()
-    q = stores.placed_questions(table(spark, sf, "qa_files")).join(place, "video_key")
+    q = (stores.placed_questions(table(spark, sf, "qa_files")) if placed is None else placed).join(place, "video_key")
     q = q.withColumnRenamed("question_id", "asked_id")
     return numbered(q, ["store_no"], "file_id", "question_id", block=64, then=("video_no", "question_no")).drop("group_size")
 
 
-def seeds(spark: SparkSession, sf: str) -> DataFrame:
+def seeds(spark: SparkSession, sf: str, placed: DataFrame | None = None) -> DataFrame:
     place = table(spark, sf, "video_stores").where("store_no is not null").select("store_no", "video_key").distinct()
-    n = stores.question_counts(table(spark, sf, "qa_files")).join(place, "video_key").groupBy("store_no").agg(F.sum("n").alias("_n"))
+    n = stores.question_counts(table(spark, sf, "qa_files")) if placed is None else placed.groupBy("video_key").agg(F.count("*").alias("n"))
+    n = n.join(place, "video_key").groupBy("store_no").agg(F.sum("n").alias("_n"))
     ev = events(spark, sf).join(n, "store_no", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     ev = ev.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(3), F.col("_n")) - 1)))
     score = F.when((F.col("pos") + F.col("_k")) % 5 == 0, None).otherwise(((F.col("pos") * 37 + F.col("_k") * 11) % 101) / F.lit(101.0))
     return ev.select("store_no", ((F.col("pos") + F.col("_k")) % F.col("_n")).alias("question_id"), F.col("pos").alias("ord"), "event_id", "s", "e", score.cast("double").alias("score"))
 
 
-def truth(spark: SparkSession, sf: str) -> DataFrame:
+def truth(spark: SparkSession, sf: str, placed: DataFrame | None = None) -> DataFrame:
     """True segments: store_no, question_id, seg (distinct within the store), gs, ge, point."""
-    q = store_questions(spark, sf).select("store_no", "question_id", F.posexplode(segments_of(F.col("time_reference"))).alias("i", "z"))
+    q = store_questions(spark, sf, placed).select("store_no", "question_id", F.posexplode(segments_of(F.col("time_reference"))).alias("i", "z"))
     return q.select("store_no", "question_id", (F.col("question_id") * 1000 + F.col("i")).alias("seg"), "z.gs", "z.ge", "z.point")
 
 

@@ -20,6 +20,7 @@ from tideline.plans.graph_queries import FB, PN, TOP, top_seeds
 from tideline.plans.interval_queries import temporal_neighbours
 from tideline.registry import Registry
 from tideline.session import checkpointed
+from tideline.sources import stores
 from tideline.sources.tables import table
 
 R = Registry()
@@ -310,8 +311,9 @@ def overlap_variants_frames(spark, sf):
     """Frames of a question (one of each top seed) against the events of its time (A), the events of the frames
     against its time (B) and against the events of its time (C). A list of points counts from its first to its last."""
     key = ["store_no", "question_id"]
-    g = checkpointed(_hulls(spark, sf))
-    fr = checkpointed(_cache_seeds(spark, sf).groupBy(*key).agg(F.collect_set((F.floor(F.round("s", 6)) + 1).cast("bigint")).alias("ts")).join(g, key))  # at most 5 frames each
+    placed = checkpointed(stores.placed_questions(table(spark, sf, "qa_files")).select("file_id", "video_no", "question_no", "video_key", "question_id", "time_reference"))  # read three times
+    g = checkpointed(_hulls(spark, sf, placed))
+    fr = checkpointed(S.topk_nulls_first(seeds(spark, sf, placed), 5).groupBy(*key).agg(F.collect_set((F.floor(F.round("s", 6)) + 1).cast("bigint")).alias("ts")).join(g, key))  # at most 5 frames each
     spans = events(spark, sf).select("store_no", "pos", F.col("s").alias("ls"), F.col("e").alias("le"))
     at = fr.select(*key, F.explode("ts").alias("t"))
     p = at.select("store_no", "t").distinct().select("*", F.col("t").cast("double").alias("rs"), F.col("t").cast("double").alias("re"))
@@ -361,9 +363,9 @@ def overlap_variants_events(spark, sf):
     return out.select("store_no", "question_id", "a_hit", "a_share", "b_hit", "b_share")
 
 
-def _hulls(spark, sf):
+def _hulls(spark, sf, placed=None):
     """Each question's time from its first to its last second."""
-    return truth(spark, sf).groupBy("store_no", "question_id").agg(F.min("gs").alias("hs"), F.max(F.when(F.col("point"), F.col("gs")).otherwise(F.col("ge"))).alias("he"))
+    return truth(spark, sf, placed).groupBy("store_no", "question_id").agg(F.min("gs").alias("hs"), F.max(F.when(F.col("point"), F.col("gs")).otherwise(F.col("ge"))).alias("he"))
 
 
 def _variants(spark, sf):
